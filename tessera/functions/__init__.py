@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Scalar functions: column expressions that stay in the JVM."""

@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Relational operators: DataFrames in, DataFrame out."""

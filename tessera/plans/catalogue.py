@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import relational_plans, text_plans
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return text_plans.QUERIES | relational_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return text_plans.SQL | relational_plans.SQL

@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Structured Streaming over processing events."""
