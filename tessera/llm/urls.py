@@ -32,7 +32,7 @@ RULES = (
 )
 DEFAULT = "allow"
 #: The rules are sent to every sweep, so there may be this many at most.
-MAX_RULES = 100_000
+MAX_RULES = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -54,7 +54,8 @@ def rule_table(spark, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFram
     """Rules with key, depth and the text that names them."""
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; {MAX_RULES} at most")
-    table = spark.createDataFrame(list(rules), "action string, host string, path string")
+    given = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("action", "host", "path"), rule))) for rule in rules))
+    table = spark.range(1).select(F.inline(given))
     labels = F.split(F.col("host"), r"\.", -1)
     named = table.select("action", F.concat("host", "path").alias("rule"), F.length("host").alias("host_length"), F.size(labels).alias("depth"), key(labels, F.size(labels), F.col("path")).alias("key"))
     # of equal rules block wins
