@@ -71,5 +71,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     texts = rows.join(misses.hint("shuffle_hash"), rows["id"].eqNullSafe(misses["miss_id"])).where(digest == F.col("miss")).select("miss", "text")
     fresh = texts.mapInArrow(run, "digest string, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
-    counted = keyed.join(stored(spark, cache_path, version), "digest")
+    # written first, so that the join has plain shuffles on both sides and a digest with very many copies is split
+    counted = keyed.join(materialize(stored(spark, cache_path, version), "counts"), "digest")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
