@@ -1 +1 @@
-"""Part of the tessera engine."""
+"""Readers and writers."""

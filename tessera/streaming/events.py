@@ -58,8 +58,11 @@ def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     return rows.dropDuplicatesWithinWatermark([key]) if events.isStreaming else rows.dropDuplicates([key])
 
 
-def run_states(events: DataFrame, idle: str = "5 minutes") -> DataFrame:
-    """The latest state of each user's run as events come; runs without events for ``idle`` become failed."""
+def run_states(events: DataFrame, idle: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """The latest state of each user's run as events come; runs without events for ``idle`` become failed.
+
+    Events later than ``late`` are dropped.
+    """
     limit = pd.Timedelta(idle)
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,7 +81,7 @@ def run_states(events: DataFrame, idle: str = "5 minutes") -> DataFrame:
         state.setTimeoutTimestamp(int(max(last // 1000, state.getCurrentWatermarkMs()) + limit.total_seconds() * 1000) + 1)
         yield pd.DataFrame({"user_id": [key[0]], "state": [kind], "n_events": [n]})
 
-    rows = _timed(events, "1 hour").select("user_id", "at", "event_id", "event_type")
+    rows = _timed(events, late).select("user_id", "at", "event_id", "event_type")
     return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, state string, n_events long", "n long, last long, kind string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
