@@ -180,7 +180,7 @@ def calibrated(confidence: Column, prior: Column, sources: Column, alpha: float
 
 def severity_intra(raw: Column) -> Column:
     low = F.lower(raw)
-    return F.when(low == "critical", "high").when(low == "major", "medium").when(low == "minor", "low").otherwise("medium")
+    return F.when(low == "critical", "high").when(low == "major", "medium").when(low == "minor", "low").when(low.isin("high", "low", "info"), low).otherwise("medium")
 
 
 def severity_inter(raw: Column) -> Column:
@@ -200,8 +200,10 @@ def dedup_key(kind: Column, ref: Column, target: Column, ref_value: Column, targ
 
 
 def section_anchor(number: Column, order: Column, kind: Column) -> Column:
-    """``[S1.2:kind]`` for numbered sections, ``[S#order:kind]`` for the others."""
-    return F.concat(F.lit("[S"), F.coalesce(number, F.concat(F.lit("#"), order.cast("string"))), F.coalesce(F.concat(F.lit(":"), kind), F.lit("")), F.lit("]"))
+    """``[S1.2:kind]`` for numbered sections, ``[S#order:kind]`` for the others, ``[S?]`` without either."""
+    path = F.nullif(F.trim(number), F.lit(""))
+    suffix = F.when(F.trim(kind).rlike("^[a-z][a-z0-9_]*$"), F.concat(F.lit(":"), F.trim(kind))).otherwise("")
+    return F.coalesce(F.concat(F.lit("[S"), F.coalesce(path, F.concat(F.lit("#"), order.cast("string"))), suffix, F.lit("]")), F.lit("[S?]"))
 
 
 def parsed_anchor(text: Column) -> Column:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import relational_plans, text_plans
+from tessera.plans import audit_plans, relational_plans, text_plans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return text_plans.QUERIES | relational_plans.QUERIES
+    return text_plans.QUERIES | relational_plans.QUERIES | audit_plans.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_plans.SQL | relational_plans.SQL
+    return text_plans.SQL | relational_plans.SQL | audit_plans.SQL
