@@ -101,7 +101,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = spark.createDataFrame(guests, f"head {dict(rows.dtypes)['id']}, target int")
     visiting = rows.drop("bucket").join(F.broadcast(table), F.col("id").eqNullSafe(F.col("head"))).select(F.col("target").alias("bucket"), "id", "text", F.lit(True).alias("guest"))
     both = rows.select("bucket", "id", "text", F.lit(False).alias("guest")).unionByName(visiting)
-    dealt = both.repartition(ranges, "bucket") if ranges > 1 else both.coalesce(1)
+    dealt = both.repartitionById(len(bounds) + 1, "bucket")  # one range a task
     return dealt.sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
@@ -141,6 +141,30 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out.withColumnRenamed("id", id_col)
 
 
+def search(asked: DataFrame, prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """Every row of ``prints`` within ``radius`` bits of each row of ``asked``: ``query_id``, ``id_col``, ``distance``.
+
+    Both have ``id_col`` and ``fp``.  Equal fingerprints are searched once; a table of the ten keys is joined
+    and verified, and what is found is expanded to the rows that have the fingerprints.
+    """
+    if radius > len(BLOCKS) - KEY_BLOCKS:
+        raise ValueError(f"the tables cover {len(BLOCKS) - KEY_BLOCKS} bits at most")
+
+    def keyed(rows: DataFrame, name: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch.column(0).to_numpy(zero_copy_only=False)
+                keys = block_keys(values.view(np.uint64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.repeat(values, keys.shape[1]))], names=["key", name])
+
+        return rows.select("fp").distinct().mapInArrow(run, f"key long, {name} long")
+
+    bits = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
+    pairs = keyed(asked, "a").join(keyed(prints, "b"), "key").where(bits <= radius).select("a", "b", bits.cast("int").alias("distance")).distinct()
+    named = asked.select(F.col(id_col).alias("query_id"), F.col("fp").alias("a")).join(pairs, "a")
+    return named.join(prints.select(id_col, F.col("fp").alias("b")), "b").select("query_id", id_col, "distance")
+
+
 def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """``prints`` (``id_col``, ``fp``) with ``class_id``: the smallest id reachable over fingerprints within ``radius``.
 

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 
 import pytest
 
@@ -59,3 +60,17 @@ def test_classes(spark):
     assert found == {3: 1, 1: 1, 2: 1, 9: 9}
     with pytest.raises(ValueError):
         fingerprints.near_classes(prints, radius=4)
+
+
+def test_search_equals_brute_force(spark):
+    rnd = random.Random(3)
+    values = [rnd.getrandbits(63)]
+    for _ in range(400):
+        base = rnd.choice(values) if rnd.random() < 0.7 else rnd.getrandbits(63)
+        for b in rnd.sample(range(63), rnd.randint(0, 4)):
+            base ^= 1 << b
+        values.append(base)
+    prints = spark.createDataFrame(list(enumerate(values)), "doc_id long, fp long")
+    found = {tuple(r) for r in fingerprints.search(prints.where("doc_id % 10 = 0"), prints).collect()}
+    wanted = {(i, j, d) for i, a in enumerate(values) if i % 10 == 0 for j, b in enumerate(values) if (d := (a ^ b).bit_count()) <= 3}
+    assert found == wanted and len(wanted) > 100
