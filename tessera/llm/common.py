@@ -18,12 +18,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors.
+
+    ``instead_of``: a table made here before that nothing needs any more; its files are deleted.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tessera_path = path
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._tessera_path)
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def fold(doc_id: Column | str, folds: int = 5) -> Column:

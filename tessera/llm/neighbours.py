@@ -137,7 +137,7 @@ def classes(edges: DataFrame) -> DataFrame:
         low = lower.groupBy("a").agg(F.min("b").alias("m"))
         hung = lower.join(low, "a").select(F.col("b").alias("x"), F.col("m").alias("y")).where("x <> y")
         small = hung.unionByName(low.select(F.col("a").alias("x"), F.col("m").alias("y")))
-        current = materialize(small.distinct().select(F.col("y").alias("a"), F.col("x").alias("b")), "edges")
+        current = materialize(small.distinct().select(F.col("y").alias("a"), F.col("x").alias("b")), "edges", instead_of=current)
         state = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return current.select(F.col("b").alias("node"), F.col("a").alias("root"))
