@@ -36,8 +36,8 @@ LATIN_CLASSES = {
 }
 #: A text with none of these takes the fast patterns made of ``LATIN_CLASSES``.
 NOT_LATIN = re.compile("[^\u0000-ɏ]")
-#: Entries that a worker keeps for words and for fragments before it starts anew.
-MEMO_ENTRIES = 1_000_000
+#: Entries in each of the two generations that a worker keeps of words and of fragments.
+MEMO_ENTRIES = 300_000
 #: Longer words are not kept.
 MEMO_LENGTH = 48
 #: Fragments of more symbols are merged with a heap.
@@ -77,16 +77,23 @@ def _latin(pattern: str) -> str:
 
 
 class _Memo(dict):
-    """A dict that fills itself with ``make(key)`` and is emptied when it holds too much."""
+    """A dict that fills itself with ``make(key)`` and holds two generations of at most ``MEMO_ENTRIES`` each.
+
+    When the younger generation is full it becomes the older one; what is met again moves back, so frequent
+    keys stay and rare ones go.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.make(key)
+        value = self.older.pop(key, None)
+        if value is None:
+            value = self.make(key)
         if len(key) <= MEMO_LENGTH:
             if len(self) >= MEMO_ENTRIES:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value
