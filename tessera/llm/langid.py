@@ -23,6 +23,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,7 @@ MIN_MARGIN = 0.004
 #: Relative margin at which the score is 0.88.
 SCALE = 0.03
 
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 OTHER = re.compile(r"[\W\d_]+")
 
 

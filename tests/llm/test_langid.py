@@ -16,7 +16,7 @@ def test_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     content = langid.train(docs)
     assert sorted(content) == ["de", "en"]
-    asked = spark.createDataFrame([(1, None, "q", 1.0), (2, "", "q", 1.0), (3, "123 ... 4", "q", 1.0), (4, "the mat with the cat", None, None), (4, "the mat with the cat", "de", None), (5, "und die katze im haus " * 9000, "en", 0.0)], "doc_id long, text string, lang string, score double")
+    asked = spark.createDataFrame([(1, None, "q", 1.0), (2, "", "q", 1.0), (3, "123 ... 4 ²½", "q", 1.0), (4, "the mat with the cat", None, None), (4, "the mat with the cat", "de", None), (5, "und die katze im haus " * 9000, "en", 0.0)], "doc_id long, text string, lang string, score double")
     found = {r["doc_id"]: r for r in langid.identify(asked, content).collect()}
     assert [found[i]["lang_pred"] for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "en", "de"]
     assert all(0 <= r["score"] <= 1 for r in found.values()) and found[1]["score"] == 0
