@@ -224,3 +224,27 @@ def excluded(section: Column, prefixes: list[str]) -> Column:
     for p in prefixes:
         hit = hit | F.startswith(section, F.lit(p))
     return F.coalesce(hit, F.lit(False))
+
+
+def html_cells(row_html: Column, tag: str = "td") -> Column:
+    """The texts of a table row's cells."""
+    return F.transform(F.regexp_extract_all(row_html, F.lit(rf"(?is)<{tag}[^>]*>(.*?)</{tag}>"), F.lit(1)), html_text)
+
+
+def html_table(table_html: Column) -> Column:
+    """Headers and rows of a table: header cells, else the first row, and the rows that have cells."""
+    rows = F.filter(F.transform(F.regexp_extract_all(table_html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: html_cells(r)), lambda r: F.size(r) > 0)
+    heads = html_cells(table_html, "th")
+    plain = (F.size(heads) == 0) & (F.size(rows) > 0)
+    return F.struct(F.when(plain, F.get(rows, F.lit(0))).otherwise(heads).alias("headers"), F.when(plain, F.slice(rows, 2, 1_000_000)).otherwise(rows).alias("rows"))
+
+
+def footnote_marks(text: Column) -> Column:
+    """Markers in a paragraph that start a footnote: a symbol or number with ``)``, ``:`` or ``.`` behind."""
+    return F.regexp_extract_all(text, F.lit(r"(?:^|\s)(\*|†|‡|§|¶|\d+)\s*[):.]"), F.lit(1))
+
+
+def footnote_references(text: Column) -> Column:
+    """Numbers of references in brackets or superscript."""
+    found = F.regexp_extract_all(text, F.lit(r"\[\d+\]|<sup>\d+</sup>"), F.lit(0))
+    return F.transform(found, lambda m: F.regexp_extract(m, r"(\d+)", 1))

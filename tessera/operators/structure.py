@@ -74,17 +74,54 @@ def occurrence(rows: DataFrame, id_col: list[str], title: Column, order: list[Co
     return rows.withColumn("occurrence", F.row_number().over(Window.partitionBy(*id_col, title).orderBy(*order)).cast("long") - 1)
 
 
+def spread_occurrence(rows: DataFrame, key: Column, order: str, width: int) -> DataFrame:
+    """As ``occurrence`` by one integer column, without ever bringing all rows of a key together.
+
+    Rows are ranked inside ranges of ``width`` of the order column; the counts of a key's earlier ranges, one
+    row each, are added.
+    """
+    dealt = rows.withColumn("_key", key).withColumn("_range", F.floor(F.col(order) / width))
+    counts = dealt.groupBy("_key", "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_key", "_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_key", "_range").orderBy(order)).cast("long") - 1
+    ranked = dealt.withColumn("_place", place).join(before, ["_key", "_range"])
+    return ranked.withColumn("occurrence", F.col("_place") + F.col("_before")).drop("_key", "_range", "_place", "_before")
+
+
 def running_offsets(rows: DataFrame, key: str, order: str, size: str) -> DataFrame:
     """Adds ``offset``: the sizes of all earlier parts of the same key."""
     earlier = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(size).over(earlier), F.lit(0)).cast("long"))
 
 
-def table_of_contents(headings: DataFrame, id_col: str = "doc_id", order: str = "ord", text: str = "text") -> DataFrame:
-    """Headings that repeat a later one with a page number at the end, as a table of contents does."""
-    tail = r"(?:\.{2,}|\s{2,}|\t)\s*\d{1,4}\s*$"
-    flagged = headings.withColumn("_tail", F.col(text).rlike(tail)).withColumn("_key", T.normal_title(F.regexp_replace(text, tail, "")))
-    plain = flagged.where(~F.col("_tail")).select(F.col(id_col).alias("_id"), F.col("_key").alias("_twin"), F.col(order).alias("_at"))
-    listed = flagged.where("_tail")
-    twins = listed.join(plain, (listed[id_col] == plain["_id"]) & (listed["_key"] == plain["_twin"]) & (listed[order] < plain["_at"]), "left_semi")
-    return twins.select(*headings.columns)
+# What a table of contents is called, a line's page number, and a heading's own number.
+TOC_TITLE = r"^(содержани[ея]|оглавлени[ея]|table\s+of\s+contents|contents)\s*$"
+PAGE_TAIL, OWN_NUMBER = r"[\s.…]+(\d{1,4})\s*$", r"^\d+(\.\d+)*\.?\s+"
+
+
+def table_of_contents(headings: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Headings (``ord``, ``text``, ``paragraph``) that are lines of a table of contents.
+
+    Such a line ends with a page number, has a twin without one, has no block (``paragraph``) of its own, stands
+    beside the title of the contents, another line without blocks or the document's edge, and its page fits
+    between its neighbours' pages.
+    """
+    page = F.regexp_extract("text", PAGE_TAIL, 1).try_cast("int")
+    twin = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_TAIL, ""), OWN_NUMBER, "")))
+    # blocks below a heading: those between its paragraph and the next heading's
+    marks = headings.select(id_col, "paragraph", "ord").unionByName(blocks.select(id_col, "paragraph", F.lit(None).cast(dict(headings.dtypes)["ord"]).alias("ord")))
+    before = Window.partitionBy(id_col).orderBy("paragraph", F.desc_nulls_last("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    at = Window.partitionBy(id_col, "paragraph")
+    below = marks.withColumn("_under", F.last("ord", ignorenulls=True).over(before)).withColumn("_at", F.max("ord").over(at)).where("ord is null and _at is null and _under is not null")
+    filled = below.select(F.col(id_col).alias("_id"), F.col("_under").alias("_ord")).distinct().withColumn("_filled", F.lit(True))
+    own = headings.join(filled, (headings[id_col] == F.col("_id")) & (headings["ord"] == F.col("_ord")), "left").drop("_id", "_ord")
+    row = Window.partitionBy(id_col).orderBy("ord")
+    rows = own.select(*headings.columns, F.coalesce("_filled", F.lit(False)).alias("_filled"), page.alias("_page"), twin.alias("_twin"), F.lower(F.trim("text")).rlike(TOC_TITLE).alias("_title"))
+    rows = rows.withColumn("_plain", F.max(F.when(F.col("_page").isNull(), 1)).over(Window.partitionBy(id_col, "_twin")))
+    for name, step in (("_prev", F.lag), ("_next", F.lead)):
+        rows = rows.withColumn(name, step(F.struct("_filled", "_page", "_title")).over(row))
+    first = F.col("_prev").isNull() | F.col("_prev._title") | ~F.col("_prev._filled")
+    last = F.col("_next").isNull() | ~F.col("_next._filled")
+    rising = (F.coalesce("_prev._page", "_page") <= F.col("_page")) & (F.coalesce("_next._page", "_page") >= F.col("_page"))
+    return rows.where(F.col("_page").isNotNull() & (F.col("_twin") != "") & (F.col("_plain") == 1) & ~F.col("_filled") & (first | last) & rising).select(*headings.columns)

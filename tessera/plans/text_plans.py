@@ -109,7 +109,7 @@ select query_id, doc_id, score, rank from k where rank <= 10
 
 def content_digest_dups(spark: SparkSession, sf: str) -> DataFrame:
     rows = docs(spark, sf).withColumn("digest", T.content_digest(F.col("text")))
-    return structure.occurrence(rows, [], F.col("digest"), [F.col("doc_id")]).where("occurrence > 0").select("doc_id", "digest", "occurrence")
+    return structure.spread_occurrence(rows.select("doc_id", "digest"), F.col("digest"), "doc_id", 100_000).where("occurrence > 0").select("doc_id", "digest", "occurrence")
 
 
 CONTENT_DIGEST_DUPS = r"""

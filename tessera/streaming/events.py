@@ -85,6 +85,32 @@ def run_states(events: DataFrame, idle: str = "5 minutes", late: str = "1 hour")
     return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, state string, n_events long", "n long, last long, kind string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def rate_limited(events: DataFrame, key: str, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
+    """Events with ``limited``: whether their key had more than ``limit`` events in the last ``seconds``, this one
+    included.  The state is the log of a key's recent times; a key without recent events loses it.
+    """
+    span = seconds * 1_000_000
+
+    def update(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        log = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
+        out = []
+        for event, at in zip(rows["event_id"], rows["at"]):
+            now = int(at.value // 1000)
+            log = [t for t in log if t >= now - span] + [now]
+            out.append((event, who[0], len(log) > limit))
+        state.update((log,))
+        state.setTimeoutTimestamp(max(log[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["event_id", key, "limited"])
+
+    rows = _timed(events, late).select(key, "at", "event_id")
+    kind = dict(rows.dtypes)[key]
+    return rows.groupBy(key).applyInPandasWithState(update, f"event_id long, {key} {kind}, limited boolean", "log array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def write_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process all that is there and stop; restarts go on from the checkpoint."""
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()

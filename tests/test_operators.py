@@ -147,7 +147,18 @@ def test_bm25_prefers_rare_terms(spark):
     assert [(r["doc_id"], r["rank"]) for r in retrieval.bm25(docs, asked, 5).orderBy("rank").collect()] == [(1, 1), (2, 2)]
 
 
+def test_spread_occurrences_equal_plain_ones(spark):
+    rnd = random.Random(2)
+    rows = spark.createDataFrame([(i, rnd.choice("aab")) for i in range(300)], "i long, k string")
+    plain = structure.occurrence(rows, [], F.col("k"), [F.col("i")]).select("i", "k", "occurrence")
+    for width in (1, 7, 1000):
+        assert sorted(map(tuple, structure.spread_occurrence(rows, F.col("k"), "i", width).select("i", "k", "occurrence").collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_toc(spark):
-    rows = [("d", 0, "1 Aims .... 5"), ("d", 1, "2 Methods\t7"), ("d", 2, "1 Aims"), ("d", 3, "3 Only 2024")]
-    found = structure.table_of_contents(spark.createDataFrame(rows, "doc_id string, ord int, text string"))
-    assert [r["ord"] for r in found.collect()] == [0]
+    rows = [("d", 0, "Contents", 0), ("d", 1, "1 Aims .... 5", 1), ("d", 2, "2 Methods 7", 2), ("d", 3, "3 Odd 4", 3), ("d", 4, "1 Aims", 4), ("d", 5, "2 Methods", 6), ("d", 6, "Odd", 8), ("d", 7, "In the year 2024", 10), ("d", 8, "2 Methods 9", 11)]
+    headings_ = spark.createDataFrame(rows, "doc_id string, ord int, text string, paragraph int")
+    blocks = spark.createDataFrame([("d", 5), ("d", 7), ("d", 9), ("d", 12)], "doc_id string, paragraph int")
+    found = structure.table_of_contents(headings_, blocks)
+    # the second fails as its successor has a smaller page, the third as its predecessor has a larger one; the last has a block
+    assert sorted(r["ord"] for r in found.collect()) == [1]

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tessera.operators import runs
 from tessera.streaming import events
 
 
@@ -38,6 +39,17 @@ def test_run_states(spark, small, tmp_path):
     assert sorted(map(tuple, last.collect())) == sorted(map(tuple, wanted.collect()))
 
 
+def test_rate_limits_equal_the_batch(spark, small, tmp_path):
+    path = str(tmp_path / "in")
+    spark.read.parquet(f"{small}/events.parquet").coalesce(1).sortWithinPartitions("ts").write.parquet(path)
+    stream = events.rate_limited(events.read_events(spark, path), "user_id", 86400, 2, late="40 days")
+    out = str(tmp_path / "out")
+    events.write_available(stream, out, str(tmp_path / "c")).awaitTermination(120)
+    wanted = runs.sliding_count(spark.read.parquet(path), "user_id", "ts", 86400).selectExpr("event_id", "user_id", "in_window > 2 as limited")
+    found = sorted(map(tuple, spark.read.parquet(out).select("event_id", "user_id", "limited").collect()))
+    assert found == sorted(map(tuple, wanted.collect())) and any(r[2] for r in found)
+
+
 def test_messages(spark):
     rows = [('{"type": "step", "tenantId": "t", "docVersionId": "v", "timestamp": "2024-01-01T00:00:00Z", "data": {"status": "ok"}}',), ("{broken",), ('{"type": "step"}',)]
     parsed = events.parse_messages(spark.createDataFrame(rows, "value string"))

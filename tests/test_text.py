@@ -61,3 +61,11 @@ def test_digests_titles_html(spark):
 def test_excluded_prefixes(spark):
     hit = T.excluded(F.col("s"), ["pre", "x"])
     assert values(spark, [("preclinical",), ("a",), (None,)], "s string", hit) == [True, False, False]
+
+
+def test_html_tables_and_footnotes(spark):
+    table = T.html_table(F.col("t"))
+    rows = [("<tr><th>A</th><th>B &amp; C</th></tr><tr><td>1</td><td><b>2</b></td></tr>",), ("<tr><td>h</td></tr>\n<TR><TD>x\ny</TD></TR>",), ("",)]
+    assert [(r["headers"], r["rows"]) for r in values(spark, rows, "t string", table)] == [(["A", "B & C"], [["1", "2"]]), (["h"], [["x y"]]), ([], [])]
+    assert values(spark, [("* first 2) second a.",)], "t string", T.footnote_marks(F.col("t"))) == [["2"]]
+    assert values(spark, [("see [3] and <sup>12</sup>",)], "t string", T.footnote_references(F.col("t"))) == [["3", "12"]]
