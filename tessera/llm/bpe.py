@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import spread
+
 #: The pre-tokenisation pattern that byte-level BPE files imply when they say ``use_regex``.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Letters, numbers and white space among the characters below U+0250, as classes for ``re``.
@@ -313,7 +315,7 @@ def codec(docs: DataFrame, tokenizer_path: str, results: tuple[str, ...] = ("ids
                         values.append(hashlib.sha256(text_back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds[RESULTS[r]]) for r, v in out.items())], names=["id", *results])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     kind = dict(source.dtypes)["id"]
     coded = source.mapInArrow(run, f"id {kind}, " + ", ".join(f"{r} {RESULTS[r]}" for r in results))
     return coded.withColumnRenamed("id", id_col)

@@ -34,6 +34,12 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer pieces than there are cores, as a single small file has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """``crc32(doc_id as text) mod folds``; a null id falls in fold 0."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

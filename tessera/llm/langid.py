@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold
+from tessera.llm.common import fold, spread
 
 #: Bytes of training text in each language's dictionary.
 DICTIONARY_BYTES = 64 * 1024
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, content: dict[str, bytes], id_col: str = "doc_id",
             columns = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array([m < MIN_MARGIN or v == "und" for m, v in zip(margin, lang)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "lang_pred", "score", "margin", "rejected"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     out = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, lang_pred string, score double, margin double, rejected boolean")
     return out.withColumnRenamed("id", id_col)
 
@@ -141,7 +141,7 @@ def keep_known(docs: DataFrame, content: dict[str, bytes], text_col: str = "text
             found = (classify(t.as_py(), compressors) for t in batch.column(at))
             yield batch.filter(pa.array([lang != "und" and margin >= MIN_MARGIN for lang, _, margin in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
 
 
 def train(docs: DataFrame, held_out: Column | None = None) -> dict[str, bytes]:

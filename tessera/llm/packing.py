@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, spread
 
 CAPACITY = 4096
 END_ID = 1
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "piece", "start", "length", "ids_crc32"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, {PIECE}").withColumnRenamed("id", id_col)
 
 

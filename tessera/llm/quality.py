@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import spread
+
 #: The window of ``n_repeat_words``.
 REPEAT_WINDOW = 5
 #: Base rules.
@@ -124,7 +126,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             found = list(zip(*(measure(t.as_py()) for t in batch.column(1)))) or [[]] * len(COLUMNS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, kinds[k]) for v, k in zip(found, COLUMNS.values()))], names=["id", *COLUMNS])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     out = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, " + ", ".join(f"{c} {k}" for c, k in COLUMNS.items()))
     return out.withColumnRenamed("id", id_col)
 
@@ -137,4 +139,4 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([measure(t.as_py())[verdict] for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

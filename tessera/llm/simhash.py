@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, spread
 from tessera.llm.neighbours import classes, links
 
 SHINGLE = 3
@@ -136,7 +136,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
     return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)
 
 
