@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import evaluation, facts, retrieval, rules, structure
+from tessera.sources import tables
 
 RULES = (
     rules.SectionRule("licence", ("licen[sc]ed?", "public license", "copyright"), negative=("password",)),
@@ -23,11 +24,16 @@ ASKED = (("q1", "the of and"), ("q2", "und der die"), ("q3", "les et pour"), ("q
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return tables.table(spark, sf, "documents")
+
+
+def texts(spark: SparkSession, sf: str, *more: str) -> DataFrame:
+    """Ids, texts and the other columns that are asked for, over all cores: what follows works hard on each text."""
+    return tables.spread(docs(spark, sf).select("doc_id", "text", *more))
 
 
 def doc_headings(spark: SparkSession, sf: str) -> DataFrame:
-    rows = structure.lines(docs(spark, sf)).withColumn("heading", structure.is_heading(F.col("line")))
+    rows = structure.lines(texts(spark, sf)).withColumn("heading", structure.is_heading(F.col("line")))
     under = structure.last_heading(rows)
     words = F.size(T.tokens(F.col("line")))
     return under.groupBy("doc_id", F.coalesce("under", F.lit(-1)).cast("long").alias("heading_ord")).agg(F.count("*").alias("n_lines"), F.sum(words).alias("n_tokens"))
@@ -67,7 +73,7 @@ select page_id, lower(tag) as tag, count(*) as n from (select page_id, unnest(re
 
 
 def token_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top_tokens(docs(spark, sf).where("lang = 'en'"), 50, stop=("that", "this", "with"))
+    return retrieval.top_tokens(texts(spark, sf, "lang").where("lang = 'en'"), 50, stop=("that", "this", "with"))
 
 
 TOKEN_TOPK = r"""
@@ -77,7 +83,7 @@ where length(token) >= 4 and not regexp_matches(token, '^[0-9]+$') and token not
 
 
 def token_stems(spark: SparkSession, sf: str) -> DataFrame:
-    words = docs(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
+    words = texts(spark, sf).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w"))
     counted = words.groupBy("w").agg(F.count("*").alias("n"))  # each distinct word is stemmed once
     return counted.groupBy(T.stripped(F.col("w"), T.EN_SUFFIXES).alias("stem")).agg(F.sum("n").alias("n"))
 
@@ -90,7 +96,7 @@ from (select w, count(*) as n from (select unnest(regexp_extract_all(lower(text)
 
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     asked = spark.createDataFrame(list(ASKED), "query_id string, query string")
-    return retrieval.bm25(docs(spark, sf), asked, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return retrieval.bm25(texts(spark, sf), asked, 10).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 BM25_TOPK = r"""
@@ -127,7 +133,7 @@ def word_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
         return flat.where("flat like '% %'").select(key, f"{name}_ord", T.word_set(F.col("flat")).alias(name), start.alias("start"))
 
     items = prepared(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "b")
-    pairs = prepared(docs(spark, sf), "doc_id", "a").join(items, "start").withColumn("overlap", F.round(T.jaccard(F.col("a"), F.col("b")), 6))
+    pairs = prepared(texts(spark, sf), "doc_id", "a").join(items, "start").withColumn("overlap", F.round(T.jaccard(F.col("a"), F.col("b")), 6))
     return pairs.where("overlap >= 0.5").select("doc_id", F.col("a_ord").alias("ord"), "item_id", F.col("b_ord").alias("item_ord"), "overlap")
 
 
@@ -155,7 +161,7 @@ PREFIX_EXCLUSION = "select source, count(*) as n_docs, sum(n_chars)::bigint as n
 
 
 def rule_classify_flat(spark: SparkSession, sf: str) -> DataFrame:
-    rows = structure.lines(docs(spark, sf)).withColumnRenamed("line", "title")
+    rows = structure.lines(texts(spark, sf)).withColumnRenamed("line", "title")
     found = rules.classify(rows, RULES)
     return rules.keep_singletons(found, "doc_id", "ord").where("section is not null").select("doc_id", F.col("ord").cast("long").alias("ord"), "section", F.round("confidence", 9).alias("confidence"))
 
@@ -185,12 +191,12 @@ select doc_id, ord::bigint as ord, section, round(c, 9) as confidence from n whe
 
 
 def _facts(spark: SparkSession, sf: str) -> DataFrame:
-    found = rules.extract_facts(docs(spark, sf), FACTS, keep=["source"])
+    found = rules.extract_facts(texts(spark, sf, "source"), FACTS, keep=["source"])
     return found.withColumn("canonical", F.lower("value"))
 
 
 def rule_fact_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return rules.extract_facts(docs(spark, sf), FACTS).groupBy("doc_id", "fact_key", "value").agg(F.count("*").alias("n"))
+    return rules.extract_facts(texts(spark, sf), FACTS).groupBy("doc_id", "fact_key", "value").agg(F.count("*").alias("n"))
 
 
 def _sql_facts() -> str:
@@ -231,7 +237,7 @@ def coverage_semi_anti(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark passages by whether some document has their first sentence."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     items = structure.sentences(items, "item_id").where("ord = 0").select("item_id", T.fingerprint(F.col("sentence")).alias("key"))
-    keys = structure.sentences(docs(spark, sf)).select(T.fingerprint(F.col("sentence")).alias("key")).where("key <> ''").distinct()
+    keys = structure.sentences(texts(spark, sf)).select(T.fingerprint(F.col("sentence")).alias("key")).where("key <> ''").distinct()
     hit, miss = items.join(keys, "key", "left_semi"), items.join(keys, "key", "left_anti")
     return hit.select("item_id", F.lit(True).alias("covered")).unionByName(miss.select("item_id", F.lit(False).alias("covered")))
 
@@ -265,7 +271,7 @@ select conv_id, turn, level, (select max(p.turn) from t p where p.conv_id = t.co
 
 
 def section_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    found = structure.anomalies(structure.lines(docs(spark, sf)))
+    found = structure.anomalies(structure.lines(texts(spark, sf)))
     return found.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
