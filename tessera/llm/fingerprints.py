@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.simhash import COUNT_CHUNK, components, shingle_hashes, words
@@ -31,10 +31,12 @@ SEED = 9
 BLOCKS = (13, 13, 13, 13, 12)
 KEY_BLOCKS = 2
 RADIUS = 3
-#: Documents in one range of ids, about.
-RANGE_ROWS = 5_000
-#: Ranges at most; with more rows the ranges are longer, and are still sorted on disk and read row by row.
-MAX_RANGES = 1_024
+#: Documents in one range of ids, about, and ranges at most: with more rows the ranges are longer, and are still
+#: sorted on disk and read row by row.
+RANGE_ROWS = 2_000
+MAX_RANGES = 65_536
+#: Ranges between quantiles of the ids; each is cut evenly where more are wanted.
+QUANTILES = 1_024
 
 
 def fingerprint(text: str | None) -> int:
@@ -80,19 +82,27 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     n = rows.count()
     ranges = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
-    probabilities = [i / ranges for i in range(1, ranges)]
-    # null ids sort below every other and so come last
-    bounds = sorted(set(rows.stat.approxQuantile("id", probabilities, 1 / (20 * ranges))), reverse=True) if probabilities else []
-    # bucket 0 has the largest ids; a literal array of bounds is searched by halves
-    levels = F.lit(len(bounds))
-
-    def bucket(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("id") > F.lit(bounds[mid]), bucket(low, mid)).otherwise(bucket(mid + 1, high))
-
-    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), levels).otherwise(bucket(0, len(bounds))))
+    coarse = min(ranges, QUANTILES)
+    low, high = rows.agg(F.min("id"), F.max("id")).first()
+    fine = 1 if high is None else -(-ranges // coarse)
+    bounds = sorted(set(rows.stat.approxQuantile("id", [i / coarse for i in range(1, coarse)], 1 / (20 * coarse))), reverse=True) if coarse > 1 else []
+
+    def place(first: int, last: int) -> Column:
+        """The number of bounds at or above the id, found by halves."""
+        if first == last:
+            return F.lit(first)
+        mid = (first + last) // 2
+        return F.when(F.col("id") > F.lit(bounds[mid]), place(first, mid)).otherwise(place(mid + 1, last))
+
+    # bucket 0 has the largest ids; null ids sort below every other and so come last
+    bucket = place(0, len(bounds))
+    if fine > 1:
+        edges = F.array(*map(F.lit, [float(high), *map(float, bounds), float(low) - 1]))
+        top, bottom = F.get(edges, bucket), F.get(edges, bucket + 1)
+        part = F.floor((top - F.col("id")) * fine / F.greatest(top - bottom, F.lit(1.0)))
+        bucket = bucket * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)).cast("int")
+    buckets = (len(bounds) + 1) * fine
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), F.lit(buckets - 1)).otherwise(bucket))
     heads = {r["bucket"]: r["head"] for r in rows.groupBy("bucket").agg(F.max("id").alias("head")).collect()}
     filled = sorted(heads)
     # the guest of each range is the first row of the next filled range; the last range's is that of the first
@@ -101,7 +111,7 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     table = spark.createDataFrame(guests, f"head {dict(rows.dtypes)['id']}, target int")
     visiting = rows.drop("bucket").join(F.broadcast(table), F.col("id").eqNullSafe(F.col("head"))).select(F.col("target").alias("bucket"), "id", "text", F.lit(True).alias("guest"))
     both = rows.select("bucket", "id", "text", F.lit(False).alias("guest")).unionByName(visiting)
-    dealt = both.repartitionById(len(bounds) + 1, "bucket")  # one range a task
+    dealt = both.repartitionById(buckets, "bucket")  # one range a task
     return dealt.sortWithinPartitions("bucket", "guest", F.col("id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 

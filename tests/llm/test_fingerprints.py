@@ -19,9 +19,10 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("size", [5000, 7, 1])
-def test_next_and_edited_texts(spark, small, monkeypatch, size):
+@pytest.mark.parametrize("size, quantiles", [(5000, 1024), (7, 1024), (1, 1024), (1, 4), (9, 2)])
+def test_next_and_edited_texts(spark, small, monkeypatch, size, quantiles):
     monkeypatch.setattr(fingerprints, "RANGE_ROWS", size)
+    monkeypatch.setattr(fingerprints, "QUANTILES", quantiles)
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").limit(120).collect()]
     rows += [(500, None), (501, ""), (502, "é🙂 x"), (502, "é🙂 a"), (502, "é🙂 x")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, fp string")
