@@ -48,23 +48,23 @@ def spanning_edges(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     return np.concatenate(left), np.concatenate(right)
 
 
-def run_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges within the runs of equal ``keys`` (sorted)."""
+def run_edges(keys: np.ndarray, values: np.ndarray, radius: int, small: int = SMALL_RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Edges within the runs of equal ``keys`` (sorted); runs of up to ``small`` give all of them."""
     n = len(keys)
     if n < 2:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     lengths = np.diff(np.r_[starts, n])
     left, right = [], []
-    small = np.repeat(lengths <= SMALL_RUN, lengths)
-    for step in range(1, SMALL_RUN):
-        at = np.flatnonzero((keys[:-step] == keys[step:]) & small[:-step]) if step < n else np.empty(0, np.int64)
+    listed = np.repeat(lengths <= small, lengths)
+    for step in range(1, small):
+        at = np.flatnonzero((keys[:-step] == keys[step:]) & listed[:-step]) if step < n else np.empty(0, np.int64)
         if not len(at):
             break
         at = at[distance(values[at], values[at + step]) <= radius]
         left.append(values[at])
         right.append(values[at + step])
-    for s, k in zip(starts[lengths > SMALL_RUN], lengths[lengths > SMALL_RUN]):
+    for s, k in zip(starts[lengths > small], lengths[lengths > small]):
         a, b = spanning_edges(np.unique(values[s : s + k]), radius)
         left.append(a)
         right.append(b)
@@ -73,18 +73,21 @@ def run_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.nda
     return a[differ], b[differ]
 
 
-def links(fingerprints: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], radius: int) -> DataFrame:
-    """Distinct edges (``a`` < ``b``) over the distinct fingerprints in column ``fp`` (long).
+def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: int, small: int = SMALL_RUN) -> DataFrame:
+    """Distinct edges (``a`` < ``b``) over the fingerprints in column ``fp`` (long), each of them once.
 
-    ``keys_of`` maps n fingerprints to an (n, k) array of unsigned keys; 0 stands for no key.
+    ``keys_of`` maps n fingerprints to an (n, k) array of unsigned keys; 0 stands for no key.  Where the table has
+    a column ``anchors`` (arrays of longs of one length), it gets them as a second, (n, anchors) array.
     """
+    anchored = "anchors" in fingerprints.columns
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            more = [batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(values), -1)] if anchored and len(values) else []
             for s in range(0, len(values), 4096):
                 part = values[s : s + 4096]
-                keys = keys_of(part)
+                keys = keys_of(part, *(m[s : s + 4096] for m in more))
                 # a fingerprint's equal keys count once
                 keys = np.sort(keys, axis=1)
                 keep = (keys != 0) & np.c_[np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]
@@ -95,7 +98,7 @@ def links(fingerprints: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray],
         held = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def edges(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            a, b = (x.view(np.int64) for x in run_edges(keys, values.view(np.uint64), radius))
+            a, b = (x.view(np.int64) for x in run_edges(keys, values.view(np.uint64), radius, small))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -109,7 +112,7 @@ def links(fingerprints: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray],
         if len(held[0]):
             yield edges(*held)
 
-    keyed = fingerprints.select("fp").mapInArrow(emit, "key long, fp long")
+    keyed = fingerprints.select("fp", *["anchors"] * anchored).mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
 
 

@@ -40,6 +40,13 @@ SEGMENTS = (22, 21, 21)
 GOLAY_POLYNOMIAL = 0b110001110101
 #: Hashes counted at a time.
 COUNT_CHUNK = 1 << 14
+#: Copies that the contract's radius misses: this similarity of the sets of shingles of so many words.
+SIMILAR, SIMILAR_WORDS = 0.8, 5
+#: Candidates for them: fingerprints that differ in no more bits than this and share a key with one of so many
+#: smallest shingle hashes.  Of pairs at the very bound 0.2^5 share none of these, about one in 3,000.
+SIMILAR_RADIUS, ANCHORS = 16, 5
+#: Documents with a key in common up to which all their pairs are verified.
+LISTED_RUN = 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -128,27 +135,60 @@ def golay_keys(fingerprints: np.ndarray) -> np.ndarray:
     return np.concatenate(keys, axis=1)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row."""
+def shingle_set(found: list[bytes]) -> np.ndarray:
+    """The distinct hashes of the shingles that similarity is measured on, in order."""
+    return np.unique(shingle_hashes(found, SIMILAR_WORDS))
+
+
+def anchors(shingles: np.ndarray) -> list[int]:
+    """The smallest hash under each of a few multipliers, as signed longs; none for an empty set."""
+    if not len(shingles):
+        return [0] * ANCHORS
+    factors = np.arange(1, ANCHORS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) | np.uint64(1)
+    return [int((shingles * f).min().view(np.int64)) for f in factors]
+
+
+def anchored_keys(values: np.ndarray, smallest: np.ndarray) -> np.ndarray:
+    """(n, 18 x anchors) keys: each fuzzy index of each segment with each anchor; 0 for empty texts."""
+    at, fuzzy = 0, []
+    for n, bits in enumerate(SEGMENTS):
+        fuzzy.append(codeword_indices(values >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.uint64) | np.uint64((n + 1) << 12))
+        at += bits
+    index = np.concatenate(fuzzy, axis=1)
+    keys = (smallest[:, :, None] ^ (index * np.uint64(0xBF58476D1CE4E5B9))[:, None, :]).reshape(len(values), -1)
+    return np.where((smallest != 0).any(axis=1)[:, None], keys | np.uint64(1), np.uint64(0))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchored: bool = False) -> DataFrame:
+    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row, and its ``anchors`` if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fp"])
+            found, extra = [], []
+            for text in batch.column(1):
+                own = words(text.as_py())
+                hashes = shingle_hashes(own)
+                found.append(majority(bit_counts(hashes), len(hashes)) if len(hashes) else 0)
+                if anchored:
+                    extra.append(anchors(shingle_set(own)))
+            columns = [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(extra, pa.list_(pa.int64()))] * anchored, names=["id", "fp", *["anchors"] * anchored])
 
     source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    return source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, fp long").withColumnRenamed("id", id_col)
+    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", anchors array<long>" * anchored
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, keys_of=golay_keys) -> DataFrame:
+def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, keys_of=golay_keys, more: DataFrame | None = None) -> DataFrame:
     """``prints`` with ``component_id``: the smallest id reachable over links of at most ``radius`` bits.
 
-    ``prints`` is read more than once: pass a materialised table.
+    ``prints`` is read more than once: pass a materialised table.  ``more`` has further edges.
     """
     if radius > RADIUS and keys_of is golay_keys:
         raise ValueError(f"the keys cover {RADIUS} bits at most")
     ids = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
-    roots = classes(links(ids, keys_of, radius))
+    edges = links(ids, keys_of, radius)
+    roots = classes(edges if more is None else edges.unionByName(more).distinct())
     named = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -163,13 +203,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def similar_links(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges over fingerprints of documents whose shingle sets are similar by ``SIMILAR`` or more.
+
+    Candidates share an anchor and a fuzzy segment index and differ in at most ``SIMILAR_RADIUS`` bits; up to
+    ``LISTED_RUN`` documents with one key all pairs are candidates, beyond that those of a spanning forest.  Each
+    candidate is verified on the exact shingle sets of one document of either fingerprint.
+    """
+    rows = prints.groupBy("fp", "anchors").agg(F.min(id_col).alias("low"))
+    found = materialize(links(rows, anchored_keys, SIMILAR_RADIUS, LISTED_RUN).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS), "candidates")
+    nodes = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
+    wanted = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("low").alias("_low"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(words(t.as_py())).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
+    one = texts.join(wanted, texts["_id"] == wanted["_low"]).withColumn("_n", F.expr("row_number() over (partition by fp order by fp)")).where("_n = 1")
+    sets = materialize(one.select("fp", "_text").mapInArrow(run, "fp long, shingles array<long>"), "shingles")
+    a, b = (sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"_{n}")) for n in "ab")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return found.join(a, "a").join(b, "b").where(shared >= SIMILAR * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates, with all columns: that of the smallest id.
 
-    Of repeated rows with this id one is kept; rows without an id can't be told apart and are all kept.
+    Groups are joined by links within the radius and, as few bits of 64 miss many copies with scattered edits,
+    by similar shingle sets.  Of repeated rows with the kept id one is kept; rows without an id can't be told
+    apart and are all kept.
     """
     named = docs.where(docs[id_col].isNotNull())
-    found = near_duplicates(named, id_col, text_col)
+    prints = materialize(fingerprints(named, id_col, text_col, anchored=True), "prints")
+    found = components(prints, id_col, more=similar_links(prints, named, id_col, text_col))
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     kept = named.join(first, named[id_col] == first["_kept"], "left_semi")
     once = kept.withColumn("_n", F.expr(f"row_number() over (partition by `{id_col}` order by `{id_col}`)"))

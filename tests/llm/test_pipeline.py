@@ -19,7 +19,8 @@ def test_stages_keep_the_columns_and_decide(spark):
             assert all(quality.measure(r["text"])[6] for r in out.collect())
         if name == "near_dedup":
             groups = simhash.near_duplicates(at).select("component_id").distinct().count()
-            assert out.count() == groups == simhash.near_duplicates(out).select("component_id").distinct().count()
+            # what is kept has no link within the radius, and the groups only grew by similar texts
+            assert out.count() == simhash.near_duplicates(out).select("component_id").distinct().count() <= groups
         before, at = at, out
     assert sizes == sorted(sizes, reverse=True) and sizes[0] > sizes[1] > sizes[3]
     assert {r["doc_id"] for r in at.select("doc_id").collect()} == {r["doc_id"] for r in before.select("doc_id").collect()}

@@ -133,3 +133,36 @@ def test_near_duplicates_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "7", "None"]
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def edited(words, n, rnd):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), n):
+        words[at] = f"new{rnd.randrange(10**6)}"
+    return words
+
+
+def test_copies_with_scattered_edits_go_and_others_stay(spark):
+    rnd = random.Random(6)
+    rows, families = [], []
+    for f in range(40):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(150, 400))]
+        texts = [base] + [edited(base, max(1, len(base) // 60), rnd) for _ in range(3)]
+        families.append(range(len(rows), len(rows) + len(texts)))
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    shared = [f"s{i}" for i in range(60)]
+    alone = len(rows)
+    rows += [(alone + i, " ".join([f"x{rnd.randrange(3000)}" for _ in range(200)] + shared)) for i in range(60)]
+    sets = {i: set(simhash.shingle_set(simhash.words(t)).tolist()) for i, t in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect()}
+    missed = sum(len(sets[f[0]] & sets[i]) / len(sets[f[0]] | sets[i]) >= 0.8 and i in kept for f in families for i in f[1:])
+    assert missed <= 1 and all(f[0] in kept for f in families)
+    assert set(range(alone, alone + 60)) <= kept
+
+
+def test_a_large_group_of_copies_is_one(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randrange(3000)}" for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(edited(base, 2, rnd) if i else base)) for i in range(400)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_first(docs).collect()] == [0]
