@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.tables import spread, table
+
+__all__ = ["documents", "fold", "materialize", "shared_dir", "spread"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
@@ -34,12 +38,6 @@ def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -
     return out
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input has fewer pieces than there are cores, as a single small file has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def fold(doc_id: Column | str, folds: int = 5) -> Column:
     """``crc32(doc_id as text) mod folds``; a null id falls in fold 0."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -47,4 +45,4 @@ def fold(doc_id: Column | str, folds: int = 5) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return table(spark, sf_dir, "documents")
