@@ -5,7 +5,7 @@ word may be cut there for certain.  The fragments between such cuts are encoded
 bounded memo, as fragments repeat far more often than words) and their ids are concatenated.  The results are
 those of the ``tokenizers`` library for the same file.
 
-Defined results: a null text counts as empty and has no ids; very long words are merged with a heap, so time
+Defined results: a null text counts as empty and has no ids; very long words are merged with a queue, so time
 grows as n log n; repeated rows are encoded each on their own; an empty table gives an empty table; only the
 id and text columns are read, so further columns never clash.
 """
@@ -14,9 +14,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
-import itertools
 import json
+import operator
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -25,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers.models import BPE
 
 from tessera.llm.common import spread
 
@@ -42,10 +42,6 @@ NOT_LATIN = re.compile("[^\u0000-ɏ]")
 MEMO_ENTRIES = 300_000
 #: Longer words are not kept.
 MEMO_LENGTH = 48
-#: Fragments of more symbols are merged with a heap.
-HEAP_FROM = 24
-#: Stands for a pair that is never merged.
-NO_RANK = 1 << 60
 
 
 def byte_alphabet() -> list[str]:
@@ -113,7 +109,9 @@ class ForcedBoundaryBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {p: r for r, p in enumerate(pairs)}
+        # the library's merge engine, for fragments that end a word and for the others
+        self.inside = BPE(vocab=self.vocab, merges=pairs)
+        self.ending = BPE(vocab=self.vocab, merges=pairs, end_of_word_suffix=self.suffix) if self.suffix else self.inside
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.joins_bytes = bool(spec.get("decoder")) and spec["decoder"]["type"] == "ByteLevel"
@@ -125,7 +123,6 @@ class ForcedBoundaryBpe:
         self.tokens = [""] * size
         for token, i in {**self.vocab, **self.added}.items():
             self.tokens[i] = token
-        self.token_ids = {t: i.to_bytes(4, "little") for t, i in self.vocab.items()}
         self.token_bytes = [t.encode() if t in self.added else bytes(map(TO_BYTE.__getitem__, t)) for t in self.tokens] if self.joins_bytes else []
         self.inner = self._inner_pairs()
         self.words, self.fragments = _Memo(self._word), _Memo(self._fragment)
@@ -169,6 +166,8 @@ class ForcedBoundaryBpe:
         """The places in a word's byte symbols where no token can lie across."""
         inside, ending = self.inner
         last = len(symbols) - 1
+        if last < 1 or symbols[last - 1 :] in ending and inside.issuperset(map(operator.concat, symbols[: last - 1], symbols[1:last])):
+            return []
         return [i for i in range(1, last) if symbols[i - 1 : i + 1] not in inside] + ([last] if last > 0 and symbols[last - 1 :] not in ending else [])
 
     def _word(self, word: str) -> bytes:
@@ -182,47 +181,8 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.fragments.__getitem__, parts[:-1])) + self.fragments[parts[-1] + " "]
 
     def _fragment(self, fragment: str) -> bytes:
-        ends = fragment[-1] == " "
-        symbols = list(fragment[:-1] if ends else fragment)
-        if ends and self.suffix:
-            symbols[-1] += self.suffix
-        if len(symbols) > 1:
-            symbols = self._merge_long(symbols) if len(symbols) > HEAP_FROM else self._merge(symbols)
-        return b"".join(map(self.token_ids.__getitem__, symbols))
-
-    def _merge(self, symbols: list[str]) -> list[str]:
-        rank = self.ranks.get
-        found = list(map(rank, zip(symbols, symbols[1:]), itertools.repeat(NO_RANK)))
-        while (best := min(found)) < NO_RANK:
-            at = found.index(best)
-            symbols[at : at + 2] = [merged := symbols[at] + symbols[at + 1]]
-            del found[at]
-            if not found:
-                break
-            if at:
-                found[at - 1] = rank((symbols[at - 1], merged), NO_RANK)
-            if at < len(found):
-                found[at] = rank((merged, symbols[at + 1]), NO_RANK)
-        return symbols
-
-    def _merge_long(self, symbols: list[str]) -> list[str]:
-        """As ``_merge``, with a heap of (rank, place) over a linked list."""
-        n, ranks = len(symbols), self.ranks
-        after, before, alive = [*range(1, n), -1], [*range(-1, n - 1)], [True] * n
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
-            if j < 0 or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], alive[j], after[i] = a + b, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (r := ranks.get((symbols[left], symbols[right]))) is not None:
-                    heapq.heappush(heap, (r, left, symbols[left], symbols[right]))
-        return [s for s, a in zip(symbols, alive) if a]
+        merged = self.ending.tokenize(fragment[:-1]) if fragment[-1] == " " else self.inside.tokenize(fragment)
+        return b"".join([t.id.to_bytes(4, "little") for t in merged])
 
     def _split(self, text: str) -> list[str]:
         """Normalise and split into the words that the merges work on."""

@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -45,12 +46,29 @@ def test_no_token_lies_across_a_cut(name):
     assert cut > 300
 
 
-def test_long_fragments_merge_as_short_ones():
-    own = bpe.ForcedBoundaryBpe(public_tokenizers.path(FILES[1]))
+def brute_merge(symbols, ranks):
+    while True:
+        found = [(ranks[p], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+        if not found:
+            return symbols
+        i = min(found)[1]
+        symbols = [*symbols[:i], symbols[i] + symbols[i + 1], *symbols[i + 2 :]]
+
+
+def test_fragments_give_the_ids_of_whole_words():
+    path = public_tokenizers.path(FILES[0])
+    own = bpe.ForcedBoundaryBpe(path)
+    with open(path, encoding="utf-8") as f:
+        merges = json.load(f)["model"]["merges"]
+    ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): r for r, m in enumerate(merges)}
     rnd = random.Random(3)
-    for _ in range(200):
-        symbols = [rnd.choice("theinrato") for _ in range(rnd.randint(1, 60))]
-        assert own._merge_long(list(symbols)) == (own._merge(list(symbols)) if len(symbols) > 1 else symbols)
+    several = 0
+    for _ in range(300):
+        word = "".join(rnd.choice("theinratoqxzkv") for _ in range(rnd.randint(1, 40)))
+        several += len(own.cuts(word)) > 1
+        merged = brute_merge([*word[:-1], word[-1] + own.suffix], ranks)
+        assert own._word(word) == b"".join(own.vocab[m].to_bytes(4, "little") for m in merged)
+    assert several > 100
 
 
 def test_codec_handles_nulls_repeats_and_clashing_columns(spark):
