@@ -1,10 +1,9 @@
 """Operator 6: language-model scores of whole documents by a gated recurrent model.
 
 Training documents are counted word by word over the whole corpus.  The most frequent words form the vocabulary
-of the recurrent model (``gru``), which is trained on a fixed share of the training documents by independent
-trainers whose weights are averaged after each round.  A word outside the vocabulary is scored as the model's
-unknown word times its share of the unknown words' unigram mass, so the score is a proper log-likelihood of the
-complete document.
+of the recurrent model (``gru``), which is trained on all training documents by independent trainers whose
+weights are averaged after each round.  A word outside the vocabulary is scored as the model's unknown word times
+its share of the unknown words' unigram mass, so the score is a proper log-likelihood of the complete document.
 
 Word counts are looked up in two ways: words frequent enough to be among ``HEAD_WORDS`` go to every worker (a
 bounded table), the others are joined.
@@ -36,9 +35,7 @@ from tessera.llm.simhash import words
 HEAD_WORDS = 1 << 18
 #: Word counts that a task holds before it passes them on.
 FLUSH_WORDS = 400_000
-#: The recurrent model learns from one in this many training documents, chosen by hash, at any size of corpus.
-TRAIN_SHARE = 6
-#: Passes over them, with the trainers' weights averaged after each.
+#: Passes over the training documents, with the trainers' weights averaged after each.
 ROUNDS = 2
 #: Bytes of word numbers that one trainer reads, about.
 TRAINER_BYTES = 3_000_000
@@ -126,10 +123,10 @@ def averaged(models: DataFrame) -> bytes | None:
     return bytes(found[0][0]) if found else None
 
 
-def train(sample: DataFrame, frequency: np.ndarray, vocabulary: list[bytes]) -> gru.Model:
-    """The recurrent model after ``ROUNDS`` rounds over ``sample`` (``draw``, ``text``)."""
+def train(rows: DataFrame, frequency: np.ndarray, vocabulary: list[bytes]) -> gru.Model:
+    """The recurrent model after ``ROUNDS`` rounds over all of ``rows`` (``draw``, ``text``)."""
     model = gru.initial(np.log(frequency / frequency.sum()))
-    ids = materialize(numbered(sample, vocabulary), "numbered")
+    ids = materialize(numbered(rows, vocabulary), "numbered")
     size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
     trainers = max(1, -(-size // TRAINER_BYTES))
     for _ in range(ROUNDS):
@@ -173,9 +170,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     frequency = np.full(gru.VOCABULARY, 0.5)
     frequency[END], frequency[UNKNOWN] = ends + 0.5, max(tokens - ends - inside.sum(), 0) + 0.5
     frequency[FIRST : FIRST + len(vocabulary)] += inside
-    space = 1 << 40
-    sample = learned.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(space))).where(F.col("draw") < space // TRAIN_SHARE)
-    model = train(sample, frequency, vocabulary)
+    # the text deals rows without an id, or with one in common, to several trainers
+    model = train(learned.withColumn("draw", F.xxhash64("id", "text")), frequency, vocabulary)
     # the unigram mass of all words that aren't in the vocabulary
     rest = max(1e-12, 1 - float((10 ** log_base(inside.astype(float))).sum()) - float(10 ** log_base(float(ends))))
     known = len(vocabulary)

@@ -78,6 +78,20 @@ def test_probabilities_sum_to_one_and_state_is_carried():
         assert s == pytest.approx(total, rel=1e-4)
 
 
+def test_the_model_learns_from_every_training_document(spark, monkeypatch):
+    seen, own = [], lm.train
+
+    def spy(rows, *rest):
+        seen.extend(r["text"] for r in rows.select("text").collect())
+        return own(rows, *rest)
+
+    monkeypatch.setattr(lm, "train", spy)
+    texts = [(i if i % 10 else None, f"word{i} and more") for i in range(300)]
+    out = lm.score_documents(spark.createDataFrame(texts, "doc_id long, text string")).where("not held_out").count()
+    held = {t for i, t in texts if i is not None and zlib.crc32(str(i).encode()) % 5 == 1}
+    assert sorted(seen) == sorted(t for _, t in texts if t not in held) and len(seen) == out
+
+
 def test_models_are_averaged_in_groups(spark, monkeypatch):
     monkeypatch.setattr(lm, "FAN_IN", 2)
     rng = np.random.default_rng(3)
