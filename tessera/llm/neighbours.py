@@ -73,21 +73,18 @@ def run_edges(keys: np.ndarray, values: np.ndarray, radius: int, small: int = SM
     return a[differ], b[differ]
 
 
-def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: int, small: int = SMALL_RUN) -> DataFrame:
+def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: int) -> DataFrame:
     """Distinct edges (``a`` < ``b``) over the fingerprints in column ``fp`` (long), each of them once.
 
-    ``keys_of`` maps n fingerprints to an (n, k) array of unsigned keys; 0 stands for no key.  Where the table has
-    a column ``anchors`` (arrays of longs of one length), it gets them as a second, (n, anchors) array.
+    ``keys_of`` maps n fingerprints to an (n, k) array of unsigned keys; 0 stands for no key.
     """
-    anchored = "anchors" in fingerprints.columns
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            more = [batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(values), -1)] if anchored and len(values) else []
             for s in range(0, len(values), 4096):
                 part = values[s : s + 4096]
-                keys = keys_of(part, *(m[s : s + 4096] for m in more))
+                keys = keys_of(part)
                 # a fingerprint's equal keys count once
                 keys = np.sort(keys, axis=1)
                 keep = (keys != 0) & np.c_[np.ones(len(keys), bool), keys[:, 1:] != keys[:, :-1]]
@@ -98,7 +95,7 @@ def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: i
         held = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def edges(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            a, b = (x.view(np.int64) for x in run_edges(keys, values.view(np.uint64), radius, small))
+            a, b = (x.view(np.int64) for x in run_edges(keys, values.view(np.uint64), radius))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
@@ -112,7 +109,7 @@ def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: i
         if len(held[0]):
             yield edges(*held)
 
-    keyed = fingerprints.select("fp", *["anchors"] * anchored).mapInArrow(emit, "key long, fp long")
+    keyed = fingerprints.select("fp").mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
 
 

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import similar
 from tessera.llm.common import materialize, spread
 from tessera.llm.neighbours import classes, links
 
@@ -42,11 +43,6 @@ GOLAY_POLYNOMIAL = 0b110001110101
 COUNT_CHUNK = 1 << 14
 #: Copies that the contract's radius misses: this similarity of the sets of shingles of so many words.
 SIMILAR, SIMILAR_WORDS = 0.8, 5
-#: Candidates for them: fingerprints that differ in no more bits than this and share a key with one of so many
-#: smallest shingle hashes.  Of pairs at the very bound 0.2^5 share none of these, about one in 3,000.
-SIMILAR_RADIUS, ANCHORS = 16, 5
-#: Documents with a key in common up to which all their pairs are verified.
-LISTED_RUN = 32
 
 
 def words(text: str | None) -> list[bytes]:
@@ -140,55 +136,45 @@ def shingle_set(found: list[bytes]) -> np.ndarray:
     return np.unique(shingle_hashes(found, SIMILAR_WORDS))
 
 
-def anchors(shingles: np.ndarray) -> list[int]:
-    """The smallest hash under each of a few multipliers, as signed longs; none for an empty set."""
-    if not len(shingles):
-        return [0] * ANCHORS
-    factors = np.arange(1, ANCHORS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C16) | np.uint64(1)
-    return [int((shingles * f).min().view(np.int64)) for f in factors]
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row.
 
-
-def anchored_keys(values: np.ndarray, smallest: np.ndarray) -> np.ndarray:
-    """(n, 18 x anchors) keys: each fuzzy index of each segment with each anchor; 0 for empty texts."""
-    at, fuzzy = 0, []
-    for n, bits in enumerate(SEGMENTS):
-        fuzzy.append(codeword_indices(values >> np.uint64(at) & np.uint64((1 << bits) - 1)).astype(np.uint64) | np.uint64((n + 1) << 12))
-        at += bits
-    index = np.concatenate(fuzzy, axis=1)
-    keys = (smallest[:, :, None] ^ (index * np.uint64(0xBF58476D1CE4E5B9))[:, None, :]).reshape(len(values), -1)
-    return np.where((smallest != 0).any(axis=1)[:, None], keys | np.uint64(1), np.uint64(0))
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", anchored: bool = False) -> DataFrame:
-    """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row, and its ``anchors`` if asked for."""
+    With ``common`` hashes, also what the search for similar sets of shingles needs: ``set`` (a digest), ``n``,
+    ``odd`` (parities) and ``prefix``.
+    """
+    more = {"set": pa.int64(), "n": pa.int32(), "odd": pa.binary(), "prefix": pa.list_(pa.int64())} if common else {}
+    shared = docs.sparkSession.sparkContext.broadcast(common) if common else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, extra = [], []
+            last = shared.value if shared else None
             for text in batch.column(1):
                 own = words(text.as_py())
                 hashes = shingle_hashes(own)
                 found.append(majority(bit_counts(hashes), len(hashes)) if len(hashes) else 0)
-                if anchored:
-                    extra.append(anchors(shingle_set(own)))
+                if last:
+                    hashes = shingle_set(own)
+                    extra.append((similar.digest(hashes), len(hashes), similar.parities(hashes), similar.prefix(hashes, *last, SIMILAR).view(np.int64)))
             columns = [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(extra, pa.list_(pa.int64()))] * anchored, names=["id", "fp", *["anchors"] * anchored])
+            columns += [pa.array([e[i] for e in extra], kind) for i, kind in enumerate(more.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *more])
 
     source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", anchors array<long>" * anchored
+    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", set long, n int, odd binary, prefix array<long>" * bool(more)
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, keys_of=golay_keys, more: DataFrame | None = None) -> DataFrame:
+def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, keys_of=golay_keys, edges: DataFrame | None = None) -> DataFrame:
     """``prints`` with ``component_id``: the smallest id reachable over links of at most ``radius`` bits.
 
-    ``prints`` is read more than once: pass a materialised table.  ``more`` has further edges.
+    ``prints`` is read more than once: pass a materialised table.  ``edges`` has
+    all edges over fingerprints, where they are known.
     """
     if radius > RADIUS and keys_of is golay_keys:
         raise ValueError(f"the keys cover {RADIUS} bits at most")
     ids = prints.groupBy("fp").agg(F.min(id_col).alias("low"))
-    edges = links(ids, keys_of, radius)
-    roots = classes(edges if more is None else edges.unionByName(more).distinct())
+    roots = classes(links(ids, keys_of, radius) if edges is None else edges)
     named = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -203,29 +189,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_links(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Edges over fingerprints of documents whose shingle sets are similar by ``SIMILAR`` or more.
-
-    Candidates share an anchor and a fuzzy segment index and differ in at most ``SIMILAR_RADIUS`` bits; up to
-    ``LISTED_RUN`` documents with one key all pairs are candidates, beyond that those of a spanning forest.  Each
-    candidate is verified on the exact shingle sets of one document of either fingerprint.
-    """
-    rows = prints.groupBy("fp", "anchors").agg(F.min(id_col).alias("low"))
-    found = materialize(links(rows, anchored_keys, SIMILAR_RADIUS, LISTED_RUN).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > RADIUS), "candidates")
-    nodes = found.select(F.col("a").alias("fp")).unionByName(found.select(F.col("b").alias("fp"))).distinct()
-    wanted = rows.join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("low").alias("_low"))
+def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of the texts shows to be common, with their counts; they only order the shingles."""
+    space = 1 << 40
+    rate = min(space, space * similar.ORDER_ROWS // max(docs.count(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(words(t.as_py())).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+            found = [shingle_set(words(t.as_py())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["hash"])
+
+    texts = docs.select(docs[text_col].alias("text"))
+    return similar.common_hashes(texts.where(F.pmod(F.xxhash64("text"), F.lit(space)) < rate).mapInArrow(run, "hash long"))
+
 
-    texts = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_text"))
-    one = texts.join(wanted, texts["_id"] == wanted["_low"]).withColumn("_n", F.expr("row_number() over (partition by fp order by fp)")).where("_n = 1")
-    sets = materialize(one.select("fp", "_text").mapInArrow(run, "fp long, shingles array<long>"), "shingles")
-    a, b = (sets.select(F.col("fp").alias(n), F.col("shingles").alias(f"_{n}")) for n in "ab")
-    shared = F.size(F.array_intersect("_a", "_b"))
-    return found.join(a, "a").join(b, "b").where(shared >= SIMILAR * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+def grouped_edges(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Edges over fingerprints: those within the radius, and those of texts whose shingle sets are similar by ``SIMILAR``.
+
+    Every distinct set is searched for and verified, and connected with all that are similar, by whatever others.
+    A set stands for the least of its fingerprints.
+    """
+    full = prints.where("n > 0")
+    first = (F.first(c).alias(c) for c in ("n", "odd", "prefix"))
+    sets = materialize(full.groupBy("set").agg(F.min(id_col).alias("low"), F.min("fp").alias("fp"), *first), "sets")
+    near = links(prints.select("fp").distinct(), golay_keys, RADIUS)
+    same = full.join(sets.select("set", F.col("fp").alias("own")), "set").where("fp <> own").select(F.least("fp", "own").alias("a"), F.greatest("fp", "own").alias("b"))
+    edges = materialize(near.unionByName(same).distinct(), "near")
+
+    def hashes_of(wanted: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [shingle_set(words(t.as_py())) for t in batch.column(0)]
+                columns = [pa.array(map(similar.digest, found), pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["set", "hashes"])
+
+        # rows that share the id of a wanted one may have other texts
+        ids = sets.join(wanted, "set", "left_semi").select(F.col("low").alias("_low")).distinct()
+        texts = docs.join(ids, docs[id_col] == ids["_low"], "left_semi").select(docs[text_col])
+        once = texts.mapInArrow(run, "set long, hashes array<long>").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
+        return materialize(once, "shingles")
+
+    def similar_edges(pairs: DataFrame, classed: DataFrame) -> DataFrame:
+        """Of the pairs in different classes (``set``, ``root``) those that are similar, over fingerprints."""
+        a, b = (classed.select(F.col("set").alias(n), F.col("root").alias(f"r_{n}")) for n in "ab")
+        apart = pairs.join(a, "a").join(b, "b").where("r_a <> r_b").select("a", "b")
+        candidates = materialize(similar.bounded(apart, sets, SIMILAR), "candidates")
+        found = similar.verified(candidates, hashes_of, SIMILAR)
+        a, b = (sets.select(F.col("set").alias(n), F.col("fp").alias(f"fp_{n}")) for n in "ab")
+        return found.join(a, "a").join(b, "b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).where("a <> b")
+
+    def classed(edges: DataFrame) -> DataFrame:
+        return sets.join(classes(edges).withColumnRenamed("node", "fp"), "fp", "left").select("set", "odd", F.coalesce("root", "fp").alias("root"))
+
+    found = materialize(similar.listed(sets, SIMILAR), "runs")
+    known = classed(edges)
+    edges = materialize(edges.unionByName(similar_edges(found.where("key is null").select("a", "b").distinct(), known)).distinct(), "linked")
+    known = materialize(classed(edges), "classed")
+    members = found.where("key is not null").drop("a", "b").join(known, "set")
+    return edges.unionByName(similar_edges(similar.crossing(members, SIMILAR), known)).distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,8 +257,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart and are all kept.
     """
     named = docs.where(docs[id_col].isNotNull())
-    prints = materialize(fingerprints(named, id_col, text_col, anchored=True), "prints")
-    found = components(prints, id_col, more=similar_links(prints, named, id_col, text_col))
+    prints = materialize(fingerprints(named, id_col, text_col, frequent_shingles(named, text_col)), "prints")
+    found = components(prints.select(id_col, "fp"), id_col, edges=grouped_edges(prints, named, id_col, text_col))
     first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
     kept = named.join(first, named[id_col] == first["_kept"], "left_semi")
     once = kept.withColumn("_n", F.expr(f"row_number() over (partition by `{id_col}` order by `{id_col}`)"))

@@ -166,3 +166,35 @@ def test_a_large_group_of_copies_is_one(spark):
     base = [f"w{rnd.randrange(3000)}" for _ in range(300)]
     docs = spark.createDataFrame([(i, " ".join(edited(base, 2, rnd) if i else base)) for i in range(400)], "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_first(docs).collect()] == [0]
+
+
+def groups_kept(rows, least=0.8):
+    """By brute force: the smallest id of each group of texts with similar shingle sets."""
+    sets = [set(simhash.shingle_set(simhash.words(t)).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 5 * shared >= 4 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[i][0] for i in range(len(rows)) if find(i) == i}
+
+
+def test_copies_similar_to_their_original_only_are_one_group(spark):
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(300)]
+    # the original isn't the smallest id, and has no smaller digest than the copies
+    rows = [(i, " ".join(edited(base, 6, rnd))) for i in range(400)] + [(900, " ".join(base))]
+    sets = [set(simhash.shingle_set(simhash.words(t)).tolist()) for _, t in rows]
+    alike = [len(a & sets[-1]) / len(a | sets[-1]) for a in sets[:-1]]
+    assert min(alike) >= 0.8 and max(alike) < 0.9
+    assert sum(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[:-1], sets[1:-1])) < 40
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == groups_kept(rows) == {0}
