@@ -198,3 +198,26 @@ def test_copies_similar_to_their_original_only_are_one_group(spark):
     assert sum(len(a & b) / len(a | b) >= 0.8 for a, b in zip(sets[:-1], sets[1:-1])) < 40
     kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == groups_kept(rows) == {0}
+
+
+def test_every_pair_at_the_bound_is_found(spark):
+    rnd = random.Random(13)
+    rows, pairs = [], 0
+    for _ in range(250):
+        n = rnd.randint(40, 200)
+        base = [f"v{rnd.randrange(2000)}" for _ in range(n)]
+        whole = n - 4
+        rows.append((len(rows), " ".join(base)))
+        # a fifth of the shingles is cut off, or a few less or one more
+        rows.append((len(rows), " ".join(base[: -(whole // 5) + rnd.choice((-1, 0, 0, 1, 2))])))
+    # alike as sets, with other repeats
+    for k in range(10):
+        turn = [f"t{k}x{i}" for i in range(30)]
+        rest = [f"r{k}x{i}" for i in range(60)]
+        rows.append((len(rows), " ".join(turn * 2 + rest)))
+        rows.append((len(rows), " ".join(turn * 40 + rest)))
+    sets = [set(simhash.shingle_set(simhash.words(t)).tolist()) for _, t in rows]
+    pairs = sum(0.8 <= len(a & b) / len(a | b) < 0.85 for a, b in zip(sets[::2], sets[1::2]))
+    assert pairs > 150
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == groups_kept(rows)
