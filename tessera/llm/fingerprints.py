@@ -182,4 +182,4 @@ def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS
     """
     if radius > len(BLOCKS) - KEY_BLOCKS:
         raise ValueError(f"the tables cover {len(BLOCKS) - KEY_BLOCKS} bits at most")
-    return components(prints, id_col, radius, block_keys).withColumnRenamed("component_id", "class_id")
+    return components(prints, id_col, radius, block_keys).drop("root").withColumnRenamed("component_id", "class_id")

@@ -20,6 +20,7 @@ documents.
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,10 +140,10 @@ def shingle_set(found: list[bytes]) -> np.ndarray:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row.
 
-    With ``common`` hashes, also what the search for similar sets of shingles needs: ``set`` (a digest), ``n``,
-    ``odd`` (parities) and ``prefix``.
+    With ``common`` hashes, also ``text_digest`` (SHA-256; null for a null text), and what the search for similar sets
+    of shingles needs: ``set`` (a digest), ``n``, ``odd`` (parities) and ``prefix``.
     """
-    more = {"set": pa.int64(), "n": pa.int32(), "odd": pa.binary(), "prefix": pa.list_(pa.int64())} if common else {}
+    more = {"text_digest": pa.binary(), "set": pa.int64(), "n": pa.int32(), "odd": pa.binary(), "prefix": pa.list_(pa.int64())} if common else {}
     shared = docs.sparkSession.sparkContext.broadcast(common) if common else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,23 +151,25 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found, extra = [], []
             last = shared.value if shared else None
             for text in batch.column(1):
-                own = words(text.as_py())
+                value = text.as_py()
+                own = words(value)
                 hashes = shingle_hashes(own)
                 found.append(majority(bit_counts(hashes), len(hashes)) if len(hashes) else 0)
                 if last:
                     hashes = shingle_set(own)
-                    extra.append((similar.digest(hashes), len(hashes), similar.parities(hashes), similar.prefix(hashes, *last, SIMILAR).view(np.int64)))
+                    whole = None if value is None else hashlib.sha256(value.encode("utf-8", "replace")).digest()
+                    extra.append((whole, similar.digest(hashes), len(hashes), similar.parities(hashes), similar.prefix(hashes, *last, SIMILAR).view(np.int64)))
             columns = [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))]
             columns += [pa.array([e[i] for e in extra], kind) for i, kind in enumerate(more.values())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *more])
 
     source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", set long, n int, odd binary, prefix array<long>" * bool(more)
+    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", text_digest binary, set long, n int, odd binary, prefix array<long>" * bool(more)
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS, keys_of=golay_keys, edges: DataFrame | None = None) -> DataFrame:
-    """``prints`` with ``component_id``: the smallest id reachable over links of at most ``radius`` bits.
+    """``prints`` with ``component_id``: the smallest id reachable over links of at most ``radius`` bits; and ``root``.
 
     ``prints`` is read more than once: pass a materialised table.  ``edges`` has
     all edges over fingerprints, where they are known.
@@ -178,7 +181,7 @@ def components(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS,
     named = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     named = materialize(named, "roots")
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    members = named.join(lowest, "root").select("fp", "component_id")
+    members = named.join(lowest, "root").select("fp", "component_id", "root")
     return prints.join(members, "fp")
 
 
@@ -253,13 +256,15 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of each group of near-duplicates, with all columns: that of the smallest id.
 
     Groups are joined by links within the radius and, as few bits of 64 miss many copies with scattered edits,
-    by similar shingle sets.  Of repeated rows with the kept id one is kept; rows without an id can't be told
-    apart and are all kept.
+    by similar shingle sets.  Of repeated rows with the kept id and text one is kept, of other texts with that id in
+    the group none; rows without an id can't be told apart and are all kept.
     """
     named = docs.where(docs[id_col].isNotNull())
     prints = materialize(fingerprints(named, id_col, text_col, frequent_shingles(named, text_col)), "prints")
-    found = components(prints.select(id_col, "fp"), id_col, edges=grouped_edges(prints, named, id_col, text_col))
-    first = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    kept = named.join(first, named[id_col] == first["_kept"], "left_semi")
-    once = kept.withColumn("_n", F.expr(f"row_number() over (partition by `{id_col}` order by `{id_col}`)"))
+    found = components(prints.select(id_col, "fp", "text_digest"), id_col, edges=grouped_edges(prints, named, id_col, text_col))
+    lowest = found.where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("_kept"), F.min("text_digest").alias("_digest"))
+    first = lowest.select("_kept", "_digest").distinct()
+    digest = F.unhex(F.sha2(named[text_col], 256))
+    kept = named.join(first, (named[id_col] == first["_kept"]) & digest.eqNullSafe(first["_digest"]), "left_semi")
+    once = kept.withColumn("_n", F.expr(f"row_number() over (partition by `{id_col}`, sha2(`{text_col}`, 256) order by `{id_col}`)"))
     return once.where("_n = 1").select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))

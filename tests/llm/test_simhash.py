@@ -221,3 +221,14 @@ def test_every_pair_at_the_bound_is_found(spark):
     assert pairs > 150
     kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == groups_kept(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart_by_text(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(80)) for c in "abc")
+    rows = [(9, one, "x"), (9, other, "y"), (9, other, "y"), (3, third, "z"), (7, third + " end", "u"), (7, one + " more", "v"), (5, None, "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = sorted((r["doc_id"], r["source"]) for r in simhash.keep_first(docs).collect())
+    # 7 keeps the text that is no copy, as its smaller id names that group
+    assert kept == [(3, "z"), (5, "n"), (7, "v"), (9, "y")]
+    near = spark.createDataFrame([(4, one, "a"), (4, one + " more", "b")], docs.schema)
+    assert simhash.keep_first(near).count() == 1
