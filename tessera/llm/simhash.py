@@ -137,34 +137,33 @@ def shingle_set(found: list[bytes]) -> np.ndarray:
     return np.unique(shingle_hashes(found, SIMILAR_WORDS))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequency: np.ndarray | None = None) -> DataFrame:
     """``id_col`` and ``fp`` (the fingerprint as a signed long) of every row.
 
-    With ``common`` hashes, also ``text_digest`` (SHA-256; null for a null text), and what the search for similar sets
-    of shingles needs: ``set`` (a digest), ``n``, ``odd`` (parities) and ``prefix``.
+    With the ``frequency`` of shingles, also ``text_digest`` (SHA-256; empty for a null text), and what the search for
+    similar sets of shingles needs: ``set`` (a digest), ``n``, ``odd`` (parities), ``counts`` and ``prefix``.
     """
-    more = {"text_digest": pa.binary(), "set": pa.int64(), "n": pa.int32(), "odd": pa.binary(), "prefix": pa.list_(pa.int64())} if common else {}
-    shared = docs.sparkSession.sparkContext.broadcast(common) if common else None
+    more = {} if frequency is None else {"text_digest": pa.binary(), "set": pa.int64(), "n": pa.int32(), "odd": pa.binary(), "counts": pa.binary(), "prefix": pa.list_(pa.int64())}
+    shared = None if frequency is None else docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, extra = [], []
-            last = shared.value if shared else None
             for text in batch.column(1):
                 value = text.as_py()
                 own = words(value)
                 hashes = shingle_hashes(own)
                 found.append(majority(bit_counts(hashes), len(hashes)) if len(hashes) else 0)
-                if last:
+                if shared:
                     hashes = shingle_set(own)
-                    whole = None if value is None else hashlib.sha256(value.encode("utf-8", "replace")).digest()
-                    extra.append((whole, similar.digest(hashes), len(hashes), similar.parities(hashes), similar.prefix(hashes, *last, SIMILAR).view(np.int64)))
+                    whole = b"" if value is None else hashlib.sha256(value.encode("utf-8", "replace")).digest()
+                    extra.append((whole, similar.digest(hashes), len(hashes), similar.parities(hashes), similar.bucket_counts(hashes), similar.prefix(hashes, shared.value, SIMILAR).view(np.int64)))
             columns = [batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))]
             columns += [pa.array([e[i] for e in extra], kind) for i, kind in enumerate(more.values())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", *more])
 
     source = spread(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
-    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", text_digest binary, set long, n int, odd binary, prefix array<long>" * bool(more)
+    schema = f"id {dict(source.dtypes)['id']}, fp long" + ", text_digest binary, set long, n int, odd binary, counts binary, prefix array<long>" * bool(more)
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
@@ -192,20 +191,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def frequent_shingles(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that a sample of the texts shows to be common, with their counts; they only order the shingles."""
-    space = 1 << 40
-    rate = min(space, space * similar.ORDER_ROWS // max(docs.count(), 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(words(t.as_py())) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found or [np.empty(0, np.uint64)]).view(np.int64))], names=["hash"])
-
-    texts = docs.select(docs[text_col].alias("text"))
-    return similar.common_hashes(texts.where(F.pmod(F.xxhash64("text"), F.lit(space)) < rate).mapInArrow(run, "hash long"))
-
-
 def grouped_edges(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Edges over fingerprints: those within the radius, and those of texts whose shingle sets are similar by ``SIMILAR``.
 
@@ -213,23 +198,25 @@ def grouped_edges(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
     A set stands for the least of its fingerprints.
     """
     full = prints.where("n > 0")
-    first = (F.first(c).alias(c) for c in ("n", "odd", "prefix"))
+    first = (F.first(c).alias(c) for c in ("n", "odd", "counts", "prefix"))
     sets = materialize(full.groupBy("set").agg(F.min(id_col).alias("low"), F.min("fp").alias("fp"), *first), "sets")
     near = links(prints.select("fp").distinct(), golay_keys, RADIUS)
     same = full.join(sets.select("set", F.col("fp").alias("own")), "set").where("fp <> own").select(F.least("fp", "own").alias("a"), F.greatest("fp", "own").alias("b"))
     edges = materialize(near.unionByName(same).distinct(), "near")
 
     def hashes_of(wanted: DataFrame) -> DataFrame:
+        bits = docs.sparkSession.sparkContext.broadcast(similar.filter_bits(sets.join(wanted, "set", "left_semi").select("low")))
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [shingle_set(words(t.as_py())) for t in batch.column(0)]
+                hit = similar.in_filter(bits.value, batch.column(0).to_numpy(zero_copy_only=False))
+                found = [shingle_set(words(t.as_py())) for t in batch.column(1).filter(pa.array(hit))]
                 columns = [pa.array(map(similar.digest, found), pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["set", "hashes"])
 
-        # rows that share the id of a wanted one may have other texts
-        ids = sets.join(wanted, "set", "left_semi").select(F.col("low").alias("_low")).distinct()
-        texts = docs.join(ids, docs[id_col] == ids["_low"], "left_semi").select(docs[text_col])
-        once = texts.mapInArrow(run, "set long, hashes array<long>").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
+        # texts aren't shuffled; rows that the filter lets through, or that share the id of a wanted one, may have other sets
+        source = spread(docs.select(F.xxhash64(docs[id_col]).alias("hash"), docs[text_col].alias("text")))
+        once = source.mapInArrow(run, "set long, hashes array<long>").join(wanted, "set", "left_semi").groupBy("set").agg(F.first("hashes").alias("hashes"))
         return materialize(once, "shingles")
 
     def similar_edges(pairs: DataFrame, classed: DataFrame) -> DataFrame:
@@ -260,11 +247,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the group none; rows without an id can't be told apart and are all kept.
     """
     named = docs.where(docs[id_col].isNotNull())
-    prints = materialize(fingerprints(named, id_col, text_col, frequent_shingles(named, text_col)), "prints")
+    frequency = similar.frequencies(spread(named.select(text_col)), lambda text: shingle_set(words(text)))
+    prints = materialize(fingerprints(named, id_col, text_col, frequency), "prints")
     found = components(prints.select(id_col, "fp", "text_digest"), id_col, edges=grouped_edges(prints, named, id_col, text_col))
-    lowest = found.where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("_kept"), F.min("text_digest").alias("_digest"))
-    first = lowest.select("_kept", "_digest").distinct()
-    digest = F.unhex(F.sha2(named[text_col], 256))
-    kept = named.join(first, (named[id_col] == first["_kept"]) & digest.eqNullSafe(first["_digest"]), "left_semi")
-    once = kept.withColumn("_n", F.expr(f"row_number() over (partition by `{id_col}`, sha2(`{text_col}`, 256) order by `{id_col}`)"))
+    lowest = found.where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("_id"), F.min("text_digest").alias("_digest"))
+    first = lowest.select("_id", "_digest").distinct()
+    # texts are shuffled once, by id and digest, for the join and for the choice of one row
+    keyed = named.withColumn("_key", named[id_col]).withColumn("_text", F.coalesce(F.unhex(F.sha2(named[text_col], 256)), F.lit(b"")))
+    kept = keyed.join(first, (keyed["_key"] == first["_id"]) & (keyed["_text"] == first["_digest"]), "left_semi")
+    once = kept.withColumn("_n", F.expr("row_number() over (partition by _key, _text order by _key)"))
     return once.where("_n = 1").select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))
