@@ -1,8 +1,9 @@
-"""A small gated recurrent language model in numpy with a class-factored output.
+"""A gated recurrent language model in numpy with a class-factored output.
 
-Word numbers: 0 ends a document (and, as input, starts one with a zero state), 1 stands for words outside the
-vocabulary, and the rest are the vocabulary's words, the most frequent first.  A word's class is its number
-divided by ``CLASS_WORDS``; the output is P(class | state) times P(word | class, state).
+Symbol 0 ends a document (and, as input, starts one with a zero state), the others stand for words or kinds of
+words, roughly the most frequent first.  The output is P(class | state) times P(symbol | class, state); classes are
+runs of consecutive symbols whose sizes grow geometrically, so frequent symbols sit in small classes and most
+tokens need few of the weights.  Output weights carry their bias as a last column.
 """
 
 from __future__ import annotations
@@ -10,11 +11,14 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 24
-CLASS_WORDS = 32
-CLASSES = 32
-VOCABULARY = CLASS_WORDS * CLASSES
+VOCABULARY = 1 << 14
+CLASSES = 64
+#: Each class is so many times as large as the one before.
+GROWTH = 1.07
+BOUNDS = np.round(VOCABULARY * (GROWTH ** np.arange(CLASSES + 1) - 1) / (GROWTH**CLASSES - 1)).astype(np.int64)
+CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(BOUNDS))
 #: Documents side by side at most, and steps of truncated backpropagation, while training.
-LANES = 256
+LANES = 768
 WINDOW = 16
 #: Updates that a pass should have: shorter streams get fewer lanes, but no fewer than ``LEAST_LANES``.
 UPDATES = 160
@@ -22,94 +26,116 @@ LEAST_LANES = 8
 RATE = 0.02
 CLIP = 1.0
 #: The same while scoring.
-SCORE_LANES = 256
-SCORE_WINDOW = 64
+SCORE_LANES = 768
+SCORE_WINDOW = 32
 
 Model = dict[str, np.ndarray]
+SHAPES = {"class": (CLASSES, HIDDEN + 1), "input": (VOCABULARY, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "word": (VOCABULARY, HIDDEN + 1)}
 
 
 def initial(log_frequency: np.ndarray, seed: int = 0) -> Model:
     """Weights that start as the unigram model of the given log frequencies."""
     rng = np.random.default_rng(seed)
-    by_class = log_frequency.reshape(CLASSES, CLASS_WORDS).astype(np.float64)
-    top = by_class.max(axis=1)
-    mass = top + np.log(np.exp(by_class - top[:, None]).sum(axis=1))
-    return {
-        "input": rng.normal(0, 0.2, (VOCABULARY, 3 * HIDDEN)).astype(np.float32),
-        "state": rng.normal(0, HIDDEN**-0.5, (HIDDEN, 3 * HIDDEN)).astype(np.float32),
-        "class": np.zeros((CLASSES, HIDDEN), np.float32),
-        "class_bias": mass.astype(np.float32),
-        "word": np.zeros((CLASSES, CLASS_WORDS, HIDDEN), np.float32),
-        "word_bias": (by_class - mass[:, None]).astype(np.float32),
-    }
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    m = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
+    m["input"][:] = rng.normal(0, 0.2, SHAPES["input"])
+    m["state"][:] = rng.normal(0, HIDDEN**-0.5, SHAPES["state"])
+    mass = np.log(np.add.reduceat(np.exp(log_frequency.astype(np.float64)), BOUNDS[:-1]))
+    m["class"][:, -1] = mass
+    m["word"][:, -1] = log_frequency - mass[CLASS_OF]
+    return m
 
 
 def _step(m: Model, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step: the new state, and what its gradient needs."""
     h = h * (inputs != 0)[:, None]
     x, u = m["input"][inputs], h @ m["state"]
-    gates = _sigmoid(x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+    gates = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+    with np.errstate(over="ignore"):
+        gates = 1 / (1 + np.exp(-gates))
     z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
     n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
     return n + z * (h - n), h, z, r, n, u[:, 2 * HIDDEN :]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _with_one(states: np.ndarray) -> np.ndarray:
+    out = np.ones((len(states), HIDDEN + 1), states.dtype)
+    out[:, :HIDDEN] = states
+    return out
 
 
-def log_probabilities(m: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
-    """Natural log probability of each target word after each state."""
-    classes = targets // CLASS_WORDS
-    out = _log_softmax(states @ m["class"].T + m["class_bias"])[np.arange(len(targets)), classes]
+def _choice(weights: np.ndarray, states: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of the wanted row of ``weights`` after each state; unnormalised probabilities and their sums."""
+    e = states @ weights.T
+    e -= e.max(axis=1, keepdims=True)
+    own = e[np.arange(len(wanted)), wanted]
+    np.exp(e, out=e)
+    total = e.sum(axis=1)
+    return own - np.log(total), e, total
+
+
+def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of targets by class, and where in it each class starts and ends."""
+    classes = CLASS_OF[targets]
     order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            inner = _log_softmax(states[at] @ m["word"][c].T + m["word_bias"][c])
-            out[at] += inner[np.arange(len(at)), targets[at] % CLASS_WORDS]
+    return order, np.searchsorted(classes[order], np.arange(CLASSES + 1))
+
+
+def log_probabilities(m: Model, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log probability of each target symbol after each state."""
+    order, at = _by_class(targets)
+    states, targets = _with_one(states)[order], targets[order]
+    logs = _choice(m["class"], states, CLASS_OF[targets])[0]
+    for c in np.flatnonzero(np.diff(at)):
+        own = slice(at[c], at[c + 1])
+        logs[own] += _choice(m["word"][BOUNDS[c] : BOUNDS[c + 1]], states[own], targets[own] - BOUNDS[c])[0]
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[Model, np.ndarray, float]:
-    """Gradients of the mean loss over a (steps, lanes) window from state ``h``, the state after it, and the loss."""
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sum of the values of each."""
+    order = np.argsort(rows, kind="stable")
+    first = np.flatnonzero(np.r_[True, np.diff(rows[order]) != 0])
+    return rows[order[first]], np.add.reduceat(values[order], first, axis=0)
+
+
+def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray | tuple[np.ndarray, np.ndarray]], np.ndarray, float]:
+    """Gradients of the mean loss over a (steps, lanes) window from state ``h``, the state after it, and the loss.
+
+    That of ``input`` is given as the rows that occur and their gradients.
+    """
     steps, lanes = inputs.shape
-    kept, states = [], np.empty((steps, lanes, HIDDEN), np.float32)
+    kept, states = [], np.empty((steps, lanes, HIDDEN), h.dtype)
     for t in range(steps):
         out = _step(m, inputs[t], h)
         h = states[t] = out[0]
         kept.append(out[1:])
-    flat, wanted = states.reshape(-1, HIDDEN), targets.reshape(-1)
-    n, classes = len(wanted), wanted // CLASS_WORDS
-    g = {k: np.zeros_like(v) for k, v in m.items()}
-    logs = _log_softmax(flat @ m["class"].T + m["class_bias"])
-    loss = -logs[np.arange(n), classes].sum()
-    error = np.exp(logs)
-    error[np.arange(n), classes] -= 1
-    error /= n
-    g["class"], g["class_bias"] = error.T @ flat, error.sum(axis=0)
-    d = error @ m["class"]
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    for c in range(CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if not len(at):
-            continue
-        logs = _log_softmax(flat[at] @ m["word"][c].T + m["word_bias"][c])
-        own = np.arange(len(at)), wanted[at] % CLASS_WORDS
-        loss -= logs[own].sum()
-        error = np.exp(logs)
-        error[own] -= 1
-        error /= n
-        g["word"][c], g["word_bias"][c] = error.T @ flat[at], error.sum(axis=0)
-        d[at] += error @ m["word"][c]
-    d, back, into = d.reshape(states.shape), np.zeros((lanes, HIDDEN), np.float32), np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+    order, at = _by_class(targets.reshape(-1))
+    flat, wanted = _with_one(states.reshape(-1, HIDDEN))[order], targets.reshape(-1)[order]
+    n = len(wanted)
+
+    def errors(weights: np.ndarray, rows: np.ndarray, chosen: np.ndarray) -> tuple[float, np.ndarray]:
+        logs, e, total = _choice(weights, rows, chosen)
+        e *= (1 / (n * total))[:, None]
+        e[np.arange(len(chosen)), chosen] -= 1 / n
+        return -float(logs.sum()), e
+
+    loss, e = errors(m["class"], flat, CLASS_OF[wanted])
+    g = {"class": e.T @ flat, "word": np.zeros_like(m["word"])}
+    back = e @ m["class"][:, :HIDDEN]
+    for c in np.flatnonzero(np.diff(at)):
+        own, span = slice(at[c], at[c + 1]), slice(BOUNDS[c], BOUNDS[c + 1])
+        more, e = errors(m["word"][span], flat[own], wanted[own] - BOUNDS[c])
+        loss += more
+        g["word"][span] = e.T @ flat[own]
+        back[own] += e @ m["word"][span, :HIDDEN]
+    d = np.empty_like(back)
+    d[order] = back
+    d = d.reshape(states.shape)
+    into, through = (np.empty((steps, lanes, 3 * HIDDEN), h.dtype) for _ in range(2))
+    back = np.zeros((lanes, HIDDEN), h.dtype)
+    turned = np.ascontiguousarray(m["state"].T)
     for t in range(steps - 1, -1, -1):
         before, z, r, new, u = kept[t]
         dh = d[t] + back
@@ -117,42 +143,47 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
         into[t, :, :HIDDEN] = dh * (before - new) * z * (1 - z)
         into[t, :, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
         into[t, :, 2 * HIDDEN :] = dn
-        du = into[t].copy()
-        du[:, 2 * HIDDEN :] *= r
-        g["state"] += before.T @ du
-        back = (dh * z + du @ m["state"].T) * (inputs[t] != 0)[:, None]
-    words = inputs.reshape(-1)
-    order = np.argsort(words, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(words[order]) != 0])
-    g["input"][words[order][first]] = np.add.reduceat(into.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
-    return g, h, float(loss) / n
+        through[t, :, : 2 * HIDDEN] = into[t, :, : 2 * HIDDEN]
+        through[t, :, 2 * HIDDEN :] = dn * r
+        back = (dh * z + through[t] @ turned) * (inputs[t] != 0)[:, None]
+    g["state"] = np.concatenate([k[0] for k in kept]).T @ through.reshape(-1, 3 * HIDDEN)
+    g["input"] = _sums(inputs.reshape(-1), into.reshape(-1, 3 * HIDDEN))
+    return g, h, loss / n
 
 
 def train(m: Model, stream: np.ndarray, rate: float = RATE) -> Model:
-    """One pass of Adam with truncated backpropagation over documents that each end with word 0."""
+    """One pass of Adam with truncated backpropagation over documents that each end with symbol 0.
+
+    Moments of input rows only move when the row occurs.
+    """
     lanes = min(LANES, max(LEAST_LANES, len(stream) // (UPDATES * WINDOW)))
     length = (len(stream) - 1) // lanes
     if length < 1:
         return m
-    x, y = (stream[o : o + lanes * length].reshape(lanes, length).T.astype(np.int64) for o in (0, 1))
+    x, y = (np.ascontiguousarray(stream[o : o + lanes * length].reshape(lanes, length).T) for o in (0, 1))
     m = {k: v.copy() for k, v in m.items()}
     mean, square = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
     h = np.zeros((lanes, HIDDEN), np.float32)
     windows = range(0, length, WINDOW)
     for i, t in enumerate(windows, 1):
         g, h, _ = gradients(m, x[t : t + WINDOW], y[t : t + WINDOW], h)
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in (*(g[k] for k in g if k != "input"), g["input"][1])))
         now = rate * min(1.0, i / 10) * (1 - 0.9 * i / len(windows)) * np.sqrt(1 - 0.99**i) / (1 - 0.9**i)
         for k, v in g.items():
+            rows, v = v if k == "input" else (slice(None), v)
             v *= min(1.0, CLIP / max(norm, 1e-9))
-            mean[k] += 0.1 * (v - mean[k])
-            square[k] += 0.01 * (v * v - square[k])
-            m[k] -= now * mean[k] / (np.sqrt(square[k]) + 1e-7)
+            a, b = mean[k][rows], square[k][rows]
+            a += 0.1 * (v - a)
+            v *= v
+            b += 0.01 * (v - b)
+            if k == "input":
+                mean[k][rows], square[k][rows] = a, b
+            m[k][rows] -= now * a / (np.sqrt(b) + 1e-7)
     return m
 
 
 def score(m: Model, documents: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each whole document; each array ends with word 0.
+    """Natural log probability of each whole document; each array ends with symbol 0.
 
     Documents are dealt to lanes of about equal length; a lane's state is carried across windows and starts
     anew with each document.
@@ -178,7 +209,7 @@ def score(m: Model, documents: list[np.ndarray]) -> np.ndarray:
     h = np.zeros((lanes, HIDDEN), np.float32)
     for t in range(0, steps, SCORE_WINDOW):
         width = int((loads > t).sum())  # lanes that have ended are the last
-        window = words[:width, t : min(t + SCORE_WINDOW, steps) + 1].T.astype(np.int64)
+        window = np.ascontiguousarray(words[:width, t : min(t + SCORE_WINDOW, steps) + 1].T)
         own = owner[:width, t : t + SCORE_WINDOW].T.reshape(-1)
         h, states = h[:width], np.empty((len(window) - 1, width, HIDDEN), np.float32)
         for s in range(len(states)):
@@ -190,14 +221,13 @@ def score(m: Model, documents: list[np.ndarray]) -> np.ndarray:
 
 
 def pack(m: Model) -> bytes:
-    return b"".join(np.ascontiguousarray(m[k], np.float32).tobytes() for k in sorted(m))
+    return b"".join(np.ascontiguousarray(m[k], np.float32).tobytes() for k in SHAPES)
 
 
 def unpack(data: bytes) -> Model:
-    shapes = {"input": (VOCABULARY, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "class": (CLASSES, HIDDEN), "class_bias": (CLASSES,), "word": (CLASSES, CLASS_WORDS, HIDDEN), "word_bias": (CLASSES, CLASS_WORDS)}
     flat, at, m = np.frombuffer(data, np.float32), 0, {}
-    for k in sorted(shapes):
-        n = int(np.prod(shapes[k]))
-        m[k] = flat[at : at + n].reshape(shapes[k])
+    for k, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        m[k] = flat[at : at + n].reshape(shape)
         at += n
     return m

@@ -1,28 +1,33 @@
 """Operator 6: language-model scores of whole documents by a gated recurrent model.
 
 Training documents are counted word by word over the whole corpus.  The most frequent words form the vocabulary
-of the recurrent model (``gru``), which is trained on all training documents by independent trainers whose
-weights are averaged after each round.  A word outside the vocabulary is scored as the model's unknown word times
-its share of the unknown words' unigram mass, so the score is a proper log-likelihood of the complete document.
+of the recurrent model (``gru``); all other words fall in ``TAILS`` kinds by a hash of their last letters, which the
+model predicts like words.  The model is trained on all training documents: these are dealt to ``ROUNDS`` rounds and
+to independent trainers in each, whose weights are averaged after the round and start the next.  A word outside the
+vocabulary is scored as its kind times its share of the kind's unigram mass (with one unseen word in each kind), so
+the score is a proper log-likelihood of the complete document.
 
 Word counts are looked up in two ways: words frequent enough to be among ``HEAD_WORDS`` go to every worker (a
 bounded table), the others are joined.
 
 Defined results: a null or wordless text has one token, its end; words are compared by bytes with A-Z lowered;
-repeated rows are scored each on their own; without training documents all counts are zero and the model is the
-uniform start; very long texts keep one state throughout; an empty table gives an empty table; only the id and
-text columns are read.
+of words that are equally frequent the lesser in bytes comes first, also at the edge of the vocabulary; repeated
+rows are scored each on their own; a null id counts as not held out; without training documents all counts are zero
+and the model is the uniform start; very long texts keep one state throughout; an empty table gives an empty table;
+only the id and text columns are read.
 """
 
 from __future__ import annotations
 
 import functools
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +40,16 @@ from tessera.llm.simhash import words
 HEAD_WORDS = 1 << 18
 #: Word counts that a task holds before it passes them on.
 FLUSH_WORDS = 400_000
-#: Passes over the training documents, with the trainers' weights averaged after each.
-ROUNDS = 2
-#: Bytes of word numbers that one trainer reads, about.
-TRAINER_BYTES = 3_000_000
+#: Parts of the training documents; the trainers' weights are averaged after each.
+ROUNDS = 3
+#: Bytes of symbols that one trainer reads, about.
+TRAINER_BYTES = 8_000_000
 #: Models averaged in one task.
-FAN_IN = 16
-END, UNKNOWN, FIRST = 0, 1, 2
+FAN_IN = 8
+#: Kinds of words outside the vocabulary, and the last bytes that tell them.
+TAILS, TAIL_BYTES = 1023, 3
+#: Symbols: the end, the kinds, then the vocabulary.
+END, FIRST = 0, 1 + TAILS
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -92,16 +100,18 @@ def _lookup(key: int, joined: bytes) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
 
 
-def numbered(rows: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """``draw`` and ``ids``: the texts as 16-bit word numbers of the recurrent model."""
-    number = {w: i + FIRST for i, w in enumerate(vocabulary)}
+def kind_of(word: bytes) -> int:
+    """The symbol of a word outside the vocabulary."""
+    return 1 + zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.array([*(number.get(w, UNKNOWN) for w in words(t.as_py())), END], np.int16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["draw", "ids"])
 
-    return rows.select("draw", "text").mapInArrow(run, "draw long, ids binary")
+def kind_sums(counts: DataFrame) -> np.ndarray:
+    """By kind, the number of words and of their tokens, those of the vocabulary included: a (``FIRST``, 2) array."""
+    kind = F.crc32(F.substring("word", -TAIL_BYTES, TAIL_BYTES)) % TAILS + 1
+    out = np.zeros((FIRST, 2))
+    for r in counts.where("word is not null").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect():
+        out[r["kind"]] = r["n"], r["c"]
+    return out
 
 
 def averaged(models: DataFrame) -> bytes | None:
@@ -123,28 +133,30 @@ def averaged(models: DataFrame) -> bytes | None:
     return bytes(found[0][0]) if found else None
 
 
-def train(rows: DataFrame, frequency: np.ndarray, vocabulary: list[bytes]) -> gru.Model:
-    """The recurrent model after ``ROUNDS`` rounds over all of ``rows`` (``draw``, ``text``)."""
+def train(encoded: DataFrame, frequency: np.ndarray) -> gru.Model:
+    """The recurrent model after learning from all rows of ``encoded`` (``draw``, ``ids``), each of them once."""
+    spark = encoded.sparkSession
     model = gru.initial(np.log(frequency / frequency.sum()))
-    ids = materialize(numbered(rows, vocabulary), "numbered")
-    size = ids.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    trainers = max(1, -(-size // TRAINER_BYTES))
-    for _ in range(ROUNDS):
-        start = gru.pack(model)
-
-        def run(key: tuple, table: pa.Table) -> pa.Table:  # noqa: B023  pickled in the round that defines it
-            order = np.argsort(table.column("draw").to_numpy(), kind="stable")
-            own = table.column("ids").to_pylist()
-            stream = np.frombuffer(b"".join(own[i] for i in order), np.int16)
-            found = gru.pack(gru.train(gru.unpack(start), stream))
-            return pa.table({"trainer": [key[0].as_py()], "weight": pa.array([float(len(stream))]), "model": pa.array([found], pa.binary())})
-
-        dealt = ids.withColumn("trainer", F.pmod(F.xxhash64("draw"), F.lit(trainers)))
-        trained = dealt.groupBy("trainer").applyInArrow(run, "trainer long, weight double, model binary")
-        found = averaged(materialize(trained, "models"))
-        if found is None:
-            break
-        model = gru.unpack(found)
+    sizes = encoded.groupBy(F.pmod("draw", F.lit(ROUNDS)).alias("round")).agg(F.sum(F.octet_length("ids")).alias("size")).collect()
+    for part, size in sorted((r["round"], r["size"]) for r in sizes):
+        trainers = max(1, -(-size // TRAINER_BYTES))
+        start = spark.sparkContext.broadcast(gru.pack(model))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # noqa: B023  pickled in the round that defines it
+            rows = pa.Table.from_batches(list(batches), dealt_schema)
+            for trainer in pc.unique(rows.column("trainer")).to_pylist():
+                own = rows.filter(pc.equal(rows.column("trainer"), trainer)).sort_by("draw").column("ids").to_pylist()
+                stream = np.frombuffer(b"".join(own), np.int16)
+                found = gru.pack(gru.train(gru.unpack(start.value), stream))
+                yield pa.RecordBatch.from_arrays([pa.array([trainer], pa.int64()), pa.array([float(len(stream))]), pa.array([found], pa.binary())], names=["trainer", "weight", "model"])
+
+        trainer = F.pmod(F.expr(f"draw div {ROUNDS}"), F.lit(trainers)).cast("int")
+        dealt = encoded.where(F.pmod("draw", F.lit(ROUNDS)) == part).select(trainer.alias("trainer"), "draw", "ids")
+        dealt_schema = pa.schema([("trainer", pa.int32()), ("draw", pa.int64()), ("ids", pa.binary())])
+        # one trainer a task
+        trained = dealt.repartitionById(trainers, "trainer").mapInArrow(run, "trainer long, weight double, model binary")
+        model = gru.unpack(averaged(materialize(trained, "models")))
+        start.destroy()
     return model
 
 
@@ -156,8 +168,7 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     spark = docs.sparkSession
     out_of = fold(docs[id_col]) == 1 if held_out is None else held_out
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), out_of.alias("held_out"))
-    learned = rows.where(~F.col("held_out"))
-    counts = materialize(count_words(learned), "words")
+    counts = materialize(count_words(rows.where(~F.col("held_out"))), "words")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("docs")).first()
     tokens, distinct, ends = (total["n"] or 0), total["v"], (total["docs"] or 0)
     found, c, least = head(counts)
@@ -165,64 +176,76 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     def log_base(count: np.ndarray | float) -> np.ndarray | float:
         return np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
-    vocabulary = found[: gru.VOCABULARY - FIRST]
-    inside = c[: len(vocabulary)]
+    known = min(len(found), gru.VOCABULARY - FIRST)
+    symbols = np.fromiter((i + FIRST if i < known else kind_of(w) for i, w in enumerate(found)), np.int16, len(found))
+    kinds = kind_sums(counts)
+    for w, n in zip(found[:known], c[:known].tolist()):
+        kinds[kind_of(w)] -= 1, n
     frequency = np.full(gru.VOCABULARY, 0.5)
-    frequency[END], frequency[UNKNOWN] = ends + 0.5, max(tokens - ends - inside.sum(), 0) + 0.5
-    frequency[FIRST : FIRST + len(vocabulary)] += inside
-    # the text deals rows without an id, or with one in common, to several trainers
-    model = train(learned.withColumn("draw", F.xxhash64("id", "text")), frequency, vocabulary)
-    # the unigram mass of all words that aren't in the vocabulary
-    rest = max(1e-12, 1 - float((10 ** log_base(inside.astype(float))).sum()) - float(10 ** log_base(float(ends))))
-    known = len(vocabulary)
-    shared = spark.sparkContext.broadcast((b"\n".join(found), log_base(c.astype(float)), gru.pack(model)))
+    frequency[END], frequency[1:FIRST] = ends + 0.5, kinds[1:, 1] + 0.5
+    frequency[FIRST : FIRST + known] += c[:known]
+    # log10 of the unigram mass of each kind, and nothing for the end and the vocabulary
+    mass = np.zeros(gru.VOCABULARY)
+    mass[1:FIRST] = np.log10((kinds[1:, 1] + 0.5 * kinds[1:, 0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
+    shared = spark.sparkContext.broadcast((b"\n".join(found), symbols, log_base(c.astype(float)), mass))
     log_end, end_known = float(log_base(float(ends))), int(ends > 0)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, logs, packed = shared.value
-        at, own_model = _lookup(id(joined), joined), gru.unpack(packed)
-        logs = np.append(logs, 0.0)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined, symbols, logs, mass = shared.value
+        at, logs = _lookup(id(joined), joined), np.append(logs, 0.0)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "outside", "tail", "tail_n")}
-            documents = []
+            columns: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "outside", "tail", "tail_n", "ids")}
             for text in batch.column(1):
                 own = words(text.as_py())
                 places = np.fromiter((at.get(w, -1) for w in own), np.int64, len(own))
-                documents.append(np.append(np.where((places >= 0) & (places < known), places + FIRST, UNKNOWN), END).astype(np.int16))
-                base = logs[places]
-                tail = Counter(own[i] for i in np.flatnonzero(places < 0).tolist())
+                ids, rare = np.zeros(len(own) + 1, np.int16), np.flatnonzero(places < 0).tolist()
+                ids[:-1] = symbols[places] if len(symbols) else 0
+                for i in rare:
+                    ids[i] = kind_of(own[i])
+                base, tail = logs[places], Counter(own[i] for i in rare)
                 columns["row"].append(row)
                 columns["n_tokens"].append(len(own) + 1)
-                columns["n_known"].append(int((places >= 0).sum()) + end_known)
+                columns["n_known"].append(len(own) - len(rare) + end_known)
                 columns["base"].append(float(base.sum()) + log_end)
-                columns["outside"].append(float(base[places >= known].sum()))
+                columns["outside"].append(float(base[places >= known].sum() - mass[ids].sum()))
                 columns["tail"].append(list(tail.keys()))
                 columns["tail_n"].append(list(tail.values()))
+                columns["ids"].append(ids.tobytes())
                 row += 1
-            scores = gru.score(own_model, documents) / math.log(10)
-            unknown = np.array([(d == UNKNOWN).sum() for d in documents], float)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            arrays = [pa.array(v, k) for v, k in zip(columns.values(), kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *arrays, pa.array(scores - unknown * math.log10(rest))], names=["id", "held_out", *columns, "model"])
-
-    kind = dict(rows.dtypes)["id"]
-    schema = f"id {kind}, held_out boolean, row long, n_tokens long, n_known long, base double, outside double, tail array<binary>, tail_n array<int>, model double"
-    scored = materialize(spread(rows).mapInArrow(run, schema), "scored")
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
+            arrays = [pa.array(v, k) for v, k in zip(columns.values(), types)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["id", "held_out", "draw", *columns])
+
+    # the text deals rows without an id, or with one in common, to several trainers
+    drawn = spread(rows.withColumn("draw", F.xxhash64("id", "text")))
+    schema = f"id {dict(rows.dtypes)['id']}, held_out boolean, draw long, row long, n_tokens long, n_known long, base double, outside double, tail array<binary>, tail_n array<int>, ids binary"
+    encoded = materialize(drawn.mapInArrow(encode, schema), "encoded")
+    packed = spark.sparkContext.broadcast(gru.pack(train(encoded.where(~F.col("held_out")), frequency)))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = gru.unpack(packed.value)
+        for batch in batches:
+            scores = gru.score(model, [np.frombuffer(ids.as_py(), np.int16) for ids in batch.column(5)]) / math.log(10)
+            outside = pc.add(batch.column(6), pa.array(scores))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], outside, batch.column(7)], names=["id", "held_out", "row", "n_tokens", "n_known", "score", "base"])
+
+    chosen = encoded.select("id", "held_out", "row", "n_tokens", "n_known", "ids", "outside", "base")
+    scored = chosen.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, held_out boolean, row long, n_tokens long, n_known long, score double, base double")
     # words that only the counts' table knows, or that no training document has
-    tails = scored.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
+    tails = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
     rare = counts.where((F.col("c") < least) & F.col("word").isNotNull())
     joined = tails.join(rare.hint("shuffle_hash"), "word", "left")
     lowest = F.lit(tokens + 0.5 * (distinct + 1))
     each = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / lowest)
     sums = joined.groupBy("row").agg(F.sum(each).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
     tail_base = F.coalesce("tail_base", F.lit(0.0))
-    return scored.drop("tail", "tail_n").join(sums, "row", "left").select(
+    return scored.join(sums, "row", "left").select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + tail_base).alias("base_score"),
-        (F.col("model") + F.col("outside") + tail_base).alias("score"),
+        (F.col("score") + tail_base).alias("score"),
     )
