@@ -1,5 +1,8 @@
 """A gated recurrent language model in numpy with a class-factored output.
 
+The unit is the minimal gated one (minGRU): the state moves from what it was to a candidate by the share that a gate
+gives, and gate and candidate depend on the input symbol.  So all but that step is computed for whole windows at once.
+
 Symbol 0 ends a document (and, as input, starts one with a zero state), the others stand for words or kinds of
 words, roughly the most frequent first.  The output is P(class | state) times P(symbol | class, state); classes are
 runs of consecutive symbols whose sizes grow geometrically, so frequent symbols sit in small classes and most
@@ -11,14 +14,14 @@ from __future__ import annotations
 import numpy as np
 
 HIDDEN = 24
-VOCABULARY = 1 << 14
+VOCABULARY = 1 << 13
 CLASSES = 64
 #: Each class is so many times as large as the one before.
-GROWTH = 1.07
+GROWTH = 1.05
 BOUNDS = np.round(VOCABULARY * (GROWTH ** np.arange(CLASSES + 1) - 1) / (GROWTH**CLASSES - 1)).astype(np.int64)
 CLASS_OF = np.repeat(np.arange(CLASSES, dtype=np.int16), np.diff(BOUNDS))
 #: Documents side by side at most, and steps of truncated backpropagation, while training.
-LANES = 768
+LANES = 1024
 WINDOW = 16
 #: Updates that a pass should have: shorter streams get fewer lanes, but no fewer than ``LEAST_LANES``.
 UPDATES = 160
@@ -26,35 +29,45 @@ LEAST_LANES = 8
 RATE = 0.02
 CLIP = 1.0
 #: The same while scoring.
-SCORE_LANES = 768
+SCORE_LANES = 1024
 SCORE_WINDOW = 32
 
+#: Logits up to this size neither overflow nor vanish in single precision.
+LARGE_LOGIT = 60.0
+
 Model = dict[str, np.ndarray]
-SHAPES = {"class": (CLASSES, HIDDEN + 1), "input": (VOCABULARY, 3 * HIDDEN), "state": (HIDDEN, 3 * HIDDEN), "word": (VOCABULARY, HIDDEN + 1)}
+SHAPES = {"class": (CLASSES, HIDDEN + 1), "input": (VOCABULARY, 2 * HIDDEN), "word": (VOCABULARY, HIDDEN + 1)}
 
 
 def initial(log_frequency: np.ndarray, seed: int = 0) -> Model:
     """Weights that start as the unigram model of the given log frequencies."""
     rng = np.random.default_rng(seed)
     m = {k: np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    m["input"][:] = rng.normal(0, 0.2, SHAPES["input"])
-    m["state"][:] = rng.normal(0, HIDDEN**-0.5, SHAPES["state"])
+    m["input"][:] = rng.normal(0, 0.5, SHAPES["input"])
+    # gates start from short to long memory
+    m["input"][:, :HIDDEN] += np.linspace(-3, 2, HIDDEN)
     mass = np.log(np.add.reduceat(np.exp(log_frequency.astype(np.float64)), BOUNDS[:-1]))
     m["class"][:, -1] = mass
     m["word"][:, -1] = log_frequency - mass[CLASS_OF]
     return m
 
 
-def _step(m: Model, inputs: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One step: the new state, and what its gradient needs."""
-    h = h * (inputs != 0)[:, None]
-    x, u = m["input"][inputs], h @ m["state"]
-    gates = x[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]
+def _gates(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gates and candidates of input rows."""
     with np.errstate(over="ignore"):
-        gates = 1 / (1 + np.exp(-gates))
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * u[:, 2 * HIDDEN :])
-    return n + z * (h - n), h, z, r, n, u[:, 2 * HIDDEN :]
+        return 1 / (1 + np.exp(-rows[..., :HIDDEN])), np.tanh(rows[..., HIDDEN:])
+
+
+def _run(z: np.ndarray, new: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states before and after each step of (steps, lanes) gates and candidates; ``keep`` is 0 where a document starts."""
+    before, after = np.empty_like(new), np.empty_like(new)
+    for t in range(len(z)):
+        np.multiply(h, keep[t], out=before[t])
+        h = after[t]
+        np.subtract(new[t], before[t], out=h)
+        h *= z[t]
+        h += before[t]
+    return before, after
 
 
 def _with_one(states: np.ndarray) -> np.ndarray:
@@ -64,12 +77,16 @@ def _with_one(states: np.ndarray) -> np.ndarray:
 
 
 def _choice(weights: np.ndarray, states: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log probability of the wanted row of ``weights`` after each state; unnormalised probabilities and their sums."""
+    """Log probability of the wanted row of ``weights`` after each state; unnormalised probabilities and their sums.
+
+    States lie between -1 and 1, so the weights bound the logits; only large ones need their maximum taken off.
+    """
     e = states @ weights.T
-    e -= e.max(axis=1, keepdims=True)
+    if np.abs(weights).sum(axis=1).max() > LARGE_LOGIT:
+        e -= e.max(axis=1, keepdims=True)
     own = e[np.arange(len(wanted)), wanted]
     np.exp(e, out=e)
-    total = e.sum(axis=1)
+    total = e @ np.ones(len(weights), e.dtype)
     return own - np.log(total), e, total
 
 
@@ -105,12 +122,9 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
 
     That of ``input`` is given as the rows that occur and their gradients.
     """
-    steps, lanes = inputs.shape
-    kept, states = [], np.empty((steps, lanes, HIDDEN), h.dtype)
-    for t in range(steps):
-        out = _step(m, inputs[t], h)
-        h = states[t] = out[0]
-        kept.append(out[1:])
+    z, new = _gates(m["input"][inputs])
+    keep = (inputs != 0)[..., None].astype(h.dtype)
+    before, states = _run(z, new, keep, h)
     order, at = _by_class(targets.reshape(-1))
     flat, wanted = _with_one(states.reshape(-1, HIDDEN))[order], targets.reshape(-1)[order]
     n = len(wanted)
@@ -133,22 +147,12 @@ def gradients(m: Model, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray)
     d = np.empty_like(back)
     d[order] = back
     d = d.reshape(states.shape)
-    into, through = (np.empty((steps, lanes, 3 * HIDDEN), h.dtype) for _ in range(2))
-    back = np.zeros((lanes, HIDDEN), h.dtype)
-    turned = np.ascontiguousarray(m["state"].T)
-    for t in range(steps - 1, -1, -1):
-        before, z, r, new, u = kept[t]
-        dh = d[t] + back
-        dn = dh * (1 - z) * (1 - new * new)
-        into[t, :, :HIDDEN] = dh * (before - new) * z * (1 - z)
-        into[t, :, HIDDEN : 2 * HIDDEN] = dn * u * r * (1 - r)
-        into[t, :, 2 * HIDDEN :] = dn
-        through[t, :, : 2 * HIDDEN] = into[t, :, : 2 * HIDDEN]
-        through[t, :, 2 * HIDDEN :] = dn * r
-        back = (dh * z + through[t] @ turned) * (inputs[t] != 0)[:, None]
-    g["state"] = np.concatenate([k[0] for k in kept]).T @ through.reshape(-1, 3 * HIDDEN)
-    g["input"] = _sums(inputs.reshape(-1), into.reshape(-1, 3 * HIDDEN))
-    return g, h, loss / n
+    carried = (1 - z) * keep
+    for t in range(len(d) - 2, -1, -1):
+        d[t] += d[t + 1] * carried[t + 1]
+    into = np.concatenate([d * (new - before) * z * (1 - z), d * z * (1 - new * new)], axis=2)
+    g["input"] = _sums(inputs.reshape(-1), into.reshape(-1, 2 * HIDDEN))
+    return g, states[-1], loss / n
 
 
 def train(m: Model, stream: np.ndarray, rate: float = RATE) -> Model:
@@ -207,14 +211,14 @@ def score(m: Model, documents: list[np.ndarray]) -> np.ndarray:
         words[row, 1 : loads[row] + 1] = np.concatenate([documents[i] for i in own])
         owner[row, : loads[row]] = np.repeat(own, lengths[own])
     h = np.zeros((lanes, HIDDEN), np.float32)
+    z, new = _gates(m["input"])
     for t in range(0, steps, SCORE_WINDOW):
         width = int((loads > t).sum())  # lanes that have ended are the last
         window = np.ascontiguousarray(words[:width, t : min(t + SCORE_WINDOW, steps) + 1].T)
         own = owner[:width, t : t + SCORE_WINDOW].T.reshape(-1)
-        h, states = h[:width], np.empty((len(window) - 1, width, HIDDEN), np.float32)
-        for s in range(len(states)):
-            h = states[s] = _step(m, window[s], h)[0]
-        there = own >= 0
+        inputs = window[:-1]
+        states = _run(z[inputs], new[inputs], (inputs != 0)[..., None].astype(np.float32), h[:width])[1]
+        h, there = states[-1], own >= 0
         logs = log_probabilities(m, states.reshape(-1, HIDDEN)[there], window[1:].reshape(-1)[there])
         total += np.bincount(own[there], weights=logs, minlength=len(total))
     return total

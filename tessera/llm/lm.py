@@ -19,10 +19,8 @@ only the id and text columns are read.
 
 from __future__ import annotations
 
-import functools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,42 +32,51 @@ from pyspark.sql import functions as F
 
 from tessera.llm import gru
 from tessera.llm.common import fold, materialize, spread
-from tessera.llm.simhash import words
 
 #: Words whose counts go to every worker, at most.
 HEAD_WORDS = 1 << 18
-#: Word counts that a task holds before it passes them on.
-FLUSH_WORDS = 400_000
+#: Bytes of texts that are split into words at a time, about (a longer text is split on its own).
+SLICE_BYTES = 16 << 20
 #: Parts of the training documents; the trainers' weights are averaged after each.
 ROUNDS = 3
 #: Bytes of symbols that one trainer reads, about.
 TRAINER_BYTES = 8_000_000
-#: Models averaged in one task.
-FAN_IN = 8
+#: Pieces in which models are averaged.
+PIECES = 64
 #: Kinds of words outside the vocabulary, and the last bytes that tell them.
 TAILS, TAIL_BYTES = 1023, 3
-#: Symbols: the end, the kinds, then the vocabulary.
+#: Symbols before they are put in order of frequency: the end, the kinds, then the vocabulary.
 END, FIRST = 0, 1 + TAILS
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Consecutive parts of about ``SLICE_BYTES``; null texts become empty."""
+    texts = pc.fill_null(texts, "")
+    part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    at = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    for i, j in zip(at, at[1:]):
+        if i < j:
+            yield texts.slice(i, j - i)
+
+
+def flat_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in one array, and the place of each word's text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    found = lists.flatten()
+    real = pc.not_equal(found, "")
+    return found.filter(real), owner[real.to_numpy(zero_copy_only=False)]
+
+
 def count_words(rows: DataFrame) -> DataFrame:
     """``word`` and ``c`` over the texts of ``rows``; the null word counts the texts themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "n"])
-
         for batch in batches:
-            for text in batch.column(0):
-                held.update(words(text.as_py()))
-                held[None] += 1
-                if len(held) > FLUSH_WORDS:
-                    yield out()
-                    held.clear()
-        if held:
-            yield out()
+            for part in slices(batch.column(0)):
+                counts = flat_words(part)[0].value_counts()
+                own = pa.concat_arrays([counts.field(0).cast(pa.binary()), pa.nulls(1, pa.binary())])
+                yield pa.RecordBatch.from_arrays([own, pa.concat_arrays([counts.field(1), pa.array([len(part)], pa.int64())])], names=["word", "n"])
 
     return spread(rows.select("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
@@ -95,16 +102,17 @@ def head(counts: DataFrame) -> tuple[list[bytes], np.ndarray, int]:
     return [found[i] for i in order], c[order], least
 
 
-@functools.lru_cache(maxsize=2)
-def _lookup(key: int, joined: bytes) -> dict[bytes, int]:
-    return {w: i for i, w in enumerate(joined.split(b"\n"))} if joined else {}
-
-
 def kind_of(word: bytes) -> int:
-    """The symbol of a word outside the vocabulary."""
+    """The kind of a word outside the vocabulary, from 1."""
     return 1 + zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 
 
+def kinds_of(found: pa.Array) -> np.ndarray:
+    """The kinds of many words; each distinct ending is hashed once."""
+    endings = pc.binary_slice(found.cast(pa.binary()), -TAIL_BYTES).dictionary_encode()
+    return np.array([*map(kind_of, endings.dictionary.to_pylist())], np.int64)[endings.indices.to_numpy()]
+
+
 def kind_sums(counts: DataFrame) -> np.ndarray:
     """By kind, the number of words and of their tokens, those of the vocabulary included: a (``FIRST``, 2) array."""
     kind = F.crc32(F.substring("word", -TAIL_BYTES, TAIL_BYTES)) % TAILS + 1
@@ -114,23 +122,26 @@ def kind_sums(counts: DataFrame) -> np.ndarray:
     return out
 
 
-def averaged(models: DataFrame) -> bytes | None:
-    """The mean of trained models (``trainer``, ``weight``, ``model``), taken in groups of ``FAN_IN``."""
+def averaged(models: DataFrame) -> bytes:
+    """The weighted mean of trained models (``weight``, ``model``), summed in ``PIECES`` pieces by as many tasks."""
 
-    def run(table: pa.Table) -> pa.Table:
-        weights = table.column("weight").to_numpy()
-        total = np.zeros(len(table.column("model")[0].as_py()) // 4)
-        for w, m in zip(weights, table.column("model")):
-            total += w * np.frombuffer(m.as_py(), np.float32)
-        mean = (total / max(weights.sum(), 1)).astype(np.float32).tobytes()
-        return pa.table({"trainer": [int(table.column("trainer")[0].as_py()) // FAN_IN], "weight": pa.array([float(weights.sum())]), "model": pa.array([mean], pa.binary())})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, m in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pieces = np.array_split(np.frombuffer(m.as_py(), np.float32) * np.float64(w), PIECES)
+                yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([w] * PIECES), pa.array([p.tobytes() for p in pieces], pa.binary())], names=["piece", "weight", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, tuple[float, np.ndarray]] = {}
+        for batch in batches:
+            for p, w, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                before = totals.get(p, (0.0, 0.0))
+                totals[p] = before[0] + w, before[1] + np.frombuffer(sums.as_py(), np.float64)
+        for p, (w, sums) in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([(sums / max(w, 1.0)).astype(np.float32).tobytes()], pa.binary())], names=["piece", "mean"])
 
-    n = models.agg(F.max("trainer")).first()[0]
-    while n is not None and n > 0:
-        grouped = models.withColumn("trainer", F.col("trainer").cast("long")).groupBy(F.floor(F.col("trainer") / FAN_IN))
-        models, n = materialize(grouped.applyInArrow(run, "trainer long, weight double, model binary"), "models"), n // FAN_IN
-    found = models.select("model").collect()
-    return bytes(found[0][0]) if found else None
+    pieces = models.select("weight", "model").mapInArrow(cut, "piece int, weight double, sums binary").repartition("piece").mapInArrow(add, "piece int, mean binary")
+    return b"".join(bytes(r["mean"]) for r in sorted(pieces.collect(), key=lambda r: r["piece"]))
 
 
 def train(encoded: DataFrame, frequency: np.ndarray) -> gru.Model:
@@ -177,7 +188,6 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
         return np.log10((count + 0.5) / (tokens + 0.5 * (distinct + 1)))
 
     known = min(len(found), gru.VOCABULARY - FIRST)
-    symbols = np.fromiter((i + FIRST if i < known else kind_of(w) for i, w in enumerate(found)), np.int16, len(found))
     kinds = kind_sums(counts)
     for w, n in zip(found[:known], c[:known].tolist()):
         kinds[kind_of(w)] -= 1, n
@@ -187,39 +197,51 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     # log10 of the unigram mass of each kind, and nothing for the end and the vocabulary
     mass = np.zeros(gru.VOCABULARY)
     mass[1:FIRST] = np.log10((kinds[1:, 1] + 0.5 * kinds[1:, 0] + 0.5) / (tokens + 0.5 * (distinct + 1)))
-    shared = spark.sparkContext.broadcast((b"\n".join(found), symbols, log_base(c.astype(float)), mass))
+    # frequent symbols first, as they cost the model least; the end stays 0
+    order = np.r_[END, 1 + np.argsort(-frequency[1:], kind="stable")]
+    number = np.empty(gru.VOCABULARY, np.int16)
+    number[order] = np.arange(gru.VOCABULARY)
+    frequency, mass = frequency[order], mass[order]
+    symbols = number[[i + FIRST if i < known else kind_of(w) for i, w in enumerate(found)]]
+    shared = spark.sparkContext.broadcast((b"\n".join(found), symbols, number[:FIRST], log_base(c.astype(float)), mass))
     log_end, end_known = float(log_base(float(ends))), int(ends > 0)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined, symbols, logs, mass = shared.value
-        at, logs = _lookup(id(joined), joined), np.append(logs, 0.0)
+        joined, symbols, kinds, logs, mass = shared.value
+        vocabulary = pa.array(joined.decode().split("\n") if joined else [], pa.string())
+        symbols, logs = np.append(symbols, 0), np.append(logs, 0.0)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         for batch in batches:
-            columns: dict[str, list] = {k: [] for k in ("row", "n_tokens", "n_known", "base", "outside", "tail", "tail_n", "ids")}
-            for text in batch.column(1):
-                own = words(text.as_py())
-                places = np.fromiter((at.get(w, -1) for w in own), np.int64, len(own))
-                ids, rare = np.zeros(len(own) + 1, np.int16), np.flatnonzero(places < 0).tolist()
-                ids[:-1] = symbols[places] if len(symbols) else 0
-                for i in rare:
-                    ids[i] = kind_of(own[i])
-                base, tail = logs[places], Counter(own[i] for i in rare)
-                columns["row"].append(row)
-                columns["n_tokens"].append(len(own) + 1)
-                columns["n_known"].append(len(own) - len(rare) + end_known)
-                columns["base"].append(float(base.sum()) + log_end)
-                columns["outside"].append(float(base[places >= known].sum() - mass[ids].sum()))
-                columns["tail"].append(list(tail.keys()))
-                columns["tail_n"].append(list(tail.values()))
-                columns["ids"].append(ids.tobytes())
-                row += 1
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary()]
-            arrays = [pa.array(v, k) for v, k in zip(columns.values(), types)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *arrays], names=["id", "held_out", "draw", *columns])
+            at = 0
+            for texts in slices(batch.column(1)):
+                n = len(texts)
+                own, owner = flat_words(texts)
+                places = pc.fill_null(pc.index_in(own, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+                rare = places < 0
+                tail = own.filter(pa.array(rare))
+                ids, base = symbols[places], logs[places]
+                ids[rare] = kinds[kinds_of(tail)]
+                lengths = np.bincount(owner, minlength=n)
+                # each document's symbols with an end behind them
+                stream = np.zeros(len(ids) + n, np.int16)
+                stream[np.arange(len(ids)) + owner] = ids
+                bounds = np.r_[0, np.cumsum(2 * (lengths + 1))].astype(np.int32)
+                tails = np.r_[0, np.cumsum(np.bincount(owner[rare], minlength=n))].astype(np.int32)
+                columns = {
+                    "row": pa.array(np.arange(row, row + n)),
+                    "n_tokens": pa.array(lengths + 1),
+                    "n_known": pa.array(np.bincount(owner[~rare], minlength=n) + end_known),
+                    "base": pa.array(np.bincount(owner, weights=base, minlength=n).astype(np.float64) + log_end),
+                    "outside": pa.array(np.bincount(owner, weights=np.where(places >= known, base, 0.0) - mass[ids], minlength=n).astype(np.float64)),
+                    "tail": pa.ListArray.from_arrays(pa.array(tails), tail.cast(pa.binary())),
+                    "ids": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(stream)]),
+                }
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(at, n) for i in (0, 2, 3)), *columns.values()], names=["id", "held_out", "draw", *columns])
+                at, row = at + n, row + n
 
     # the text deals rows without an id, or with one in common, to several trainers
     drawn = spread(rows.withColumn("draw", F.xxhash64("id", "text")))
-    schema = f"id {dict(rows.dtypes)['id']}, held_out boolean, draw long, row long, n_tokens long, n_known long, base double, outside double, tail array<binary>, tail_n array<int>, ids binary"
+    schema = f"id {dict(rows.dtypes)['id']}, held_out boolean, draw long, row long, n_tokens long, n_known long, base double, outside double, tail array<binary>, ids binary"
     encoded = materialize(drawn.mapInArrow(encode, schema), "encoded")
     packed = spark.sparkContext.broadcast(gru.pack(train(encoded.where(~F.col("held_out")), frequency)))
 
@@ -233,12 +255,12 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     chosen = encoded.select("id", "held_out", "row", "n_tokens", "n_known", "ids", "outside", "base")
     scored = chosen.mapInArrow(score, f"id {dict(rows.dtypes)['id']}, held_out boolean, row long, n_tokens long, n_known long, score double, base double")
     # words that only the counts' table knows, or that no training document has
-    tails = encoded.select("row", F.explode(F.arrays_zip("tail", "tail_n")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.tail_n").alias("n"))
+    tails = encoded.select("row", F.explode("tail").alias("word"))
     rare = counts.where((F.col("c") < least) & F.col("word").isNotNull())
     joined = tails.join(rare.hint("shuffle_hash"), "word", "left")
     lowest = F.lit(tokens + 0.5 * (distinct + 1))
-    each = F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / lowest)
-    sums = joined.groupBy("row").agg(F.sum(each).alias("tail_base"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("tail_known"))
+    each = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / lowest)
+    sums = joined.groupBy("row").agg(F.sum(each).alias("tail_base"), F.count_if(F.col("c") > 0).alias("tail_known"))
     tail_base = F.coalesce("tail_base", F.lit(0.0))
     return scored.join(sums, "row", "left").select(
         F.col("id").alias(id_col),
