@@ -39,7 +39,7 @@ LATIN_CLASSES = {
 #: A text with none of these takes the fast patterns made of ``LATIN_CLASSES``.
 NOT_LATIN = re.compile("[^\u0000-ɏ]")
 #: Entries in each of the two generations that a worker keeps of words and of fragments.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 #: Longer words are not kept.
 MEMO_LENGTH = 48
 
