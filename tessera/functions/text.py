@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The suffixes that stemming strips, for Russian and for English words.
 RU_SUFFIXES = (
-    "ующих ующим ивший ившая ившее ующий ующая ующее иями иям иях ием ями ами ах ях ого его ому ему ыми ими "
-    "ов ев ии ям ам ие ия ию ая яя ое ее ой ей ый ий ом ем ых их ые ою ею ую юю "
-    "ать ять еть ить оть уть ыть ть ти а я у ю е ы и о ь"
-).split()
+    "ующих", "ующим", "ивший", "ившая", "ившее", "ующий", "ующая", "ующее", "иями", "иям", "иях", "ием", "ями", "ами", "ах", "ях",
+    "ого", "его", "ому", "ему", "ыми", "ими", "ов", "ев", "ии", "ям", "ам", "ие", "ия", "ию", "ая", "яя", "ое", "ее", "ой", "ей",
+    "ый", "ий", "ом", "ем", "ых", "их", "ые", "ою", "ею", "ую", "юю", "ать", "ять", "еть", "ить", "оть", "уть", "ыть", "ть", "ти",
+    "а", "я", "у", "ю", "е", "ы", "и", "о", "ь",
+)
 EN_SUFFIXES = (
-    "izations ational ousness iveness fulness ically ization ation tions ators ables ibles "
-    "edly ions ings able ible ment ness fully tion sion ence ance ative ous ive ize ise ies ied ier ing ed es ly s y"
-).split()
+    "izations", "ational", "ousness", "iveness", "fulness", "ically", "ization", "ation", "tions", "ators", "ables", "ibles",
+    "edly", "ions", "ings", "able", "ible", "ment", "ness", "fully", "tion", "sion", "ence", "ance", "ative",
+    "ous", "ive", "ize", "ise", "ies", "ied", "ier", "ing", "ed", "es", "ly", "s", "y",
+)
 #: Fixed value: characters that a stem keeps at least.
 MIN_STEM = 3
 #: Fixed value: what counts as a token.
@@ -33,7 +38,7 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
-def stripped(word: Column, suffixes: list[str]) -> Column:
+def stripped(word: Column, suffixes: Sequence[str]) -> Column:
     """The word without its longest suffix of the list.
 
     The shortest prefix of at least ``MIN_STEM`` characters that a listed suffix completes leaves the longest
@@ -57,6 +62,11 @@ def stem_equals(a: Column, b: Column) -> Column:
     return stem_phrase(a) == stem_phrase(b)
 
 
+def cyrillic_endings(stem_form: str) -> str:
+    """A pattern for a Cyrillic stem with any ending."""
+    return f"{stem_form}[а-яё]*"
+
+
 def normal_title(title: Column) -> Column:
     """A heading in lower case without its leading number."""
     return F.trim(F.regexp_replace(F.lower(title), r"^\d+(\.\d+)*\s*", ""))
@@ -71,12 +81,52 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal_words(text), " "), lambda w: w != ""))
 
 
+# Fixed value: marks that quotes are compared without.
+QUOTE_MARKS = "[«»\"'`„“”‘’(),;:!?–—-]"
+
+
+def normal_quote(text: Column) -> Column:
+    """A quote in lower case, squeezed and without quotation marks, brackets and most punctuation."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "), QUOTE_MARKS, ""))
+
+
+def quote_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(normal_quote(text), " "), lambda w: w != ""))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared words by all words of two word sets; 0 if either is empty."""
     either = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
 
 
+# Word characters of both scripts.
+WORD_CHAR = "[а-яА-ЯёЁa-zA-Z0-9_]"
+WORD_BOUNDARY = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
+
+
+def unicode_pattern(pattern: str) -> str | None:
+    """A rule's pattern with boundaries and word characters of both scripts and without inline flags; null if invalid."""
+    plain = re.sub(r"\(\?[imsu]+\)", "", pattern).replace(r"\b", WORD_BOUNDARY).replace(r"\w", WORD_CHAR)
+    try:
+        re.compile(plain)
+    except re.error:
+        return None
+    return plain
+
+
+def fits(text: Column, pattern: str) -> Column:
+    """Whether a rule's pattern is found in a lowered text; an invalid one never is."""
+    plain = unicode_pattern(pattern)
+    return F.lit(False) if plain is None else F.coalesce(text.rlike(plain), F.lit(False))
+
+
+def found(text: Column, pattern: str) -> Column:
+    """What a rule's pattern matches first in a lowered text, or nothing."""
+    plain = unicode_pattern(pattern)
+    return F.lit("") if plain is None else F.regexp_extract(text, plain, 0)
+
+
 def content_digest(text: Column, chars: int = 200) -> Column:
     """SHA-256 of the first characters of the trimmed text; empty for blank text."""
     head = F.substring(F.trim(F.coalesce(text, F.lit(""))), 1, chars)
@@ -117,11 +167,11 @@ def clean_value(raw: Column) -> Column:
 
 # Units of durations, and Roman phases.
 DURATION_UNITS = {
-    "weeks": "week weeks wk wks нед недел недель недели неделя",
-    "months": "month months mo mos мес месяц месяца месяцев",
-    "days": "day days d день дня дней",
-    "years": "year years yr yrs год года лет",
-}
+    "week": "weeks", "weeks": "weeks", "wk": "weeks", "wks": "weeks", "нед": "weeks", "недел": "weeks", "недель": "weeks", "недели": "weeks", "неделя": "weeks",
+    "month": "months", "months": "months", "mo": "months", "mos": "months", "мес": "months", "месяц": "months", "месяца": "months", "месяцев": "months",
+    "day": "days", "days": "days", "d": "days", "день": "days", "дня": "days", "дней": "days",
+    "year": "years", "years": "years", "yr": "years", "yrs": "years", "год": "years", "года": "years", "лет": "years",
+}
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
 
 
@@ -151,8 +201,7 @@ def canonical_duration(raw: Column) -> Column:
     pattern = r"(\d+)\s*([a-zA-Zа-яА-ЯёЁ.]+)"
     number = F.regexp_replace(F.regexp_extract(raw, pattern, 1), "^0+(?=.)", "")
     unit = F.regexp_replace(F.lower(F.regexp_extract(raw, pattern, 2)), r"\.+$", "")
-    units = {w: k for k, ws in DURATION_UNITS.items() for w in ws.split()}
-    return F.when(raw.rlike(pattern), F.concat_ws(" ", number, looked_up(unit, units))).otherwise(canonical_text(raw))
+    return F.when(raw.rlike(pattern), F.concat_ws(" ", number, looked_up(unit, DURATION_UNITS))).otherwise(canonical_text(raw))
 
 
 def canonical(fact_key: Column, raw: Column) -> Column:
@@ -236,7 +285,7 @@ def html_table(table_html: Column) -> Column:
     rows = F.filter(F.transform(F.regexp_extract_all(table_html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: html_cells(r)), lambda r: F.size(r) > 0)
     heads = html_cells(table_html, "th")
     plain = (F.size(heads) == 0) & (F.size(rows) > 0)
-    return F.struct(F.when(plain, F.get(rows, F.lit(0))).otherwise(heads).alias("headers"), F.when(plain, F.slice(rows, 2, 1_000_000)).otherwise(rows).alias("rows"))
+    return F.struct(F.when(plain, F.get(rows, F.lit(0))).otherwise(heads).alias("headers"), F.when(plain, F.slice(rows, F.lit(2), F.size(rows))).otherwise(rows).alias("rows"))
 
 
 def footnote_marks(text: Column) -> Column:

@@ -18,7 +18,7 @@ HEADER_SYNONYMS = {
     "sponsor": ("sponsor", "спонсор", "sponsored by", "организация спонсор"),
     "study_phase": ("phase", "фаза", "фаза исследования", "phase of study"),
     "indication": ("indication", "показание", "показания", "терапевтическая область", "therapeutic area"),
-    "study_drug": ("investigational product", "investigational medicinal product", "imp", "study drug", "исследуемый препарат", "ип", "исследуемое лекарственное средство"),
+    "study_drug": ("investigational product", "investigational medicinal product", "imp", "study drug", "исследуемый препарат", "ип", "иp", "исследуемое лекарственное средство"),
     "sample_size": ("sample size", "размер выборки", "объем выборки", "число участников", "число пациентов", "n participants", "n patients"),
     "study_duration": ("study duration", "treatment duration", "продолжительность исследования", "длительность лечения", "сроки проведения", "продолжительность участия"),
     "primary_endpoint": ("primary endpoint", "primary outcome", "первичная конечная точка", "основная конечная точка", "первичный критерий"),
@@ -38,18 +38,55 @@ def synonym_table(spark, synonyms: dict[str, Sequence[str]] = HEADER_SYNONYMS) -
     return rows.select("fact_key", header_key(F.col("alias")).alias("key")).where("key <> ''").groupBy("key").agg(F.max("fact_key").alias("fact_key"))
 
 
-def table_facts(rows: DataFrame, id_col: str, order: str, cells: str, synonyms: DataFrame) -> DataFrame:
-    """Facts of two-column rows: the known header's side gives the key, the other side the value."""
-    sides = rows.select(id_col, order, T.squeeze(F.get(F.col(cells), F.lit(0))).alias("l"), T.squeeze(F.get(F.col(cells), F.lit(1))).alias("r")).where("l <> '' and r <> ''")
-    a, b = (F.broadcast(synonyms.select(F.col("key").alias(f"_k{n}"), F.col("fact_key").alias(f"_f{n}"))) for n in "lr")
-    keyed = sides.join(a, header_key(F.col("l")) == F.col("_kl"), "left").join(b, header_key(F.col("r")) == F.col("_kr"), "left").where("_fl is not null or _fr is not null")
-    return keyed.select(id_col, order, F.coalesce("_fl", "_fr").alias("fact_key"), F.when(F.col("_fl").isNotNull(), F.col("r")).otherwise(F.col("l")).alias("value"))
+#: Fixed value: the length that cells are cut to.
+MAX_CELL = 240
 
 
-def zone_pairs(zones: DataFrame, id_col: str, zone: str, affinity: DataFrame) -> DataFrame:
-    """Pairs of zones to check against each other that a document has both of; ``affinity`` has ``a`` and ``b``."""
+def cell_text(value: Column) -> Column:
+    return F.substring(T.squeeze(F.coalesce(value, F.lit(""))), 1, MAX_CELL)
+
+
+def table_facts(rows: DataFrame, id_col: str, order: str, cells: str, synonyms: DataFrame, headers: str | None = None) -> DataFrame:
+    """Facts of a table's rows: of the first two cells the one that is a known header gives the key, the other the value.
+
+    With ``headers`` (an array column), a known first header also gives the key of every row's second cell.  Facts of
+    rows come before those of the header.
+    """
+    base = rows.select(id_col, order, cell_text(F.get(F.col(cells), F.lit(0))).alias("l"), cell_text(F.get(F.col(cells), F.lit(1))).alias("r"), (F.get(F.col(headers), F.lit(0)) if headers else F.lit(None).cast("string")).alias("h"), (F.size(headers) >= 2 if headers else F.lit(False)).alias("wide"))
+    names = {n: synonyms.select(F.col("key").alias(f"_k{n}"), F.col("fact_key").alias(f"_f{n}")) for n in "lrh"}
+    sides = base.where("l <> '' and r <> ''")
+    keyed = sides.join(names["l"], header_key(F.col("l")) == F.col("_kl"), "left").join(names["r"], header_key(F.col("r")) == F.col("_kr"), "left").where("_fl is not null or _fr is not null")
+    found = keyed.select(id_col, order, F.lit(0).alias("layout"), F.coalesce("_fl", "_fr").alias("fact_key"), F.when(F.col("_fl").isNotNull(), F.col("r")).otherwise(F.col("l")).alias("value"))
+    if not headers:
+        return found.drop("layout")
+    by_header = base.where("wide and r <> ''").join(names["h"], header_key(F.col("h")) == F.col("_kh")).select(id_col, order, F.lit(1).alias("layout"), F.col("_fh").alias("fact_key"), F.col("r").alias("value"))
+    return found.unionByName(by_header)
+
+
+# Zones that are checked against each other where nothing is configured.
+ZONE_AFFINITY = (
+    ("synopsis", "overview"), ("synopsis", "design"), ("synopsis", "endpoints"), ("synopsis", "population"), ("synopsis", "ip"), ("synopsis", "safety"), ("synopsis", "statistics"), ("synopsis", "procedures"),
+    ("overview", "endpoints"), ("endpoints", "statistics"), ("endpoints", "procedures"), ("design", "procedures"), ("design", "population"), ("design", "appendix"),
+    ("safety", "ip"), ("safety", "procedures"), ("safety", "population"), ("safety", "ethics"), ("population", "statistics"), ("ip", "procedures"),
+    ("data_management", "statistics"), ("data_management", "procedures"), ("design", "statistics"), ("design", "ip"), ("safety", "statistics"), ("population", "procedures"), ("ip", "population"),
+    ("overview", "design"), ("overview", "population"), ("ethics", "population"), ("ethics", "procedures"),
+)
+
+
+def affinity_table(spark, pairs: Sequence[tuple[str, str]] = ZONE_AFFINITY) -> DataFrame:
+    return spark.createDataFrame(list(pairs), "a string, b string")
+
+
+def zone_pairs(zones: DataFrame, id_col: str, zone: str, affinity: DataFrame, manual: DataFrame | None = None) -> DataFrame:
+    """Pairs of zones to check against each other that a document has both of; ``affinity`` has ``a`` and ``b``.
+
+    A document with ``manual`` pairs (``id_col``, ``a``, ``b``) takes those instead.
+    """
     have = zones.select(id_col, F.substring_index(zone, ".", 1).alias("z")).distinct()
-    first = have.join(F.broadcast(affinity), have["z"] == affinity["a"]).select(id_col, "a", "b")
+    open_zones = have if manual is None else have.join(manual.select(id_col), id_col, "left_anti")
+    first = open_zones.join(affinity, open_zones["z"] == affinity["a"]).select(id_col, "a", "b")
+    if manual is not None:
+        first = first.unionByName(manual.select(id_col, "a", "b").join(have.withColumnRenamed("z", "a"), [id_col, "a"], "left_semi"))
     return first.join(have.withColumnRenamed("z", "b"), [id_col, "b"], "left_semi").select(id_col, "a", "b")
 
 
@@ -88,38 +125,56 @@ def resolve_zone(raw: DataFrame, column: str, zones: Sequence[str], most: int =
     return raw.withColumn("zone", F.coalesce(*(F.element_at(known, k) for k in (value, flat(value), inner, flat(inner))), near["zone"]))
 
 
+# Overlaps of quotes for a strict and a lenient match, and the lenient score by type and zone.
+STRICT, LENIENT, BY_PLACE = 0.7, 0.5, 0.5
+
+
 def overlap_pairs(predicted: DataFrame, expected: DataFrame, group: str) -> DataFrame:
-    """Scored pairs of findings of one group and family: the Jaccard similarity of their quotes."""
+    """Scored pairs of findings of one group and family: the overlap of their quotes, and a strict and a lenient score.
+
+    Strict: the same type and zone, and the strict overlap.  Lenient: the lenient overlap, else the same type and zone.
+    """
     def prepared(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(F.col(group).alias("g"), F.upper(F.trim("family")).alias("f"), F.col("id").alias(name), T.word_set(F.col("quote")).alias(f"{name}_words"))
+        return rows.select(F.col(group).alias("g"), F.nullif(F.upper(F.trim("family")), F.lit("")).alias("f"), F.col("id").alias(name), T.quote_words(F.col("quote")).alias(f"{name}_words"), F.nullif(F.lower(F.trim("kind")), F.lit("")).alias(f"{name}_kind"), F.nullif(F.upper(F.trim("zone")), F.lit("")).alias(f"{name}_zone"))
 
     pairs = prepared(predicted, "predicted").join(prepared(expected, "expected"), ["g", "f"])
-    return pairs.select(F.col("g").alias(group), "predicted", "expected", T.jaccard(F.col("predicted_words"), F.col("expected_words")).alias("overlap"))
+    place = F.coalesce((F.col("predicted_kind") == F.col("expected_kind")) & (F.col("predicted_zone") == F.col("expected_zone")), F.lit(False))
+    scored = pairs.select(F.col("g").alias(group), "predicted", "expected", T.jaccard(F.col("predicted_words"), F.col("expected_words")).alias("overlap"), place.alias("place"))
+    overlap = F.col("overlap")
+    strict = F.when(F.col("place") & (overlap >= STRICT), overlap).otherwise(0.0)
+    lenient = F.when(overlap >= LENIENT, overlap).when(F.col("place"), BY_PLACE).otherwise(0.0)
+    return scored.withColumn("strict", strict).withColumn("lenient", lenient).drop("place")
 
 
-def match_findings(predicted: DataFrame, expected: DataFrame, group: str, least: float = 0.5) -> DataFrame:
-    """One-to-one matches of findings by descending overlap within each group."""
-    return evaluation.greedy_pairs(overlap_pairs(predicted, expected, group), group, "predicted", "expected", "overlap", least)
+def match_findings(predicted: DataFrame, expected: DataFrame, group: str, score: str = "lenient") -> DataFrame:
+    """One-to-one matches of findings by descending score (``strict`` or ``lenient``) within each group."""
+    scored = overlap_pairs(predicted, expected, group).where(F.col(score) > 0)
+    return evaluation.greedy_pairs(scored, group, "predicted", "expected", score, 0.0)
 
 
 def judge_candidates(predicted: DataFrame, expected: DataFrame, group: str, k: int = 3) -> DataFrame:
     """The ``k`` most overlapping expected findings of each predicted one, for a judge."""
     n = F.row_number().over(Window.partitionBy(group, "predicted").orderBy(F.desc("overlap"), "expected"))
-    return overlap_pairs(predicted, expected, group).withColumn("rank", n).where(F.col("rank") <= k)
+    return overlap_pairs(predicted, expected, group).drop("strict", "lenient").withColumn("rank", n).where(F.col("rank") <= k)
 
 
 def judged(candidates: DataFrame, verdicts: DataFrame, group: str) -> DataFrame:
-    """Accepted candidates where each expected finding is used once, in order of predicted id and rank."""
+    """Accepted candidates where each expected finding is used once, in order of predicted id and rank.
+
+    What is free depends on the choices before, so each group is folded in order.
+    """
     accepted = candidates.join(verdicts.where("same"), [group, "predicted", "expected"], "left_semi")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        used, done, out = set(), set(), []
-        for row in rows.sort_values(["predicted", "rank"]).to_dict("records"):
-            if row["predicted"] not in done and row["expected"] not in used:
-                done.add(row["predicted"])
-                used.add(row["expected"])
-                out.append(row)
-        return pd.DataFrame(out, columns=list(rows.columns))
+        used, done, keep = set(), set(), []
+        rows = rows.sort_values(["predicted", "rank"])
+        for p, e in zip(rows["predicted"], rows["expected"]):
+            free = p not in done and e not in used
+            keep.append(free)
+            if free:
+                done.add(p)
+                used.add(e)
+        return rows[keep]
 
     return accepted.groupBy(group).applyInPandas(fold, accepted.schema)
 
@@ -153,20 +208,31 @@ def structure_diff(expected: DataFrame, actual: DataFrame, id_col: str) -> DataF
 
 
 def link_findings(findings: DataFrame, sections: DataFrame, group: str) -> DataFrame:
-    """``id`` and ``section_id``: the section that holds the finding's quote in its zone, else the first that
-    holds it, else the first of its zone.
+    """``id`` and ``section_id``: the first section that holds one of the finding's quotes and lies in one of its zones,
+    else the first that holds a quote, else the first in a zone.
 
-    Quotes are normalised, cut to 60 characters, and used from 12 characters on.
+    ``quotes`` and ``zones`` are arrays; quotes are normalised, cut to 60 characters, and used from 12 characters on.  A
+    section (``standard``) lies in a zone that is its own, its root or a part before a dot.
     """
-    quote = F.substring(F.lower(T.squeeze(F.coalesce("quote", F.lit("")))), 1, 60)
-    f = findings.select(F.col(group).alias("g"), "id", F.when(F.length(quote) >= 12, quote).alias("q"), F.col("zone").alias("z"))
-    s = sections.select(F.col(group).alias("sg"), F.col("section_id"), F.col("ord"), F.col("zone").alias("sz"), F.lower(T.squeeze(F.coalesce("content", F.lit("")))).alias("c"))
-    inside, fits = F.coalesce(F.contains("c", F.col("q")), F.lit(False)), F.coalesce(F.col("z") == F.col("sz"), F.lit(False))
+    flat = lambda c: F.lower(T.squeeze(c))
+    probes = F.filter(F.transform(F.filter("quotes", lambda q: F.trim(F.coalesce(q, F.lit(""))) != ""), lambda q: F.substring(flat(q), 1, 60)), lambda p: F.length(p) >= 12)
+    f = findings.select(F.col(group).alias("g"), "id", probes.alias("probes"), F.filter("zones", lambda z: F.coalesce(z, F.lit("")) != "").alias("wanted"))
+    s = sections.select(F.col(group).alias("sg"), "section_id", "ord", F.coalesce("standard", F.lit("")).alias("standard"), flat(F.coalesce("content", F.lit(""))).alias("c"))
+    inside = F.exists("probes", lambda p: F.contains(F.col("c"), p))
+    fits = F.exists("wanted", lambda z: (F.substring_index("standard", ".", 1) == z) | (F.col("standard") == z) | F.startswith(F.col("standard"), F.concat(z, F.lit("."))))
     joined = f.join(s, (F.col("g") == F.col("sg")) & (inside | fits))
     rank = F.when(inside & fits, 0).when(inside, 1).otherwise(2)
     return joined.groupBy("id").agg(F.min_by("section_id", F.struct(rank, "ord")).alias("section_id"))
 
 
+def verified_tables(tables: DataFrame, answers: DataFrame, key: str = "block_id") -> DataFrame:
+    """Detected schedules with a model's answer (``is_schedule``, ``confidence``): a disagreement is checked again
+    (``llm_qa``), an agreement isn't (``llm_check``); without an answer both columns are null."""
+    a = answers.select(F.col(key).alias("_key"), F.col("is_schedule").alias("_says"), F.col("confidence").alias("model_confidence"))
+    level = F.when(F.col("_says").isNull(), None).when(F.col("_says"), "llm_check").otherwise("llm_qa")
+    return tables.join(a, tables[key] == a["_key"], "left").withColumn("verification", level).drop("_key", "_says")
+
+
 def prefix_sources(targets: DataFrame, sections: DataFrame, group: str, fallback: int = 5) -> DataFrame:
     """Sections for each wanted zone: by prefix, else by title, else the document's first ``fallback``.
 

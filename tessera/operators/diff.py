@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import difflib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,37 +18,57 @@ def last_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", n).where("_n = 1").drop("_n")
 
 
-def diff_values(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
-    """``key``, ``change``, ``old_value`` and ``new_value`` of a keyed diff; keys are unique on either side."""
+def diff_values(old: DataFrame, new: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """``key``, ``change``, ``old_value`` and ``new_value`` of a keyed diff; of repeated keys the last in ``order`` counts."""
+    if order:
+        old, new = last_wins(old, key, order), last_wins(new, key, order)
     a, b = old.select(key, F.col(value).alias("old_value"), F.lit(1).alias("_a")), new.select(key, F.col(value).alias("new_value"), F.lit(1).alias("_b"))
     change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(F.col("old_value").eqNullSafe(F.col("new_value")), "unchanged").otherwise("modified")
     return a.join(b, key, "full").select(key, change.alias("change"), "old_value", "new_value")
 
 
-def diff_sections(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Section diff over ``ord``, ``title``, ``standard``, ``content``: ``change``, ``title``, ``standard``, both orders.
+def diff_sections(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Section diff over ``key``, ``ord``, ``title``, ``standard``, ``content``: ``key``, ``change``, ``title``, ``standard``, both orders.
 
-    An old section matches the first new one with the same standard section or the same normalised title.  The
-    two conditions are two equi joins whose best row is kept, not one disjunctive join.  A new section nobody
-    matched is added, unless an old or earlier added one has its title or standard section.
+    Within a document (``key``) an old section matches the first new one with the same standard section or the same
+    normalised title: two equi joins on reduced tables, not one disjunctive join.  A new section nobody matched is
+    added, unless an old or earlier added one has its title or standard section.
+    """
+    a = old.select(key, F.col("ord").alias("old_ord"), F.col("title").alias("old_title"), F.nullif("standard", F.lit("")).alias("old_standard"), F.col("content").alias("old_content"), T.normal_title(F.col("title")).alias("_title"))
+    b = new.select(key, F.col("ord").alias("new_ord"), F.struct("ord", "title", F.nullif("standard", F.lit("")).alias("standard"), "content").alias("new"), T.normal_title(F.col("title")).alias("_title"))
+    # the first new section of each title and of each standard section, so no join multiplies rows
+    by_title = b.groupBy(key, "_title").agg(F.min_by("new", "new_ord").alias("t"))
+    by_standard = b.where("new.standard is not null").groupBy(key, F.col("new.standard").alias("old_standard")).agg(F.min_by("new", "new_ord").alias("s"))
+    both = a.join(by_title, [key, "_title"], "left").join(by_standard, [key, "old_standard"], "left")
+    new_of = F.when(F.col("t").isNull() | (F.col("s.ord") < F.col("t.ord")), F.col("s")).otherwise(F.col("t"))
+    matched = both.withColumn("new", new_of)
+    change = F.when(F.col("new").isNull(), "removed").when(F.col("old_content").eqNullSafe(F.col("new.content")), "unchanged").otherwise("modified")
+    standard = F.coalesce("old_standard", "new.standard")
+    diffs = matched.select(key, change.alias("change"), F.coalesce("new.title", "old_title").alias("title"), standard.alias("standard"), "old_ord", F.col("new.ord").alias("new_ord"))
+    free = b.select(key, "new_ord", F.col("new.title").alias("title"), F.col("new.standard").alias("standard"))
+    free = free.join(diffs.select(key, "new_ord"), [key, "new_ord"], "left_anti").join(diffs.select(key, "title"), [key, "title"], "left_anti").join(diffs.select(key, "standard"), [key, "standard"], "left_anti")
+    return diffs.unionByName(added_sections(free, key).select(key, F.lit("added").alias("change"), "title", "standard", F.lit(None).cast("long").alias("old_ord"), "new_ord"))
+
+
+def added_sections(free: DataFrame, key: str) -> DataFrame:
+    """Of the unmatched sections (``key``, ``new_ord``, ``title``, ``standard``) those that no earlier *added* one of
+    the document blocks by its title or standard section.
+
+    Whether a section blocks depends on those before it, so a document's are folded in order.
     """
-    a = old.select(F.col("ord").alias("old_ord"), F.col("title").alias("old_title"), F.col("standard").alias("old_standard"), F.col("content").alias("old_content"), T.normal_title(F.col("title")).alias("old_key"))
-    b = new.select(F.col("ord").alias("new_ord"), F.col("title").alias("new_title"), F.col("standard").alias("new_standard"), F.col("content").alias("new_content"), T.normal_title(F.col("title")).alias("new_key"))
-    either = a.join(b, a["old_standard"] == b["new_standard"]).unionByName(a.join(b, a["old_key"] == b["new_key"]))
-    first = F.row_number().over(Window.partitionBy("old_ord").orderBy("new_ord"))
-    matched = either.withColumn("_n", first).where("_n = 1").drop("_n")
-    joined = a.join(matched.select("old_ord", "new_ord", "new_title", "new_standard", "new_content"), "old_ord", "left")
-    change = F.when(F.col("new_ord").isNull(), "removed").when(F.col("old_content").eqNullSafe(F.col("new_content")), "unchanged").otherwise("modified")
-    diffs = joined.select(change.alias("change"), F.coalesce("new_title", "old_title").alias("title"), F.when(F.col("new_ord").isNull(), F.col("old_standard")).otherwise(F.coalesce("old_standard", "new_standard")).alias("standard"), "old_ord", "new_ord")
-    free = b.join(matched.select(F.col("new_ord").alias("_m")).distinct(), F.col("new_ord") == F.col("_m"), "left_anti")
-    free = free.join(diffs.select(F.col("title").alias("_t")).distinct(), F.col("new_title") == F.col("_t"), "left_anti")
-    free = free.join(diffs.where("standard is not null").select(F.col("standard").alias("_s")).distinct(), F.col("new_standard") == F.col("_s"), "left_anti")
-    by_title = F.row_number().over(Window.partitionBy("new_title").orderBy("new_ord"))
-    free = free.withColumn("_n", by_title).where("_n = 1")
-    by_standard = F.when(F.col("new_standard").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("new_standard").orderBy("new_ord")))
-    free = free.withColumn("_n", by_standard).where("_n = 1")
-    added = free.select(F.lit("added").alias("change"), F.col("new_title").alias("title"), F.col("new_standard").alias("standard"), F.lit(None).cast("long").alias("old_ord"), "new_ord")
-    return diffs.unionByName(added)
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        titles, standards, kept = set(), set(), []
+        rows = rows.sort_values("new_ord")
+        for title, standard in zip(rows["title"], rows["standard"]):
+            free = title not in titles and (standard is None or standard not in standards)
+            kept.append(free)
+            if free:
+                titles.add(title)
+                standards.add(standard)
+        return rows[kept]
+
+    return free.groupBy(key).applyInPandas(fold, free.schema)
 
 
 def impact(changes: DataFrame, mapping: dict[str, list[str]], section: str = "standard", change: str = "change", parts: Column | None = None) -> DataFrame:
@@ -52,29 +77,38 @@ def impact(changes: DataFrame, mapping: dict[str, list[str]], section: str = "st
     table = spark.createDataFrame([(k, v) for k, vs in mapping.items() for v in vs], "_section string, impacted string")
     many = (parts > 5) if parts is not None else F.lit(False)
     severity = F.when((F.col(change) == "removed") | many, "high").otherwise("medium")
-    rows = changes.where(F.col(change) != "unchanged").join(F.broadcast(table), F.col(section) == F.col("_section"))
+    rows = changes.where(F.col(change) != "unchanged").join(table, F.col(section) == F.col("_section"))
     return rows.withColumn("severity", severity).withColumn("requires_update", F.col("severity") == "high").drop("_section")
 
 
-def relink(expected: DataFrame, actual: DataFrame, key: str, conditions: list[tuple[str, str]]) -> DataFrame:
-    """``key``, ``target`` and ``how``: the first condition, in order, whose column equals one of ``actual``.
+def relink(expected: DataFrame, actual: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """``id``, ``section_id`` and ``method`` of each expected section, by the first way that finds one: its paragraph, the
+    digest of its content, a snippet inside a title of its level, or its title's occurrence (the first, if there are fewer).
 
-    ``conditions`` are (name, column) pairs; both sides have the columns, and ``actual`` an ``ord`` and a ``target``.
+    Expected rows have ``paragraph``, ``digest``, ``snippet``, ``level``, ``title`` and ``occurrence``, actual ones
+    ``section_id``, ``ord``, ``paragraph``, ``digest``, ``level`` and ``title``.  Where actual paragraphs or digests repeat, the last counts.
     """
-    out = expected
-    for name, column in conditions:
-        firsts = actual.where(F.col(column).isNotNull()).groupBy(column).agg(F.min_by("target", "ord").alias(f"_{name}")).withColumnRenamed(column, f"_on_{name}")
-        out = out.join(firsts, out[column] == F.col(f"_on_{name}"), "left").drop(f"_on_{name}")
-    names = [n for n, _ in conditions]
-    how = F.coalesce(*(F.when(F.col(f"_{n}").isNotNull(), F.lit(n)) for n in names))
-    return out.select(key, F.coalesce(*(F.col(f"_{n}") for n in names)).alias("target"), how.alias("how"))
+    key = F.lower(F.trim("title"))
+    last = F.max_by("section_id", "ord")
+    out = expected.withColumn("_title", key).withColumn("_needle", F.nullif(F.lower(F.trim("snippet")), F.lit("")))
+    by_paragraph = actual.where("paragraph is not null").groupBy(doc, "paragraph").agg(last.alias("_paragraph"))
+    by_digest = actual.where("digest <> ''").groupBy(doc, "digest").agg(last.alias("_digest"))
+    place = F.row_number().over(Window.partitionBy(doc, "_title").orderBy("ord")) - 1
+    titled = actual.withColumn("_title", key).withColumn("occurrence", place).select(doc, "_title", "occurrence", "section_id")
+    out = out.withColumn("occurrence", F.coalesce("occurrence", F.lit(0)))
+    out = out.join(by_paragraph, [doc, "paragraph"], "left").join(by_digest, [doc, "digest"], "left")
+    out = out.join(titled.withColumnRenamed("section_id", "_nth"), [doc, "_title", "occurrence"], "left").join(titled.where("occurrence = 0").select(doc, "_title", F.col("section_id").alias("_first")), [doc, "_title"], "left")
+    # a substring has no key but the document and the level: only rows without a better way are compared
+    open_rows = out.where("_paragraph is null and _digest is null and _needle is not null").select(doc, "level", "id", "_needle")
+    inside = open_rows.join(actual.select(doc, "level", "title", "ord", "section_id"), [doc, "level"]).where(F.contains(F.lower("title"), F.col("_needle")))
+    out = out.join(inside.groupBy("id").agg(F.min_by("section_id", "ord").alias("_snippet")), "id", "left").withColumn("_title_occurrence", F.coalesce("_nth", "_first"))
+    ways = ("paragraph", "digest", "snippet", "title_occurrence")
+    how = F.coalesce(*(F.when(F.col(f"_{w}").isNotNull(), F.lit(w)) for w in ways))
+    return out.select("id", F.coalesce(*(F.col(f"_{w}") for w in ways)).alias("section_id"), how.alias("method"))
 
 
 def word_changes(old: str, new: str) -> list[tuple[str, str]]:
     """Parts of a word diff: (equal, remove or add; text)."""
-    import difflib
-    import re
-
     a, b = (re.findall(r"\w+|\s+|[^\w\s]", t or "") for t in (old, new))
     parts: list[tuple[str, str]] = []
     for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
@@ -86,3 +120,13 @@ def word_changes(old: str, new: str) -> list[tuple[str, str]]:
         if k < m:
             parts.append(("add", "".join(b[k:m])))
     return parts
+
+
+def with_word_changes(rows: DataFrame, old: str, new: str) -> DataFrame:
+    """Adds ``parts``: the word diff of two text columns, an array of (kind, text).  Equal texts are not compared."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            yield own.assign(parts=[word_changes(a, b) if a != b else [("equal", a)] if a else [] for a, b in zip(own[old], own[new])])
+
+    return rows.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", parts array<struct<kind: string, text: string>>")

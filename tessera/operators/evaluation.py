@@ -79,3 +79,17 @@ def delta(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFra
     """Both metrics and their difference by key; null where either is missing."""
     a, b = before.select(key, F.col(metric).alias("before")), after.select(key, F.col(metric).alias("after"))
     return a.join(b, key, "full").select(key, "before", "after", F.round(F.col("after") - F.col("before"), 6).alias("delta"))
+
+
+def priors(rows: DataFrame, keys: list[str], actual: str, least: int = 3) -> DataFrame:
+    """By keys: the mean of ``actual`` less the mean over all rows; groups under ``least`` rows have no prior."""
+    sums = rows.groupBy(*keys).agg(F.sum(actual).alias("s"), F.count("*").alias("n"))
+    whole = sums.agg((F.sum("s") / F.sum("n")).alias("mean"))  # one row
+    return sums.where(F.col("n") >= least).crossJoin(whole).select(*keys, F.round(F.col("s") / F.col("n") - F.col("mean"), 6).alias("prior"))
+
+
+def progress(annotations: DataFrame, group: str) -> DataFrame:
+    """By group: open, answered and finalized annotations, and open questions."""
+    status, question = F.col("status"), F.col("is_question")
+    counts = (("open", (status == "open") & ~question), ("answered", status == "answered"), ("finalized", status == "finalized"), ("open_questions", (status == "open") & question))
+    return annotations.groupBy(group).agg(*(F.count_if(test).alias(name) for name, test in counts))

@@ -6,6 +6,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
+
+#: Patterns that are held in one expression.
+MAX_PATTERNS = 1_000
+
 
 def keep_best(findings: DataFrame, group: list[str], key: Column, order: list[Column]) -> DataFrame:
     """One finding of each key, the first in order; findings without a key are all kept."""
@@ -16,28 +22,34 @@ def keep_best(findings: DataFrame, group: list[str], key: Column, order: list[Co
 
 
 def near_duplicates_removed(findings: DataFrame, group: str, order: str) -> DataFrame:
-    """Sequential removal: equal normalised descriptions, or equal types where one snippet holds the other's start."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in rows.sort_values(order).to_dict("records"):
-            text = " ".join((row["description"] or "").lower().split())
-            snippet = (row["snippet"] or "").strip()
+    """Sequential removal: equal normalised descriptions, or equal types where one snippet holds the other's start.
 
-            def same(other: dict) -> bool:
-                if text and text == " ".join((other["description"] or "").lower().split()):
-                    return True
-                theirs = (other["snippet"] or "").strip()
-                if row["kind"] != other["kind"] or min(len(snippet), len(theirs)) <= 20:
-                    return False
-                short, long = sorted((snippet, theirs), key=len)
-                return short[:60] in long
-
-            if not any(map(same, kept)):
-                kept.append(row)
-        return pd.DataFrame(kept, columns=list(rows.columns))
-
-    return findings.groupBy(group).applyInPandas(fold, findings.schema)
+    Texts are normalised and repeated descriptions dropped in Spark (the first of each is kept or goes by its snippet,
+    and so do the others); only the kept snippets of one type are compared one by one.
+    """
+    flat = F.lower(T.squeeze(F.coalesce("description", F.lit(""))))
+    schema = findings.schema
+    rows = findings.withColumn("_text", flat).withColumn("_snippet", F.trim(F.coalesce("snippet", F.lit(""))))
+
+    def fold(own: pd.DataFrame) -> pd.DataFrame:
+        texts, snippets, keep = set(), {}, []
+        own = own.sort_values(order)
+        for text, kind, snippet in zip(own["_text"], own["kind"], own["_snippet"]):
+            same = text != "" and text in texts
+            if not same and len(snippet) > 20:
+                for other in snippets.get(kind, ()):
+                    short, long = sorted((snippet, other), key=len)
+                    if short[:60] in long:
+                        same = True
+                        break
+            keep.append(not same)
+            if not same:
+                texts.add(text)
+                if len(snippet) > 20:
+                    snippets.setdefault(kind, []).append(snippet)
+        return own[keep].drop(columns=["_text", "_snippet"])
+
+    return rows.groupBy(group).applyInPandas(fold, schema)
 
 
 def histograms(rows: DataFrame, columns: dict[str, str | None]) -> DataFrame:
@@ -75,16 +87,46 @@ def page(rows: DataFrame, order: list[tuple[str, bool]], after: tuple | None, ta
     return rows.orderBy(*(F.desc_nulls_last(n) if down else F.asc_nulls_last(n) for n, down in order)).limit(take)
 
 
+def capped(rows: DataFrame, order: list[Column], cap: int) -> DataFrame:
+    """The first ``cap`` rows with ``truncated``: whether there are more."""
+    top = rows.orderBy(*order).limit(cap + 1)
+    n = top.withColumn("_n", F.row_number().over(Window.orderBy(*order)))  # of cap + 1 rows at most
+    return n.withColumn("truncated", F.max("_n").over(Window.partitionBy()) > cap).where(F.col("_n") <= cap).drop("_n")
+
+
 def longest_pattern(rows: DataFrame, patterns: DataFrame, text: str, pattern: str, order: str) -> DataFrame:
     """The row with the longest pattern that its text contains, ties to the first; null where none does.
 
-    ``patterns`` is a small table of settings: it is collected into one expression, so nothing is joined.
+    Up to ``MAX_PATTERNS`` patterns become one expression, so nothing is joined; more are joined to the distinct texts.
     """
-    table = sorted(patterns.collect(), key=lambda r: (-len(r[pattern]), r[order]))
+    few = patterns.limit(MAX_PATTERNS + 1).collect()
+    if len(few) > MAX_PATTERNS:
+        texts = rows.select(text).distinct()
+        hits = texts.join(patterns.select(F.col(pattern), F.col(order).alias("_o")), F.contains(F.col(text), F.col(pattern)))
+        best = hits.groupBy(text).agg(F.max_by(pattern, F.struct(F.length(pattern), -F.col("_o"))).alias(pattern))
+        return rows.join(best, text, "left")
+    table = sorted(few, key=lambda r: (-len(r[pattern]), r[order]))
     found = F.coalesce(*(F.when(F.contains(F.col(text), F.lit(r[pattern])), F.lit(r[pattern])) for r in table), F.lit(None).cast("string"))
     return rows.withColumn(pattern, found)
 
 
+def changed_fields(original: Column, corrected: Column) -> Column:
+    """The pattern of a correction between two JSON objects: ``field:type->type`` of each changed field in order of
+    their names, joined by bars; ``no_change`` without any.
+    """
+    a, b = (F.from_json(c, "map<string,variant>") for c in (original, corrected))
+
+    def kind(v: Column) -> Column:
+        name = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+        return F.when(name == "VOID", "null").when(name == "STRING", "string").when(name == "BOOLEAN", "boolean").when(name.rlike("^(OBJECT|ARRAY)"), "object").otherwise("number")
+
+    names = F.array_sort(F.array_union(F.coalesce(F.map_keys(a), F.array()), F.coalesce(F.map_keys(b), F.array())))
+    of = lambda m, f: F.element_at(m, f)
+    differ = F.filter(names, lambda f: ~F.to_json(of(a, f)).eqNullSafe(F.to_json(of(b, f))))
+    parts = F.transform(differ, lambda f: F.concat(f, F.lit(":"), kind(of(a, f)), F.lit("->"), kind(of(b, f))))
+    return F.when(F.size(differ) > 0, F.array_join(parts, "|")).otherwise("no_change")
+
+
 def mine_corrections(corrections: DataFrame, key: list[str], least: int = 3) -> DataFrame:
     """Patterns of corrections with their frequency; at least ``least`` make a recommendation."""
     found = corrections.groupBy(*key).agg(F.count("*").alias("frequency"), F.min("ord").alias("first_ord"))

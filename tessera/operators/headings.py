@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,17 +51,17 @@ def base_size(paragraphs: DataFrame, id_col: str) -> DataFrame:
 def number_paragraphs(paragraphs: DataFrame, levels: DataFrame, id_col: str = "doc_id", order: str = "ord") -> DataFrame:
     """Adds ``number`` to paragraphs with ``num_id`` and ``ilvl``.
 
-    ``levels``: ``num_id``, ``ilvl``, ``start`` and ``format`` (``%1.%2``), a small table.  Counters run along a
-    document, so each document is folded in order.
+    ``levels``: each document's (``id_col``) ``num_id``, ``ilvl``, ``start`` and ``format`` (``%1.%2``).  Counters run
+    along a document, so each document is folded in order, together with its levels.
     """
-    table = {(r["num_id"], r["ilvl"]): (r["start"], r["format"]) for r in levels.collect()}
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+    def fold(rows: pd.DataFrame, own_levels: pd.DataFrame) -> pd.DataFrame:
+        table = {(int(n), int(i)): (int(s), f) for n, i, s, f in zip(*(own_levels[c] for c in ("num_id", "ilvl", "start", "format")))}
         rows = rows.sort_values(order)
         counters: dict[int, dict[int, int]] = {}
         numbers = []
         for num, lvl in zip(rows["num_id"], rows["ilvl"]):
-            if pd.isna(num) or (int(num), int(lvl)) not in table:
+            if pd.isna(num) or pd.isna(lvl) or (int(num), int(lvl)) not in table:
                 numbers.append(None)
                 continue
             num, lvl = int(num), int(lvl)
@@ -73,10 +73,10 @@ def number_paragraphs(paragraphs: DataFrame, levels: DataFrame, id_col: str = "d
             for k in range(9, 0, -1):
                 shape = shape.replace(f"%{k}", str(own.get(k - 1, table.get((num, k - 1), (1, ""))[0])))
             numbers.append(shape.rstrip(".)]: \t"))
-        return rows.assign(number=numbers)
+        return rows.assign(number=pd.Series(numbers, rows.index, object))
 
     schema = ", ".join(f"`{n}` {k}" for n, k in paragraphs.dtypes) + ", number string"
-    return paragraphs.groupBy(id_col).applyInPandas(fold, schema)
+    return paragraphs.groupBy(id_col).cogroup(levels.groupBy(id_col)).applyInPandas(fold, schema)
 
 
 def chunks(text: str, size: int = 8000, overlap: int = 1000) -> list[str]:
@@ -94,6 +94,39 @@ def chunks(text: str, size: int = 8000, overlap: int = 1000) -> list[str]:
     return out
 
 
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 8000, overlap: int = 1000) -> DataFrame:
+    """``id_col``, ``chunk`` (from 0) and ``text`` of the overlapping pieces of every text; null and empty texts have none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = [(key, i, piece) for key, text in zip(rows[id_col], rows[text_col]) if text for i, piece in enumerate(chunks(text, size, overlap))]
+            yield pd.DataFrame(found, columns=[id_col, "chunk", "text"])
+
+    return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {dict(docs.dtypes)[id_col]}, chunk int, text string")
+
+
+# With fewer headings, or fewer of the sure methods, a model is asked, and what those methods are.
+FEW_HEADINGS, FEW_SURE, SURE_METHODS = 20, 10, ("style", "outline", "numbered")
+
+
+def with_fallback(headings: DataFrame, paragraphs: DataFrame, answers: DataFrame, id_col: str = "doc_id", deepest: int = 9) -> DataFrame:
+    """Headings (``id_col``, ``paragraph``, ``text``, ``level``, ``method``) where a model's (``paragraph``, ``level``)
+    replace a document's own.
+
+    A model is asked where headings are few or few are sure; its answer counts if it names more headings, of existing
+    paragraphs and levels from 1 to 9, than were sure.
+    """
+    sure = F.count_if(F.col("method").isin(*SURE_METHODS))
+    counted = headings.groupBy(id_col).agg(F.count("*").alias("_n"), sure.alias("_sure"))
+    documents = paragraphs.select(id_col).distinct().join(counted, id_col, "left").select(id_col, F.coalesce("_n", F.lit(0)).alias("_n"), F.coalesce("_sure", F.lit(0)).alias("_sure"))
+    asked = documents.where((F.col("_n") < FEW_HEADINGS) | (F.col("_sure") < FEW_SURE))
+    named = answers.where("level between 1 and 9").join(paragraphs.select(id_col, "paragraph", "text"), [id_col, "paragraph"]).join(asked, id_col)
+    enough = named.groupBy(id_col).agg(F.count("*").alias("_m"), F.first("_sure").alias("_sure")).where("_m > _sure").select(id_col)
+    theirs = named.join(enough, id_col, "left_semi").select(id_col, "paragraph", F.trim("text").alias("text"), F.least("level", F.lit(deepest)).alias("level"), F.lit("llm").alias("method"))
+    own = headings.join(enough, id_col, "left_anti").select(id_col, "paragraph", "text", "level", "method")
+    return own.unionByName(theirs)
+
+
 def budget_batches(rows: DataFrame, id_col: str, order: str, size: str, budget: int, most: int) -> DataFrame:
     """Adds ``batch``: consecutive rows whose sizes stay within a budget and a count."""
 

@@ -9,6 +9,8 @@ from tessera.functions import text as T
 
 # BM25's parameters.
 K1, B = 1.5, 0.75
+#: Terms of all queries that filter the postings as literals; with more of them the join alone does.
+MAX_TERMS = 10_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -16,26 +18,29 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(id_col, F.explode(T.tokens(F.lower(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ``k`` best documents for each query (``query_id``, ``query``), of positive score; ties by id.
+def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", group: str | None = None) -> DataFrame:
+    """The ``k`` best texts for each query (``query_id``, ``query``), of positive score; ties by id.
 
-    Terms of the queries are few and bounded; they are matched before anything is counted, so only matching
-    postings are shuffled.  A term that a query repeats counts as often.
+    With a ``group`` (as a document whose sections are the texts) the texts of each group are a corpus of their own.
+    Only postings of the queries' terms are shuffled.  A term that a query repeats counts as often.
     """
-    words = docs.select(id_col, T.tokens(F.lower(text_col)).alias("words"))
-    sized = words.select(id_col, F.size("words").cast("long").alias("length"), "words")
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    own = F.col(group) if group else F.lit(0)
     asked = queries.select("query_id", F.explode(T.tokens(F.lower("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = [r["term"] for r in asked.select("term").distinct().collect()]  # as many as the queries have
-    hits = sized.select(id_col, "length", F.explode(F.filter("words", lambda w: w.isin(wanted))).alias("term"))
-    tf = hits.groupBy(id_col, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = asked.join(F.broadcast(df), "term").crossJoin(stats)  # one row of statistics
+    words = docs.select(id_col, own.alias("_group"), T.tokens(F.lower(text_col)).alias("words"))
+    sized = words.select(id_col, "_group", F.size("words").cast("long").alias("length"), "words")
+    wanted = [r["term"] for r in asked.select("term").distinct().limit(MAX_TERMS + 1).collect()]
+    if len(wanted) <= MAX_TERMS:
+        sized = sized.withColumn("words", F.filter("words", lambda w: w.isin(wanted)))
+    # one pass for the number and mean length of texts (no term) and for how many texts have each term
+    met = sized.select("_group", "length", F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("words"))).alias("term")).groupBy("_group", "term").agg(F.count("*").alias("df"), F.avg("length").alias("mean"))
+    stats = met.where("term is null").select("_group", F.col("df").alias("n"), "mean")
+    weighed = asked.join(met.where("term is not null").select("_group", "term", "df"), "term").join(stats, "_group")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = tf.join(F.broadcast(weighed), "term").groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col)))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    tf = sized.select(id_col, "_group", "length", F.explode("words").alias("term")).groupBy(id_col, "_group", "length", "term").agg(F.count("*").alias("tf"))
+    scored = tf.join(weighed, ["_group", "term"]).groupBy("query_id", "_group", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    rank = F.row_number().over(Window.partitionBy("query_id", "_group").orderBy(F.desc("score"), F.asc(id_col)))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("_group", group or "_all").drop("_all")
 
 
 def top_tokens(docs: DataFrame, k: int, least: int = 4, stop: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:

@@ -47,24 +47,24 @@ def rule_score(rule: SectionRule, title: Column, content: Column) -> Column:
     Rules are few and come as one literal expression each, so patterns stay foldable and nothing is joined.
     """
     both = F.when(content == "", title).otherwise(F.concat_ws("\n", title, content))
-    matched = [F.length(F.regexp_extract(title, p, 0)) for p in rule.patterns]
+    matched = [F.length(T.found(title, p)) for p in rule.patterns]
     length = sum(matched, F.lit(0))
     hits = sum((F.when(m > 0, 1).otherwise(0) for m in matched), F.lit(0))
     inside = F.lit(False)
     for p, m in zip(rule.patterns, matched):
-        inside = inside | ((m == 0) & (content != "") & content.rlike(p))
+        inside = inside | ((m == 0) & (content != "") & T.fits(content, p))
     share = F.least(length / F.greatest(F.length(title), F.lit(1)), F.lit(1.0))
     exact = F.least(F.lit(MOST), TITLE_BASE + TITLE_SHARE * share + MULTI_BONUS * F.least(hits, F.lit(MULTI_MOST)))
     score = F.when(hits > 0, exact).when(inside, CONTENT_SCORE).otherwise(0.0)
     for p in rule.negative[:1]:
         bad = F.lit(False)
         for q in rule.negative:
-            bad = bad | both.rlike(q)
+            bad = bad | T.fits(both, q)
         score = F.when(bad & (score > 0), F.greatest(F.lit(0.0), score - NEGATIVE_PENALTY)).otherwise(score)
     if rule.required:
         gate = F.lit(False)
         for p in rule.required:
-            gate = gate | both.rlike(p)
+            gate = gate | T.fits(both, p)
         score = F.when(gate, score).otherwise(0.0)
     return score
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def sliding_count(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """Adds ``in_window``: events of the key in the last ``seconds``, the present one included."""
-    span = Window.partitionBy(key).orderBy(F.col(at).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
+    """Adds ``in_window``: events of the key in the last ``seconds``, the present one included.
+
+    An event exactly one window old has left it, so the range starts a microsecond later.
+    """
+    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(1 - seconds * 1_000_000, 0)
     return events.withColumn("in_window", F.count("*").over(span))
 
 
@@ -18,10 +23,10 @@ def stale(runs: DataFrame, now: Column, status: str = "status", updated: str = "
     return runs.withColumn(status, F.when(late, "failed").otherwise(F.col(status)))
 
 
-def run_states(events: DataFrame, key: str, order: list[str], kind: str) -> DataFrame:
-    """The state of each run after all its events: the last one decides; completed steps are counted."""
+def run_states(events: DataFrame, key: str, order: list[str], kind: str, completed: Sequence[str], failed: Sequence[str]) -> DataFrame:
+    """The state of each run after all its events: the last one decides; completed and failed steps are counted."""
     latest = F.max_by(kind, F.struct(*order))
-    return events.groupBy(key).agg(latest.alias("last_event"), F.count("*").alias("n_events"), F.count_if(F.col(kind) == "purchase").alias("n_completed"), F.count_if(F.col(kind) == "error").alias("n_failed"))
+    return events.groupBy(key).agg(latest.alias("last_event"), F.count("*").alias("n_events"), F.count_if(F.col(kind).isin(*completed)).alias("n_completed"), F.count_if(F.col(kind).isin(*failed)).alias("n_failed"))
 
 
 #: The levels of a stage in order, and how often a failed step is tried.

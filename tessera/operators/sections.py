@@ -56,7 +56,7 @@ def within_priors(facts: DataFrame, priors: DataFrame) -> DataFrame:
     """Facts found where they may be: without a prior, in an unclassified section or a synopsis, or in an
     expected section or one below it.  ``priors`` has ``fact_key`` and ``expected`` (array), one row a key.
     """
-    joined = facts.join(F.broadcast(priors), "fact_key", "left")
+    joined = facts.join(priors, "fact_key", "left")
     section = F.coalesce("section", F.lit(""))
     below = F.exists("expected", lambda e: (section == e) | F.startswith(section, F.concat(e, F.lit("."))))
     return joined.where(F.col("expected").isNull() | section.isin("", "synopsis") | below).drop("expected")

@@ -50,3 +50,34 @@ def broken_keys(rows: DataFrame, key: list[str]) -> DataFrame:
 def for_tenant(rows: DataFrame, tenant: str, column: str = "tenant_id") -> DataFrame:
     """Rows of one tenant: those of others don't exist for it."""
     return rows.where(F.col(column) == tenant)
+
+
+def matching(rows: DataFrame, equal: dict[str, object], contains: dict[str, str] | None = None, same_letters: dict[str, str] | None = None) -> DataFrame:
+    """Rows that meet all given conditions: equal values, a contained text, or a text equal but for case.  A condition
+    of None isn't asked for."""
+    for name, value in equal.items():
+        rows = rows if value is None else rows.where(F.col(name) == F.lit(value))
+    for name, value in (contains or {}).items():
+        rows = rows if value is None else rows.where(F.contains(F.col(name), F.lit(value)))
+    for name, value in (same_letters or {}).items():
+        rows = rows if value is None else rows.where(F.lower(name) == F.lower(F.lit(value)))
+    return rows
+
+
+def next_order(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """The order that a row appended to each group gets."""
+    return rows.groupBy(*group).agg((F.max(order) + 1).alias("next_order"))
+
+
+def with_counts(parents: DataFrame, key: str, **children: tuple[DataFrame, str]) -> DataFrame:
+    """Parents with how many rows of each child table (table, column) hang on them."""
+    for name, (rows, column) in children.items():
+        counts = rows.groupBy(F.col(column).alias(key)).agg(F.count("*").alias(name))
+        parents = parents.join(counts, key, "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return parents
+
+
+def backfilled(rows: DataFrame, source: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows whose ``column`` is null take it from the row of ``source`` with the same keys."""
+    found = source.select(*keys, F.col(column).alias("_found"))
+    return rows.join(found, keys, "left").withColumn(column, F.coalesce(column, "_found")).drop("_found")

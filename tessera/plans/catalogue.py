@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit_plans, relational_plans, text_plans
+from tessera.plans import audit_plans, finding_plans, format_plans, relational_plans, section_plans, text_plans
 
+PLANS = (text_plans, section_plans, finding_plans, format_plans, relational_plans, audit_plans)
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return text_plans.QUERIES | relational_plans.QUERIES | audit_plans.QUERIES
+    return {name: query for plans in PLANS for name, query in plans.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return text_plans.SQL | relational_plans.SQL | audit_plans.SQL
+    return {name: sql for plans in PLANS for name, sql in plans.SQL.items()}

@@ -50,15 +50,15 @@ select l_orderkey, coalesce(len(b), 0) > 0 and len(list_filter(coalesce(s, []),
 
 
 def run_delta(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean event value by type: the second week against the first."""
-    rows = table(spark, sf, "events").withColumn("week", F.floor((F.dayofmonth("ts") - 1) / 7))
-    means = rows.groupBy("week", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
-    return evaluation.delta(means.where("week = 0"), means.where("week = 1"), "event_type", "mean")
+    """Mean event value by type: even days as the second run against odd ones."""
+    rows = table(spark, sf, "events").withColumn("run", F.dayofmonth("ts") % 2)
+    means = rows.groupBy("run", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return evaluation.delta(means.where("run = 1"), means.where("run = 0"), "event_type", "mean")
 
 
 RUN_DELTA = """
-with m as (select (day(ts) - 1) // 7 as week, event_type, round(avg(value), 6) as mean from events group by 1, 2)
-select event_type, a.mean as before, b.mean as after, round(b.mean - a.mean, 6) as delta from (select * from m where week = 0) a full join (select * from m where week = 1) b using (event_type)
+with m as (select day(ts) % 2 as run, event_type, round(avg(value), 6) as mean from events group by 1, 2)
+select event_type, a.mean as before, b.mean as after, round(b.mean - a.mean, 6) as delta from (select * from m where run = 1) a full join (select * from m where run = 0) b using (event_type)
 """
 
 
@@ -98,27 +98,35 @@ DIFF_SUMMARY = f"select change, count(*) as n from ({DIFF_FULL_OUTER}) group by
 
 
 def _sections(spark: SparkSession, sf: str, old: bool) -> DataFrame:
-    part = table(spark, sf, "part")
-    cut = F.concat_ws(" ", F.lit("1.2"), "p_name") if old else F.col("p_name")
-    standard = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("#", "p_brand", F.col("p_partkey").cast("string")))
-    rows = part.where(F.col("p_partkey") % (4 if old else 5) != 0)
-    return rows.select(F.col("p_partkey").cast("long").alias("ord"), cut.alias("title"), standard.alias("standard"), F.concat("p_type", F.when(F.lit(not old) & (F.col("p_partkey") % 13 == 0), "!").otherwise("")).alias("content"))
+    """Parts as the sections of a document (brand) in two versions; titles and standard sections repeat."""
+    title = F.concat_ws(" ", "p_name", (F.col("p_size") % 7).cast("string"))
+    standard = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("#", "p_type", (F.col("p_size") % 9).cast("string")))
+    rows = table(spark, sf, "part").where("p_partkey % 4 < 2" if old else "p_partkey % 5 <> 0")
+    content = F.concat("p_type", F.when(F.lit(not old) & (F.col("p_partkey") % 13 == 0), "!").otherwise(""))
+    return rows.select(F.col("p_brand").alias("doc_id"), F.col("p_partkey").cast("long").alias("ord"), F.concat(F.lit("1.2 " if old else ""), title).alias("title"), standard.alias("standard"), content.alias("content"))
 
 
 def diff_or_match(spark: SparkSession, sf: str) -> DataFrame:
-    return diff.diff_sections(_sections(spark, sf, True), _sections(spark, sf, False)).select("change", "title", "standard", "old_ord", "new_ord")
+    return diff.diff_sections(_sections(spark, sf, True), _sections(spark, sf, False))
 
 
+#: The new sections that nobody matched are taken in order, and only rows that were given out before block one.
 DIFF_OR_MATCH = r"""
-with a as (select p_partkey::bigint as ord, '1.2 ' || p_name as title, case when p_partkey % 3 = 0 then p_brand || '#' || p_partkey end as standard, p_type as content from part where p_partkey % 4 <> 0),
-b as (select p_partkey::bigint as ord, p_name as title, case when p_partkey % 3 = 0 then p_brand || '#' || p_partkey end as standard, p_type || case when p_partkey % 13 = 0 then '!' else '' end as content from part where p_partkey % 5 <> 0),
-m as (select a.ord as old_ord, min(b.ord) as new_ord from a join b on a.standard = b.standard or trim(regexp_replace(lower(a.title), '^\d+(\.\d+)*\s*', ''), ' ') = trim(regexp_replace(lower(b.title), '^\d+(\.\d+)*\s*', ''), ' ') group by 1),
-d as (select case when m.new_ord is null then 'removed' when a.content = b.content then 'unchanged' else 'modified' end as change, coalesce(b.title, a.title) as title, case when m.new_ord is null then a.standard else coalesce(a.standard, b.standard) end as standard, a.ord as old_ord, m.new_ord
-  from a left join m on m.old_ord = a.ord left join b on b.ord = m.new_ord),
-f as (select b.* from b where ord not in (select new_ord from m) and title not in (select title from d) and (standard is null or standard not in (select standard from d where standard is not null))),
-g as (select * from (select *, row_number() over (partition by title order by ord) as n from f) where n = 1),
-h as (select * from (select * exclude n, case when standard is null then 1 else row_number() over (partition by standard order by ord) end as n from g) where n = 1)
-select * from d union all select 'added', title, standard, null, ord from h
+with recursive p as (select p_brand as doc_id, p_partkey::bigint as ord, p_name || ' ' || (p_size % 7) as title, case when p_partkey % 3 = 0 then p_type || '#' || (p_size % 9) end as standard, p_type as content from part),
+a as (select * replace ('1.2 ' || title as title) from p where ord % 4 < 2),
+b as (select * replace (content || case when ord % 13 = 0 then '!' else '' end as content) from p where ord % 5 <> 0),
+m as (select a.doc_id, a.ord as old_ord, min(b.ord) as new_ord from a join b on a.doc_id = b.doc_id and (a.standard = b.standard or trim(regexp_replace(lower(a.title), '^\d+(\.\d+)*\s*', ''), ' ') = trim(regexp_replace(lower(b.title), '^\d+(\.\d+)*\s*', ''), ' ')) group by 1, 2),
+d as (select a.doc_id, case when m.new_ord is null then 'removed' when a.content = b.content then 'unchanged' else 'modified' end as change, coalesce(b.title, a.title) as title, coalesce(a.standard, b.standard) as standard, a.ord as old_ord, m.new_ord
+  from a left join m on m.doc_id = a.doc_id and m.old_ord = a.ord left join b on b.doc_id = a.doc_id and b.ord = m.new_ord),
+f as (select *, row_number() over (partition by doc_id order by ord) as k from b where (doc_id, ord) not in (select doc_id, new_ord from m)),
+s(doc_id, k, titles, standards, ord, title, standard) as (
+  select doc_id, 0::bigint, coalesce((select list(title) from d where d.doc_id = x.doc_id), []), coalesce((select list(standard) from d where d.doc_id = x.doc_id and standard is not null), []), null::bigint, null::varchar, null::varchar from (select distinct doc_id from b) x
+  union all
+  select s.doc_id, f.k, case when list_contains(titles, f.title) or coalesce(list_contains(standards, f.standard), false) then titles else list_append(titles, f.title) end,
+    case when f.standard is null or list_contains(titles, f.title) or list_contains(standards, f.standard) then standards else list_append(standards, f.standard) end,
+    case when not (list_contains(titles, f.title) or coalesce(list_contains(standards, f.standard), false)) then f.ord end, f.title, f.standard
+  from s join f on f.doc_id = s.doc_id and f.k = s.k + 1)
+select doc_id, change, title, standard, old_ord, new_ord from d union all select doc_id, 'added', title, standard, null, ord from s where ord is not null
 """
 
 
@@ -135,34 +143,20 @@ select coalesce(a.p_partkey, b.p_partkey) as p_partkey, case when a.p_partkey is
 
 
 def impact_explode(spark: SparkSession, sf: str) -> DataFrame:
-    """Changed orders touch what their priority maps to."""
+    """Changed orders touch what their priority maps to; orders differ in up to eight parts."""
     changes = diff_full_outer(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
     mapping = {"1-URGENT": ["visits", "procedures"], "2-HIGH": ["risks"], "5-LOW": []}
-    found = diff.impact(changes, mapping, section="o_orderpriority")
+    found = diff.impact(changes, mapping, section="o_orderpriority", parts=F.col("o_orderkey") % 9)
     return found.groupBy("change", "impacted", "severity", "requires_update").agg(F.count("*").alias("n"))
 
 
 IMPACT_EXPLODE = f"""
 with m(section, impacted) as (values ('1-URGENT', 'visits'), ('1-URGENT', 'procedures'), ('2-HIGH', 'risks'))
-select change, impacted, case when change = 'removed' then 'high' else 'medium' end as severity, change = 'removed' as requires_update, count(*) as n
-from ({DIFF_FULL_OUTER}) d join orders using (o_orderkey) join m on m.section = o_orderpriority where change <> 'unchanged' group by 1, 2
+select change, impacted, case when change = 'removed' or o_orderkey % 9 > 5 then 'high' else 'medium' end as severity, change = 'removed' or o_orderkey % 9 > 5 as requires_update, count(*) as n
+from ({DIFF_FULL_OUTER}) d join orders using (o_orderkey) join m on m.section = o_orderpriority where change <> 'unchanged' group by 1, 2, 3, 4
 """
 
 
-def relink_priority(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers find a supplier by phone, else by nation and name's end, else by nation."""
-    tail = lambda c: F.substring(F.col(c), -3, 3)
-    expected = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"), F.concat_ws("|", "c_nationkey", tail("c_name")).alias("both"), F.col("c_nationkey").alias("nation"))
-    actual = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_suppkey").alias("ord"), F.col("s_name").alias("name"), F.concat_ws("|", "s_nationkey", tail("s_name")).alias("both"), F.col("s_nationkey").alias("nation"))
-    return diff.relink(expected, actual, "c_custkey", [("exact", "name"), ("digest", "both"), ("nation", "nation")])
-
-
-RELINK_PRIORITY = """
-with s as (select s_suppkey, s_name, s_nationkey, s_nationkey || '|' || right(s_name, 3) as pair from supplier)
-select c_custkey, coalesce(e, d, n) as target, case when e is not null then 'exact' when d is not null then 'digest' when n is not null then 'nation' end as how from (
-  select c_custkey, (select min(s_suppkey) from s where s_name = c_name) as e, (select min(s_suppkey) from s where pair = c_nationkey || '|' || right(c_name, 3)) as d, (select min(s_suppkey) from s where s_nationkey = c_nationkey) as n from customer)
-"""
-
 _PATTERNS = (("BRASS", 1.0), ("STEEL", 2.0), ("ANODIZED", 3.0), ("TIN", 0.5), ("ECONOMY", 4.0), ("PROMO", 5.0))
 
 
@@ -305,7 +299,7 @@ def rate_limit_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("event_id", "user_id", "in_window", (F.col("in_window") > 2).alias("limited"))
 
 
-RATE_LIMIT_SLIDING = "select event_id, user_id, n as in_window, n > 2 as limited from (select *, count(*) over (partition by user_id order by epoch(ts) range between 3600 preceding and current row) as n from events)"
+RATE_LIMIT_SLIDING = "select event_id, user_id, n as in_window, n > 2 as limited from (select *, count(*) over (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and current row) as n from events)"
 
 
 def stale_runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -322,7 +316,7 @@ select user_id, updated_at, case when kind = 'error' then 'failed' when updated_
 
 
 def run_state_fold(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.run_states(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type")
+    return runs.run_states(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type", ["purchase"], ["error"])
 
 
 RUN_STATE_FOLD = """
@@ -332,7 +326,7 @@ select user_id, arg_max(event_type, struct_pack(t := ts, e := event_id)) as last
 
 def rect_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of an order as cells and drawings: box sides from quantity and line number."""
-    rows = table(spark, sf, "lineitem").where("l_returnflag = 'R'")
+    rows = table(spark, sf, "lineitem")
     box = (F.col("l_linenumber") * 10).cast("double").alias("x"), F.lit(0.0).alias("y"), F.col("l_quantity").alias("w")
     key = F.col("l_orderkey").alias("table_id")
     cells = rows.select(key, F.col("l_linenumber").alias("cell_id"), *box[:2], F.lit(10.0).alias("w"), F.lit(5.0).alias("h"))
@@ -341,7 +335,7 @@ def rect_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RECT_OVERLAP = """
-with r as (select l_orderkey as table_id, l_linenumber as n, l_linenumber * 10.0::double as x, l_quantity as w from lineitem where l_returnflag = 'R'),
+with r as (select l_orderkey as table_id, l_linenumber as n, l_linenumber * 10.0::double as x, l_quantity as w from lineitem),
 o as (select d.table_id, d.n as drawing_id, c.n as cell_id, round(((least(d.x + d.w, c.x + 10) - greatest(d.x, c.x)) * 4.0) / 50.0, 6) as share, d.x as dx, d.w as dw, c.x as cx from r d join r c on d.table_id = c.table_id where d.x < c.x + 10 and c.x < d.x + d.w)
 select table_id, drawing_id, cell_id, share from o where ((least(dx + dw, cx + 10) - greatest(dx, cx)) * 4.0) / 50.0 >= 0.6
 """
@@ -450,5 +444,5 @@ s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded
 select user_id, min(ts) as start, max(ts) as last, count(*) as n from s group by user_id, s
 """
 
-QUERIES = {f.__name__: f for f in (fact_final_value, best_fact, synopsis_mismatch, run_delta, histogram_bins, diff_full_outer, diff_summary, diff_or_match, rule_version_diff, impact_explode, relink_priority, longest_pattern_cost, fuzzy_key, registry_full_outer, semi_some, anti_none, tenant_chain, findings_grouping_sets, correction_mining, dedup_keep_best, keyset_page, latest_version, rate_limit_sliding, stale_runs, run_state_fold, rect_overlap, continuation_offsets, upsert_versions, cascade_delete, active_version, key_rename, json_path_filter, duplicate_keys, severity_maps, tumbling_window, session_windows)}
+QUERIES = {f.__name__: f for f in (fact_final_value, best_fact, synopsis_mismatch, run_delta, histogram_bins, diff_full_outer, diff_summary, diff_or_match, rule_version_diff, impact_explode, longest_pattern_cost, fuzzy_key, registry_full_outer, semi_some, anti_none, tenant_chain, findings_grouping_sets, correction_mining, dedup_keep_best, keyset_page, latest_version, rate_limit_sliding, stale_runs, run_state_fold, rect_overlap, continuation_offsets, upsert_versions, cascade_delete, active_version, key_rename, json_path_filter, duplicate_keys, severity_maps, tumbling_window, session_windows)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -73,11 +73,11 @@ select page_id, lower(tag) as tag, count(*) as n from (select page_id, unnest(re
 
 
 def token_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.top_tokens(texts(spark, sf, "lang").where("lang = 'en'"), 50, stop=("that", "this", "with"))
+    return retrieval.top_tokens(texts(spark, sf), 50, stop=("that", "this", "with"))
 
 
 TOKEN_TOPK = r"""
-select token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[а-яёА-ЯЁa-zA-Z0-9][а-яёА-ЯЁa-zA-Z0-9-]*')) as token from documents where lang = 'en')
+select token, count(*) as n from (select unnest(regexp_extract_all(lower(text), '[а-яёА-ЯЁa-zA-Z0-9][а-яёА-ЯЁa-zA-Z0-9-]*')) as token from documents)
 where length(token) >= 4 and not regexp_matches(token, '^[0-9]+$') and token not in ('that', 'this', 'with') group by 1 order by n desc, token limit 50
 """
 
@@ -213,23 +213,28 @@ RULE_FACT_EXTRACT = f"with {_sql_facts()} select doc_id, fact_key, value, count(
 
 
 def fact_vote(spark: SparkSession, sf: str) -> DataFrame:
-    voted = facts.vote(_facts(spark, sf), ["doc_id", "fact_key"])
+    """Facts of documents of source 1 weigh as those of a synopsis."""
+    title = F.when(F.col("source") == "src1", "Study synopsis").otherwise(F.col("source"))
+    voted = facts.vote(_facts(spark, sf), ["doc_id", "fact_key"], title=title)
     return voted.select("doc_id", "fact_key", "canonical", "value", "confidence", "n_sources")
 
 
 FACT_VOTE = f"""
-with {_sql_facts()} select doc_id, fact_key, lower(value) as canonical, arg_min(value, p * 1000000 + k) as value, round(least(0.95, 0.6 + 0.1 * count(*)), 6)::double as confidence, count(*) as n_sources
+with {_sql_facts()} select doc_id, fact_key, lower(value) as canonical, arg_min(value, p * 1000000 + k) as value, round(least(0.95, 0.6 + 0.1 * sum(case when source = 'src1' then 2 else 1 end)), 6)::double as confidence, count(*) as n_sources
 from facts where value <> '' group by doc_id, fact_key, lower(value)
 """
 
 
 def fact_contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.contradictions(_facts(spark, sf).where("canonical <> ''"), ["source", "fact_key"])
+    """Every value, with its document, of the sources' facts that have several canonical values."""
+    found = _facts(spark, sf).where("canonical <> ''").withColumn("at", F.struct("doc_id", "ord"))
+    every = facts.contradictions(found, ["source", "fact_key"], source="doc_id", order="at")
+    return every.select("source", "fact_key", "n_values", F.array_join(F.transform("entries", lambda e: F.concat_ws("@", e["value"], e["source"].cast("string"))), "; ").alias("entries"))
 
 
 FACT_CONTRADICTIONS = f"""
-with {_sql_facts()} select source, fact_key, count(distinct lower(value)) as n_values, array_to_string(list_sort(list(distinct lower(value))), '; ') as values
-from facts where value <> '' group by 1, 2 having count(distinct lower(value)) > 1
+with {_sql_facts()} select source, fact_key, count(distinct lower(value)) as n_values, string_agg(value || '@' || doc_id, '; ' order by doc_id, p, k) as entries
+from facts where value <> '' group by source, fact_key having count(distinct lower(value)) > 1
 """
 
 

@@ -13,6 +13,9 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
 
 # Namespaces, and units of length in EMU.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -176,3 +179,10 @@ def footnotes(files: DataFrame) -> DataFrame:
 
 def numbering_levels(files: DataFrame) -> DataFrame:
     return _table(files, levels_of, LEVELS)
+
+
+def html_elements(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
+    """``id_col``, ``ord`` (from 0), ``tag`` and ``text`` of a page's paragraphs, headings and list items in order."""
+    whole = r"(?is)<(?:p|h[1-6]|li)(?:\s[^>]*)?>.*?</(?:p|h[1-6]|li)>"
+    found = pages.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(whole), F.lit(0))).alias("ord", "element"))
+    return found.select(id_col, "ord", F.lower(F.regexp_extract("element", "(?i)^<(p|h[1-6]|li)", 1)).alias("tag"), T.html_text(F.col("element")).alias("text"))

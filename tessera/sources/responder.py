@@ -77,8 +77,40 @@ def json_span(text: str) -> str | None:
     return None
 
 
+# Fixed value: how a model refuses.
+REFUSALS = "не могу обсуждать|давайте поговорим|не могу помочь с этим"
+
+
+def json_rows(text: str) -> str | None:
+    """The JSON of a response, as an array where it is one: the whole span, else every balanced object on its own, as a
+    response that was cut off has them.  Null for a refusal and for a text without JSON."""
+    if re.search(REFUSALS, text, re.I):
+        return None
+    plain = re.sub(r"<think>.*?</think>", "", text, flags=re.S)
+    first = plain.find("[")
+    cut_off = first >= 0 and ("{" not in plain or first < plain.find("{"))
+    span = json_span(plain)
+    if span is not None and (span[0] == "[" or not cut_off):
+        return span
+    found, rest = [], plain
+    while (span := json_span(rest)) is not None:
+        if span[0] == "{":
+            found.append(span)
+        rest = rest[rest.index(span) + len(span) :]
+    return f"[{','.join(found)}]" if found else None
+
+
+def transient(error: Column) -> Column:
+    """Whether an error's message marks it worth another try."""
+    low = F.lower(F.coalesce(error, F.lit("")))
+    hit = F.lit(False)
+    for part in TRANSIENT:
+        hit = hit | F.contains(low, F.lit(part))
+    return hit
+
+
 def _spans(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else json_span(t))
+    return texts.map(lambda t: None if t is None else json_rows(t))
 
 
 def parse_rows(responses: DataFrame, ddl: str, content: str = "content") -> DataFrame:

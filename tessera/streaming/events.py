@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENT_SCHEMA = "type string, docVersionId string, tenantId string, processingRunId string, timestamp string, data struct<status: string, level: string, runType: string, durationMs: bigint, error: string, stepsCompleted: int>"
+EVENT_NAMES = ("type", "docVersionId", "tenantId", "processingRunId", "timestamp", "data")
 TABLE_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -28,6 +30,19 @@ def parse_messages(messages: DataFrame, value: str = "value") -> DataFrame:
     return parsed.where("e.type is not null and e.tenantId is not null").select("e.*", F.to_timestamp("e.timestamp").alias("at"))
 
 
+def publish(events: DataFrame) -> DataFrame:
+    """Events as ``key`` and JSON ``value``, keyed by version, else tenant, else run, as a topic takes them."""
+    names = EVENT_NAMES
+    return events.select(F.coalesce("docVersionId", "tenantId", "processingRunId").alias("key"), F.to_json(F.struct(*(n for n in names if n in events.columns))).alias("value"))
+
+
+def split_dead(jobs: DataFrame, retries: dict[str, int], kind: str = "kind", attempts: str = "attempts") -> tuple[DataFrame, DataFrame]:
+    """Failed jobs to be tried again, with their delay in seconds, and those that used up the retries of their kind."""
+    most = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in retries.items() for x in kv)), F.col(kind)), F.lit(1))
+    again = jobs.where(F.col(attempts) < most).withColumn("delay_seconds", 5.0 * F.pow(F.lit(2.0), F.col(attempts) - 1))
+    return again, jobs.where(F.col(attempts) >= most)
+
+
 def subscribe(events: DataFrame, tenant: str, version: str | None = None) -> DataFrame:
     """One tenant's events, of one document version if given."""
     rows = events.where(F.col("tenantId") == tenant)
@@ -87,7 +102,8 @@ def run_states(events: DataFrame, idle: str = "5 minutes", late: str = "1 hour")
 
 def rate_limited(events: DataFrame, key: str, seconds: int, limit: int, late: str = "1 hour") -> DataFrame:
     """Events with ``limited``: whether their key had more than ``limit`` events in the last ``seconds``, this one
-    included.  The state is the log of a key's recent times; a key without recent events loses it.
+    included and one exactly that old not.  The state is the log of a key's recent times; a key without recent
+    events loses it.
     """
     span = seconds * 1_000_000
 
@@ -95,16 +111,16 @@ def rate_limited(events: DataFrame, key: str, seconds: int, limit: int, late: st
         if state.hasTimedOut:
             state.remove()
             return
-        log = list(state.get[0]) if state.exists else []
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        out = []
-        for event, at in zip(rows["event_id"], rows["at"]):
-            now = int(at.value // 1000)
-            log = [t for t in log if t >= now - span] + [now]
-            out.append((event, who[0], len(log) > limit))
-        state.update((log,))
-        state.setTimeoutTimestamp(max(log[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame(out, columns=["event_id", key, "limited"])
+        now = rows["at"].to_numpy("datetime64[us]").astype(np.int64)
+        held = np.array(state.get[0] if state.exists else [], np.int64)
+        log = np.concatenate([held, now])
+        # places in the log of each event and of the first one within its window; events that come late see those before them
+        upto = len(held) + np.arange(1, len(now) + 1)
+        inside = np.array([np.count_nonzero(log[:n] > t - span) for n, t in zip(upto, now)]) if (np.diff(log) < 0).any() else upto - np.searchsorted(log, now - span, "right")
+        state.update((log[log > log.max() - span].tolist(),))
+        state.setTimeoutTimestamp(int(max(log.max() // 1000 + seconds * 1000, state.getCurrentWatermarkMs())) + 1)
+        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), key: who[0], "limited": inside > limit})
 
     rows = _timed(events, late).select(key, "at", "event_id")
     kind = dict(rows.dtypes)[key]

@@ -19,6 +19,9 @@ def test_anti_patterns(spark):
     rows = [("Возможно не так", None), ("ясно", "было бы лучше"), ("доза не указана", None), ("доза 5 не указана", None), (None, None)]
     got = column(spark, rows, "d string, q string", found)
     assert [g and (g["field"], g["pattern"]) for g in got] == [("description", "hedging:возможно"), ("quote", "suggestion-like:было бы"), ("description", "missingness-no-value"), None, None]
+    texts = [("возможно стоит", "hedging:возможно стоит"), ("следует уточнить дозу", "suggestion-like"), ("требуется уточнение", "meta:требуется уточнение"), ("major не указан", None), ("критический не указан", "missingness-no-value")]
+    got = column(spark, [(t, None) for t, _ in texts], "d string, q string", found)
+    assert [g and g["pattern"] for g in got] == [w for _, w in texts]
 
 
 def test_editorial_and_group_keys(spark):
@@ -34,6 +37,9 @@ def test_table_facts(spark):
     rows = spark.createDataFrame([(1, 0, ["Sponsor:", "Acme"]), (1, 1, ["30", "Число пациентов"]), (1, 2, ["other", "x"]), (1, 3, ["Phase", None]), (1, 4, ["one"])], "id int, ord int, cells array<string>")
     found = audit.table_facts(rows, "id", "ord", "cells", audit.synonym_table(spark))
     assert sorted((r["fact_key"], r["value"]) for r in found.collect()) == [("sample_size", "30"), ("sponsor", "Acme")]
+    wide = spark.createDataFrame([(1, 0, ["Sponsor", "x" * 300], ["Phase", "v"]), (1, 1, ["a", "b"], ["Phase", "v"]), (2, 0, ["a", "b"], ["Phase"])], "id int, ord int, cells array<string>, headers array<string>")
+    found = audit.table_facts(wide, "id", "ord", "cells", audit.synonym_table(spark), "headers")
+    assert sorted((r["ord"], r["layout"], r["fact_key"], len(r["value"])) for r in found.collect()) == [(0, 0, "sponsor", 240), (0, 1, "study_phase", 240), (1, 1, "study_phase", 1)]
 
 
 def test_zones_and_prompts(spark):
@@ -43,14 +49,21 @@ def test_zones_and_prompts(spark):
     zones = spark.createDataFrame([(1, "a", "x" * 900), (1, "b", "y" * 900), (2, "a", "z")], "doc_id int, zone string, zone_text string")
     pairs = audit.zone_pairs(zones, "doc_id", "zone", spark.createDataFrame([("a", "b"), ("a", "c")], "a string, b string"))
     assert [tuple(r) for r in pairs.collect()] == [(1, "a", "b")]
+    manual = spark.createDataFrame([(1, "b", "a"), (1, "b", "zzz")], "doc_id int, a string, b string")
+    own = audit.zone_pairs(zones, "doc_id", "zone", spark.createDataFrame([("a", "b")], "a string, b string"), manual)
+    assert [tuple(r) for r in own.collect()] == [(1, "b", "a")]
     plan = audit.prompt_plan(zones, pairs, "doc_id", 1500, {"p": "prompt"})
     assert sorted((r["doc_id"], r["label"]) for r in plan.collect()) == [(1, "cross:a>b"), (1, "editorial:a"), (1, "editorial:b"), (1, "self:a"), (1, "self:b"), (2, "full_cross"), (2, "full_editorial"), (2, "full_self")]
 
 
 def test_matching_and_judging(spark):
-    p = spark.createDataFrame([(1, 1, "num", "a b c d"), (1, 2, "NUM ", "a b c"), (1, 3, "text", "a b c")], "doc int, id int, family string, quote string")
-    e = spark.createDataFrame([(1, 10, "num", "a b c"), (1, 11, "num", "c d e")], "doc int, id int, family string, quote string")
-    assert sorted((r["predicted"], r["expected"], r["overlap"]) for r in audit.match_findings(p, e, "doc", 0.3).collect()) == [(1, 11, 0.4), (2, 10, 1.0)]
+    columns = "doc int, id int, family string, kind string, zone string, quote string"
+    p = spark.createDataFrame([(1, 1, "num", "t", "z", "a b c d"), (1, 2, "NUM ", "x", None, "a, (b) c!"), (1, 3, "text", "t", "z", "a b c"), (1, 4, "num", "T ", " Z", "other words"), (1, 5, None, "t", "z", "a b c")], columns)
+    e = spark.createDataFrame([(1, 10, "num", "x", "z", "a b c"), (1, 11, "num", "q", "z", "c d e"), (1, 12, "num", "t", "z", "unlike")], columns)
+    assert sorted((r["predicted"], r["expected"], r["lenient"]) for r in audit.match_findings(p, e, "doc").collect()) == [(1, 12, 0.5), (2, 10, 1.0)]
+    assert audit.match_findings(p, e, "doc", "strict").collect() == []
+    strict = spark.createDataFrame([(1, 20, "num", "t", "z", "a b c d e")], columns)
+    assert [(r["predicted"], r["strict"]) for r in audit.match_findings(p, strict, "doc", "strict").collect()] == [(1, 0.8)]
     c = audit.judge_candidates(p, e, "doc", 1)
     verdicts = spark.createDataFrame([(1, 1, 10, True), (1, 2, 10, True)], "doc int, predicted int, expected int, same boolean")
     assert [(r["predicted"], r["expected"]) for r in audit.judged(c, verdicts, "doc").collect()] == [(1, 10)]
@@ -61,9 +74,9 @@ def test_structure_and_links(spark):
     a = spark.createDataFrame([(1, 0, "Aims", 2), (1, 1, "AIMS", 3), (1, 2, "More", 1)], "d int, ord int, title string, level int")
     found = sorted((r["kind"], r["title"], r["expected_level"], r["level"]) for r in audit.structure_diff(e, a, "d").collect())
     assert found == [("extra", "More", None, 1), ("missing", "Gone", 1, None), ("wrong_level", "Aims", 1, 2), ("wrong_level", "aims ", 2, 3)]
-    f = spark.createDataFrame([(1, 1, "the quoted  words", "z2"), (1, 2, "short", "z1"), (1, 3, "the quoted words", "none"), (1, 4, None, "none")], "doc int, id int, quote string, zone string")
-    s = spark.createDataFrame([(1, "s0", 0, "z1", "The quoted words here"), (1, "s1", 1, "z2", "again the quoted words")], "doc int, section_id string, ord int, zone string, content string")
-    assert {r["id"]: r["section_id"] for r in audit.link_findings(f, s, "doc").collect()} == {1: "s1", 2: "s0", 3: "s0"}
+    f = spark.createDataFrame([(1, 1, ["the quoted  words"], ["z2"]), (1, 2, ["short"], ["z1", None]), (1, 3, [None, "the quoted words"], ["none"]), (1, 4, [None], ["none"]), (1, 5, ["not in any text", "again the quoted"], []), (1, 6, [" "], ["z3"])], "doc int, id int, quotes array<string>, zones array<string>")
+    s = spark.createDataFrame([(1, "s0", 0, "z1", "The quoted words here"), (1, "s1", 1, "z2.x", "again the quoted words"), (1, "s2", 2, "z3.a.b", None)], "doc int, section_id string, ord int, standard string, content string")
+    assert {r["id"]: r["section_id"] for r in audit.link_findings(f, s, "doc").collect()} == {1: "s1", 2: "s0", 3: "s0", 5: "s1", 6: "s2"}
 
 
 def test_sources_and_footnotes(spark):

@@ -1,3 +1,8 @@
+import os
+import shutil
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -39,3 +44,20 @@ def test_entry_has_rows(spark):
 
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    for name in ("tessera", "__spark_entry__.py"):
+        source = os.path.join(__spark_entry__.HERE, name)
+        shutil.copytree(source, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__")) if os.path.isdir(source) else shutil.copy(source, tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), e.llm)"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) == len(catalogue.queries()) and out[2] == "None"
+
+
+@pytest.mark.parametrize("name, column, filtered", [("html_text_strip", "html", False), ("stale_runs", "ts", False), ("keyset_page", "o_orderpriority", True), ("expert_queue", "event_type", True)])
+def test_scans_read_few_columns_and_take_filters(spark, small, name, column, filtered):
+    plan = catalogue.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert scans and all(line.count(":", line.index("ReadSchema")) <= 7 for line in scans) and column in plan
+    assert not filtered or any("PushedFilters: [" in line and "PushedFilters: []" not in line for line in scans)

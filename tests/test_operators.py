@@ -3,7 +3,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
 from tessera.operators import diff, evaluation, facts, findings, headings, retrieval, rules, runs, structure, tables
+from tessera.sources import responder
+from tessera.streaming import events
 
 RULES = (
     rules.SectionRule("design", ("study design", "design")),
@@ -35,7 +38,15 @@ def test_vote_and_contradictions(spark):
     voted = facts.vote(data, ["doc_id", "fact_key"], title=F.col("title"))
     found = {r["canonical"]: (r["value"], r["confidence"], r["n_sources"]) for r in voted.collect()}
     assert found == {"30": ("30 pts", pytest.approx(0.9), 2), "31": ("31", pytest.approx(0.7), 1)}
-    assert facts.contradictions(voted, ["doc_id", "fact_key"]).first()["values"] == "30; 31"
+    found = facts.contradictions(data.where("canonical <> ''"), ["doc_id", "fact_key"], source="title").first()
+    assert found["n_values"] == 2 and [tuple(e) for e in found["entries"]] == [("30", "Body"), ("30 pts", "Synopsis"), ("31", None)]
+
+
+def test_merged_answers_keep_the_earlier_of_equal_ones(spark):
+    rows = [("d", "k", "a", 0.5, 0), ("d", "k", "b", 0.7, 1), ("d", "k", "B", 0.7, 2), ("d", "one", "x", 0.1, 3)]
+    found = {r["k"]: r for r in facts.merge_answers(spark.createDataFrame(rows, "d string, k string, value string, confidence double, ord int"), ["d", "k"]).collect()}
+    assert (found["k"]["value"], found["k"]["variants"], found["k"]["contradiction"]) == ("b", ["a", "b", "B"], True)
+    assert (found["one"]["n_sources"], found["one"]["contradiction"]) == (1, False)
 
 
 def test_parents_equal_a_stack(spark):
@@ -64,10 +75,10 @@ def test_heading_detector(spark):
 
 
 def test_numbering_chunks_batches(spark):
-    levels = spark.createDataFrame([(1, 0, 1, "%1."), (1, 1, 1, "%1.%2)")], "num_id int, ilvl int, start int, format string")
-    rows = [("d", 0, 1, 0), ("d", 1, 1, 1), ("d", 2, 1, 1), ("d", 3, 1, 0), ("d", 4, 1, 1), ("d", 5, None, None)]
+    levels = spark.createDataFrame([("d", 1, 0, 1, "%1."), ("d", 1, 1, 1, "%1.%2)"), ("e", 1, 0, 7, "%1."), ("f", 2, 0, 1, "%1")], "doc_id string, num_id int, ilvl int, start int, format string")
+    rows = [("d", 0, 1, 0), ("d", 1, 1, 1), ("d", 2, 1, 1), ("d", 3, 1, 0), ("d", 4, 1, 1), ("d", 5, None, None), ("e", 6, 1, 0), ("e", 7, 1, 1), ("g", 8, 1, 0)]
     found = headings.number_paragraphs(spark.createDataFrame(rows, "doc_id string, ord int, num_id int, ilvl int"), levels)
-    assert [r["number"] for r in found.orderBy("ord").collect()] == ["1", "1.1", "1.2", "2", "2.1", None]
+    assert [r["number"] for r in found.orderBy("ord").collect()] == ["1", "1.1", "1.2", "2", "2.1", None, "7", None, None]
     text = " ".join(f"w{i}" for i in range(3000))
     parts = headings.chunks(text, 500, 50)
     assert "".join([parts[0], *(p[50:] for p in parts[1:])]) == text and max(map(len, parts)) <= 500
@@ -76,12 +87,66 @@ def test_numbering_chunks_batches(spark):
     assert headings.within_budget(sized, ["g"], [F.col("o")], F.col("s"), 12).count() == 2
 
 
+SECTION = "doc_id int, ord long, title string, standard string, content string"
+
+
 def test_diff_and_changes(spark):
-    old = spark.createDataFrame([(0, "1 Aims", None, "x"), (1, "Methods", "m", "y"), (2, "Gone", None, "z")], "ord long, title string, standard string, content string")
-    new = spark.createDataFrame([(0, "Aims", "a", "x"), (1, "How", "m", "y2"), (2, "New", None, "n"), (3, "New", None, "n2"), (4, "How", "q", "t")], "ord long, title string, standard string, content string")
-    found = sorted((r["change"], r["title"], r["old_ord"], r["new_ord"]) for r in diff.diff_sections(old, new).collect())
-    assert found == [("added", "New", None, 2), ("modified", "How", 1, 1), ("removed", "Gone", 2, None), ("unchanged", "Aims", 0, 0)]
+    old = spark.createDataFrame([(1, 0, "1 Aims", None, "x"), (1, 1, "Methods", "m", "y"), (1, 2, "Gone", None, "z")], SECTION)
+    new = spark.createDataFrame([(1, 0, "Aims", "a", "x"), (1, 1, "How", "m", "y2"), (1, 2, "New", None, "n"), (1, 3, "New", None, "n2"), (1, 4, "How", "q", "t"), (2, 0, "Gone", None, "z")], SECTION)
+    found = sorted((r["doc_id"], r["change"], r["title"], r["old_ord"], r["new_ord"]) for r in diff.diff_sections(old, new).collect())
+    assert found == [(1, "added", "New", None, 2), (1, "modified", "How", 1, 1), (1, "removed", "Gone", 2, None), (1, "unchanged", "Aims", 0, 0), (2, "added", "Gone", None, 0)]
     assert diff.word_changes("a b c", "a x c") == [("equal", "a "), ("remove", "b"), ("add", "x"), ("equal", " c")]
+    parts = diff.with_word_changes(spark.createDataFrame([("a b", "a c"), ("", ""), (None, "x")], "o string, n string"), "o", "n").collect()
+    assert [[tuple(p) for p in r["parts"]] for r in parts] == [[("equal", "a "), ("remove", "b"), ("add", "c")], [], [("add", "x")]]
+
+
+def test_only_added_sections_block_later_ones(spark):
+    new = spark.createDataFrame([(1, 0, "A", "X", ""), (1, 1, "B", "X", ""), (1, 2, "B", "Y", "")], SECTION)
+    found = diff.diff_sections(spark.createDataFrame([], SECTION), new)
+    assert sorted(r["new_ord"] for r in found.collect()) == [0, 2]
+
+
+def test_word_boundaries_and_invalid_patterns(spark):
+    rows = spark.createDataFrame([("синопсис протокола",), ("мегасинопсис",), ("ip и т.д.",)], "t string")
+    assert [r[0] for r in rows.select(T.fits(F.col("t"), r"(?i)\bсинопсис\b")).collect()] == [True, False, False]
+    assert [r[0] for r in rows.select(T.fits(F.col("t"), "(broken")).collect()] == [False] * 3
+    broken = (rules.SectionRule("s", ("(broken", "синопсис"), negative=("[",)),)
+    assert rules.classify(rows.withColumnRenamed("t", "title"), broken).where("section = 's'").count() == 2
+
+
+def test_headings_fall_back_to_a_model(spark):
+    paragraphs = spark.createDataFrame([(d, i, f" p{i} ") for d in (1, 2) for i in range(4)], "doc_id int, paragraph int, text string")
+    own = spark.createDataFrame([(1, 0, "p0", 1, "visual"), (2, 0, "p0", 1, "style"), (2, 1, "p1", 1, "numbered")], "doc_id int, paragraph int, text string, level int, method string")
+    answers = spark.createDataFrame([(1, 1, 2), (1, 2, 12), (1, 9, 1), (2, 1, 1), (2, 3, 1)], "doc_id int, paragraph int, level int")
+    found = sorted((r["doc_id"], r["paragraph"], r["text"], r["method"]) for r in headings.with_fallback(own, paragraphs, answers).collect())
+    assert found == [(1, 1, "p1", "llm"), (2, 0, "p0", "style"), (2, 1, "p1", "numbered")]
+
+
+def test_longest_pattern_by_join_too(spark, monkeypatch):
+    rows = spark.createDataFrame([("gpt-4o-mini",), ("gpt-4",), ("none",), (None,)], "m string")
+    prices = spark.createDataFrame([(0, "gpt-4"), (1, "gpt-4o"), (2, "t-4o-m"), (3, "gpt-4o")], "ord int, p string")
+    few = findings.longest_pattern(rows, prices, "m", "p", "ord").collect()
+    monkeypatch.setattr(findings, "MAX_PATTERNS", 1)
+    many = findings.longest_pattern(rows, prices, "m", "p", "ord").collect()
+    assert sorted(map(str, few)) == sorted(str(r) for r in many) and {r["m"]: r["p"] for r in few} == {"gpt-4o-mini": "gpt-4o", "gpt-4": "gpt-4", "none": None, None: None}
+
+
+def test_failed_jobs_are_tried_again_or_set_aside(spark):
+    jobs = spark.createDataFrame([("a", "parse", 1), ("b", "parse", 3), ("c", "audit", 1), ("d", "other", 1)], "id string, kind string, attempts int")
+    again, dead = events.split_dead(jobs, {"parse": 3, "audit": 2})
+    assert sorted((r["id"], r["delay_seconds"]) for r in again.collect()) == [("a", 5.0), ("c", 5.0)]
+    assert sorted(r["id"] for r in dead.collect()) == ["b", "d"]
+    published = events.publish(spark.createDataFrame([("t", None, "x", None)], "type string, docVersionId string, tenantId string, timestamp string").withColumn("processingRunId", F.lit("r")))
+    parsed = events.parse_messages(published)
+    assert [(r["type"], r["tenantId"], r["processingRunId"]) for r in parsed.collect()] == [("t", "x", "r")] and published.first()["key"] == "x"
+
+
+def test_responses_that_were_cut_off(spark):
+    texts = ['[{"a": 1}, {"a": 2}, {"a": ', 'so: {"a": 3}', "не могу помочь с этим {\"a\": 4}", "nothing", '<think>{"a": 9}</think>[{"a": 5}]']
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, content string")
+    assert sorted((r["i"], r["a"]) for r in responder.parse_rows(rows, "a int").collect()) == [(0, 1), (0, 2), (1, 3), (4, 5)]
+    errors = spark.createDataFrame([("HTTP 503",), ("Rate limit",), ("bad key",), (None,)], "e string")
+    assert [r[0] for r in errors.select(responder.transient(F.col("e"))).collect()] == [True, True, False, False]
 
 
 def test_greedy_pairs_and_rates(spark):

@@ -50,6 +50,11 @@ def test_rate_limits_equal_the_batch(spark, small, tmp_path):
     assert found == sorted(map(tuple, wanted.collect())) and any(r[2] for r in found)
 
 
+def test_an_event_one_window_old_has_left_it(spark):
+    rows = spark.createDataFrame([(1, 7, "2024-01-01 00:00:00"), (2, 7, "2024-01-01 00:01:00"), (3, 7, "2024-01-01 00:01:59.999999")], "event_id long, user_id long, t string").selectExpr("event_id", "user_id", "cast(t as timestamp_ntz) as ts")
+    assert [r["in_window"] for r in runs.sliding_count(rows, "user_id", "ts", 60).orderBy("event_id").collect()] == [1, 1, 2]
+
+
 def test_messages(spark):
     rows = [('{"type": "step", "tenantId": "t", "docVersionId": "v", "timestamp": "2024-01-01T00:00:00Z", "data": {"status": "ok"}}',), ("{broken",), ('{"type": "step"}',)]
     parsed = events.parse_messages(spark.createDataFrame(rows, "value string"))
