@@ -14,8 +14,8 @@ from tessera.llm.sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-#: One page in this many is damaged in the replica that operator 10 audits.
-DAMAGE = 1009
+#: Of so many pages four differ in the replica that operator 10 audits.
+DAMAGE = 50
 
 
 def hex16(column: str) -> F.Column:
@@ -67,14 +67,21 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit a replica in which one page in ``DAMAGE`` has another last character."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    hit = F.crc32(F.col("page_id").cast("string").cast("binary")) % DAMAGE == 0
-    replica = pages.withColumn("html", F.when(hit, F.expr("concat(substring(html, 1, length(html) - 1), '~')")).otherwise(F.col("html")))
-    laid = materialize(warc.records(pages), "records")
-    damaged = warc.audit(warc.tree(laid), warc.tree(warc.records(replica))).select("segment", F.col("node").alias("seq"), F.lit(False).alias("intact"))
-    found = laid.join(damaged, ["segment", "seq"], "left")
-    return found.select(F.col("id").alias("page_id"), "segment", "seq", "offset", "length", "digest", F.coalesce("intact", F.lit(True)).alias("intact"))
+    """The records of ``pages``, and what an audit of a replica finds: of every 50 pages one has another last character,
+    one is longer, one is missing, and one was added."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    kind = F.col("page_id") % DAMAGE
+    changed = F.when(kind == 7, F.expr("concat(substring(html, 1, length(html) - 1), '~')")).when(kind == 27, F.concat("html", F.lit("~"))).otherwise(F.col("html"))
+    added = pages.where(kind == 37).withColumn("page_id", -F.col("page_id"))
+    replica = pages.where(kind.isNull() | (kind != 17)).withColumn("html", changed).unionByName(added)
+    ours, theirs = (materialize(warc.keyed(rows), "records") for rows in (pages, replica))
+    depth = warc.digits(ours.count())
+    found = materialize(warc.audit(ours, theirs, depth), "findings")
+    here = found.where("state <> 'added'").select("id", "digest", "state")
+    laid = warc.records(ours, depth).join(here, ["id", "digest"], "left")
+    columns = [F.col("id").alias("page_id"), "segment", "seq", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state")]
+    none = [F.lit(None).cast(k).alias(n) for n, k in (("segment", "string"), ("seq", "long"), ("offset", "long"), ("length", "long"), ("digest", "string"))]
+    return laid.select(*columns).unionByName(found.where("state = 'added'").select(F.col("id").alias("page_id"), *none, "state"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,13 +1,18 @@
 """Operator 10: WARC records with a Merkle fixity audit.
 
-Records are laid out in segments with byte offsets.  The leaves of a segment's tree are digests of offset, length
-and record digest in order; each inner node is the digest of up to ``FAN_OUT`` children and covers their range of
-offsets.  An audit compares the roots of two replicas and descends only below nodes that differ, so what it reads
-grows with the damage and the height of the trees.
-
-Defined results: null urls or bodies count as empty; a record missing from, or added to, one replica is reported
-like a damaged one; repeated rows are records of their own in a fixed order; very long bodies are hashed whole;
-empty tables give empty trees and no findings; only the id, url and body columns are read.
+A record's key is the SHA-256 of its id and digest, in hexadecimal; an archive lays its records out in the order of their
+keys, in segments with byte offsets of their own.  A node of the tree is a prefix of keys and covers an ordered range of
+records: its hash is that of its bytes and of its children's hashes in order.  Leaves are prefixes so long that each has
+about ``LEAF_RECORDS`` records.  A node holds where its range starts and how long it is, but the hash leaves places out:
+so a missing, added or longer record changes the nodes above it and no others.
+
+An audit compares the roots of two replicas and descends only below nodes that differ; the records of the leaves that it
+ends in are compared by their ids.  What it reads grows with the damage and the height of the trees.
+
+Defined results: null urls or bodies count as empty; a record is ``damaged`` where both replicas have the id but not the
+digest, else ``missing`` or ``added``; repeated rows are records of their own, side by side, and are compared by their
+number; null ids are ids like others, and so are texts; very long bodies are hashed whole; empty tables give empty trees
+and no findings; only the id, url and body columns are read.
 """
 
 from __future__ import annotations
@@ -21,10 +26,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
 
-#: Children of an inner node.
-FAN_OUT = 16
-#: Records in a segment, about: ids are cut in ranges of this width.
-SEGMENT_IDS = 4096
+#: Records below a leaf, about (a power of two); each further digit divides them by 16.
+LEAF_RECORDS = 16
+#: Digits that the leaves of one segment differ in: segments have about 4,096 records.
+SEGMENT_DIGITS = 2
 #: Fixed value: the date of synthetic records, as pages carry none.
 RECORD_DATE = "1970-01-01T00:00:00Z"
 END = "\r\n"
@@ -49,55 +54,77 @@ def record(key: Column, url: Column, body: Column) -> Column:
     return F.concat_ws(END, *lines)
 
 
-def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
-    """``segment``, ``seq``, ``offset``, ``length``, ``digest`` and ``id`` of each page's record.
+def digits(n: int) -> int:
+    """The length of the leaves' prefixes for ``n`` records."""
+    return len(f"{n // LEAF_RECORDS:x}") if n >= LEAF_RECORDS else 0
 
-    Only digests and lengths are shuffled, never bodies.
-    """
+
+def keyed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
+    """``key``, ``id``, ``length`` and ``digest`` of each page's record.  Bodies are never shuffled."""
     text = record(pages[id_col], pages[url_col], pages[body_col]).cast("binary")
     plain = pages.select(pages[id_col].alias("id"), F.octet_length(text).cast("long").alias("length"), F.sha2(text, 256).alias("digest"))
-    segment = F.coalesce(F.floor(F.col("id") / SEGMENT_IDS), F.lit(-1)).cast("long")
-    order = Window.partitionBy("segment").orderBy(F.col("id").asc_nulls_first(), "digest")
-    laid = plain.withColumn("segment", segment).withColumn("seq", F.row_number().over(order).cast("long") - 1)
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("")), "digest")
+    return plain.select(F.sha2(name.cast("binary"), 256).alias("key"), "id", "length", "digest")
+
+
+def records(found: DataFrame, depth: int) -> DataFrame:
+    """Keyed records with ``segment`` (a prefix), ``seq`` and ``offset`` in it."""
+    segment = F.substring("key", 1, max(depth - SEGMENT_DIGITS, 0))
+    order = Window.partitionBy("segment").orderBy("key")
+    laid = found.withColumn("segment", segment).withColumn("seq", F.row_number().over(order).cast("long") - 1)
     before = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return laid.select("segment", "seq", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length", "digest", "id")
+    return laid.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
 
 
-def tree(laid: DataFrame) -> DataFrame:
-    """All nodes: ``segment``, ``level`` (0: leaves), ``node``, ``start``, ``stop`` (offsets) and ``hash``.
+def entries(found: DataFrame, depth: int) -> DataFrame:
+    """Equal records as one: ``node`` (the leaf), ``key``, ``id``, ``length``, ``digest`` and how ``many`` there are."""
+    return found.groupBy("key", "id", "length", "digest").agg(F.count("*").alias("many")).withColumn("node", F.substring("key", 1, depth))
 
-    The leaves' level is written once and each further level made from the one below.
+
+def tree(rows: DataFrame, depth: int) -> DataFrame:
+    """All nodes over entries: ``level`` (the length of the prefix), ``node``, ``bytes``, ``n_records`` and ``hash``.
+
+    The leaves' level is written once and each further level made from the one below, sixteen children at most a node.
     """
-    leaf = F.sha2(F.concat_ws(" ", F.col("offset"), F.col("length"), F.col("digest")).cast("binary"), 256)
-    level = materialize(laid.select("segment", F.lit(0).alias("level"), F.col("seq").alias("node"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("stop"), leaf.alias("hash")), "leaves")
-    levels, n, most = [level], 0, level.agg(F.max("node")).first()[0]
-    while most is not None and (most > 0 or n == 0):
-        n += 1
+    parts = F.array_sort(F.collect_list(F.concat_ws(" ", "key", "digest", "length", "many")))
+    leaves = rows.groupBy("node").agg(F.sum(F.col("length") * F.col("many")).alias("bytes"), F.sum("many").alias("n_records"), parts.alias("parts"))
+    level = materialize(leaves.select(F.lit(depth).alias("level"), "node", "bytes", "n_records", F.sha2(F.array_join("parts", "\n").cast("binary"), 256).alias("hash")), "leaves")
+    out = level
+    for n in range(depth - 1, -1, -1):
         children = F.array_sort(F.collect_list(F.struct("node", "hash")))
-        up = level.groupBy("segment", F.floor(F.col("node") / FAN_OUT).cast("long").alias("up")).agg(F.min("start").alias("start"), F.max("stop").alias("stop"), children.alias("children"))
-        level = up.select("segment", F.lit(n).alias("level"), F.col("up").alias("node"), "start", "stop", F.sha2(F.array_join("children.hash", "").cast("binary"), 256).alias("hash"))
-        levels.append(level)
-        most //= FAN_OUT
-    out = levels[0]
-    for more in levels[1:]:
-        out = out.unionByName(more)
+        up = level.groupBy(F.substring("node", 1, n).alias("up")).agg(F.sum("bytes").alias("bytes"), F.sum("n_records").alias("n_records"), children.alias("children"))
+        joined = F.concat_ws(" ", F.col("bytes").cast("string"), F.array_join("children.hash", " "))
+        level = up.select(F.lit(n).alias("level"), F.col("up").alias("node"), "bytes", "n_records", F.sha2(joined.cast("binary"), 256).alias("hash"))
+        out = out.unionByName(level)
     return materialize(out, "tree")
 
 
-def audit(ours: DataFrame, theirs: DataFrame) -> DataFrame:
-    """The leaves that differ between two trees: ``segment``, ``node``, and both hashes.
-
-    From the roots downwards only children of differing nodes are joined.
-    """
-    height = max(ours.agg(F.max("level")).first()[0] or 0, theirs.agg(F.max("level")).first()[0] or 0)
-    suspects = None
-    for level in range(height, -1, -1):
-        a, b = (t.where(F.col("level") == level).select("segment", "node", F.col("hash").alias(n)) for t, n in ((ours, "ours"), (theirs, "theirs")))
-        if suspects is not None:
-            parents = suspects.select("segment", F.col("node").alias("parent"))
-            a, b = (t.join(parents, (t["segment"] == parents["segment"]) & (F.floor(t["node"] / FAN_OUT) == parents["parent"]), "left_semi") for t in (a, b))
-        suspects = materialize(a.join(b, ["segment", "node"], "full").where(~F.col("ours").eqNullSafe(F.col("theirs"))), "suspects")
-    return suspects
+def suspects(ours: DataFrame, theirs: DataFrame, depth: int) -> DataFrame:
+    """The leaves (``node``) that differ between two trees.  From the root downwards only children of differing nodes are joined."""
+    found = None
+    for level in range(depth + 1):
+        a, b = (t.where(F.col("level") == level).select("node", F.col("hash").alias(n)) for t, n in ((ours, "ours"), (theirs, "theirs")))
+        if found is not None:
+            parents = found.select(F.col("node").alias("parent"))
+            a, b = (t.join(parents, F.substring("node", 1, level - 1) == F.col("parent"), "left_semi") for t in (a, b))
+        found = materialize(a.join(b, "node", "full").where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("node"), "suspects", instead_of=found)
+    return found
+
+
+def audit(ours: DataFrame, theirs: DataFrame, depth: int) -> DataFrame:
+    """``id``, ``state`` (damaged, missing or added), and both ``digest`` and ``theirs``, of the records of two replicas (keyed) that differ."""
+    a, b = (materialize(entries(rows, depth), "entries") for rows in (ours, theirs))
+    leaves = suspects(tree(a, depth), tree(b, depth), depth)
+    a, b = (rows.join(leaves, "node", "left_semi").select("key", "id", "digest", F.col("many").alias(n)) for rows, n in ((a, "lost"), (b, "new")))
+    both = a.join(b.withColumnRenamed("digest", "theirs").withColumnRenamed("id", "_id"), "key", "full")
+    differ = both.where(~F.col("lost").eqNullSafe(F.col("new"))).select(F.coalesce("id", "_id").alias("id"), "digest", "theirs", (F.coalesce("lost", F.lit(0)) - F.coalesce("new", F.lit(0))).alias("n"))
+    # what one replica lacks and what only the other has, side by side: an id's n-th with its n-th
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("digest", "theirs")))
+    lost = differ.where("n > 0").withColumn("_place", place).select("id", "_place", "digest")
+    new = differ.where("n < 0").withColumn("_place", place).select(F.col("id").alias("_id"), F.col("_place").alias("_p"), "theirs")
+    pairs = lost.join(new, lost["id"].eqNullSafe(new["_id"]) & (F.col("_place") == F.col("_p")), "full")
+    state = F.when(F.col("_p").isNull(), "missing").when(F.col("_place").isNull(), "added").otherwise("damaged")
+    return pairs.select(F.when(F.col("_place").isNull(), F.col("_id")).otherwise(F.col("id")).alias("id"), state.alias("state"), "digest", "theirs")
 
 
 def write_warc(stream: io.BufferedIOBase, texts: Iterator[str]) -> list[tuple[int, int]]:
