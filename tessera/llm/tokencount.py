@@ -7,7 +7,7 @@ appended to the cache, and all rows take their counts from there.
 Normalising replaces null by the empty text and nothing else, as any other change could change the count.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); copies of a text, repeated rows included, are
-encoded once; very long texts are encoded whole; a missing cache counts as empty; an empty table gives an empty
+encoded once; rows that share an id, or have none, are told apart by their digests; very long texts are encoded whole; a missing cache counts as empty; an empty table gives an empty
 table and appends nothing; only the id and text columns are read, so further columns never clash.
 """
 
@@ -26,6 +26,8 @@ from tessera.llm.common import materialize
 
 #: Texts with more tokens are over the limit.
 TOKEN_LIMIT = 1024
+#: Digests that a task remembers, so that rows that repeat both id and text are mostly encoded once.
+RECENT = 1 << 16
 CACHE_SCHEMA = "digest string, tokenizer string, n_tokens long"
 
 
@@ -57,18 +59,21 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
     misses = first.join(stored(spark, cache_path, version), "digest", "left_anti").select(F.col("first.id").alias("miss_id"), F.col("digest").alias("miss"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, last = bpe(tokenizer_path), None
+        coder, met = bpe(tokenizer_path), {}
         for batch in batches:
-            keys, texts = batch.columns
             out = []
-            for key, text in zip(keys.to_pylist(), texts):
-                out.append((key, len(coder.encode(text.as_py())) // 4) if key != last else None)
-                last = key
-            out = [x for x in out if x]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key in met:
+                    continue  # a row that repeats both id and text
+                if len(met) >= RECENT:
+                    met.clear()
+                met[key] = None
+                out.append((key, len(coder.encode(text.as_py())) // 4))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["digest", "n_tokens"])
 
-    # one text for each missing digest: rows that repeat an id are told apart by their digests
-    texts = rows.join(misses.hint("shuffle_hash"), rows["id"].eqNullSafe(misses["miss_id"])).where(digest == F.col("miss")).select("miss", "text")
+    # one text for each missing digest, joined by digest and id, so that rows of one id or without any are spread
+    hashed = rows.withColumn("digest", digest)
+    texts = hashed.join(misses.hint("shuffle_hash"), (hashed["digest"] == misses["miss"]) & hashed["id"].eqNullSafe(misses["miss_id"])).select("miss", "text")
     fresh = texts.mapInArrow(run, "digest string, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache_path)
     # written first, so that the join has plain shuffles on both sides and a digest with very many copies is split

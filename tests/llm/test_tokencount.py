@@ -42,3 +42,9 @@ def test_another_version_shares_nothing(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert tokencount.count_tokens(docs, PATH, str(tmp_path / "c")).collect() == []
+
+
+def test_many_rows_of_one_id(spark, tmp_path):
+    rows = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "concat('text ', id % 1000) as text")
+    found = tokencount.count_tokens(rows, PATH, str(tmp_path / "c"))
+    assert found.count() == 100_000 and found.select("n_tokens").distinct().count() <= 3 and spark.read.parquet(str(tmp_path / "c")).count() == 1000
