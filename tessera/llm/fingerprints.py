@@ -7,7 +7,8 @@ remaining blocks in common.
 
 Defined results: a null text counts as empty and has fingerprint zero; fewer words than a shingle give one term;
 equal texts have equal fingerprints; of rows with equal ids the next one is the next in order of text, nulls
-first; a single row is its own next document; null ids come last; very long texts are read whole; an empty table
+first; rows of one id, and those without any, are one range, which is sorted on disk and read row by row;
+ids must be numbers (others raise a TypeError); a single row is its own next document; null ids come last; very long texts are read whole; an empty table
 gives an empty table; only the id and text columns are read.
 """
 
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from tessera.llm.simhash import COUNT_CHUNK, components, shingle_hashes, words
 
@@ -80,6 +82,8 @@ def in_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     and one boundary for each range.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    if not isinstance(rows.schema["id"].dataType, NumericType):
+        raise TypeError(f"ids must be numbers to be dealt by ranges, not {rows.schema['id'].dataType.simpleString()}")
     n = rows.count()
     ranges = min(MAX_RANGES, max(1, -(-n // RANGE_ROWS)))
     coarse = min(ranges, QUANTILES)

@@ -75,3 +75,16 @@ def test_search_equals_brute_force(spark):
     found = {tuple(r) for r in fingerprints.search(prints.where("doc_id % 10 = 0"), prints).collect()}
     wanted = {(i, j, d) for i, a in enumerate(values) if i % 10 == 0 for j, b in enumerate(values) if (d := (a ^ b).bit_count()) <= 3}
     assert found == wanted and len(wanted) > 100
+
+
+def test_ids_must_be_numbers(spark):
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="numbers"):
+        fingerprints.with_next(docs)
+
+
+def test_many_rows_of_one_id_and_without_one(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 50)
+    rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i} words") for i in range(20)]
+    found = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert len(found) == len(rows) and len([r for r in found if r["doc_id"] is None]) == 300
