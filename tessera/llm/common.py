@@ -10,31 +10,61 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import spread, table
 
-__all__ = ["documents", "fold", "materialize", "shared_dir", "spread"]
+__all__ = ["clean", "delete", "documents", "fold", "materialize", "shared_dir", "small_batches", "spread", "tables_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Without either a temporary folder serves a local master; a cluster has no folder that could, and raises an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def tables_dir(spark: SparkSession) -> str:
+    """The folder of all tables that this application writes between its steps."""
+    return f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
+#: Rows that go to a Python worker at a time, at most: with texts of some kilobytes a few megabytes.
+BATCH_ROWS = 4_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers: from now on the session's Arrow batches have ``BATCH_ROWS`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the application's tables; call it when no result is read any more."""
+    delete(spark, tables_dir(spark))
+
+
 def materialize(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage and survives lost executors.
 
     ``instead_of``: a table made here before that nothing needs any more; its files are deleted.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     if instead_of is not None:
-        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of._tessera_path)
-        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+        delete(spark, instead_of._tessera_path)
     return out
 
 

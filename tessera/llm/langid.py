@@ -36,8 +36,8 @@ DICTIONARY_BYTES = 64 * 1024
 SAMPLE_ROWS = 300
 #: Characters of one drawn text that may enter the dictionary, so that no single text fills it.
 SHARE_CHARS = 1_500
-#: Languages learned at most: the most frequent ones.
-MAX_LANGUAGES = 64
+#: All labels are learned; with more than this their dictionaries would be over 32 MiB, and an error is raised.
+MAX_LANGUAGES = 512
 #: Characters compressed at a time.
 BLOCK_CHARS = 1_200
 #: zstandard's level: the lower ones look for long matches only and miss most of the dictionary.
@@ -64,7 +64,9 @@ def training_texts(docs: DataFrame, held_out: Column, lang_col: str = "lang", te
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), held_out.alias("out"))
     rows = rows.where(~F.col("out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if each worker can hold {DICTIONARY_BYTES} bytes of each")
     if not counts:
         return {}
     space = 1 << 40

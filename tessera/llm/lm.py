@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import gru
-from tessera.llm.common import fold, materialize, spread
+from tessera.llm.common import delete, fold, materialize, spread
 
 #: Words whose counts go to every worker, at most.
 HEAD_WORDS = 1 << 18
@@ -166,7 +166,9 @@ def train(encoded: DataFrame, frequency: np.ndarray) -> gru.Model:
         dealt_schema = pa.schema([("trainer", pa.int32()), ("draw", pa.int64()), ("ids", pa.binary())])
         # one trainer a task
         trained = dealt.repartitionById(trainers, "trainer").mapInArrow(run, "trainer long, weight double, model binary")
-        model = gru.unpack(averaged(materialize(trained, "models")))
+        models = materialize(trained, "models")
+        model = gru.unpack(averaged(models))
+        delete(spark, models._tessera_path)
         start.destroy()
     return model
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
+from tessera.llm.similar import whole_runs
 
 #: Runs up to this length list their links; longer ones give a spanning forest.
 SMALL_RUN = 8
@@ -92,22 +93,9 @@ def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: i
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in out], names=["key", "fp"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def edges(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        for keys, values in whole_runs(batches):
             a, b = (x.view(np.int64) for x in run_edges(keys, values.view(np.uint64), radius))
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-        for batch in batches:
-            keys, values = (np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns))
-            if not len(keys):
-                continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last run may go on in the next batch
-            held = keys[cut:], values[cut:]
-            if cut:
-                yield edges(keys[:cut], values[:cut])
-        if len(held[0]):
-            yield edges(*held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     keyed = fingerprints.select("fp").mapInArrow(emit, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()

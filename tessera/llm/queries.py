@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, fingerprints, langid, lm, packing, quality, simhash, tokencount, urls, warc
-from tessera.llm.common import documents, fold, materialize, shared_dir
+from tessera.llm.common import documents, fold, materialize, tables_dir
 from tessera.llm.sql import ORACLE_SQL
 
 WORD_BPE = "word_bpe_49k.json"
@@ -52,7 +52,7 @@ def op7_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     # a cache of its own: the query counts everything once
-    cache = f"{shared_dir(spark)}/tessera/token-cache-{uuid.uuid4().hex}"
+    cache = f"{tables_dir(spark)}/token-cache-{uuid.uuid4().hex}"
     return tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), cache)
 
 

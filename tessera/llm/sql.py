@@ -23,8 +23,8 @@ t as (select page_id, concat_ws(chr(13) || chr(10), 'WARC/1.1', 'WARC-Type: reso
   html <> '' and not ends_with(html, '~') as other from b),
 r as (select page_id, strlen(text)::bigint as length, sha256(text) as digest, other from t),
 k as (select *, sha256(page_id || ':' || digest) as key, greatest((select case when count(*) < 16 then 0 else length(to_hex(count(*) // 16)) end from pages) - 2, 0) as cut from r),
-s as (select *, substr(key, 1, cut) as segment, row_number() over (partition by substr(key, 1, cut) order by key) - 1 as seq, coalesce(sum(length) over (partition by substr(key, 1, cut) order by key rows between unbounded preceding and 1 preceding), 0)::bigint as offset from k)
-select page_id, segment, seq, offset, length, digest, case when page_id % 50 = 7 and other then 'damaged' when page_id % 50 = 27 then 'damaged' when page_id % 50 = 17 then 'missing' else 'intact' end as state from s
+s as (select *, substr(key, 1, cut) as segment, row_number() over (partition by substr(key, 1, cut) order by key) - 1 as seq, coalesce(sum(length) over (partition by substr(key, 1, cut) order by key rows between unbounded preceding and 1 preceding), 0)::bigint as "offset" from k)
+select page_id, segment, seq, "offset", length, digest, case when page_id % 50 = 7 and other then 'damaged' when page_id % 50 = 27 then 'damaged' when page_id % 50 = 17 then 'missing' else 'intact' end as state from s
 union all select -page_id, null, null, null, null, null, 'added' from pages where page_id % 50 = 37
 """
 

@@ -1,3 +1,7 @@
+import re
+
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, queries
@@ -26,6 +30,31 @@ def test_cases(spark):
     assert langid.identify(asked.limit(0), content).collect() == []
 
 
+def test_predictions_equal_brute_force(spark, small):
+    """Every text against every dictionary, with a compressor made anew for each."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang").limit(60).unionByName(spark.createDataFrame([(None, "sans identité mais des mots", "fr"), (None, None, None)], "doc_id long, text string, lang string"))
+    content = langid.train(docs)
+    found = {(r["doc_id"], r["text"]): (r["lang_pred"], r["margin"]) for r in langid.identify(docs, content).join(docs, "doc_id").collect()}
+    for r in docs.where("doc_id is not null").collect():
+        plain = re.sub(r"[\W\d_]+", " ", (r["text"] or "").lower())
+        sizes = []
+        for lang, raw in content.items():
+            data = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            compressor = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(compressor.compress(plain[i : i + 1200].encode())) for i in range(0, len(plain), 1200)), lang))
+        best, following = sorted(sizes)[:2]
+        assert found[r["doc_id"], r["text"]] == (best[1], (following[0] - best[0]) / following[0])
+    nameless = langid.identify(docs.where("doc_id is null"), content).collect()
+    assert sorted(r["lang_pred"] for r in nameless) == ["fr", "und"]
+
+
+def test_more_languages_than_can_be_held(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    docs = spark.createDataFrame([(i, "some words here", f"l{i % 3}") for i in range(60)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs)
+
+
 def test_without_training_rows_everything_is_unknown(spark):
     docs = spark.createDataFrame([(1, "some words", None)], "doc_id long, text string, lang string")
     assert langid.train(docs) == {}

@@ -2,6 +2,7 @@ import os
 
 import corpus_pipeline
 import duckdb
+import pytest
 
 import __spark_entry__
 from tessera.llm import langid, quality, simhash
@@ -38,22 +39,50 @@ def test_stages_handle_nulls_and_empty_tables(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double"
     good = " ".join(f"word{i} the and of" for i in range(30))
     rows = [(1, None, None, None, None, None), (2, "", "en", None, 0, 1.0), (None, good, "en", "s", 5, None), (3, good, "en", "s", 5, None), (3, good, "en", "s", 5, None)]
-    for data in (rows, []):
-        at = spark.createDataFrame(data, schema)
-        for _, stage in corpus_pipeline.STAGES:
-            at = stage(spark, at, "unused")
-        at.collect()
+    kept = {}
+    at = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, "unused")
+        kept[name] = sorted((r["doc_id"] for r in at.collect()), key=str)
+    # too short texts go; rows without an id can't be told apart and stay; of repeated rows one stays
+    assert kept == {"quality_rules": [3, 3, None], "language_id": [3, 3, None], "near_dedup": [3, None], "best_fit_packing": [3, None]}
+    at = spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        at = stage(spark, at, "unused")
+        assert at.collect() == [] and (name == "best_fit_packing" or at.columns == [c.split()[0] for c in schema.split(", ")])
 
 
-def test_url_query_equals_its_sql(spark, small):
-    sql = __spark_entry__.oracle_sql()["op3_urls"]
+@pytest.mark.parametrize("name", ["op3_urls", "op10_warc"])
+def test_queries_equal_their_sql(spark, small, name):
+    sql = __spark_entry__.oracle_sql()[name]
     con = duckdb.connect()
     con.execute(f"create view pages as select * from read_parquet('{small}/pages.parquet')")
-    wanted = con.execute(sql).fetchall()
-    found = __spark_entry__.queries()["op3_urls"](spark, small).collect()
-    assert sorted(map(repr, wanted)) == sorted(repr(tuple(r)) for r in found) and wanted
+    wanted = con.execute(sql)
+    names = [d[0] for d in wanted.description]
+    found = __spark_entry__.queries()[name](spark, small)
+    assert sorted(found.columns) == sorted(names)
+    wanted = wanted.fetchall()
+    assert sorted(map(repr, wanted)) == sorted(repr(tuple(r)) for r in found.select(*names).collect()) and wanted
 
 
 def test_no_operator_writes_outside_the_shared_folder(spark):
+    from tessera.llm import common
+
     shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
-    assert os.path.isdir(f"{shared}/tessera")
+    made = common.materialize(spark.range(3), "t")
+    assert os.path.isdir(f"{shared}/tessera") and made.count() == 3 and made._tessera_path.startswith(common.tables_dir(spark))
+    other = common.materialize(spark.range(4), "t", instead_of=made)
+    assert not os.path.exists(made._tessera_path.removeprefix("file://")) and other.count() == 4
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tessera.llm import common
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=context)
+    with pytest.raises(ValueError, match="share"):
+        common.shared_dir(session)
+    context.getCheckpointDir = lambda: "hdfs://shared/x/"
+    assert common.shared_dir(session) == "hdfs://shared/x"

@@ -28,6 +28,39 @@ def test_base_equals_brute_force(spark, small):
         assert quality.measure(text)[:6] == brute(text), (text or "")[:60]
 
 
+def covered(words, size):
+    """The share of the words' characters in windows that occur twice."""
+    windows = [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+    counts = collections.Counter(windows)
+    inside = {k for i, w in enumerate(windows) if counts[w] > 1 for k in range(i, i + size)}
+    return sum(len(words[i]) for i in inside) / max(sum(map(len, words)), 1)
+
+
+def brute_reason(text):
+    text = text or ""
+    words = WORD.findall(text)
+    _, _, symbols, dup, _, failed = brute(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    if failed:
+        return "base"
+    if symbols > 0.1 * len(words):
+        return "symbols"
+    if dup > 0.5 * len(lines) or sum(map(len, again)) / len(text) > 0.3:
+        return "lines"
+    return next((f"coverage_{k}" for k, most in quality.MAX_COVERED.items() if covered(words, k) > most), None)
+
+
+def test_kept_equals_brute_force(spark, small):
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").where("length(text) < 6000").collect()]
+    pair = " ".join(f"a b w{i}" for i in range(40)) + " " + "a b " * 0
+    texts += ["x y " * 3 + " ".join(f"u{i}" for i in range(60)), pair, "\n".join(f"line {i} of words in a text" for i in range(9)), "\n".join(["the same long line of many words again"] * 2 + [f"other{i}" for i in range(200)]), "$ " * 3 + " ".join(f"v{i}" for i in range(12)), "long" * 50 + " b " + " ".join(f"q{i}" for i in range(20)) + " " + "long" * 50 + " b"]
+    rows = spark.createDataFrame([(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = [(r["doc_id"], r["reason"], r["kept"]) for r in quality.judge(rows).collect()]
+    wanted = [(None if i % 3 == 0 else i, brute_reason(t), brute_reason(t) is None) for i, t in enumerate(texts)]
+    assert sorted(found, key=repr) == sorted(wanted, key=repr) and len({r for _, r, _ in wanted}) > 3
+
+
 def test_verdicts_follow_the_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
