@@ -45,7 +45,7 @@ def test_predictions_equal_brute_force(spark, small):
         best, following = sorted(sizes)[:2]
         assert found[r["doc_id"], r["text"]] == (best[1], (following[0] - best[0]) / following[0])
     nameless = langid.identify(docs.where("doc_id is null"), content).collect()
-    assert sorted(r["lang_pred"] for r in nameless) == ["fr", "und"]
+    assert len(nameless) == 2 and {r["lang_pred"] for r in nameless} - set(content) == {"und"}
 
 
 def test_more_languages_than_can_be_held(spark, monkeypatch):
