@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import findings as FF
 from tessera.functions import text as T
-from tessera.operators import audit, evaluation, facts, findings, rules, sections, tables
+from tessera.operators import audit, diff, evaluation, facts, findings, rules, sections, tables
 from tessera.plans.section_plans import LINES, lines
 from tessera.sources.tables import table
 
@@ -427,7 +427,7 @@ def finding_sections(spark: SparkSession, sf: str) -> DataFrame:
     turns = table(spark, sf, "conversations")
     standard = F.concat_ws(".", "role", F.col("turn").cast("string"))
     held = turns.select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("section_id"), F.col("turn").alias("ord"), standard.alias("standard"), F.col("text").alias("content"))
-    quotes = F.array(F.when(F.col("turn") % 3 != 2, F.substring("text", 5, 90)), F.lit("short"), F.when(F.col("turn") % 2 == 0, F.upper(F.substring("text", 20, 40))), F.lit(" "))
+    quotes = F.array(F.when(F.col("turn") % 3 != 2, F.substring("text", 5, 90)), F.lit("short"), F.when(F.col("turn") % 2 == 0, F.substring("text", 20, 40)), F.lit(" "))
     zones = F.array(F.when(F.col("turn") % 4 == 1, "user"), F.when(F.col("turn") % 4 == 2, "assistant.1"), F.lit(""))
     found = turns.select("conv_id", F.concat_ws("#", "conv_id", "turn").alias("id"), quotes.alias("quotes"), zones.alias("zones"))
     return audit.link_findings(found, held, "conv_id")
@@ -435,7 +435,7 @@ def finding_sections(spark: SparkSession, sf: str) -> DataFrame:
 
 FINDING_SECTIONS = r"""
 with s as (select conv_id, conv_id || '/' || turn as section_id, turn as ord, role, role || '.' || turn as standard, lower(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'), ' ')) as c from conversations),
-f as (select conv_id, conv_id || '#' || turn as id, list_filter([case when turn % 3 <> 2 then substr(lower(trim(regexp_replace(substr(text, 5, 90), '[\s\x{00A0}]+', ' ', 'g'), ' ')), 1, 60) end, case when turn % 2 = 0 then substr(lower(trim(regexp_replace(upper(substr(text, 20, 40)), '[\s\x{00A0}]+', ' ', 'g'), ' ')), 1, 60) end], lambda q: length(q) >= 12) as q,
+f as (select conv_id, conv_id || '#' || turn as id, list_filter([case when turn % 3 <> 2 then substr(lower(trim(regexp_replace(substr(text, 5, 90), '[\s\x{00A0}]+', ' ', 'g'), ' ')), 1, 60) end, case when turn % 2 = 0 then substr(lower(trim(regexp_replace(substr(text, 20, 40), '[\s\x{00A0}]+', ' ', 'g'), ' ')), 1, 60) end], lambda q: length(q) >= 12) as q,
   case when turn % 4 = 1 then 'user' when turn % 4 = 2 then 'assistant.1' end as z from conversations),
 j as (select f.id, s.section_id, s.ord, len(list_filter(q, lambda x: contains(s.c, x))) > 0 as inside, coalesce(s.role = z or s.standard = z or starts_with(s.standard, z || '.'), false) as fits from f join s on f.conv_id = s.conv_id)
 select id, arg_min(section_id, struct_pack(r := case when inside and fits then 0 when inside then 1 else 2 end, o := ord)) as section_id from j where inside or fits group by 1
@@ -618,5 +618,34 @@ def json_like_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 JSON_LIKE_FILTER = "select event_id from events where event_type || ['_', '-'][event_id % 2 + 1] like 'click\\_%' escape '\\'"
 
-QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter)}
+_MODELS = ("gpt-4o-mini", "gpt-4o", "local", None, "GPT-4")
+
+
+def run_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as calls of several models: the longest price pattern counts, some models have none."""
+    calls = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("level"), pick("turn", *_MODELS).alias("model"), F.length("text").alias("prompt_tokens"), (F.length("text") % 17).alias("completion_tokens"), F.col("turn").alias("ord"))
+    prices = spark.createDataFrame([("gpt-4", 3.0, 6.0, "USD", 0), ("gpt-4o", 1.0, 2.0, "EUR", 1), ("4o-mini", 0.5, 1.0, "RUB", 2), ("mini", 9.0, 9.0, "X", 3)], "pattern string, in_k double, out_k double, currency string, ord int")
+    return findings.run_costs(calls, prices, ["conv_id"]).withColumn("unpriced", F.array_join("unpriced", ","))
+
+
+RUN_COSTS = f"""
+with c as (select conv_id, role as level, {sql_pick('turn', *_MODELS)} as model, length(text) as p, length(text) % 17 as k, turn from conversations),
+m as (select *, case model when 'gpt-4o-mini' then 0.5 when 'gpt-4o' then 1.0 end::double as i, case model when 'gpt-4o-mini' then 1.0 when 'gpt-4o' then 2.0 end::double as o, case model when 'gpt-4o-mini' then 'RUB' when 'gpt-4o' then 'EUR' end as cur from c)
+select conv_id, level, sum(p)::bigint as prompt_tokens, sum(k)::bigint as completion_tokens, round(sum(coalesce((p * i + k * o) / 1000, 0)), 6) as cost, count(*) as n, arg_max(cur, turn) filter (cur is not null) as currency, coalesce(array_to_string(list_sort(list(distinct model) filter (i is null and model is not null)), ','), '') as unpriced from m group by grouping sets ((conv_id, level), (conv_id))
+"""
+
+
+def diff_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    """Even turns as an old version and odd ones as a new one of a conversation's value: of repeated keys the last counts."""
+    rows = table(spark, sf, "conversations").select("conv_id", F.substring("text", 1, 1).alias("value"), "turn")
+    return diff.diff_values(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), "conv_id", "value", "turn")
+
+
+DIFF_LAST_WINS = """
+with v as (select conv_id, turn % 2 as side, arg_max(substr(text, 1, 1), turn) as value from conversations group by 1, 2)
+select coalesce(a.conv_id, b.conv_id) as conv_id, case when a.conv_id is null then 'added' when b.conv_id is null then 'removed' when a.value is not distinct from b.value then 'unchanged' else 'modified' end as change, a.value as old_value, b.value as new_value
+from (select * from v where side = 0) a full join (select * from v where side = 1) b on a.conv_id = b.conv_id
+"""
+
+QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter, run_costs, diff_last_wins)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -357,5 +357,23 @@ e as (select doc_id, o + 1 as ord, o * 5 % 37 + 1 as page, lag(o * 5 % 37 + 1) o
 select doc_id, ord from e where twin <> '' and not tailed and coalesce(before, page) <= page and coalesce(after, page) >= page
 """
 
-QUERIES = {f.__name__: f for f in (base_font_size, paragraph_numbers, section_block_texts, section_numbers, orphaned_sections, visible_sections, reordered_sections, grouped_children, budget_batches, context_budget, zone_document_texts, zone_check_pairs, prompt_plans, section_relinks, bm25_sections, section_anchors, next_orders, backfilled_lines, positional_tables, detected_headings, heading_fallbacks, contents_lines)}
+def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in overlapping pieces that end at white space where it is near."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return headings.chunked(docs, size=2000, overlap=200).select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.sha2("text", 256).alias("digest"))
+
+
+CHUNK_TEXTS = """
+with recursive d as (select doc_id, text, length(text)::bigint as n from documents where text <> ''),
+c(doc_id, chunk, begun, stop) as (
+  select doc_id, -1::bigint, 0::bigint, 200::bigint from d
+  union all
+  select w.doc_id, w.chunk, w.start, case when w.start + 2000 >= w.n then w.n when w.k > 0 then w.start + 2000 - w.k else w.start + 2000 end from (
+    select *, coalesce(list_min(list_filter([strpos(r, ' '), strpos(r, chr(10)), strpos(r, chr(9))], lambda x: x > 0)), 0) as k from (
+      select d.doc_id, d.n, c.chunk + 1 as chunk, greatest(c.stop - 200, case when c.chunk < 0 then 0 else c.begun + 1 end) as start, reverse(substr(d.text, greatest(c.stop - 200, case when c.chunk < 0 then 0 else c.begun + 1 end) + 1801, 200)) as r
+      from c join d using (doc_id) where c.chunk < 0 or c.stop < d.n)) w)
+select doc_id, chunk, sha256(substr(text, begun + 1, stop - begun)) as digest from c join d using (doc_id) where chunk >= 0
+"""
+
+QUERIES = {f.__name__: f for f in (base_font_size, paragraph_numbers, section_block_texts, section_numbers, orphaned_sections, visible_sections, reordered_sections, grouped_children, budget_batches, context_budget, zone_document_texts, zone_check_pairs, prompt_plans, section_relinks, bm25_sections, section_anchors, next_orders, backfilled_lines, positional_tables, detected_headings, heading_fallbacks, contents_lines, chunk_texts)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
