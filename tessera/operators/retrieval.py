@@ -43,6 +43,22 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("_group", group or "_all").drop("_all")
 
 
+def alike(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str], a: str, b: str, least: float) -> DataFrame:
+    """All pairs of rows whose word sets (``a``, ``b``) have a Jaccard similarity of ``least`` or more, as ``overlap``.
+
+    A similar pair shares at least ``least`` of the right set's words, so it shares one of any of them that are more than
+    the rest: right rows are listed under so many of their longest words, which are rare, and left rows are looked up by
+    all of theirs.  No pair is lost, and only pairs that share such a word are compared.
+    """
+    order = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
+    few = (F.size(b) - F.ceil(F.size(b) * least - 1e-9) + 1).cast("int")
+    listed = right.select(*right_key, b, F.explode(F.slice(F.array_sort(b, order), F.lit(1), few)).alias("_word"))
+    asked = left.select(*left_key, a, F.explode(a).alias("_word"))
+    sizes = (F.size(a) >= least * F.size(b) - 1e-9) & (F.size(b) >= least * F.size(a) - 1e-9)
+    met = asked.join(listed, "_word").where(sizes).dropDuplicates([*left_key, *right_key])
+    return met.withColumn("overlap", T.jaccard(F.col(a), F.col(b))).where(F.col("overlap") >= least).drop("_word")
+
+
 def top_tokens(docs: DataFrame, k: int, least: int = 4, stop: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:
     """The most frequent tokens of at least ``least`` characters that aren't numbers or stop words."""
     found = docs.select(F.explode(T.tokens(F.lower(text_col))).alias("token"))

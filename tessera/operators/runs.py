@@ -8,13 +8,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Windows of time that one sorted part of a key's events spans.
+PART_WINDOWS = 16
+
+
 def sliding_count(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     """Adds ``in_window``: events of the key in the last ``seconds``, the present one included.
 
-    An event exactly one window old has left it, so the range starts a microsecond later.
+    An event exactly one window old has left it, so the range starts a microsecond later.  A key's events are sorted in
+    parts of ``PART_WINDOWS`` windows; each part also holds a copy of the window before it, so a busy key is spread.
     """
-    span = Window.partitionBy(key).orderBy(F.unix_micros(F.col(at).cast("timestamp"))).rangeBetween(1 - seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(span))
+    span = seconds * 1_000_000
+    width = F.lit(PART_WINDOWS * span)
+    timed = events.withColumn("_at", F.unix_micros(F.col(at).cast("timestamp"))).withColumn("_part", F.floor(F.col("_at") / width)).withColumn("_copy", F.lit(False))
+    before = timed.where(F.pmod("_at", width) > width - span).withColumn("_part", F.col("_part") + 1).withColumn("_copy", F.lit(True))
+    running = Window.partitionBy(key, "_part").orderBy("_at").rangeBetween(1 - span, 0)
+    counted = timed.unionByName(before).withColumn("in_window", F.count("*").over(running))
+    return counted.where("not _copy").drop("_at", "_part", "_copy")
 
 
 def stale(runs: DataFrame, now: Column, status: str = "status", updated: str = "updated_at", minutes: int = 5) -> DataFrame:

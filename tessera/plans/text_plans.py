@@ -125,16 +125,15 @@ from (select doc_id, case when substr(trim(text, ' '), 1, 200) = '' then '' else
 
 
 def word_jaccard_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Sentences of documents and of benchmark passages with the same first two words, alike by half of their words."""
-    start = F.substring_index("flat", " ", 2)
+    """Sentences of documents and of benchmark passages that are alike by half of their words."""
 
     def prepared(rows: DataFrame, key: str, name: str) -> DataFrame:
-        flat = structure.sentences(rows, key).select(key, F.col("ord").cast("long").alias(f"{name}_ord"), T.normal_words(F.col("sentence")).alias("flat"))
-        return flat.where("flat like '% %'").select(key, f"{name}_ord", T.word_set(F.col("flat")).alias(name), start.alias("start"))
+        flat = structure.sentences(rows, key).select(key, F.col("ord").cast("long").alias(f"{name}_ord"), T.word_set(F.col("sentence")).alias(name))
+        return flat.where(F.size(name) > 0)
 
     items = prepared(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", "b")
-    pairs = prepared(texts(spark, sf), "doc_id", "a").join(items, "start").withColumn("overlap", F.round(T.jaccard(F.col("a"), F.col("b")), 6))
-    return pairs.where("overlap >= 0.5").select("doc_id", F.col("a_ord").alias("ord"), "item_id", F.col("b_ord").alias("item_ord"), "overlap")
+    pairs = retrieval.alike(prepared(texts(spark, sf), "doc_id", "a"), items, ["doc_id", "a_ord"], ["item_id", "b_ord"], "a", "b", 0.5)
+    return pairs.select("doc_id", F.col("a_ord").alias("ord"), "item_id", F.col("b_ord").alias("item_ord"), F.round("overlap", 6).alias("overlap"))
 
 
 _FLAT = r"trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')"
@@ -142,13 +141,14 @@ _FLAT = r"trim(regexp_replace(lower(s), '[^\p{L}\p{N}]+', ' ', 'g'), ' ')"
 
 def _sql_sentences(table: str, key: str) -> str:
     split = r"string_split_regex(text, '[.!?]\s+')"
-    return f"select {key}, ord, string_split(f, ' ') as w from (select {key}, ord, {_FLAT} as f from (select {key}, unnest({split}) as s, (generate_subscripts({split}, 1) - 1)::bigint as ord from {table})) where f like '% %'"
+    return f"select {key}, ord, list_distinct(list_filter(string_split(f, ' '), lambda x: x <> '')) as w from (select {key}, ord, {_FLAT} as f from (select {key}, unnest({split}) as s, (generate_subscripts({split}, 1) - 1)::bigint as ord from {table})) where f <> ''"
 
 
+#: Every pair that shares a word.
 WORD_JACCARD_PAIRS = f"""
 with a as ({_sql_sentences('documents', 'doc_id')}), b as ({_sql_sentences('benchmark', 'item_id')}),
-p as (select doc_id, a.ord, item_id, b.ord as item_ord, list_distinct(a.w) as x, list_distinct(b.w) as y from a join b on a.w[1] = b.w[1] and a.w[2] = b.w[2])
-select * from (select doc_id, ord, item_id, item_ord, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) as overlap from p) where overlap >= 0.5
+p as (select doc_id, a.ord, item_id, b.ord as item_ord, len(list_intersect(a.w, b.w)) as n_shared, len(a.w) + len(b.w) as n_every from a join b on list_has_any(a.w, b.w))
+select doc_id, ord, item_id, item_ord, round(n_shared / (n_every - n_shared), 6) as overlap from p where n_shared / (n_every - n_shared) >= 0.5
 """
 
 

@@ -149,6 +149,23 @@ def test_responses_that_were_cut_off(spark):
     assert [r[0] for r in errors.select(responder.transient(F.col("e"))).collect()] == [True, True, False, False]
 
 
+def test_alike_finds_all_pairs(spark):
+    rnd = random.Random(3)
+    sets = [(i, rnd.sample([f"w{k}" * (k % 3 + 1) for k in range(14)], rnd.randint(1, 7))) for i in range(60)]
+    left, right = spark.createDataFrame(sets, "i int, a array<string>"), spark.createDataFrame(sets[:30], "j int, b array<string>")
+    for least in (0.5, 0.8):
+        found = {(r["i"], r["j"]) for r in retrieval.alike(left, right, ["i"], ["j"], "a", "b", least).collect()}
+        assert found == {(i, j) for i, x in sets for j, y in sets[:30] if len({*x} & {*y}) / len({*x} | {*y}) >= least}
+
+
+def test_busy_keys_are_counted_in_parts(spark):
+    rnd = random.Random(5)
+    times = sorted(rnd.randint(0, 4_000_000) for _ in range(300))
+    rows = spark.createDataFrame([(i, 1, t) for i, t in enumerate(times)], "i int, k int, t long").withColumn("ts", F.expr("timestamp_micros(t * 1000)"))
+    found = {r["i"]: r["in_window"] for r in runs.sliding_count(rows, "k", "ts", 60).collect()}
+    assert found == {i: sum(t - 60_000 < x <= t for x in times) for i, t in enumerate(times)}
+
+
 def test_greedy_pairs_and_rates(spark):
     scored = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.85), (1, 2, 2, 0.3), (2, 5, 5, 0.1)], "g int, l int, r int, s double")
     assert [(r["l"], r["r"]) for r in evaluation.greedy_pairs(scored, "g", "l", "r", "s", 0.25).orderBy("l").collect()] == [(1, 1), (2, 2)]
