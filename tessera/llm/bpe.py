@@ -75,22 +75,23 @@ def _latin(pattern: str) -> str:
 
 
 class _Memo(dict):
-    """A dict that fills itself with ``make(key)`` and holds two generations of at most ``MEMO_ENTRIES`` each.
+    """A dict that fills itself with ``make(key)`` and holds two generations of at most ``entries`` each.
 
     When the younger generation is full it becomes the older one; what is met again moves back, so frequent
     keys stay and rare ones go.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[str], bytes], entries: int):
         super().__init__()
         self.make, self.older = make, {}
+        self.entries = entries
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.pop(key, None)
         if value is None:
             value = self.make(key)
         if len(key) <= MEMO_LENGTH:
-            if len(self) >= MEMO_ENTRIES:
+            if len(self) >= self.entries:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -100,7 +101,7 @@ class _Memo(dict):
 class ForcedBoundaryBpe:
     """A BPE vocabulary read from a ``tokenizers`` JSON file; ids are bytes of little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO_ENTRIES):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -125,7 +126,7 @@ class ForcedBoundaryBpe:
             self.tokens[i] = token
         self.token_bytes = [t.encode() if t in self.added else bytes(map(TO_BYTE.__getitem__, t)) for t in self.tokens] if self.joins_bytes else []
         self.inner = self._inner_pairs()
-        self.words, self.fragments = _Memo(self._word), _Memo(self._fragment)
+        self.words, self.fragments = _Memo(self._word, memo), _Memo(self._fragment, memo)
         self._path, self._library = path, None
 
     @staticmethod
@@ -238,9 +239,9 @@ class ForcedBoundaryBpe:
 
 
 @functools.lru_cache(maxsize=4)
-def bpe(path: str) -> ForcedBoundaryBpe:
-    """The vocabulary at ``path``, read once in a worker."""
-    return ForcedBoundaryBpe(path)
+def bpe(path: str, memo: int = MEMO_ENTRIES) -> ForcedBoundaryBpe:
+    """The vocabulary at ``path``, read once in a worker; its memos hold two generations of ``memo`` entries."""
+    return ForcedBoundaryBpe(path, memo)
 
 
 #: Results that ``codec`` can give, with their types.

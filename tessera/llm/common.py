@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.sources.tables import spread, table
 
-__all__ = ["clean", "delete", "documents", "fold", "materialize", "shared_dir", "small_batches", "spread", "tables_dir"]
+__all__ = ["clean", "delete", "documents", "fold", "materialize", "shared_dir", "spread", "tables_dir"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,17 +37,6 @@ def delete(spark: SparkSession, path: str) -> None:
     old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
-#: Rows that go to a Python worker at a time, at most: with texts of some kilobytes a few megabytes.
-BATCH_ROWS = 4_000
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: from now on the session's Arrow batches have ``BATCH_ROWS`` rows at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def clean(spark: SparkSession) -> None:
     """Delete the application's tables; call it when no result is read any more."""
     delete(spark, tables_dir(spark))

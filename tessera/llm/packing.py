@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe
+from tessera.llm.bpe import MEMO_ENTRIES, bpe
 from tessera.llm.common import materialize, spread
 
 CAPACITY = 4096
@@ -39,12 +39,12 @@ ROUNDING = range(1, 33)
 PIECE = "piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, memo: int = MEMO_ENTRIES) -> DataFrame:
     """``id_col``, ``piece``, ``start``, ``length`` and ``ids_crc32`` of every piece."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = bpe(tokenizer_path)
+        coder = bpe(tokenizer_path, memo)
         for batch in batches:
             row, number, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
@@ -142,6 +142,6 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> Da
     return out.drop("released").withColumnRenamed("id", id_col)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Tokenise, cut and pack all documents."""
-    return pack(materialize(pieces(docs, tokenizer_path, id_col, text_col, capacity), "pieces"), id_col, capacity)
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, memo: int = MEMO_ENTRIES) -> DataFrame:
+    """Tokenise, cut and pack all documents; ``memo`` bounds the words that a worker remembers."""
+    return pack(materialize(pieces(docs, tokenizer_path, id_col, text_col, capacity, memo=memo), "pieces"), id_col, capacity)

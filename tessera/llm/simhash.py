@@ -232,8 +232,8 @@ def grouped_edges(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
         return sets.join(classes(edges).withColumnRenamed("node", "fp"), "fp", "left").select("set", "odd", F.coalesce("root", "fp").alias("root"))
 
     found = materialize(similar.listed(sets, SIMILAR), "runs")
-    known = classed(edges)
-    edges = materialize(edges.unionByName(similar_edges(found.where("key is null").select("a", "b").distinct(), known)).distinct(), "linked")
+    alone = sets.select("set", F.col("fp").alias("root"))
+    edges = materialize(edges.unionByName(similar_edges(found.where("key is null").select("a", "b").distinct(), alone)).distinct(), "linked")
     known = materialize(classed(edges), "classed")
     members = found.where("key is not null").drop("a", "b").join(known, "set")
     return edges.unionByName(similar_edges(similar.crossing(members, SIMILAR), known)).distinct()

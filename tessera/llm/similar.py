@@ -36,7 +36,7 @@ ORDER_PIECE = 1 << 12
 #: Members of a long run in one block.
 RUN_ROWS = 4096
 #: Bits of the filter that tells which documents' sets are asked for.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 24
 #: Members compared at a time.
 BLOCK = 64
 EPSILON = 1e-9
