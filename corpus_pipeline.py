@@ -13,22 +13,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import langid, packing, quality, simhash
-from tessera.llm.common import documents, materialize, small_batches
+from tessera.llm.common import documents, materialize
 
 TOKENIZER = "word_bpe_49k.json"
+#: Words that a worker remembers: half as many as in packing alone, as its memory also serves the other stages.
+MEMO = 150_000
 #: Near-duplicate groups, a trained classifier and a packing can't be stated in SQL.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition and base rules reject go, null and empty texts among them; repeated rows are judged each on their own."""
-    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter (null texts, too) or with a narrow margin between languages go; without any label all go."""
-    small_batches(spark)
     return langid.keep_known(docs, langid.train(docs))
 
 
@@ -37,14 +37,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Of rows that repeat id and text one stays; rows without an id can't be told apart and all stay.
     """
-    small_batches(spark)
     return simhash.keep_first(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their place in a training sequence; null texts count as empty and repeated rows are packed each."""
-    small_batches(spark)
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), memo=MEMO)
 
 
 STAGES = [("quality_rules", quality_rules), ("language_id", language_id), ("near_dedup", near_dedup), ("best_fit_packing", best_fit_packing)]
