@@ -163,6 +163,26 @@ select lang, predicted, expected, round(score, 6) as lenient from g where predic
 """
 
 
+def judged_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates that a judge's recorded verdicts accept, each expected finding once."""
+    candidates = audit.judge_candidates(*_quoted(spark, sf), "lang")
+    verdicts = candidates.select("lang", "predicted", "expected", ((F.col("predicted") + F.col("expected")) % 3 == 0).alias("same"))
+    return audit.judged(candidates, verdicts, "lang").select("lang", "predicted", "expected")
+
+
+JUDGED_FINDINGS = f"""
+with recursive {_sql_quoted()},
+r as (select *, row_number() over (partition by lang, predicted order by overlap desc, expected) as rank from o),
+k as (select lang, predicted, expected, row_number() over (partition by lang order by predicted, rank) as k from r where rank <= 3 and (predicted + expected) % 3 = 0),
+g(lang, k, ps, es, predicted, expected) as (
+  select lang, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint from (select distinct lang from k)
+  union all
+  select g.lang, k.k, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then ps else list_append(ps, k.predicted) end, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then es else list_append(es, k.expected) end,
+    case when not (list_contains(ps, k.predicted) or list_contains(es, k.expected)) then k.predicted end, k.expected from g join k on k.lang = g.lang and k.k = g.k + 1)
+select lang, predicted, expected from g where predicted is not null
+"""
+
+
 def problem_coverage(spark: SparkSession, sf: str) -> DataFrame:
     predicted = table(spark, sf, "documents").where("doc_id % 3 = 0").select("doc_id", pick("doc_id", *_FAMILIES).alias("family"), F.concat("source", F.lit(" ")).alias("zone"), pick("n_chars", *_METHODS).alias("method"))
     problems = table(spark, sf, "documents").where("doc_id % 3 = 1").select("doc_id", F.lower(pick("doc_id", *_FAMILIES)).alias("family"), F.upper("source").alias("zone"), (F.col("n_chars") % 2 == 0).alias("must_detect"))
@@ -647,5 +667,5 @@ select coalesce(a.conv_id, b.conv_id) as conv_id, case when a.conv_id is null th
 from (select * from v where side = 0) a full join (select * from v where side = 1) b on a.conv_id = b.conv_id
 """
 
-QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter, run_costs, diff_last_wins)}
+QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, judged_findings, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter, run_costs, diff_last_wins)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import audit, diff, headings, retrieval, sections, structure, tables
+from tessera.operators import audit, diff, headings, retrieval, rules, sections, structure, tables
 from tessera.sources.tables import spread, table
 
 #: Lines of documents in DuckDB: every line of every document with its place.
@@ -375,5 +375,68 @@ c(doc_id, chunk, begun, stop) as (
 select doc_id, chunk, sha256(substr(text, begun + 1, stop - begun)) as digest from c join d using (doc_id) where chunk >= 0
 """
 
-QUERIES = {f.__name__: f for f in (base_font_size, paragraph_numbers, section_block_texts, section_numbers, orphaned_sections, visible_sections, reordered_sections, grouped_children, budget_batches, context_budget, zone_document_texts, zone_check_pairs, prompt_plans, section_relinks, bm25_sections, section_anchors, next_orders, backfilled_lines, positional_tables, detected_headings, heading_fallbacks, contents_lines, chunk_texts)}
+def structure_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected headings of a conversation (roles with a level) against two thirds of its turns with other levels."""
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("ord"), "role", "text")
+    expected = rows.select("conv_id", "ord", F.concat(F.lit(" "), "role").alias("title"), (F.length("text") % 2).cast("long").alias("level"))
+    actual = rows.where("ord % 3 <> 0").select("conv_id", "ord", F.upper("role").alias("title"), (F.col("ord") % 2).cast("long").alias("level"))
+    return audit.structure_diff(expected, actual, "conv_id").groupBy("conv_id", "kind", "title", "expected_level", "level").agg(F.count("*").alias("n"))
+
+
+STRUCTURE_DIFFERENCES = """
+with recursive e as (select conv_id, row_number() over (partition by conv_id order by turn) as k, role, (length(text) % 2)::bigint as level from conversations),
+al as (select conv_id, list({'ord': turn::bigint, 'role': role, 'level': (turn % 2)::bigint} order by turn) filter (turn % 3 <> 0) as al from conversations group by 1),
+f(conv_id, k, al, used, role, level, hit) as (
+  select conv_id, 0::bigint, coalesce(al, []), []::bigint[], null::varchar, null::bigint, null::struct(ord bigint, "role" varchar, "level" bigint) from al
+  union all
+  select conv_id, k, al, case when hit is null then used else list_append(used, hit.ord) end, role, level, hit from (
+    select conv_id, k, al, used, role, level, coalesce(list_filter(free, lambda x: x.level = level_wanted)[1], free[1]) as hit from (
+      select e.conv_id, e.k, f.al, f.used, e.role, e.level, e.level as level_wanted, list_filter(f.al, lambda x: x.role = e.role and not list_contains(f.used, x.ord)) as free from f join e on e.conv_id = f.conv_id and e.k = f.k + 1))),
+d as (
+  select conv_id, case when hit is null then 'missing' else 'wrong_level' end as kind, ' ' || role as title, level as expected_level, hit.level as level from f where k > 0 and (hit is null or hit.level <> level)
+  union all
+  select conv_id, 'extra', upper(x.role), null, x.level from (select conv_id, unnest(list_filter(al, lambda x: not list_contains(used, x.ord))) as x from (select *, row_number() over (partition by conv_id order by k desc) as last from f) where last = 1))
+select conv_id, kind, title, expected_level, level, count(*) as n from d group by all
+"""
+
+_ZONES = (rules.SectionRule("a", ("en",)), rules.SectionRule("b", ("th", "de ")), rules.SectionRule("a.x", ("er",), kind="subzone", parent="a"), rules.SectionRule("b.x", ("an", "in"), kind="subzone", parent="b"))
+
+
+def hierarchical_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns by their first characters, where a subzone gains or loses by the zone of the turn above it."""
+    rows = turns(spark, sf).select("conv_id", "turn", "level", F.substring("text", 1, 30).alias("title"), F.lit("").alias("content"))
+    found = rules.classify_hierarchical(rows, _ZONES, "conv_id", "turn")
+    return found.select("conv_id", "turn", "section", F.round("confidence", 9).alias("confidence"))
+
+
+def _sql_zone_score(rule: rules.SectionRule) -> str:
+    hits = " + ".join(f"contains(t, '{p}')::int" for p in rule.patterns)
+    total = " + ".join(f"{len(p)} * contains(t, '{p}')::int" for p in rule.patterns)
+    return f"case when {hits} > 0 then least(0.99, 0.6 + 0.3 * least(({total}) / greatest(length(t), 1), 1.0) + 0.05 * least({hits}, 2)) else 0.0 end::double"
+
+
+def _sql_adjusted(i: int, rule: rules.SectionRule) -> str:
+    if rule.kind == "zone":
+        return f"s{i}"
+    return f"case when s{i} > 0 and zone is not null then case when zone = '{rule.parent}' then least(0.99::double, s{i} + 0.05::double) else greatest(0.0::double, s{i} - 0.1::double) end else s{i} end"
+
+
+_ADJUSTED = [_sql_adjusted(i, r) for i, r in enumerate(_ZONES)]
+_BEST = f"greatest({', '.join(_ADJUSTED)})"
+#: One row after the other: ``z0`` and ``z1`` are the zones of the open turns of levels 0 and 1.
+HIERARCHICAL_ZONES = f"""
+with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k, {TURN_LEVEL} as lvl, lower(substr(text, 1, 30)) as t from conversations),
+s as (select *, {', '.join(f'{_sql_zone_score(r)} as s{i}' for i, r in enumerate(_ZONES))} from t),
+f(conv_id, k, turn, h0, z0, h1, z1, section, best) as (
+  select conv_id, 0::bigint, null::bigint, false, null::varchar, false, null::varchar, null::varchar, 0.0::double from (select distinct conv_id from s)
+  union all
+  select conv_id, k, turn, case when lvl = 0 then true else h0 end, case when lvl = 0 then own else z0 end, case when lvl = 0 then false when lvl = 1 then true else h1 end, case when lvl = 0 then null when lvl = 1 then own else z1 end, section, best from (
+    select *, case section {' '.join(f"when '{r.section}' then '{r.section if r.kind == 'zone' else r.parent}'" for r in _ZONES)} end as own from (
+      select *, case when best > 0 then case {' '.join(f"when {x} = best then '{r.section}'" for x, r in zip(_ADJUSTED, _ZONES))} end end as section from (
+        select *, {_BEST} as best from (
+          select s.*, f.h0, f.z0, f.h1, f.z1, case when lvl = 2 and h1 then z1 when lvl > 0 then z0 end as zone from f join s on s.conv_id = f.conv_id and s.k = f.k + 1)))))
+select conv_id, turn, section, round(best, 9) as confidence from f where k > 0
+"""
+
+QUERIES = {f.__name__: f for f in (base_font_size, paragraph_numbers, section_block_texts, section_numbers, orphaned_sections, visible_sections, reordered_sections, grouped_children, budget_batches, context_budget, zone_document_texts, zone_check_pairs, prompt_plans, section_relinks, bm25_sections, section_anchors, next_orders, backfilled_lines, positional_tables, detected_headings, heading_fallbacks, contents_lines, chunk_texts, hierarchical_zones, structure_differences)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
