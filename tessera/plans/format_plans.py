@@ -105,6 +105,20 @@ def _sql_cells() -> str:
 SPAN_SCHEDULE_CELLS = _sql_cells()
 
 
+_PAINTS = ("bgcolor='#ff0'", 'style="background-color: rgb(1, 2, 300)"', "data-shd-fill=a1b2c3", "style='background: none'")
+_PLAIN_ROW = "".join(f"<td>{c}</td>" for c in _ROWS[1][1:])
+_PAINTED = _WIDE.replace(_PLAIN_ROW, "".join(f"<td {paint}>{c}</td>" for paint, c in zip(_PAINTS, _ROWS[1][1:])))
+
+
+def cell_fills(spark: SparkSession, sf: str) -> DataFrame:
+    """Fill colours of cells, given in several ways; every other document's table has none."""
+    tables = table(spark, sf, "documents").select(F.col("doc_id").alias("block_id"), F.lit("Schedule of assessments").alias("title"), pick("doc_id", _PAINTED, _WIDE).alias("html"))
+    return schedules.cells(tables).where("fill is not null").select("block_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "fill")
+
+
+CELL_FILLS = "select doc_id as block_id, 1::bigint as row, unnest([0, 1, 2])::bigint as col, unnest(['#FFFF00', '#0102FF', '#A1B2C3']) as fill from documents where doc_id % 2 = 0"
+
+
 def merged_schedules(spark: SparkSession, sf: str) -> DataFrame:
     """The schedules of a source as parts of one: equal orientation, visits and headers merge, rows count on."""
     tables = _tables(spark, sf)
@@ -353,5 +367,5 @@ u as (select page_id, unnest(e) as e, generate_subscripts(e, 1) - 1 as ord from
 select page_id, ord::bigint as ord, lower(regexp_extract(e, '(?i)^<(p|h[1-6]|li)', 1)) as tag, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(e, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'), ' ')) as digest from u
 """
 
-QUERIES = {f.__name__: f for f in (cell_marker_forms, footnote_definitions, schedule_signals, span_schedule_cells, merged_schedules, orientation_conflicts, drawn_cells, parsed_tables, footnote_marks, markdown_tables, parsed_responses, replayed_prompts, transient_errors, cell_values, vml_boxes, vml_kinds, stemmed_phrases, canonical_facts, bounded_patterns, word_diffs, subscribed_events, published_events, failed_jobs, attempts_once, element_texts)}
+QUERIES = {f.__name__: f for f in (cell_marker_forms, footnote_definitions, schedule_signals, span_schedule_cells, cell_fills, merged_schedules, orientation_conflicts, drawn_cells, parsed_tables, footnote_marks, markdown_tables, parsed_responses, replayed_prompts, transient_errors, cell_values, vml_boxes, vml_kinds, stemmed_phrases, canonical_facts, bounded_patterns, word_diffs, subscribed_events, published_events, failed_jobs, attempts_once, element_texts)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
