@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, lm, packing, quality, simhash, tokencount, urls, warc
+from tessera.llm import bpe, fingerprints, langid, lm, packing, prefixes, quality, simhash, tokencount, urls, warc
 from tessera.llm.common import documents, fold, materialize, tables_dir
 from tessera.llm.sql import ORACLE_SQL
+from tessera.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -84,10 +85,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return laid.select(*columns).unionByName(found.where("state = 'added'").select(F.col("id").alias("page_id"), *none, "state"))
 
 
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_bpe, op2_langid, op3_urls, op4_simhash, op5_quality, op6_lm, op7_tokens, op8_packing, op9_fingerprints, op10_warc)
+    own = (op1_bpe, op2_langid, op3_urls, op4_simhash, op5_quality, op6_lm, op7_tokens, op8_packing, op9_fingerprints, op10_warc, op11_prefixes)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 

@@ -28,4 +28,23 @@ select page_id, segment, seq, "offset", length, digest, case when page_id % 50 =
 union all select -page_id, null, null, null, null, null, 'added' from pages where page_id % 50 = 37
 """
 
-ORACLE_SQL = {"op3_urls": OP3, "op10_warc": OP10}
+#: Turns by place, prefixes by a digest of all turns so far, and each node's ancestors by a member's prefixes.
+OP11 = r"""
+with t as (select conv_id as c, coalesce(role, '') as r, coalesce(text, '') as x, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i from conversations where conv_id is not null),
+bytes as (select distinct c, list_transform(string_split(c::varchar, ''), lambda z: ascii(z)::bigint) as b from t),
+heads as (select c, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda a, z: list_reduce(list_prepend(xor(a, z), [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))), 4294967295::bigint) % 9 as h from bytes),
+k as (select h.c, t.i, t.r, t.x from heads h join t on t.c = h.c - h.c % 5 and t.i < h.h union all select h.c, t.i, t.r, t.x from heads h join t on t.c = h.c and t.i >= h.h),
+n as (select c, row_number() over (partition by c order by i) as d, md5(concat(strlen(r), ':', r, x)) as m, strlen(x) as bytes from k),
+chained as (select c, d, bytes, md5(string_agg(m, '') over (partition by c order by d rows unbounded preceding)) as node from n
+  union all select c, 0, 0, 'root' from heads),
+ends as (select c, arg_max(node, d) as node from chained group by c),
+digests as (select node, sha256(string_agg(c::varchar, ',' order by c)) as digest from ends group by node),
+up as (select a.node, min(b.node) as parent from chained a join chained b on a.c = b.c and a.d = b.d + 1 group by a.node),
+nodes as (select node, min(c) as c, max(d) as d, count(*) as n, (count(*) - 1) * max(bytes) as own from chained group by node),
+kids as (select parent as node, count(*) as n from up group by parent),
+under as (select b.node, sum(a.own) as saved, count(*) filter (k.n is null) as leaves from nodes a left join kids k on k.node = a.node join chained b on b.c = a.c and b.d <= a.d group by b.node)
+select a.c as conv_id, a.d::bigint as depth, p.c as parent_conv_id, a.n as n_convs, coalesce(k.n, 0)::bigint as n_children, u.leaves::bigint as n_leaves, u.saved::bigint as saved_tokens, coalesce(e.digest, sha256('')) as ends_sha256
+from nodes a left join up on up.node = a.node left join nodes p on p.node = up.parent left join kids k on k.node = a.node join under u on u.node = a.node left join digests e on e.node = a.node
+"""
+
+ORACLE_SQL = {"op3_urls": OP3, "op10_warc": OP10, "op11_prefixes": OP11}
