@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, fingerprints, langid, lm, packing, prefixes, quality, simhash, tokencount, urls, warc, whitening
+from tessera.llm import bpe, fingerprints, langid, lm, packing, prefixes, quality, simhash, tokencount, toxicity, urls, warc, whitening
 from tessera.llm.common import documents, fold, materialize, tables_dir
 from tessera.llm.sql import ORACLE_SQL
 from tessera.sources.tables import table
@@ -89,6 +89,12 @@ def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -96,7 +102,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_bpe, op2_langid, op3_urls, op4_simhash, op5_quality, op6_lm, op7_tokens, op8_packing, op9_fingerprints, op10_warc, op11_prefixes, op13_whitening)
+    own = (op1_bpe, op2_langid, op3_urls, op4_simhash, op5_quality, op6_lm, op7_tokens, op8_packing, op9_fingerprints, op10_warc, op11_prefixes, op12_toxicity, op13_whitening)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
