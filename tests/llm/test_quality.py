@@ -61,8 +61,29 @@ def test_kept_equals_brute_force(spark, small):
     assert sorted(found, key=repr) == sorted(wanted, key=repr) and len({r for _, r, _ in wanted}) > 3
 
 
+def test_every_length_decides_documents_of_its_own():
+    """A passage of ``size`` words found twice counts for all shorter lengths, too; each limit has a share that only it rejects."""
+    limits = list(quality.MAX_COVERED.items())
+    assert [m for _, m in limits] == sorted((m for _, m in limits), reverse=True)
+    for at, (size, most) in enumerate(limits):
+        above = limits[at - 1][1] if at else 0.19
+        words = next(n for n in range(2 * size, 2000) if most < 2 * size / n <= above - 1e-9)
+        passage = [f"P{chr(65 + i)}" for i in range(size)]
+        rest = [chr(97 + i // 26 % 26) + chr(97 + i % 26) for i in range(words - 2 * size)]
+        text = " ".join([*passage, *rest, *passage])
+        shares = {k: covered(text.split(), k) for k in quality.MAX_COVERED}
+        assert [k for k, share in shares.items() if share > quality.MAX_COVERED[k]] == [size] and quality.measure(text)[-1] == f"coverage_{size}", shares
+
+
+def test_coverage_decides_documents_of_the_table(spark):
+    sf = "/root/testdata/sf0.1"
+    found = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).groupBy("reason").count().collect()
+    by = {r["reason"]: r["count"] for r in found}
+    assert sum(n for reason, n in by.items() if reason and reason.startswith("coverage")) >= 30 and len([r for r in by if r and r.startswith("coverage")]) >= 4
+
+
 def test_verdicts_follow_the_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     found = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(labels, "doc_id")
     good, bad = found.where("quality = 1 and not base_failed"), found.where("quality = 0")
