@@ -4,13 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources.tables import spread, table
 
-__all__ = ["clean", "delete", "documents", "fold", "materialize", "shared_dir", "spread", "tables_dir"]
+__all__ = ["clean", "delete", "documents", "fold", "in_pieces", "materialize", "shared_dir", "spread", "tables_dir"]
+
+
+#: Bytes of text that a worker takes from a batch at a time.
+PIECE_BYTES = 4 << 20
+
+
+def in_pieces(batches: Iterator[pa.RecordBatch], at: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batches`` in slices of at most ``most`` bytes of column ``at`` (one row at least), so that what is made of them
+    doesn't grow with the batches.  Nothing is copied."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, done + most, side="right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def shared_dir(spark: SparkSession) -> str:

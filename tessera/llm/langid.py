@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, spread
+from tessera.llm.common import fold, in_pieces, spread
 
 #: Bytes of training text in each language's dictionary.
 DICTIONARY_BYTES = 64 * 1024
@@ -139,7 +139,7 @@ def keep_known(docs: DataFrame, content: dict[str, bytes], text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(known)
-        for batch in batches:
+        for batch in in_pieces(batches, at):
             found = (classify(t.as_py(), compressors) for t in batch.column(at))
             yield batch.filter(pa.array([lang != "und" and margin >= MIN_MARGIN for lang, _, margin in found], pa.bool_()))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import similar
-from tessera.llm.common import materialize, spread
+from tessera.llm.common import in_pieces, materialize, spread
 from tessera.llm.neighbours import classes, links
 
 SHINGLE = 3
@@ -147,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = None if frequency is None else docs.sparkSession.sparkContext.broadcast(frequency)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_pieces(batches):
             found, extra = [], []
             for text in batch.column(1):
                 value = text.as_py()
@@ -208,7 +208,7 @@ def grouped_edges(prints: DataFrame, docs: DataFrame, id_col: str = "doc_id", te
         bits = docs.sparkSession.sparkContext.broadcast(similar.filter_bits(sets.join(wanted, "set", "left_semi").select("low")))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in in_pieces(batches):
                 hit = similar.in_filter(bits.value, batch.column(0).to_numpy(zero_copy_only=False))
                 found = [shingle_set(words(t.as_py())) for t in batch.column(1).filter(pa.array(hit))]
                 columns = [pa.array(map(similar.digest, found), pa.int64()), pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))]
@@ -244,16 +244,17 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Groups are joined by links within the radius and, as few bits of 64 miss many copies with scattered edits,
     by similar shingle sets.  Of repeated rows with the kept id and text one is kept, of other texts with that id in
-    the group none; rows without an id can't be told apart and are all kept.
+    the group none; rows without an id can't be told apart and are all kept.  Columns of any name stay as they are.
     """
     named = docs.where(docs[id_col].isNotNull())
     frequency = similar.frequencies(spread(named.select(text_col)), lambda text: shingle_set(words(text)))
     prints = materialize(fingerprints(named, id_col, text_col, frequency), "prints")
     found = components(prints.select(id_col, "fp", "text_digest"), id_col, edges=grouped_edges(prints, named, id_col, text_col))
-    lowest = found.where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("_id"), F.min("text_digest").alias("_digest"))
-    first = lowest.select("_id", "_digest").distinct()
-    # texts are shuffled once, by id and digest, for the join and for the choice of one row
-    keyed = named.withColumn("_key", named[id_col]).withColumn("_text", F.coalesce(F.unhex(F.sha2(named[text_col], 256)), F.lit(b"")))
-    kept = keyed.join(first, (keyed["_key"] == first["_id"]) & (keyed["_text"] == first["_digest"]), "left_semi")
-    once = kept.withColumn("_n", F.expr("row_number() over (partition by _key, _text order by _key)"))
-    return once.where("_n = 1").select(*docs.columns).unionByName(docs.where(docs[id_col].isNull()))
+    lowest = found.where(F.col(id_col) == F.col("component_id")).groupBy("root").agg(F.min(id_col).alias("id"), F.min("text_digest").alias("digest"))
+    first = lowest.select("id", "digest").distinct()
+    # texts are shuffled once, by id and digest, for the join and for the choice of one row; a row's own columns stay
+    # inside ``row``, so none of them can clash
+    keyed = named.select(named[id_col].alias("id"), F.coalesce(F.unhex(F.sha2(named[text_col], 256)), F.lit(b"")).alias("digest"), F.struct(*(named[f"`{c}`"] for c in named.columns)).alias("row"))
+    kept = keyed.join(first, ["id", "digest"], "left_semi")
+    once = kept.withColumn("n", F.expr("row_number() over (partition by id, digest order by id)"))
+    return once.where("n = 1").select("row.*").unionByName(docs.where(docs[id_col].isNull()))

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import in_pieces
+
 #: Buckets of the parities.
 PARITY_BITS = 1024
 #: Sets of so many hashes also have counts of their buckets.
@@ -83,7 +85,7 @@ def frequencies(texts: DataFrame, set_of: Callable[[str | None], np.ndarray]) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ORDER_BUCKETS, np.int64)
-        for batch in batches:
+        for batch in in_pieces(batches, 0):
             held, n = [], 0
             for text in batch.column(0):
                 held.append(order_bucket(set_of(text.as_py())))

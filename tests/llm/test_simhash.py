@@ -232,3 +232,10 @@ def test_rows_that_share_an_id_are_told_apart_by_text(spark):
     assert kept == [(3, "z"), (5, "n"), (7, "v"), (9, "y")]
     near = spark.createDataFrame([(4, one, "a"), (4, one + " more", "b")], docs.schema)
     assert simhash.keep_first(near).count() == 1
+
+
+def test_own_columns_of_any_name_stay(spark):
+    rows = [(i, text, f"k{i}", f"t{i}", i, f"id{i}", f"d{i}", f"r{i}", i, i) for i, text in enumerate(["one two three four five six seven"] * 3 + ["other words here and there and so on"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _key string, _text string, _n int, id string, digest string, row string, n int, fp long")
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [rows[0], rows[3]]
