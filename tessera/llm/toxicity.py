@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import fold, materialize, spread
 
 #: Labelled documents that are learned from.
-MAX_LABELLED = 40_000
+MAX_LABELLED = 20_000
 #: Folds of the training documents, for lexicons and calibration.
 FOLDS = 3
 #: Entries of the lexicon; toxic documents that an entry is in at least; lengths of the beginnings of words that can be entries.
@@ -45,7 +45,7 @@ NEAR = 3
 TREES, DEPTH, RATE, BINS, LEAF, RIDGE = 80, 3, 0.15, 32, 2.0, 1.0
 THRESHOLD = 0.3
 #: Words that a worker remembers, and words of a text taken at a time.
-MEMO, CHUNK = 200_000, 1 << 16
+MEMO, CHUNK = 150_000, 1 << 16
 #: Distinct entries that a task counts before it passes them on.
 COUNTED = 400_000
 
@@ -86,50 +86,73 @@ def entries(letters: str) -> list[str]:
     return [f"={letters}", *(letters[:k] for k in BEGINNINGS if len(letters) > k)] if letters else []
 
 
+class Words(dict):
+    """Places in ``table``, the different values that words have, by word as it is written.
+
+    Values: weight, hit, strong hit, second person, capitals only, capitals, letters, exclamation and question marks,
+    other marks, repeated marks, obfuscated, long drawn.
+    """
+
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        super().__init__()
+        self.lexicon = lexicon
+        #: How words in the lexicon begin: most words need no further look.
+        self.heads = {e.removeprefix("=")[:3] for e in lexicon}
+        self.places: dict[tuple, int] = {}
+        self.table = np.zeros((256, WORD_VALUES), np.float32)
+
+    def __missing__(self, raw: str) -> int:
+        # most words are letters, maybe with one mark behind
+        end = raw[-1] if raw[-1] in "!?.,;:" and len(raw) > 1 else ""
+        core = raw[:-1] if end else raw
+        if core.isalpha():
+            low = core.lower()
+            letters, obfuscated = len(core), False
+            marks, exclamations, questions = bool(end) and end not in "!?", end == "!", end == "?"
+            repeated = False
+        else:
+            low, obfuscated = cleaned(raw)
+            core, letters = raw, sum(map(str.isalpha, raw))
+            exclamations, questions = raw.count("!"), raw.count("?")
+            marks = sum(map(PUNCTUATION.__contains__, raw)) - exclamations - questions
+            repeated = "!!" in raw or "??" in raw or "!?" in raw
+        upper = 0 if core.islower() else sum(map(str.isupper, core))
+        weight = max((self.lexicon.get(e, 0.0) for e in entries(low)), default=0.0) if low[:3] in self.heads else 0.0
+        value = (weight, weight >= HIT, weight >= STRONG, low in SECOND_PERSON, upper > 1 and upper == letters, upper, letters, exclamations, questions, marks, repeated, obfuscated, LONG_DRAWN.search(core.lower()) is not None)
+        place = self.places.get(value)
+        if place is None:
+            place = self.places[value] = len(self.places)
+            if place == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[place] = value
+        if len(self) >= MEMO:
+            self.clear()  # the table stays: it is as small as its values are few
+        self[raw] = place
+        return place
+
+
 class Extractor:
     """Dense features of texts by one lexicon (entry to weight)."""
 
     def __init__(self, lexicon: dict[str, float]) -> None:
-        self.lexicon = lexicon
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.values = np.zeros((1024, WORD_VALUES), np.float32)
-
-    def number(self, raw: str) -> int:
-        at = len(self.known)
-        if at == len(self.values):
-            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
-        word = cleaned(raw)
-        weight = max((self.lexicon.get(e, 0.0) for e in entries(word.letters)), default=0.0)
-        upper, letters = sum(map(str.isupper, raw)), sum(map(str.isalpha, raw))
-        marks = sum(map(PUNCTUATION.__contains__, raw)) - raw.count("!") - raw.count("?")
-        self.values[at] = (
-            weight, weight >= HIT, weight >= STRONG, word.letters in SECOND_PERSON, upper > 1 and upper == letters, upper, letters,
-            raw.count("!"), raw.count("?"), marks, "!!" in raw or "??" in raw or "!?" in raw, word.obfuscated, bool(LONG_DRAWN.search(raw.lower())),
-        )
-        self.known[raw] = at
-        return at
+        self.words = Words(lexicon)
 
     def features(self, text: str | None) -> list[float]:
         words = (text or "").split()
         if not words:
             return [0.0] * len(FEATURES)
-        if len(self.known) > MEMO:
-            self.clear()
-        known, number = self.known, self.number
-        at = np.fromiter((known[w] if w in known else number(w) for w in words), np.int64, len(words))
+        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+        values = self.words.table
         n, sums, most, both = len(words), np.zeros(WORD_VALUES), 0.0, 0.0
         for s in range(0, n, CHUNK):
-            part = self.values[at[s : s + CHUNK]]
+            part = values[at[s : s + CHUNK]]
             sums += part.sum(axis=0, dtype=np.float64)
             most = max(most, float(part[:, 0].max()))
             both += float((part[:, 1] * part[:, 11]).sum())
         weight, hits, strong, second, capital, upper, letters, exclamations, questions, marks, repeated, obfuscated, drawn = sums.tolist()
         near_share = nearness = 0.0
         if hits and second:
-            hit, you = np.flatnonzero(self.values[at, 1]), np.flatnonzero(self.values[at, 3])
+            hit, you = np.flatnonzero(values[at, 1]), np.flatnonzero(values[at, 3])
             place = np.searchsorted(you, hit)
             gap = np.minimum(np.abs(hit - you[np.minimum(place, len(you) - 1)]), np.abs(hit - you[np.maximum(place - 1, 0)]))
             near_share, nearness = float((gap <= NEAR).mean()), 1 / (1 + float(gap.min()))
