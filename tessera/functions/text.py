@@ -26,6 +26,8 @@ MIN_STEM = 3
 TOKEN = "[а-яёА-ЯЁa-zA-Z0-9][а-яёА-ЯЁa-zA-Z0-9-]*"
 #: White space as the rules mean it: with the no-break space.
 SPACE = r"[\s\x{00A0}]+"
+#: The inside of a character class for all white space that patterns of headings mean.
+WHITE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
 
 def squeeze(text: Column) -> Column:
@@ -33,6 +35,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def trimmed(text: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+
+
 def tokens(text: Column) -> Column:
     """Word tokens: letters of either script, digits, and hyphens inside."""
     return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
@@ -153,6 +160,11 @@ def html_text(html: Column) -> Column:
     return squeeze(decode_entities(F.regexp_replace(html, "<[^>]*>", " ")))
 
 
+def inline_text(html: Column) -> Column:
+    """The text of an element: its tags leave nothing behind, as in a word with bold letters."""
+    return squeeze(decode_entities(F.regexp_replace(html, "<[^>]*>", "")))
+
+
 def clean_value(raw: Column) -> Column:
     """An extracted value: squeezed, cut at the end of a sentence and at 120 characters, no trailing separators."""
     flat = squeeze(raw)
@@ -267,6 +279,12 @@ def normal_cell(value: Column) -> Column:
     return F.when(low.isin("x", "х", "✓", "✔", "+"), "x").when(low.isin("-", "–", "—"), "-").otherwise(low)
 
 
+def scored_cell(value: Column) -> Column:
+    """A schedule cell as it is scored: a Latin x, ticks and a plus are x, dashes are a hyphen, the rest is trimmed and lowered."""
+    low = F.lower(trimmed(F.coalesce(value, F.lit(""))))
+    return F.when(low.isin("x", "✓", "✔", "+"), "x").when(low.isin("-", "–", "—"), "-").otherwise(low)
+
+
 def excluded(section: Column, prefixes: list[str]) -> Column:
     """Whether a section starts with an excluded prefix; a null section never does."""
     hit = F.lit(False)

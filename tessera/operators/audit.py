@@ -234,14 +234,18 @@ def verified_tables(tables: DataFrame, answers: DataFrame, key: str = "block_id"
 
 
 def prefix_sources(targets: DataFrame, sections: DataFrame, group: str, fallback: int = 5) -> DataFrame:
-    """Sections for each wanted zone: by prefix, else by title, else the document's first ``fallback``.
+    """Sections for each wanted group of zones: those whose standard section starts with one of them, else those that have
+    one anywhere in their title or standard section (lowered), else the document's first ``fallback``.
 
-    ``targets`` has ``target`` and ``zone``; ``sections`` has ``standard``, ``title`` and ``ord``.
+    ``targets`` has ``target`` and ``zones`` (an array); ``sections`` has ``standard``, ``title`` and ``ord``.
     """
-    t = targets.select(F.col(group).alias("g"), "target", "zone")
+    t = targets.select(F.col(group).alias("g"), "target", "zones")
     s = sections.select(F.col(group).alias("sg"), "section_id", "standard", "title", "ord")
     joined = t.join(s, F.col("g") == F.col("sg"))
-    how = F.when(F.coalesce(F.startswith("standard", F.col("zone")), F.lit(False)), 0).when(F.coalesce(F.contains(F.lower("title"), F.lower("zone")), F.lit(False)), 1).otherwise(2)
+    standard, title = (F.coalesce(c, F.lit("")) for c in ("standard", "title"))
+    begins = F.exists("zones", lambda z: F.startswith(standard, z) & F.col("standard").isNotNull())
+    inside = F.exists("zones", lambda z: F.contains(F.lower(title), z) | F.contains(F.lower(standard), z))
+    how = F.when(F.coalesce(begins, F.lit(False)), 0).when(F.coalesce(inside, F.lit(False)), 1).otherwise(2)
     ranked = joined.withColumn("how", how).withColumn("best", F.min("how").over(Window.partitionBy("g", "target"))).where("how = best")
     n = F.row_number().over(Window.partitionBy("g", "target").orderBy("ord"))
     return ranked.withColumn("n", n).where((F.col("how") < 2) | (F.col("n") <= fallback)).select(F.col("g").alias(group), "target", "section_id", "how")
@@ -254,17 +258,43 @@ def source_contents(mapping: DataFrame, sections: DataFrame, placeholder: str) -
     return wanted.join(last, "standard", "left").select("target", "pos", "standard", F.coalesce(F.nullif("content", F.lit("")), F.lit(placeholder)).alias("content"))
 
 
-def schedule_scores(expected: DataFrame, actual: DataFrame, group: str) -> DataFrame:
-    """Precision, recall and F1 by group and kind (visit, procedure, cell) of normalised schedule items.
+SCHEDULE_KINDS = ("visit", "procedure", "cell", "footnote")
 
-    Both sides have ``kind`` and ``item``; items are sets, and one empty side scores 0.
+
+def schedule_scores(samples: DataFrame, expected: DataFrame, actual: DataFrame, group: str) -> DataFrame:
+    """Precision, recall and F1 of each sample's schedules by kind (``SCHEDULE_KINDS``), and whether any was found.
+
+    ``samples`` has the number of expected and of detected tables (``expected_tables``, null: no truth, all scores are
+    null; ``actual_tables``).  ``expected`` has ``kind``, ``procedure``, ``visit`` and ``value`` (a cell's value, or a
+    footnote's marker); ``actual`` has ``kind`` (cell or footnote), ``procedure``, ``visit``, ``value`` and ``manual``.
+
+    Visits and procedures count as they are written; those of all detected cells count.  Cells count with their
+    scored value (a manual one goes first) unless that is empty, footnotes with procedure and visit.  Items are sets
+    over all tables: nothing on either side scores 1, but a footnote then has no score.
     """
-    flat = F.lower(T.squeeze(F.col("item")))
-    e, a = (rows.select(group, "kind", flat.alias("item")).distinct().withColumn(n, F.lit(True)) for rows, n in ((expected, "e"), (actual, "a")))
-    both = e.join(a, [group, "kind", "item"], "full")
-    counts = both.groupBy(group, "kind").agg(F.count_if(F.col("e") & F.col("a")).alias("hit"), F.count("a").alias("predicted"), F.count("e").alias("expected"))
-    p, r, f = evaluation.rates(F.col("hit"), F.col("predicted"), F.col("expected"), "tables")
-    return counts.select(group, "kind", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
+    value = T.scored_cell(F.coalesce("manual", "value"))
+    cell, foot = F.col("kind") == "cell", F.col("kind") == "footnote"
+    named = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.to_json(F.array(*parts)).alias("item"))
+    items = {
+        "visit": named("visit", F.col("visit")), "procedure": named("procedure", F.col("procedure")),
+        "cell": named("cell", F.col("procedure"), F.col("visit"), value), "footnote": named("footnote", F.col("procedure"), F.col("visit"), F.col("value")),
+    }
+    some = lambda test, kind: F.when(test, items[kind])
+    truth = [some(F.col("kind") == k, k) for k in ("visit", "procedure", "footnote")] + [some(cell & (value != ""), "cell")]
+    seen = [some(cell, "visit"), some(cell, "procedure"), some(cell & (value != ""), "cell"), some(foot & F.col("procedure").isNotNull() & F.col("visit").isNotNull(), "footnote")]
+
+    def distinct(rows: DataFrame, found: list[Column], side: str) -> DataFrame:
+        exploded = rows.select(group, F.explode(F.array_compact(F.array(*found))).alias("x")).select(group, "x.kind", "x.item")
+        return exploded.distinct().withColumn(side, F.lit(True))
+
+    both = distinct(expected.withColumn("manual", F.lit(None).cast("string")), truth, "e").join(distinct(actual, seen, "a"), [group, "kind", "item"], "full")
+    counts = both.groupBy(group, "kind").agg(F.count_if(F.col("e") & F.col("a")).alias("hit"), F.count("a").alias("n_actual"), F.count("e").alias("n_expected"))
+    kinds = samples.select(group, "expected_tables", "actual_tables", F.explode(F.array(*map(F.lit, SCHEDULE_KINDS))).alias("kind"))
+    joined = kinds.join(counts, [group, "kind"], "left").fillna(0, ["hit", "n_actual", "n_expected"])
+    p, r, f = evaluation.rates(F.col("hit"), F.col("n_actual"), F.col("n_expected"), "tables")
+    scored = F.col("expected_tables").isNotNull() & ((F.col("kind") != "footnote") | (F.col("n_actual") + F.col("n_expected") > 0))
+    agreed = F.when(F.col("expected_tables").isNotNull(), ((F.col("expected_tables") > 0) == (F.col("actual_tables") > 0)).cast("int"))
+    return joined.select(group, "kind", agreed.alias("detection"), *(F.when(scored, F.round(x, 6)).alias(n) for n, x in (("precision", p), ("recall", r), ("f1", f))))
 
 
 def resolved_footnotes(definitions: DataFrame, anchors: DataFrame, table: str) -> DataFrame:

@@ -127,17 +127,23 @@ def changed_fields(original: Column, corrected: Column) -> Column:
     return F.when(F.size(differ) > 0, F.array_join(parts, "|")).otherwise("no_change")
 
 
+#: Fixed value: the currency of a run without priced calls.
+NO_CURRENCY = "RUB"
+
+
 def run_costs(calls: DataFrame, prices: DataFrame, run: list[str], level: str = "level") -> DataFrame:
     """Tokens and cost of model calls by run and level, and in total (level null).
 
     ``calls`` has ``model``, ``prompt_tokens``, ``completion_tokens`` and ``ord``; ``prices`` has ``pattern``, ``in_k`` and
-    ``out_k`` (for a thousand tokens), ``currency`` and ``ord``.  A model takes the longest pattern that it contains;
-    ``unpriced`` has the models without one, and ``currency`` is that of the last priced call.
+    ``out_k`` (for a thousand tokens), ``currency`` and ``ord``.  A model takes the longest pattern that it contains, and
+    of rows with that pattern the first; ``unpriced`` has the models without one, and ``currency`` is that of the last
+    priced call (``NO_CURRENCY`` without any).
     """
-    priced = longest_pattern(calls, prices, "model", "pattern", "ord").join(prices.select("pattern", "in_k", "out_k", "currency"), "pattern", "left")
+    first = prices.groupBy("pattern").agg(F.min_by(F.struct("in_k", "out_k", "currency"), "ord").alias("price"), F.min("ord").alias("ord"))
+    priced = longest_pattern(calls, first, "model", "pattern", "ord").join(first.select("pattern", "price.*"), "pattern", "left")
     cost = F.coalesce((F.col("prompt_tokens") * F.col("in_k") + F.col("completion_tokens") * F.col("out_k")) / 1000, F.lit(0.0))
     sums = [F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.round(F.sum(cost), 6).alias("cost"), F.count("*").alias("n")]
-    currency = F.max_by("currency", F.when(F.col("currency").isNotNull(), F.col("ord"))).alias("currency")
+    currency = F.coalesce(F.max_by("currency", F.when(F.col("currency").isNotNull(), F.col("ord"))), F.lit(NO_CURRENCY)).alias("currency")
     unpriced = F.array_sort(F.collect_set(F.when(F.col("in_k").isNull(), F.col("model")))).alias("unpriced")
     sets = [[*run, level], run]
     return priced.groupingSets(sets, *run, level).agg(*sums, currency, unpriced)

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as T
+
 # Lines that look numbered but are time points or footnotes.
-TIMEPOINT = r"^(день|days?|неделя|weeks?|визит|visits?|месяц|months?)\s+\d+(\s*\([^)]*\))?\s*$"
-FOOTNOTE_ROW = r"^\d+\s*[-–—]\s+[a-zа-яё]"
+TIMEPOINT = rf"^(день|days?|неделя|weeks?|визит|visits?|месяц|months?)[{T.WHITE}]+\d+([{T.WHITE}]*\([^)]*\))?[{T.WHITE}]*$"
+FOOTNOTE_ROW = rf"^\d+[{T.WHITE}]*[-–—][{T.WHITE}]+[a-zа-яё]"
 
 
 def detect(paragraphs: DataFrame, base_size: Column) -> DataFrame:
@@ -18,11 +20,11 @@ def detect(paragraphs: DataFrame, base_size: Column) -> DataFrame:
 
     Precedence: style, outline, larger bold text, number, bold alone.
     """
-    text = F.trim("text")
+    text = T.trimmed(F.col("text"))
     style = F.regexp_extract(F.lower(F.coalesce("style", F.lit(""))), r"^heading\s*(\d+)$", 1)
     other = (F.coalesce("style", F.lit("")) == "") & (F.lower(text).rlike(TIMEPOINT) | text.rlike(FOOTNOTE_ROW))
     bold, ratio = F.coalesce("bold", F.lit(False)), F.col("size") / base_size
-    number = F.regexp_extract("text", r"^(\d+(?:\.\d+)*)\s+", 1)
+    number = F.regexp_extract("text", rf"^(\d+(?:\.\d+)*)[{T.WHITE}]+", 1)
     depth = F.size(F.split(number, r"\."))
     ends = text.rlike("[,;:]$")
     numbered = (number != "") & (bold | (~ends & ((depth >= 2) | (F.length(text) <= 80))))

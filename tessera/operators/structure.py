@@ -96,8 +96,8 @@ def running_offsets(rows: DataFrame, key: str, order: str, size: str) -> DataFra
 
 
 # What a table of contents is called, a line's page number, and a heading's own number.
-TOC_TITLE = r"^(содержани[ея]|оглавлени[ея]|table\s+of\s+contents|contents)\s*$"
-PAGE_TAIL, OWN_NUMBER = r"[\s.…]+(\d{1,4})\s*$", r"^\d+(\.\d+)*\.?\s+"
+TOC_TITLE = rf"^(содержани[ея]|оглавлени[ея]|table[{T.WHITE}]+of[{T.WHITE}]+contents|contents)[{T.WHITE}]*$"
+PAGE_TAIL, OWN_NUMBER = rf"[{T.WHITE}.…]+(\d{{1,4}})[{T.WHITE}]*$", rf"^\d+(\.\d+)*\.?[{T.WHITE}]+"
 
 
 def table_of_contents(headings: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -108,7 +108,7 @@ def table_of_contents(headings: DataFrame, blocks: DataFrame, id_col: str = "doc
     between its neighbours' pages.
     """
     page = F.regexp_extract("text", PAGE_TAIL, 1).try_cast("int")
-    twin = F.lower(F.trim(F.regexp_replace(F.regexp_replace("text", PAGE_TAIL, ""), OWN_NUMBER, "")))
+    twin = F.lower(T.trimmed(F.regexp_replace(F.regexp_replace("text", PAGE_TAIL, ""), OWN_NUMBER, "")))
     # blocks below a heading: those between its paragraph and the next heading's
     marks = headings.select(id_col, "paragraph", "ord").unionByName(blocks.select(id_col, "paragraph", F.lit(None).cast(dict(headings.dtypes)["ord"]).alias("ord")))
     before = Window.partitionBy(id_col).orderBy("paragraph", F.desc_nulls_last("ord")).rowsBetween(Window.unboundedPreceding, 0)
@@ -117,7 +117,7 @@ def table_of_contents(headings: DataFrame, blocks: DataFrame, id_col: str = "doc
     filled = below.select(F.col(id_col).alias("_id"), F.col("_under").alias("_ord")).distinct().withColumn("_filled", F.lit(True))
     own = headings.join(filled, (headings[id_col] == F.col("_id")) & (headings["ord"] == F.col("_ord")), "left").drop("_id", "_ord")
     row = Window.partitionBy(id_col).orderBy("ord")
-    rows = own.select(*headings.columns, F.coalesce("_filled", F.lit(False)).alias("_filled"), page.alias("_page"), twin.alias("_twin"), F.lower(F.trim("text")).rlike(TOC_TITLE).alias("_title"))
+    rows = own.select(*headings.columns, F.coalesce("_filled", F.lit(False)).alias("_filled"), page.alias("_page"), twin.alias("_twin"), F.lower(T.trimmed(F.col("text"))).rlike(TOC_TITLE).alias("_title"))
     rows = rows.withColumn("_plain", F.max(F.when(F.col("_page").isNull(), 1)).over(Window.partitionBy(id_col, "_twin")))
     for name, step in (("_prev", F.lag), ("_next", F.lead)):
         rows = rows.withColumn(name, step(F.struct("_filled", "_page", "_title")).over(row))

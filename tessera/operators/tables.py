@@ -30,16 +30,31 @@ def exactly_one(rows: DataFrame, group: str, key: str, flag: str, chosen: Column
     return rows.withColumn(flag, F.when(there == 1, chosen).otherwise(F.col(flag)))
 
 
-def rename_keys(rows: DataFrame, columns: list[str], names: dict[str, str], apply: bool = True) -> DataFrame:
-    """Replace keys in columns and inside JSON text; without ``apply``, count the rows that would change."""
-    out, touched = rows, F.lit(False)
-    for c in columns:
-        column = F.col(c)
-        for old, new in names.items():
-            touched = touched | F.contains(F.col(c), F.lit(old))
-            column = F.replace(column, F.lit(old), F.lit(new))
-        out = out.withColumn(c, column)
-    return out if apply else rows.agg(F.count_if(touched).alias("n"))
+#: Fixed value: the JSON field that holds a key.
+KEY_FIELD = "standardSection"
+
+
+def rename_keys(rows: DataFrame, names: dict[str, str], columns: list[str], json: list[str] = (), comments: list[str] = ()) -> DataFrame:
+    """Renamed keys, one after the other: in ``columns`` where they are the whole value, in ``json`` texts as the value of
+    ``KEY_FIELD`` (with or without a space behind the colon), in ``comments`` wherever they stand."""
+    new = {c: F.col(c) for c in (*columns, *json, *comments)}
+    for old, name in names.items():
+        for c in columns:
+            new[c] = F.when(new[c] == old, F.lit(name)).otherwise(new[c])
+        for c in json:
+            for gap in ("", " "):
+                new[c] = F.replace(new[c], *(F.lit(f'"{KEY_FIELD}":{gap}"{k}"') for k in (old, name)))
+        for c in comments:
+            new[c] = F.replace(new[c], F.lit(old), F.lit(name))
+    return rows.withColumns(new)
+
+
+def rename_counts(rows: DataFrame, names: dict[str, str], columns: list[str], json: list[str] = (), comments: list[str] = ()) -> DataFrame:
+    """A dry run of ``rename_keys``: by field and old key, the rows that mention it (``json`` only as a value of ``KEY_FIELD``)."""
+    tests = [(c, old, F.contains(F.col(c), F.lit(old))) for old in names for c in (*columns, *comments)]
+    tests += [(c, old, F.contains(F.col(c), F.lit(f'"{KEY_FIELD}":"{old}"')) | F.contains(F.col(c), F.lit(f'"{KEY_FIELD}": "{old}"'))) for old in names for c in json]
+    counted = rows.agg(*(F.count_if(test).alias(f"n{i}") for i, (_, _, test) in enumerate(tests)))
+    return counted.select(F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.lit(old).alias("old_key"), F.col(f"n{i}").alias("n")) for i, (c, old, _) in enumerate(tests)))))
 
 
 def broken_keys(rows: DataFrame, key: list[str]) -> DataFrame:

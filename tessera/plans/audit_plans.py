@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import findings as FF
 from tessera.operators import audit, schedules, structure
+from tessera.plans.finding_plans import pick, sql_pick
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -65,17 +66,38 @@ select p_brand, count(*) as n, count(*) filter (p_size > 25) as n_resolved, roun
 """
 
 
-def schedule_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of users' events on odd and even days as expected and actual schedules."""
-    rows = table(spark, sf, "events").select("user_id", F.col("event_type").alias("kind"), F.get_json_object("props", "$.k").alias("item"), F.dayofmonth("ts").alias("day"))
-    return audit.schedule_scores(rows.where("day % 2 = 1"), rows.where("day % 2 = 0"), "user_id")
+_CELL_VALUES = ("X", "✓", " + ", "–", "-", "", " ", "v", "5 ML", "x", " x ")
 
 
-SCHEDULE_SCORES = """
-with r as (select distinct user_id, event_type as kind, props->>'$.k' as item, day(ts) % 2 = 1 as first from events),
-c as (select coalesce(e.user_id, a.user_id) as user_id, coalesce(e.kind, a.kind) as kind, count(*) filter (e.item is not null and a.item is not null) as hit, count(a.item) as p, count(e.item) as e from (select * from r where first) e full join (select * from r where not first) a on e.user_id = a.user_id and e.kind = a.kind and e.item = a.item group by 1, 2),
-s as (select user_id, kind, case when p = 0 or e = 0 then 0.0 else hit / p end::double as precision, case when p = 0 or e = 0 then 0.0 else hit / e end::double as recall from c)
-select user_id, kind, round(precision, 6) as precision, round(recall, 6) as recall, round(case when precision + recall = 0 then 0.0 else 2 * precision * recall / (precision + recall) end, 6) as f1 from s
+def schedule_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events of the month's first half as expected schedules, of the second as detected ones: visits in several
+    spellings, cells with ticks and dashes, corrected cells, and footnotes of which some lack a visit."""
+    rows = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long")).withColumn("first", F.dayofmonth("ts") <= 15)
+    visit = F.concat(F.when(F.col("event_id") % 11 == 0, "VISIT ").otherwise("Visit "), F.col("k") % 6)
+    item = rows.select("user_id", "event_id", "first", F.col("event_type").alias("procedure"), visit.alias("visit"), pick("k", *_CELL_VALUES).alias("value"), F.when(F.col("event_id") % 7 == 0, pick("event_id", *_CELL_VALUES)).alias("manual"))
+    marks = rows.where("user_id % 4 <> 0 and k % 9 = 0").select("user_id", "event_id", "first", F.lit("footnote").alias("kind"), F.col("event_type").alias("procedure"), F.when(F.col("event_id") % 5 != 0, visit).alias("visit"), (F.col("k") % 4).cast("string").alias("value"), F.lit(None).cast("string").alias("manual"))
+    cells = item.withColumn("kind", F.lit("cell"))
+    expected = cells.unionByName(marks.where("visit is not null")).unionByName(item.withColumn("kind", F.lit("visit"))).unionByName(item.withColumn("kind", F.lit("procedure")))
+    samples = rows.groupBy("user_id").agg(F.when(F.col("user_id") % 13 != 5, F.count_if(F.col("first") & (F.col("user_id") % 17 != 6))).alias("expected_tables"), F.count_if(~F.col("first") & (F.col("user_id") % 19 != 7)).alias("actual_tables"))
+    return audit.schedule_scores(samples, expected.where("first and user_id % 17 <> 6").drop("manual"), cells.unionByName(marks).where("not first and user_id % 19 <> 7"), "user_id")
+
+
+SCHEDULE_SCORES = f"""
+with r as (select *, (props->>'$.k')::bigint as k, day(ts) <= 15 as first from events),
+v as (select *, case when event_id % 11 = 0 then 'VISIT ' else 'Visit ' end || (k % 6) as visit from r),
+c as (select user_id, first, event_type as p, visit as v, lower(trim(case when not first and event_id % 7 = 0 then {sql_pick('event_id', *_CELL_VALUES)} else {sql_pick('k', *_CELL_VALUES)} end, chr(160) || ' ')) as raw from v),
+n as (select *, case when raw in ('x', '✓', '✔', '+') then 'x' when raw in ('-', '–', '—') then '-' else raw end as x from c),
+f as (select user_id, first, event_type as p, visit as v, (k % 4)::varchar as x from v where user_id % 4 <> 0 and k % 9 = 0 and event_id % 5 <> 0),
+i as (select distinct user_id, first, 'visit' as kind, v as item from n union select distinct user_id, first, 'procedure', p from n
+  union select distinct user_id, first, 'cell', p || '|' || v || '|' || x from n where x <> '' union select distinct user_id, first, 'footnote', p || '|' || v || '|' || x from f),
+e as (select * from i where first and user_id % 17 <> 6), a as (select * from i where not first and user_id % 19 <> 7),
+m as (select user_id, kind, count(*) as ne, count(a.item) as hit from e left join a using (user_id, kind, item) group by 1, 2),
+q as (select user_id, kind, count(*) as na from a group by 1, 2),
+s as (select user_id, case when user_id % 13 <> 5 then count(*) filter (first and user_id % 17 <> 6) end as te, count(*) filter (not first and user_id % 19 <> 7) as ta from r group by user_id),
+w as (select s.*, k.kind, coalesce(ne, 0) as ne, coalesce(na, 0) as na, coalesce(hit, 0) as hit from s cross join (select unnest(['visit', 'procedure', 'cell', 'footnote']) as kind) k left join m on m.user_id = s.user_id and m.kind = k.kind left join q on q.user_id = s.user_id and q.kind = k.kind),
+z as (select *, case when ne + na = 0 then 1.0 when na = 0 then 0.0 else hit / na end::double as pr, case when ne + na = 0 then 1.0 when ne = 0 then 0.0 else hit / ne end::double as re, te is not null and (kind <> 'footnote' or ne + na > 0) as scored from w)
+select user_id, kind, case when te is not null then ((te > 0) = (ta > 0))::int end as detection, case when scored then round(pr, 6) end as precision, case when scored then round(re, 6) end as recall,
+  case when scored then round(case when pr + re = 0 then 0.0 else 2 * pr * re / (pr + re) end, 6) end as f1 from z
 """
 
 

@@ -426,17 +426,21 @@ select target, pos::bigint as pos, t.standard, sha256(coalesce(nullif(content, '
 """
 
 
+ZONE_GROUPS = {"a": ["user", "assistant.1"], "b": ["system"], "c": ["stant.3", "the hea"], "d": ["zzz", "The "], "e": ["er.2"]}
+
+
 def zone_prefix_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns for each wanted zone of a conversation: by prefix, by title, else the first five."""
-    turns = table(spark, sf, "conversations").select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("section_id"), F.concat_ws(".", "role", F.col("turn").cast("string")).alias("standard"), F.substring("text", 1, 60).alias("title"), F.col("turn").alias("ord"))
-    zones = F.inline(F.array(*(F.struct(F.lit(t).alias("target"), F.lit(z).alias("zone")) for t, z in (("a", "user"), ("b", "system"), ("c", "The"), ("d", "zzz")))))
+    """Turns for each wanted group of zones of a conversation: by prefix, inside the title or standard section, else the
+    first five.  A title is the whole text."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.concat_ws("/", "conv_id", "turn").alias("section_id"), F.concat_ws(".", "role", F.col("turn").cast("string")).alias("standard"), F.col("text").alias("title"), F.col("turn").alias("ord"))
+    zones = F.inline(F.array(*(F.struct(F.lit(t).alias("target"), F.array(*map(F.lit, z)).alias("zones")) for t, z in ZONE_GROUPS.items())))
     targets = turns.select("conv_id").distinct().select("conv_id", zones)
     return audit.prefix_sources(targets, turns, "conv_id").select("conv_id", "target", "section_id", F.col("how").cast("long").alias("how"))
 
 
 ZONE_PREFIX_SOURCES = """
-with t(target, zone) as (values ('a', 'user'), ('b', 'system'), ('c', 'The'), ('d', 'zzz')),
-j as (select conv_id, target, conv_id || '/' || turn as section_id, turn, case when starts_with(role || '.' || turn, zone) then 0 when contains(lower(substr(text, 1, 60)), lower(zone)) then 1 else 2 end as how from conversations cross join t),
+with t(target, zone) as (values ('a', 'user'), ('a', 'assistant.1'), ('b', 'system'), ('c', 'stant.3'), ('c', 'the hea'), ('d', 'zzz'), ('d', 'The '), ('e', 'er.2')),
+j as (select conv_id, target, conv_id || '/' || turn as section_id, turn, min(case when starts_with(role || '.' || turn, zone) then 0 when contains(lower(text), zone) or contains(lower(role || '.' || turn), zone) then 1 else 2 end) as how from conversations cross join t group by all),
 b as (select *, min(how) over (partition by conv_id, target) as best from j)
 select conv_id, target, section_id, how::bigint as how from (select *, row_number() over (partition by conv_id, target order by turn) as n from b where how = best) where how < 2 or n <= 5
 """
@@ -642,16 +646,17 @@ _MODELS = ("gpt-4o-mini", "gpt-4o", "local", None, "GPT-4")
 
 
 def run_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns as calls of several models: the longest price pattern counts, some models have none."""
-    calls = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("level"), pick("turn", *_MODELS).alias("model"), F.length("text").alias("prompt_tokens"), (F.length("text") % 17).alias("completion_tokens"), F.col("turn").alias("ord"))
-    prices = spark.createDataFrame([("gpt-4", 3.0, 6.0, "USD", 0), ("gpt-4o", 1.0, 2.0, "EUR", 1), ("4o-mini", 0.5, 1.0, "RUB", 2), ("mini", 9.0, 9.0, "X", 3)], "pattern string, in_k double, out_k double, currency string, ord int")
+    """Turns as calls of several models: the longest price pattern counts, the first of those written twice; every seventh
+    conversation has no priced call."""
+    calls = table(spark, sf, "conversations").select("conv_id", F.col("role").alias("level"), F.when(F.col("conv_id") % 7 == 3, "local").otherwise(pick("turn", *_MODELS)).alias("model"), F.length("text").alias("prompt_tokens"), (F.length("text") % 17).alias("completion_tokens"), F.col("turn").alias("ord"))
+    prices = spark.createDataFrame([("gpt-4", 3.0, 6.0, "USD", 0), ("gpt-4o", 1.0, 2.0, "EUR", 1), ("4o-mini", 0.5, 1.0, "RUB", 2), ("mini", 9.0, 9.0, "X", 3), ("4o-mini", 7.0, 7.0, "Y", 4), ("gpt-4o", 8.0, 8.0, "Z", 5)], "pattern string, in_k double, out_k double, currency string, ord int")
     return findings.run_costs(calls, prices, ["conv_id"]).withColumn("unpriced", F.array_join("unpriced", ","))
 
 
 RUN_COSTS = f"""
-with c as (select conv_id, role as level, {sql_pick('turn', *_MODELS)} as model, length(text) as p, length(text) % 17 as k, turn from conversations),
+with c as (select conv_id, role as level, case when conv_id % 7 = 3 then 'local' else {sql_pick('turn', *_MODELS)} end as model, length(text) as p, length(text) % 17 as k, turn from conversations),
 m as (select *, case model when 'gpt-4o-mini' then 0.5 when 'gpt-4o' then 1.0 end::double as i, case model when 'gpt-4o-mini' then 1.0 when 'gpt-4o' then 2.0 end::double as o, case model when 'gpt-4o-mini' then 'RUB' when 'gpt-4o' then 'EUR' end as cur from c)
-select conv_id, level, sum(p)::bigint as prompt_tokens, sum(k)::bigint as completion_tokens, round(sum(coalesce((p * i + k * o) / 1000, 0)), 6) as cost, count(*) as n, arg_max(cur, turn) filter (cur is not null) as currency, coalesce(array_to_string(list_sort(list(distinct model) filter (i is null and model is not null)), ','), '') as unpriced from m group by grouping sets ((conv_id, level), (conv_id))
+select conv_id, level, sum(p)::bigint as prompt_tokens, sum(k)::bigint as completion_tokens, round(sum(coalesce((p * i + k * o) / 1000, 0)), 6) as cost, count(*) as n, coalesce(arg_max(cur, turn) filter (cur is not null), 'RUB') as currency, coalesce(array_to_string(list_sort(list(distinct model) filter (i is null and model is not null)), ','), '') as unpriced from m group by grouping sets ((conv_id, level), (conv_id))
 """
 
 

@@ -357,15 +357,17 @@ ATTEMPTS_ONCE = "select event_type, count(distinct user_id || ':' || event_type
 
 
 def element_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """The block elements of pages in order, with their text."""
+    """The block elements of pages in order, with their text: lists and unclosed paragraphs hold others."""
     return docx.html_elements(table(spark, sf, "pages"), "page_id").select("page_id", F.col("ord").cast("long").alias("ord"), "tag", F.sha2("text", 256).alias("digest"))
 
 
-ELEMENT_TEXTS = r"""
-with m as (select page_id, regexp_extract_all(html, '(?is)<(?:p|h[1-6]|li)(?:\s[^>]*)?>.*?</(?:p|h[1-6]|li)>', 0) as e from pages),
-u as (select page_id, unnest(e) as e, generate_subscripts(e, 1) - 1 as ord from m)
-select page_id, ord::bigint as ord, lower(regexp_extract(e, '(?i)^<(p|h[1-6]|li)', 1)) as tag, sha256(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(e, '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'), ' ')) as digest from u
-"""
+#: An element ends with the end tag of its own name: an alternative for each name.
+_ELEMENT = "(?is)" + "|".join(f"<{tag}[^>]*>.*?</{tag}>" for tag in ("p", *(f"h{n}" for n in range(1, 7)), "table", "li", "ol", "ul"))
+_INLINE = r"""trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(e, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[\s\x{00A0}]+', ' ', 'g'), ' ')"""
+_ELEMENTS = f"""m as (select page_id, regexp_extract_all(html, '{_ELEMENT}', 0) as e from pages),
+u as (select page_id, unnest(e) as e, generate_subscripts(e, 1) - 1 as ord from m),
+x as (select page_id, ord::bigint as ord, e, lower(regexp_extract(e, '(?i)^<(p|h[1-6]|table|li|ol|ul)', 1)) as tag, {_INLINE} as text from u)"""
+ELEMENT_TEXTS = f"with {_ELEMENTS} select page_id, ord, tag, sha256(text) as digest from x"
 
 QUERIES = {f.__name__: f for f in (cell_marker_forms, footnote_definitions, schedule_signals, span_schedule_cells, cell_fills, merged_schedules, orientation_conflicts, drawn_cells, parsed_tables, footnote_marks, markdown_tables, parsed_responses, replayed_prompts, transient_errors, cell_values, vml_boxes, vml_kinds, stemmed_phrases, canonical_facts, bounded_patterns, word_diffs, subscribed_events, published_events, failed_jobs, attempts_once, element_texts)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -389,12 +389,41 @@ def active_version(spark: SparkSession, sf: str) -> DataFrame:
 ACTIVE_VERSION = "select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) = 1 as active from orders"
 
 
+RENAMED = {"SMALL": "LARGE", "PROMO": "SALE", "LARGE": "BIG"}
+
+
+def _keyed_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Part types as keys, alone and as the beginning of longer ones, in a column, in JSON and in a comment."""
+    longer = F.concat("p_type", F.when(F.col("p_partkey") % 4 == 0, "_X").otherwise(""))
+    gap = F.when(F.col("p_partkey") % 3 == 0, " ").otherwise("")
+    field = F.when(F.col("p_partkey") % 5 == 0, "zone").otherwise("standardSection")
+    return table(spark, sf, "part").select("p_partkey", longer.alias("section"), F.concat(F.lit('{"'), field, F.lit('":'), gap, F.lit('"'), longer, F.lit('"}')).alias("results"), F.concat(F.lit("was "), longer, F.lit(" "), F.upper("p_name")).alias("comment"))
+
+
 def key_rename(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = table(spark, sf, "part").select("p_partkey", "p_type")
-    return tables.rename_keys(kinds, ["p_type"], {"BRASS": "METAL_A", "STEEL": "METAL_B"})
+    """Renamed keys, the third of which is the name that the first gets; longer keys stay, but for comments."""
+    return tables.rename_keys(_keyed_parts(spark, sf), RENAMED, ["section"], ["results"], ["comment"])
+
 
+_KEYED = """k as (select p_partkey, p_type || case when p_partkey % 4 = 0 then '_X' else '' end as t, case when p_partkey % 3 = 0 then ' ' else '' end as gap, case when p_partkey % 5 = 0 then 'zone' else 'standardSection' end as field, upper(p_name) as name from part)"""
+KEY_RENAME = f"""
+with {_KEYED}, n as (select *, case t when 'SMALL' then 'BIG' when 'LARGE' then 'BIG' when 'PROMO' then 'SALE' else t end as renamed from k)
+select p_partkey, renamed as section, '{{"' || field || '":' || gap || '"' || case when field = 'standardSection' then renamed else t end || '"}}' as results,
+  replace(replace(replace('was ' || t || ' ' || name, 'SMALL', 'BIG'), 'LARGE', 'BIG'), 'PROMO', 'SALE') as comment from n
+"""
+
+
+def key_rename_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the renaming would touch."""
+    return tables.rename_counts(_keyed_parts(spark, sf), RENAMED, ["section"], ["results"], ["comment"])
 
-KEY_RENAME = "select p_partkey, replace(replace(p_type, 'BRASS', 'METAL_A'), 'STEEL', 'METAL_B') as p_type from part"
+
+KEY_RENAME_COUNTS = f"""
+with {_KEYED}, o as (select unnest(['SMALL', 'PROMO', 'LARGE']) as old_key)
+select 'section' as field, old_key, count(*) filter (starts_with(t, old_key)) as n from k cross join o group by all
+union all select 'results', old_key, count(*) filter (field = 'standardSection' and t = old_key) from k cross join o group by all
+union all select 'comment', old_key, count(*) filter (contains(t || ' ' || name, old_key)) from k cross join o group by all
+"""
 
 
 def json_path_filter(spark: SparkSession, sf: str) -> DataFrame:
@@ -444,5 +473,5 @@ s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded
 select user_id, min(ts) as start, max(ts) as last, count(*) as n from s group by user_id, s
 """
 
-QUERIES = {f.__name__: f for f in (fact_final_value, best_fact, synopsis_mismatch, run_delta, histogram_bins, diff_full_outer, diff_summary, diff_or_match, rule_version_diff, impact_explode, longest_pattern_cost, fuzzy_key, registry_full_outer, semi_some, anti_none, tenant_chain, findings_grouping_sets, correction_mining, dedup_keep_best, keyset_page, latest_version, rate_limit_sliding, stale_runs, run_state_fold, rect_overlap, continuation_offsets, upsert_versions, cascade_delete, active_version, key_rename, json_path_filter, duplicate_keys, severity_maps, tumbling_window, session_windows)}
+QUERIES = {f.__name__: f for f in (fact_final_value, best_fact, synopsis_mismatch, run_delta, histogram_bins, diff_full_outer, diff_summary, diff_or_match, rule_version_diff, impact_explode, longest_pattern_cost, fuzzy_key, registry_full_outer, semi_some, anti_none, tenant_chain, findings_grouping_sets, correction_mining, dedup_keep_best, keyset_page, latest_version, rate_limit_sliding, stale_runs, run_state_fold, rect_overlap, continuation_offsets, upsert_versions, cascade_delete, active_version, key_rename, key_rename_counts, json_path_filter, duplicate_keys, severity_maps, tumbling_window, session_windows)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -339,22 +339,25 @@ union all select doc_id, 'llm', least(length(line) % 11, 4)::int as level, count
 
 
 def contents_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables of contents: each document's first lines appear once more with a page number, before the text."""
-    rows = lines(spark, sf).where("ord < 12 and trim(line) <> ''").select("doc_id", F.col("ord").alias("o"), F.substring(F.regexp_replace("line", r"[0-9.…\s]+$", ""), 1, 40).alias("t")).where("t <> ''")
-    top = rows.select("doc_id", F.lit(0).cast("long").alias("ord"), F.lit("Contents").alias("text"), F.lit(0).cast("long").alias("paragraph")).distinct()
-    entries = rows.select("doc_id", (F.col("o") + 1).alias("ord"), F.concat("t", F.lit(" .... "), ((F.col("o") * 5) % 37 + 1).cast("string")).alias("text"), (F.col("o") + 1).alias("paragraph"))
-    own = rows.select("doc_id", (F.col("o") + 100).alias("ord"), F.col("t").alias("text"), (F.col("o") * 2 + 100).alias("paragraph"))
-    blocks = rows.select("doc_id", (F.col("o") * 2 + 101).alias("paragraph"))
+    """Tables of contents: every line of a document appears once more with a page number, before the text; some page
+    numbers follow a space that doesn't break."""
+    rows = lines(spark, sf).select("doc_id", F.col("ord").alias("o"), F.regexp_replace("line", f"[0-9.…{T.WHITE}]+$", "").alias("t")).where("t <> ''")
+    top = rows.select("doc_id", F.lit(-1).cast("long").alias("ord"), F.lit("Contents\u00a0").alias("text"), F.lit(-1).cast("long").alias("paragraph")).distinct()
+    gap = F.when(F.col("o") % 3 == 0, "\u00a0").when(F.col("o") % 3 == 1, " .... ").otherwise("\u2003")
+    entries = rows.select("doc_id", F.col("o").alias("ord"), F.concat("t", gap, ((F.col("o") * 5) % 37 + 1).cast("string")).alias("text"), F.col("o").alias("paragraph"))
+    own = rows.select("doc_id", (F.col("o") + 1000000).alias("ord"), F.col("t").alias("text"), (F.col("o") * 2 + 1000000).alias("paragraph"))
+    blocks = rows.select("doc_id", (F.col("o") * 2 + 1000001).alias("paragraph"))
     return structure.table_of_contents(top.unionByName(entries).unionByName(own), blocks).select("doc_id", "ord")
 
 
 #: Entries have twins and no blocks of their own, and the row before each is the title or an entry: only pages decide.
+_WHITE = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x{000B}"
 CONTENTS_LINES = rf"""
 with {LINES},
-r as (select doc_id, ord as o, substr(regexp_replace(line, '[0-9.…\s]+$', ''), 1, 40) as t from l where ord < 12 and trim(line, ' ') <> ''),
-e as (select doc_id, o + 1 as ord, o * 5 % 37 + 1 as page, lag(o * 5 % 37 + 1) over (partition by doc_id order by o) as before, lead(o * 5 % 37 + 1) over (partition by doc_id order by o) as after,
-  trim(regexp_replace(t, '^\d+(\.\d+)*\.?\s+', ''), ' ') as twin, regexp_matches(t, '[\s.…]+\d{{1,4}}\s*$|[.…]\s*$') as tailed from r where t <> '')
-select doc_id, ord from e where twin <> '' and not tailed and coalesce(before, page) <= page and coalesce(after, page) >= page
+r as (select doc_id, ord as o, regexp_replace(line, '[0-9.…{_WHITE}]+$', '') as t from l),
+e as (select doc_id, o as ord, o * 5 % 37 + 1 as page, lag(o * 5 % 37 + 1) over (partition by doc_id order by o) as before, lead(o * 5 % 37 + 1) over (partition by doc_id order by o) as after,
+  regexp_replace(regexp_replace(t, '^\d+(\.\d+)*\.?[{_WHITE}]+', ''), '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g') as twin from r where t <> '')
+select doc_id, ord from e where twin <> '' and coalesce(before, page) <= page and coalesce(after, page) >= page
 """
 
 def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:

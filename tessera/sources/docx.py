@@ -12,10 +12,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import headings
 
 # Namespaces, and units of length in EMU.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -181,8 +182,61 @@ def numbering_levels(files: DataFrame) -> DataFrame:
     return _table(files, levels_of, LEVELS)
 
 
+#: Fixed value: a block element, up to the first end of the same name.
+ELEMENT = r"(?is)<(p|h[1-6]|table|li|ol|ul)[^>]*>.*?</\1>"
+
+
 def html_elements(pages: DataFrame, id_col: str, html: str = "html") -> DataFrame:
-    """``id_col``, ``ord`` (from 0), ``tag`` and ``text`` of a page's paragraphs, headings and list items in order."""
-    whole = r"(?is)<(?:p|h[1-6]|li)(?:\s[^>]*)?>.*?</(?:p|h[1-6]|li)>"
-    found = pages.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(whole), F.lit(0))).alias("ord", "element"))
-    return found.select(id_col, "ord", F.lower(F.regexp_extract("element", "(?i)^<(p|h[1-6]|li)", 1)).alias("tag"), T.html_text(F.col("element")).alias("text"))
+    """``id_col``, ``ord`` (from 0), ``tag``, ``element`` and ``text`` of a page's block elements in order.
+
+    An element ends with the first end tag of its own name, so what it holds stays in it: ``<li><p>a</p> b</li>`` is one.
+    """
+    found = pages.select(id_col, F.posexplode(F.regexp_extract_all(html, F.lit(ELEMENT), F.lit(0))).alias("ord", "element"))
+    return found.select(id_col, "ord", F.lower(F.regexp_extract("element", "(?i)^<(p|h[1-6]|table|li|ol|ul)", 1)).alias("tag"), "element", T.inline_text(F.col("element")).alias("text"))
+
+
+#: What a paragraph's properties give an element.
+PROPERTIES = ("bold", "size", "num_id", "ilvl", "style")
+
+
+def with_properties(elements: DataFrame, properties: DataFrame, id_col: str) -> DataFrame:
+    """Elements (``ord``, ``tag``, ``element``, ``text``) with the properties of the paragraphs that they were made of.
+
+    The k-th element with a text takes the k-th paragraph (``ord``, ``text``, ``PROPERTIES``) with that text in the same
+    document: each is taken once, in order.  Without one an element is bold if its HTML says so.  ``style`` is that of
+    a heading tag, ``paragraph_style`` the paragraph's.
+    """
+
+    def numbered(rows: DataFrame, *kept: str) -> DataFrame:
+        n = F.row_number().over(Window.partitionBy(id_col, "print").orderBy("ord"))
+        return rows.withColumn("print", T.fingerprint(F.col("text"))).where("print <> ''").select(id_col, "print", n.alias("n"), *kept)
+
+    taken = numbered(elements, "ord").join(numbered(properties, *PROPERTIES).withColumn("found", F.lit(True)), [id_col, "print", "n"]).drop("print", "n")
+    joined = elements.join(taken, [id_col, "ord"], "left")
+    heading = F.regexp_extract("tag", "^h([1-6])$", 1)
+    return joined.select(
+        id_col, "ord", "tag", "element", "text", F.when(heading != "", F.concat(F.lit("heading "), heading)).alias("style"),
+        F.when(F.col("found"), F.col("bold")).otherwise(F.rlike("element", F.lit(r"(?i)<strong|<b[\s>]"))).alias("bold"), "size", "num_id", "ilvl", F.col("style").alias("paragraph_style"),
+    )
+
+
+def assembled(elements: DataFrame, base_size: DataFrame, id_col: str, deepest: int = 4) -> DataFrame:
+    """Blocks of documents under their headings: ``section`` (the heading's ``ord``), ``title``, ``level``, ``ord``, ``kind``, ``content``.
+
+    ``elements`` are those of ``with_properties``; ``base_size`` has each document's font size.  Tables are blocks of
+    their own, list items and other texts are blocks unless they are headings down to level ``deepest``.  A document
+    without headings is one section of level 0; with headings, blocks before the first are in none.
+    """
+    sized = elements.join(base_size, id_col, "left").withColumn("outline", F.lit(None).cast("int"))
+    found = headings.detect(sized, F.coalesce("base_size", F.lit(12.0)))
+    is_heading = (F.col("tag") != "table") & F.col("level").isNotNull() & (F.col("level") <= deepest)
+    marked = found.withColumn("heading", F.coalesce(is_heading, F.lit(False))).where("heading or text <> '' or tag = 'table'")
+    before = Window.partitionBy(id_col).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
+    under = marked.withColumn("under", F.last(F.when(F.col("heading"), F.struct("ord", F.trim("text").alias("title"), "level")), ignorenulls=True).over(before))
+    some = under.withColumn("some", F.max("heading").over(Window.partitionBy(id_col)))
+    cells = T.html_table(F.col("element"))
+    rows = F.concat(F.array(F.array_join(cells["headers"], " | ")), F.transform(cells["rows"], lambda r: F.array_join(r, " | ")))
+    content = F.when(F.col("tag") == "table", F.array_join(rows, "\n")).otherwise(F.col("text"))
+    kind = F.when(F.col("tag") == "table", "table").when(F.col("tag") == "li", "list").otherwise("paragraph")
+    blocks = some.where("not heading and (under is not null or not some)")
+    return blocks.select(id_col, F.coalesce("under.ord", F.lit(0)).alias("section"), F.coalesce("under.title", F.lit("Document")).alias("title"), F.coalesce("under.level", F.lit(0)).alias("level"), "ord", kind.alias("kind"), content.alias("content"))

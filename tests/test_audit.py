@@ -81,11 +81,11 @@ def test_structure_and_links(spark):
 
 def test_sources_and_footnotes(spark):
     s = spark.createDataFrame([(1, "s0", "design.x", "T", 0, "one"), (1, "s1", "design.x", "T", 1, "two"), (1, "s2", "q", "About safety", 2, "")], "doc int, section_id string, standard string, title string, ord int, content string")
-    t = spark.createDataFrame([(1, "a", "design"), (1, "b", "safety"), (1, "c", "zzz")], "doc int, target string, zone string")
+    t = spark.createDataFrame([(1, "a", ["design"]), (1, "b", ["none", "safety"]), (1, "c", ["zzz"]), (1, "d", ["gn.x"]), (1, "e", ["Safety"])], "doc int, target string, zones array<string>")
     found = {}
     for r in audit.prefix_sources(t, s, "doc", fallback=2).collect():
         found.setdefault(r["target"], []).append(r["section_id"])
-    assert {k: sorted(v) for k, v in found.items()} == {"a": ["s0", "s1"], "b": ["s2"], "c": ["s0", "s1"]}
+    assert {k: sorted(v) for k, v in found.items()} == {"a": ["s0", "s1"], "b": ["s2"], "c": ["s0", "s1"], "d": ["s0", "s1"], "e": ["s0", "s1"]}
     m = spark.createDataFrame([("icf", ["design.x", "q", "none"])], "target string, sources array<string>")
     assert [r["content"] for r in audit.source_contents(m, s, "[none]").orderBy("pos").collect()] == ["two", "[none]", "[none]"]
     d = spark.createDataFrame([("t", "1", "x", 0), ("t", "*", "y", 1), ("t", "1", "z", 2)], "table string, marker string, text string, ord int")
@@ -94,10 +94,14 @@ def test_sources_and_footnotes(spark):
 
 
 def test_metrics(spark):
-    e = spark.createDataFrame([(1, "visit", "Visit 1"), (1, "visit", "Visit 2"), (1, "cell", "a")], "d int, kind string, item string")
-    a = spark.createDataFrame([(1, "visit", "visit  1"), (1, "procedure", "ecg")], "d int, kind string, item string")
-    found = {r["kind"]: (r["precision"], r["recall"], r["f1"]) for r in audit.schedule_scores(e, a, "d").collect()}
-    assert found == {"visit": (1.0, 0.5, pytest.approx(0.666667)), "cell": (0, 0, 0), "procedure": (0, 0, 0)}
+    kinds = "d int, kind string, procedure string, visit string, value string"
+    e = spark.createDataFrame([(1, "visit", None, "Visit 1", None), (1, "visit", None, "Visit 2", None), (1, "procedure", "ecg", None, None), (1, "cell", "ecg", "Visit 1", "x"), (1, "cell", "ecg", "Visit 2", " "), (2, "footnote", "ecg", "Visit 1", "1")], kinds)
+    a = spark.createDataFrame([(1, "cell", "ecg", "VISIT 1", "", None), (1, "cell", "ecg", "Visit 1", "-", "✓"), (2, "footnote", "ecg", None, "1", None), (2, "footnote", "ecg", "Visit 1", "2", None), (3, "cell", "ecg", "Visit 1", "x", None)], f"{kinds}, manual string")
+    samples = spark.createDataFrame([(1, 1, 1), (2, 1, 0), (3, None, 1), (4, 0, 0)], "d int, expected_tables int, actual_tables int")
+    found = {(r["d"], r["kind"]): (r["detection"], r["precision"], r["recall"], r["f1"]) for r in audit.schedule_scores(samples, e, a, "d").collect()}
+    # visits count as they are written, cells by their scored value
+    assert found[1, "visit"] == (1, 0.5, 0.5, 0.5) and found[1, "cell"] == found[1, "procedure"] == (1, 1, 1, 1) and found[1, "footnote"] == (1, None, None, None)
+    assert found[2, "footnote"] == (0, 0, 0, 0) and found[2, "visit"] == (0, 1, 1, 1) and found[3, "visit"] == (None, None, None, None) and found[4, "cell"] == (1, 1, 1, 1) and len(found) == 16
     r = spark.createDataFrame([("x", "passed", 1.0, None, 0.5, 10, 0.1), ("x", "error", None, None, None, None, None)], "stage string, status string, precision double, recall double, f1 double, latency int, cost double")
     one = audit.stage_metrics(r).first()
     assert (one["total"], one["passed"], one["failed"], one["pass_rate"], one["avg_recall"]) == (2, 1, 0, 0.5, None)

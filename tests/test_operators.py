@@ -220,7 +220,10 @@ def test_tables(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, None)], "k int, v string")
     assert sorted(map(tuple, tables.upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, None)]
-    assert tables.rename_keys(old, ["v"], {"a": "z"}, apply=False).first()["n"] == 1
+    keyed = spark.createDataFrame([("ip.data", '{"standardSection":"ip.data_x"}', "was ip.data_x"), ("ip.data_x", '{"standardSection": "ip.data", "zone":"ip.data"}', None)], "v string, j string, c string")
+    renamed = tables.rename_keys(keyed, {"ip.data": "ip.new", "ip.new": "last"}, ["v"], ["j"], ["c"])
+    assert [tuple(r) for r in renamed.collect()] == [("last", '{"standardSection":"ip.data_x"}', "was last_x"), ("ip.data_x", '{"standardSection": "last", "zone":"ip.data"}', None)]
+    assert {tuple(r) for r in tables.rename_counts(keyed, {"ip.data": "n"}, ["v"], ["j"], ["c"]).collect()} == {("v", "ip.data", 2), ("j", "ip.data", 1), ("c", "ip.data", 1)}
 
 
 def test_bm25_prefers_rare_terms(spark):
@@ -238,7 +241,7 @@ def test_spread_occurrences_equal_plain_ones(spark):
 
 
 def test_toc(spark):
-    rows = [("d", 0, "Contents", 0), ("d", 1, "1 Aims .... 5", 1), ("d", 2, "2 Methods 7", 2), ("d", 3, "3 Odd 4", 3), ("d", 4, "1 Aims", 4), ("d", 5, "2 Methods", 6), ("d", 6, "Odd", 8), ("d", 7, "In the year 2024", 10), ("d", 8, "2 Methods 9", 11)]
+    rows = [("d", 0, "Contents", 0), ("d", 1, "1 Aims .... 5", 1), ("d", 2, "2\u00a0Methods\u00a07", 2), ("d", 3, "3 Odd 4", 3), ("d", 4, "1 Aims", 4), ("d", 5, "2 Methods", 6), ("d", 6, "Odd", 8), ("d", 7, "In the year 2024", 10), ("d", 8, "2 Methods 9", 11)]
     headings_ = spark.createDataFrame(rows, "doc_id string, ord int, text string, paragraph int")
     blocks = spark.createDataFrame([("d", 5), ("d", 7), ("d", 9), ("d", 12)], "doc_id string, paragraph int")
     found = structure.table_of_contents(headings_, blocks)

@@ -68,3 +68,24 @@ def test_taxonomy_and_reports(spark, tmp_path):
     docs = spark.createDataFrame([("d", "a", "T")], "doc string, zone string, title string")
     files.write_report(docs, docs, docs, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out/zone-distribution")).first()["n"] == "1"
+
+
+def test_elements_end_with_their_own_name(spark):
+    pages = spark.createDataFrame([(1, "<li><p>a</p> b</li><P class=x>c<b>d</b></p><ul><li>e</li></ul><h2>f</h2><p>lost<table><tr><td>1</td></tr></table>"), (2, None), (3, "")], "id int, html string")
+    found = [(r["id"], r["ord"], r["tag"], r["text"]) for r in docx.html_elements(pages, "id").orderBy("id", "ord").collect()]
+    assert found == [(1, 0, "li", "a b"), (1, 1, "p", "cd"), (1, 2, "ul", "e"), (1, 3, "h2", "f"), (1, 4, "table", "1")]
+
+
+def test_each_paragraph_is_taken_once(spark):
+    elements = docx.html_elements(spark.createDataFrame([(1, "<h1>Aims</h1><p>Same  text</p><p><b>same text</b></p><p>same text</p><li>Other</li><table><tr><th>h</th></tr><tr><td>c</td></tr></table><p>last</p>")], "id int, html string"), "id")
+    properties = spark.createDataFrame([(1, 5, "same text", False, 10.0, 1, 0, "s"), (1, 2, "Same text", True, 20.0, None, None, None), (1, 3, "other", False, None, None, None, None)], "id int, ord int, text string, bold boolean, size double, num_id int, ilvl int, style string")
+    found = docx.with_properties(elements, properties, "id").orderBy("ord").collect()
+    assert [(r["tag"], r["bold"], r["size"], r["num_id"]) for r in found[:5]] == [("h1", False, None, None), ("p", True, 20.0, None), ("p", False, 10.0, 1), ("p", False, None, None), ("li", False, None, None)]
+    assert found[0]["style"] == "heading 1" and found[2]["paragraph_style"] == "s"
+    size = spark.createDataFrame([(1, 12.0)], "id int, base_size double")
+    blocks = docx.assembled(docx.with_properties(elements, properties, "id"), size, "id").orderBy("ord").collect()
+    # the larger bold text is a heading, too
+    assert [(r["section"], r["title"], r["level"], r["ord"], r["kind"], r["content"]) for r in blocks] == [(1, "Same text", 1, 2, "paragraph", "same text"), (1, "Same text", 1, 3, "paragraph", "same text"), (1, "Same text", 1, 4, "list", "Other"), (1, "Same text", 1, 5, "table", "h\nc"), (1, "Same text", 1, 6, "paragraph", "last")]
+    plain = docx.html_elements(spark.createDataFrame([(1, "<p>one</p>"), (2, "<p>early</p><h2>T</h2><p>x</p>")], "id int, html string"), "id")
+    whole = docx.assembled(docx.with_properties(plain, properties.limit(0), "id"), size, "id")
+    assert {(r["id"], r["title"], r["level"], r["content"]) for r in whole.collect()} == {(1, "Document", 0, "one"), (2, "T", 2, "x")}
