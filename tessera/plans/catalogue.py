@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import audit_plans, finding_plans, format_plans, relational_plans, section_plans, text_plans
+from tessera.plans import audit_plans, chain_plans, finding_plans, format_plans, relational_plans, section_plans, text_plans
 
-PLANS = (text_plans, section_plans, finding_plans, format_plans, relational_plans, audit_plans)
+PLANS = (text_plans, section_plans, finding_plans, format_plans, relational_plans, audit_plans, chain_plans)
 Query = Callable[[SparkSession, str], DataFrame]
 
 

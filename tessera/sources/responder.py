@@ -29,24 +29,64 @@ def replay(prompts: DataFrame, log: DataFrame) -> DataFrame:
     return prompts.join(latest, "prompt_key", "left")
 
 
-def answer(prompts: DataFrame, respond: Callable[[str], str], tries: int = 3) -> DataFrame:
-    """``prompt_key``, ``content`` and ``error`` from a responder; transient errors are tried again."""
+def replayer(log: DataFrame, model: str = "") -> Callable[[DataFrame, str], DataFrame]:
+    """A function that adds ``reply`` to rows with a ``prompt`` from recorded responses (``prompt_key``, ``content``, ``ord``).
+
+    The key is that of the model, the stage and the prompt; rows without a prompt, and unrecorded ones, get null.
+    """
+
+    latest = log.groupBy(F.col("prompt_key").alias("_key")).agg(F.max_by("content", "ord").alias("reply"))
+
+    def ask(rows: DataFrame, stage: str) -> DataFrame:
+        keyed = rows.withColumn("_own", F.when(F.col("prompt").isNotNull(), prompt_key(F.lit(model), F.lit(stage), F.col("prompt"))))
+        return keyed.join(latest, F.col("_own") == F.col("_key"), "left").drop("_own", "_key")
+
+    return ask
+
+
+class JsonModeRefused(Exception):
+    """A responder's answer that it can't be asked for JSON; it is asked again without."""
+
+
+#: Fixed value: seconds before the first new try; each further one waits twice as long.
+FIRST_WAIT = 5.0
+
+
+def one_answer(respond: Callable[..., str], prompt: str, tries: int, first_wait: float, sleep: Callable[[float], None]) -> tuple[str | None, str | None]:
+    """``content`` and ``error`` of one prompt.  Transient errors are tried again after waits that double; a refusal of JSON
+    mode drops that mode, which is no try of its own."""
+    json_mode, n, error = True, 0, None
+    while n < tries:
+        try:
+            return respond(prompt, json_mode=json_mode), None
+        except JsonModeRefused as e:
+            error = str(e)
+            if not json_mode:
+                return None, error
+            json_mode = False
+        except Exception as e:  # noqa: BLE001  the error is part of the result
+            error, n = str(e), n + 1
+            if not any(t in error.lower() for t in TRANSIENT):
+                return None, error
+            if n < tries:
+                sleep(first_wait * 2 ** (n - 1))
+    return None, error
+
+
+def answer(prompts: DataFrame, respond: Callable[..., str], tries: int = 3, at_once: int = 4, first_wait: float = FIRST_WAIT) -> DataFrame:
+    """``prompt_key``, ``content`` and ``error`` from a responder, called as ``respond(prompt, json_mode=...)``.
+
+    A task has at most ``at_once`` calls in flight, and gives its rows in their order.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for key, prompt in zip(rows["prompt_key"], rows["prompt"]):
-                content = error = None
-                for _ in range(tries):
-                    try:
-                        content, error = respond(prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001  the error is part of the result
-                        error = str(e)
-                        if not any(t in error.lower() for t in TRANSIENT):
-                            break
-                out.append((key, content, error))
-            yield pd.DataFrame(out, columns=["prompt_key", "content", "error"])
+        import time
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for rows in batches:
+                found = list(pool.map(lambda prompt: one_answer(respond, prompt, tries, first_wait, time.sleep), rows["prompt"]))
+                yield pd.DataFrame({"prompt_key": rows["prompt_key"].to_list(), "content": [c for c, _ in found], "error": [e for _, e in found]})
 
     return prompts.select("prompt_key", "prompt").mapInPandas(run, "prompt_key string, content string, error string")
 

@@ -48,7 +48,7 @@ def test_responses_are_replayed_parsed_and_tried_again(spark):
     assert {r["prompt_key"]: r["content"] is None for r in found.collect()} == {"k": False, "none": True}
     assert [(r["a"], r["b"]) for r in responder.parse_rows(found, "a int, b string").collect()] == [(1, "x]")]
 
-    def respond(prompt):
+    def respond(prompt, json_mode):
         if prompt == "q":
             raise RuntimeError("bad request")
         return prompt.upper()
