@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tessera.llm.neighbours import link_counts
 from tessera.llm.simhash import COUNT_CHUNK, components, shingle_hashes, words
 
 #: Words in a term.
@@ -180,10 +181,13 @@ def search(asked: DataFrame, prints: DataFrame, id_col: str = "doc_id", radius:
 
 
 def near_classes(prints: DataFrame, id_col: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """``prints`` (``id_col``, ``fp``) with ``class_id``: the smallest id reachable over fingerprints within ``radius``.
+    """``prints`` (``id_col``, ``fp``) with ``class_id``, the smallest id reachable over fingerprints within ``radius``, and
+    ``n_links``, the other rows whose fingerprints are within it.
 
     The block tables find every fingerprint within three bits.  ``prints`` is read more than once.
     """
     if radius > len(BLOCKS) - KEY_BLOCKS:
         raise ValueError(f"the tables cover {len(BLOCKS) - KEY_BLOCKS} bits at most")
-    return components(prints, id_col, radius, block_keys).drop("root").withColumnRenamed("component_id", "class_id")
+    classed = components(prints, id_col, radius, block_keys).drop("root").withColumnRenamed("component_id", "class_id")
+    counts = link_counts(prints.groupBy("fp").agg(F.count("*").alias("n")), block_keys, radius)
+    return classed.join(counts, "fp").withColumn("n_links", F.col("n_near") - 1).drop("n_near")

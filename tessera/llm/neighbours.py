@@ -101,6 +101,73 @@ def links(fingerprints: DataFrame, keys_of: Callable[..., np.ndarray], radius: i
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long").distinct()
 
 
+#: Members of a run that are counted against each other in one task; longer runs are cut in blocks of so many, and
+#: members compared at a time.
+BLOCK_ROWS, COUNT_ROWS = 8192, 512
+
+
+def link_counts(prints: DataFrame, tables_of: Callable[[np.ndarray], np.ndarray], radius: int) -> DataFrame:
+    """``fp`` and ``n_near``: the rows (``n`` for each distinct ``fp``) within ``radius`` bits of each fingerprint, itself included.
+
+    ``tables_of`` maps n fingerprints to an (n, k) array of keys, one for each of k tables.  A pair is counted in the
+    first table that it shares a key of, so nothing is counted twice and no pair is ever listed: a run only gives a
+    number for each member.  Runs longer than ``BLOCK_ROWS`` are cut in blocks, each two of which are a run of a task.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            for s in range(0, len(values), 4096):
+                keys = tables_of(values[s : s + 4096].view(np.uint64)).view(np.int64)
+                k = keys.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.tile(np.arange(k, dtype=np.int32), len(keys))), pa.array(np.repeat(values[s : s + 4096], k)), pa.array(np.repeat(n[s : s + 4096], k))], names=["key", "place", "fp", "n"])
+
+    def near(values: np.ndarray, others: np.ndarray, place: int) -> np.ndarray:
+        """Which pairs are counted here: near, and with no earlier table in common."""
+        found = distance(values[:, None], others[None, :]) <= radius
+        i, j = np.nonzero(found)
+        if place and len(i):
+            mine, theirs = tables_of(values)[:, :place], tables_of(others)[:, :place]
+            earlier = np.zeros(len(i), bool)
+            for t in range(place):
+                earlier |= mine[i, t] == theirs[j, t]
+            found[i[earlier], j[earlier]] = False
+        return found
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for runs, places, values, n, sides in whole_runs(batches):
+            values = values.view(np.uint64)
+            total = np.zeros(len(values), np.int64)
+            starts = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1]])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(runs)]):
+                if e - s == 1 and places[s]:
+                    continue
+                first = sides[s:e] == sides[s:e].min()
+                two = not first.all()
+                left = s + np.flatnonzero(first)
+                right = s + np.flatnonzero(~first) if two else left
+                for b in range(0, len(left), COUNT_ROWS):
+                    at = left[b : b + COUNT_ROWS]
+                    hit = near(values[at], values[right], int(places[s]))
+                    total[at] += hit @ n[right]
+                    if two:  # within one side each pair is met from both ends
+                        total[right] += n[at] @ hit
+            met = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(values[met].view(np.int64)), pa.array(total[met])], names=["fp", "n_near"])
+
+    keyed = prints.select("fp", "n").mapInArrow(emit, "key long, place int, fp long, n long")
+    long = materialize(keyed.groupBy("key").count().where(F.col("count") > BLOCK_ROWS).select("key", F.ceil(F.col("count") / BLOCK_ROWS).cast("int").alias("blocks")), "long-runs")
+    whole = keyed.select(F.col("key").alias("run"), "place", "fp", "n", F.lit(0).alias("side"))
+    if not long.isEmpty():
+        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        cut = keyed.join(long, "key").withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        # two runs that share a hash would be taken for one: the key itself stays apart by its table, which is its upper bits
+        run = F.xxhash64("key", F.least("side", "other"), F.greatest("side", "other"))
+        whole = keyed.join(long, "key", "left_anti").select(F.col("key").alias("run"), "place", "fp", "n", F.lit(0).alias("side")).unionByName(cut.select(run.alias("run"), "place", "fp", "n", "side"))
+    counted = whole.repartition("run").sortWithinPartitions("run", "place").mapInArrow(count, "fp long, n_near long")
+    return counted.groupBy("fp").agg(F.sum("n_near").alias("n_near"))
+
+
 def classes(edges: DataFrame) -> DataFrame:
     """Connected components of edges (``a``, ``b``): every node with the smallest node it reaches (``node``, ``root``).
 

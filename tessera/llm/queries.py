@@ -64,7 +64,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(fingerprints.with_next(documents(spark, sf_dir)), "fingerprints")
     with_class = fingerprints.near_classes(found)
-    return with_class.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
+    return with_class.select("doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "n_links")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,8 +57,9 @@ def test_likeness():
 def test_classes(spark):
     rows = [(3, 0), (1, 7), (2, 0x7000000), (9, 0xFFFF << 20)]
     prints = spark.createDataFrame(rows, "doc_id long, fp long")
-    found = {r["doc_id"]: r["class_id"] for r in fingerprints.near_classes(prints).collect()}
-    assert found == {3: 1, 1: 1, 2: 1, 9: 9}
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in fingerprints.near_classes(prints).collect()}
+    assert found == {3: (1, 2), 1: (1, 1), 2: (1, 1), 9: (9, 0)}
+    assert fingerprints.near_classes(prints.limit(0)).collect() == []
     with pytest.raises(ValueError):
         fingerprints.near_classes(prints, radius=4)
 
@@ -88,3 +89,31 @@ def test_many_rows_of_one_id_and_without_one(spark, monkeypatch):
     rows = [(7, f"text {i}") for i in range(400)] + [(None, f"none {i}") for i in range(300)] + [(i, f"own {i} words") for i in range(20)]
     found = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
     assert len(found) == len(rows) and len([r for r in found if r["doc_id"] is None]) == 300
+
+
+def test_links_are_counted_as_by_brute_force(spark, monkeypatch):
+    from tessera.llm import neighbours
+
+    rnd = random.Random(5)
+    values = [0, 0, 0, (1 << 63) - 1]
+    for _ in range(900):
+        # copies, near copies of a few texts (some in a dense group), and others
+        base = rnd.choice(values[: rnd.choice((3, 40, len(values)))]) if rnd.random() < 0.8 else rnd.getrandbits(63)
+        for b in rnd.sample(range(63), rnd.choice((0, 1, 1, 2, 4))):
+            base ^= 1 << b
+        values.append(base)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    prints = spark.createDataFrame(list(enumerate(signed)), "doc_id long, fp long")
+    wanted = {i: sum((a ^ b).bit_count() <= 3 for b in values) - 1 for i, a in enumerate(values)}
+    assert {r["doc_id"]: r["n_links"] for r in fingerprints.near_classes(prints).collect()} == wanted and max(wanted.values()) > 50
+    # the same where long runs are cut
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
+    assert {r["doc_id"]: r["n_links"] for r in fingerprints.near_classes(prints).collect()} == wanted
+
+
+def test_the_query_gives_the_links_of_the_table(spark, small):
+    from tessera.llm import queries
+
+    rows = queries.op9_fingerprints(spark, small).collect()
+    values = [int(r["fingerprint"], 16) for r in rows]
+    assert [r["n_links"] for r in rows] == [sum((a ^ b).bit_count() <= 3 for b in values) - 1 for a in values]
