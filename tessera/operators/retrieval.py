@@ -43,20 +43,27 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", te
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("_group", group or "_all").drop("_all")
 
 
-def alike(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str], a: str, b: str, least: float) -> DataFrame:
-    """All pairs of rows whose word sets (``a``, ``b``) have a Jaccard similarity of ``least`` or more, as ``overlap``.
+def alike(left: DataFrame, right: DataFrame, left_key: list[str], right_key: list[str], a: str, b: str, least: float, within: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of rows whose word sets (``a``, ``b``) have a Jaccard similarity of ``least`` or more, as ``overlap``; equal in
+    the columns ``within``, if there are any.
 
     A similar pair shares at least ``least`` of the right set's words, so it shares one of any of them that are more than
-    the rest: right rows are listed under so many of their longest words, which are rare, and left rows are looked up by
-    all of theirs.  No pair is lost, and only pairs that share such a word are compared.
+    the rest: right rows are listed under so many of their words, the rare ones by their number of right rows first, and
+    left rows are looked up by all of theirs.  No pair is lost.  Only keys, words and sizes are shuffled for the search;
+    the sets are fetched for pairs whose sizes allow the similarity.
     """
-    order = lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0)
-    few = (F.size(b) - F.ceil(F.size(b) * least - 1e-9) + 1).cast("int")
-    listed = right.select(*right_key, b, F.explode(F.slice(F.array_sort(b, order), F.lit(1), few)).alias("_word"))
-    asked = left.select(*left_key, a, F.explode(a).alias("_word"))
-    sizes = (F.size(a) >= least * F.size(b) - 1e-9) & (F.size(b) >= least * F.size(a) - 1e-9)
-    met = asked.join(listed, "_word").where(sizes).dropDuplicates([*left_key, *right_key])
-    return met.withColumn("overlap", T.jaccard(F.col(a), F.col(b))).where(F.col("overlap") >= least).drop("_word")
+    same, left_key, right_key = list(within), [*within, *(k for k in left_key if k not in within)], [*within, *(k for k in right_key if k not in within)]
+    few = F.size(b) - F.ceil(F.size(b) * least - 1e-9) + 1
+    words = right.select(*right_key, F.size(b).alias("_m"), few.alias("_few"), F.explode(b).alias("_word"))
+    counts = words.groupBy(*same, "_word").agg(F.count("*").alias("_df"))
+    rank = F.row_number().over(Window.partitionBy(*right_key).orderBy("_df", "_word"))
+    listed = words.join(counts, [*same, "_word"]).withColumn("_rank", rank).where("_rank <= _few").drop("_df", "_few", "_rank")
+    asked = left.select(*left_key, F.size(a).alias("_n"), F.explode(a).alias("_word"))
+    sizes = (F.col("_n") >= least * F.col("_m") - 1e-9) & (F.col("_m") >= least * F.col("_n") - 1e-9)
+    keys = [*left_key, *(k for k in right_key if k not in same)]
+    met = asked.join(listed, [*same, "_word"]).where(sizes).select(*keys).distinct()
+    found = met.join(left.select(*left_key, a), left_key).join(right.select(*right_key, b), right_key)
+    return found.withColumn("overlap", T.jaccard(F.col(a), F.col(b))).where(F.col("overlap") >= least)
 
 
 def top_tokens(docs: DataFrame, k: int, least: int = 4, stop: tuple[str, ...] = (), text_col: str = "text") -> DataFrame:

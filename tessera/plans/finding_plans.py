@@ -111,75 +111,82 @@ select source, writer, expert from (select source, count(*) as expert from d gro
 _ZONES, _KINDS = ("design", " Safety ", "ip", None), ("dose_mismatch", "Dose_Mismatch ", "unit_mismatch")
 
 
+_LAST_WORD = r"\s*\S+\s*$"
+
+
 def _quoted(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Sentences of documents as predicted findings of a language, the benchmark's as expected ones of all languages."""
-    predicted = table(spark, sf, "documents").where("lang is not null").select("lang", F.col("doc_id").alias("id"), pick("doc_id", "num", " NUM", "logic").alias("family"), pick("doc_id", *_KINDS).alias("kind"), pick("n_chars", *_ZONES).alias("zone"), F.substring("text", 1, 300).alias("quote"))
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), pick("item_id", "NUM", "Logic").alias("family"), pick("item_id", *_KINDS).alias("kind"), pick("item_id", *_ZONES).alias("zone"), F.substring("text", 1, 300).alias("quote"))
-    return predicted, items.crossJoin(predicted.select("lang").distinct())
+    """Lines of a document as its predicted findings; every second line, less its last word, as its expected ones."""
+    rows = lines(spark, sf).where("trim(line) <> ''").withColumn("half", F.floor(F.col("ord") / 2)).withColumn("size", F.length("line"))
+    predicted = rows.select("doc_id", F.col("ord").alias("id"), pick("ord", "num", " NUM", "logic").alias("family"), pick("ord", *_KINDS).alias("kind"), pick("size", *_ZONES).alias("zone"), F.col("line").alias("quote"))
+    expected = rows.where("ord % 2 = 0").select("doc_id", F.col("ord").alias("id"), pick("half", "NUM", "Logic").alias("family"), pick("half", *_KINDS).alias("kind"), pick("size", *_ZONES).alias("zone"), F.regexp_replace("line", _LAST_WORD, "").alias("quote"))
+    return predicted, expected
 
 
 def _sql_quoted() -> str:
-    flat = "trim(regexp_replace(regexp_replace(lower(substr(text, 1, 300)), '[\\s\\x{{00A0}}]+', ' ', 'g'), '[«»\"''`„“”‘’(),;:!?–—-]', '', 'g'), ' ')".replace("{{", "{").replace("}}", "}")
-    words = f"list_distinct(list_filter(string_split({flat}, ' '), lambda w: w <> ''))"
-    return f"""p as (select lang, doc_id as predicted, {sql_pick('doc_id', 'NUM', 'NUM', 'LOGIC')} as f, lower(trim({sql_pick('doc_id', *_KINDS)}, ' ')) as kind, upper(trim({sql_pick('n_chars', *_ZONES)}, ' ')) as zone, {words} as w from documents where lang is not null),
-e as (select item_id as expected, {sql_pick('item_id', 'NUM', 'LOGIC')} as f, lower(trim({sql_pick('item_id', *_KINDS)}, ' ')) as kind, upper(trim({sql_pick('item_id', *_ZONES)}, ' ')) as zone, {words} as w from benchmark),
-o as (select lang, predicted, expected, case when len(p.w) = 0 or len(e.w) = 0 then 0.0 else len(list_intersect(p.w, e.w)) / len(list_distinct(list_concat(p.w, e.w))) end::double as overlap, coalesce(p.kind = e.kind and p.zone = e.zone, false) as place from p join e using (f))"""
+    def words(text: str) -> str:
+        flat = f"trim(regexp_replace(regexp_replace(lower({text}), '[\\s\\x{{00A0}}]+', ' ', 'g'), '[«»\"''`„“”‘’(),;:!?–—-]', '', 'g'), ' ')"
+        return f"list_distinct(list_filter(string_split({flat}, ' '), lambda w: w <> ''))"
+
+    return f"""{LINES}, b as (select doc_id, line, ord, ord // 2 as half, length(line) as size from l where trim(line, ' ') <> ''),
+p as (select doc_id, ord as predicted, {sql_pick('ord', 'NUM', 'NUM', 'LOGIC')} as f, lower(trim({sql_pick('ord', *_KINDS)}, ' ')) as kind, upper(trim({sql_pick('size', *_ZONES)}, ' ')) as zone, {words('line')} as w from b),
+e as (select doc_id, ord as expected, {sql_pick('half', 'NUM', 'LOGIC')} as f, lower(trim({sql_pick('half', *_KINDS)}, ' ')) as kind, upper(trim({sql_pick('size', *_ZONES)}, ' ')) as zone, {words(f"regexp_replace(line, '{_LAST_WORD}', '')")} as w from b where ord % 2 = 0),
+o as (select doc_id, predicted, expected, case when len(p.w) = 0 or len(e.w) = 0 then 0.0 else len(list_intersect(p.w, e.w)) / (len(p.w) + len(e.w) - len(list_intersect(p.w, e.w))) end::double as overlap, coalesce(p.kind = e.kind and p.zone = e.zone, false) as place from p join e using (doc_id, f))"""
 
 
 def finding_scores(spark: SparkSession, sf: str) -> DataFrame:
-    scored = audit.overlap_pairs(*_quoted(spark, sf), "lang").where("strict > 0 or lenient > 0 or overlap >= 0.2")
-    return scored.select("lang", "predicted", "expected", *(F.round(c, 6).alias(c) for c in ("overlap", "strict", "lenient")))
+    """Pairs of findings of a document with a strict or lenient score."""
+    scored = audit.overlap_pairs(*_quoted(spark, sf), "doc_id").where("strict > 0 or lenient > 0")
+    return scored.select("doc_id", "predicted", "expected", *(F.round(c, 6).alias(c) for c in ("overlap", "strict", "lenient")))
 
 
 FINDING_SCORES = f"""
 with {_sql_quoted()},
-s as (select lang, predicted, expected, overlap, case when place and overlap >= 0.7 then overlap else 0.0 end::double as strict, case when overlap >= 0.5 then overlap when place then 0.5 else 0.0 end::double as lenient from o)
-select lang, predicted, expected, round(overlap, 6) as overlap, round(strict, 6) as strict, round(lenient, 6) as lenient from s where strict > 0 or lenient > 0 or overlap >= 0.2
+s as (select doc_id, predicted, expected, overlap, case when place and overlap >= 0.7 then overlap else 0.0 end::double as strict, case when overlap >= 0.5 then overlap when place then 0.5 else 0.0 end::double as lenient from o)
+select doc_id, predicted, expected, round(overlap, 6) as overlap, round(strict, 6) as strict, round(lenient, 6) as lenient from s where strict > 0 or lenient > 0
 """
 
 
 def judge_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.judge_candidates(*_quoted(spark, sf), "lang").select("lang", "predicted", "expected", F.round("overlap", 6).alias("overlap"), F.col("rank").cast("long").alias("rank"))
+    return audit.judge_candidates(*_quoted(spark, sf), "doc_id").select("doc_id", "predicted", "expected", F.round("overlap", 6).alias("overlap"), F.col("rank").cast("long").alias("rank"))
 
 
-JUDGE_TOPK = f"with {_sql_quoted()}, r as (select *, row_number() over (partition by lang, predicted order by overlap desc, expected) as rank from o) select lang, predicted, expected, round(overlap, 6) as overlap, rank from r where rank <= 3"
+JUDGE_TOPK = f"with {_sql_quoted()}, r as (select *, row_number() over (partition by doc_id, predicted order by overlap desc, expected) as rank from o) select doc_id, predicted, expected, round(overlap, 6) as overlap, rank from r where rank <= 3"
 
 
 def finding_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """One-to-one lenient matches; greedy, so SQL takes the pairs in order one by one."""
-    return audit.match_findings(*_quoted(spark, sf), "lang").select("lang", "predicted", "expected", F.round("lenient", 6).alias("lenient"))
+    """One-to-one lenient matches of each document; greedy, so SQL takes the pairs in order one by one."""
+    return audit.match_findings(*_quoted(spark, sf), "doc_id").select("doc_id", "predicted", "expected", F.round("lenient", 6).alias("lenient"))
 
 
+_TAKEN = "list_contains(ps, k.predicted) or list_contains(es, k.expected)"
 FINDING_MATCHES = f"""
 with recursive {_sql_quoted()},
-s as (select lang, predicted, expected, case when overlap >= 0.5 then overlap when place then 0.5 else 0.0 end::double as score from o),
-k as (select *, row_number() over (partition by lang order by score desc, predicted, expected) as k from s where score > 0),
-g(lang, k, ps, es, predicted, expected, score) as (
-  select lang, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::double from (select distinct lang from k)
+s as (select doc_id, predicted, expected, case when overlap >= 0.5 then overlap when place then 0.5 else 0.0 end::double as score from o),
+k as (select *, row_number() over (partition by doc_id order by score desc, predicted, expected) as k from s where score > 0),
+g(doc_id, k, ps, es, predicted, expected, score) as (
+  select doc_id, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::double from (select distinct doc_id from k)
   union all
-  select g.lang, k.k, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then ps else list_append(ps, k.predicted) end, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then es else list_append(es, k.expected) end,
-    case when not (list_contains(ps, k.predicted) or list_contains(es, k.expected)) then k.predicted end, k.expected, k.score from g join k on k.lang = g.lang and k.k = g.k + 1)
-select lang, predicted, expected, round(score, 6) as lenient from g where predicted is not null
+  select g.doc_id, k.k, case when {_TAKEN} then ps else list_append(ps, k.predicted) end, case when {_TAKEN} then es else list_append(es, k.expected) end, case when not ({_TAKEN}) then k.predicted end, k.expected, k.score from g join k on k.doc_id = g.doc_id and k.k = g.k + 1)
+select doc_id, predicted, expected, round(score, 6) as lenient from g where predicted is not null
 """
 
 
 def judged_findings(spark: SparkSession, sf: str) -> DataFrame:
     """Candidates that a judge's recorded verdicts accept, each expected finding once."""
-    candidates = audit.judge_candidates(*_quoted(spark, sf), "lang")
-    verdicts = candidates.select("lang", "predicted", "expected", ((F.col("predicted") + F.col("expected")) % 3 == 0).alias("same"))
-    return audit.judged(candidates, verdicts, "lang").select("lang", "predicted", "expected")
+    candidates = audit.judge_candidates(*_quoted(spark, sf), "doc_id")
+    verdicts = candidates.select("doc_id", "predicted", "expected", ((F.col("predicted") + F.col("expected")) % 3 == 0).alias("same"))
+    return audit.judged(candidates, verdicts, "doc_id").select("doc_id", "predicted", "expected")
 
 
 JUDGED_FINDINGS = f"""
 with recursive {_sql_quoted()},
-r as (select *, row_number() over (partition by lang, predicted order by overlap desc, expected) as rank from o),
-k as (select lang, predicted, expected, row_number() over (partition by lang order by predicted, rank) as k from r where rank <= 3 and (predicted + expected) % 3 = 0),
-g(lang, k, ps, es, predicted, expected) as (
-  select lang, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint from (select distinct lang from k)
+r as (select *, row_number() over (partition by doc_id, predicted order by overlap desc, expected) as rank from o),
+k as (select doc_id, predicted, expected, row_number() over (partition by doc_id order by predicted, rank) as k from r where rank <= 3 and (predicted + expected) % 3 = 0),
+g(doc_id, k, ps, es, predicted, expected) as (
+  select doc_id, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint from (select distinct doc_id from k)
   union all
-  select g.lang, k.k, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then ps else list_append(ps, k.predicted) end, case when list_contains(ps, k.predicted) or list_contains(es, k.expected) then es else list_append(es, k.expected) end,
-    case when not (list_contains(ps, k.predicted) or list_contains(es, k.expected)) then k.predicted end, k.expected from g join k on k.lang = g.lang and k.k = g.k + 1)
-select lang, predicted, expected from g where predicted is not null
+  select g.doc_id, k.k, case when {_TAKEN} then ps else list_append(ps, k.predicted) end, case when {_TAKEN} then es else list_append(es, k.expected) end, case when not ({_TAKEN}) then k.predicted end, k.expected from g join k on k.doc_id = g.doc_id and k.k = g.k + 1)
+select doc_id, predicted, expected from g where predicted is not null
 """
 
 

@@ -7,7 +7,9 @@ error.  Only what the parts hold is read: no layout is computed.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -22,6 +24,10 @@ from tessera.operators import headings
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 WP = "{http://schemas.openxmlformats.org/drawingml/2006/wordprocessingDrawing}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+MC = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
+V = "{urn:schemas-microsoft-com:vml}"
+VML_SHAPES = ("shape", "line", "roundrect", "rect", "oval")
+VML_KINDS = {"arrow": (13, 14, 15, 16, 66, 67, 68, 69), "line": (32, 33, 34, 35, 36, 37, 75), "bracket": (76, 77, 87, 88)}
 DXA, POINT = 635, 12_700
 DEFAULT_ROW = 14 * POINT
 
@@ -107,11 +113,46 @@ def direction(w: int, h: int) -> str | None:
     return "horizontal" if w >= 2 * h else "vertical" if h >= 2 * w else None
 
 
+def vml_box(style: str | None) -> list[int]:
+    """Left, top, width and height of a VML style in EMU: its numbers are points."""
+    found = {}
+    for item in (style or "").split(";"):
+        name, colon, text = item.partition(":")
+        number_ = re.match(r"-?\d+(\.\d*)?|-?\.\d+", text.strip())
+        if colon and number_:
+            found[name.strip().lower()] = round(float(number_[0]) * POINT)
+    return [found.get(k, 0) for k in ("left", "top", "width", "height")]
+
+
+def vml_kind(shape: ElementTree.Element) -> str:
+    number_ = re.search(r"t(\d+)$", shape.get("type") or "", re.I)
+    if shape.tag == V + "line":
+        return "line"
+    return next((kind for kind, types in VML_KINDS.items() if number_ and int(number_[1]) in types), "shape")
+
+
+def shapes_of(element: ElementTree.Element) -> Iterator[ElementTree.Element]:
+    """The drawings of a paragraph in order: of an alternative the choice if it has any drawing, else the legacy shapes of
+    its fallback.  A drawing inside another is a part of it."""
+    for e in element:
+        if e.tag in (WP + "anchor", WP + "inline"):
+            yield e
+        elif e.tag == MC + "AlternateContent":
+            chosen = [x for c in e.findall(MC + "Choice") for x in shapes_of(c)]
+            yield from chosen or (x for f in e.findall(MC + "Fallback") for x in f.iter() if x.tag in {V + n for n in VML_SHAPES} and any(vml_box(x.get("style"))[2:]))
+        elif e.tag != W + "p":
+            yield from shapes_of(e)
+
+
 def drawings_of(content: bytes) -> list[tuple]:
     """(drawing, paragraph, kind, direction, x, y, w, h); a shape's own box overrides its anchor's."""
     out = []
     for i, p in enumerate(part(content, "word/document.xml").iter(W + "p")):
-        for anchor in (e for e in p.iter() if e.tag in (WP + "anchor", WP + "inline")):
+        for anchor in shapes_of(p):
+            if anchor.tag.startswith(V):
+                box = vml_box(anchor.get("style"))
+                out.append((len(out), i, vml_kind(anchor), direction(*box[2:]), *box))
+                continue
             extent = anchor.find(WP + "extent")
             place = [number((anchor.findtext(f"{WP}{axis}/{WP}posOffset"))) or 0 for axis in ("positionH", "positionV")]
             box = place + [number(extent.get(k)) or 0 if extent is not None else 0 for k in ("cx", "cy")]
@@ -153,7 +194,8 @@ def _table(files: DataFrame, parse, schema: str, errors: bool = False) -> DataFr
             for path, content in zip(batch["path"], batch["content"]):
                 try:
                     out += [(path, *row, *([None] if errors else [])) for row in parse(bytes(content))]
-                except (zipfile.BadZipFile, ElementTree.ParseError, AttributeError, ValueError) as e:
+                except (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, KeyError, ElementTree.ParseError, AttributeError, ValueError) as e:
+                    # damaged, truncated or encrypted members, unknown compressions, missing parts
                     if errors:
                         out.append((path, *[None] * (len(names) - 2), f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=names).astype(object)

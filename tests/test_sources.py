@@ -89,3 +89,70 @@ def test_each_paragraph_is_taken_once(spark):
     plain = docx.html_elements(spark.createDataFrame([(1, "<p>one</p>"), (2, "<p>early</p><h2>T</h2><p>x</p>")], "id int, html string"), "id")
     whole = docx.assembled(docx.with_properties(plain, properties.limit(0), "id"), size, "id")
     assert {(r["id"], r["title"], r["level"], r["content"]) for r in whole.collect()} == {(1, "Document", 0, "one"), (2, "T", 2, "x")}
+
+
+VML = 'xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006" xmlns:v="urn:schemas-microsoft-com:vml"'
+INLINE = '<w:drawing><wp:inline><wp:extent cx="900" cy="30"/><a:prstGeom prst="line"/></wp:inline></w:drawing>'
+OLD = '<w:pict><v:shape type="#_x0000_t66" style="position:absolute;left:1.5pt;top:-2pt;width:10pt;height:2pt"/></w:pict>'
+
+
+def zipped(path, document):
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", document)
+
+
+def test_legacy_shapes_are_read_where_the_choice_has_no_drawing(spark, tmp_path):
+    def alternative(choice, fallback):
+        return f"<w:p><w:r><mc:AlternateContent>{choice}<mc:Fallback>{fallback}</mc:Fallback></mc:AlternateContent></w:r></w:p>"
+
+    body = alternative(f"<mc:Choice>{INLINE}</mc:Choice>", OLD) + alternative("", OLD) + alternative("<mc:Choice><w:t>none</w:t></mc:Choice>", '<w:pict><v:line style="width:1pt;height:9pt"/><v:rect style="left:3pt"/><v:oval type="#_x0000_t88" style="width:4pt;height:3pt"/></w:pict>')
+    zipped(tmp_path / "both.docx", f"<w:document {NS} {VML}><w:body>{body}</w:body></w:document>")
+    found = [tuple(r)[1:] for r in docx.drawings(docx.read(spark, str(tmp_path))).orderBy("drawing").collect()]
+    p = docx.POINT
+    assert found == [(0, 0, "line", "horizontal", 0, 0, 900, 30), (1, 1, "arrow", "horizontal", round(1.5 * p), -2 * p, 10 * p, 2 * p), (2, 2, "line", "vertical", 0, 0, p, 9 * p), (3, 2, "bracket", None, 0, 0, 4 * p, 3 * p)]
+
+
+def test_damaged_and_encrypted_files_become_rows(spark, tmp_path):
+    zipped(tmp_path / "good.docx", DOCUMENT)
+    whole = (tmp_path / "good.docx").read_bytes()
+    at = whole.index(b"word/document.xml") + len("word/document.xml")
+    with zipfile.ZipFile(tmp_path / "packed.docx", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", DOCUMENT * 3)
+    packed = bytearray((tmp_path / "packed.docx").read_bytes())
+    packed[at + 8 : at + 60] = b"\xff" * 52
+    (tmp_path / "packed.docx").write_bytes(packed)
+    locked = bytearray(whole)
+    for mark, place in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):
+        locked[locked.index(mark) + place] |= 1
+    (tmp_path / "locked.docx").write_bytes(locked)
+    with zipfile.ZipFile(tmp_path / "empty.docx", "w") as z:
+        z.writestr("other.xml", "<a/>")
+    found = docx.paragraphs(docx.read(spark, str(tmp_path))).collect()
+    failed = {r["path"].rsplit("/", 1)[1]: r["error"] for r in found if r["error"]}
+    assert set(failed) == {"packed.docx", "locked.docx", "empty.docx"} and any(r["text"] == "Title" for r in found)
+    assert {r["path"].rsplit("/", 1)[1] for r in docx.table_cells(docx.read(spark, str(tmp_path))).collect()} == {"good.docx"}
+
+
+def test_archives_are_whole_and_repeatable(spark, tmp_path):
+    rows = [("a", "p1.txt", "one"), ("a", "p1.txt", "two"), ("a", "p/2", "é" * 3000000), ("b/c", "x", None), (None, "y", "z")]
+    members = spark.createDataFrame(rows, "run string, name string, content string")
+    for _ in range(2):
+        found = {(r["group"], r["n_members"]) for r in files.write_archives(members, "run", str(tmp_path / "out")).collect()}
+        assert found == {("a", 3), ("b_c", 1), ("none", 1)}
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.zip", "b_c.zip", "none.zip"]
+    with zipfile.ZipFile(tmp_path / "out" / "a.zip") as z:
+        assert sorted(z.namelist()) == ["p1-2.txt", "p1.txt", "p_2"] and {z.read(n).decode()[:3] for n in ("p1.txt", "p1-2.txt")} == {"one", "two"} and len(z.read("p_2")) == 6000000
+
+
+def test_reports_are_read_back(spark, tmp_path):
+    findings = spark.createDataFrame([("v1", 2, "high", "b & <c>\x01"), ("v1", 1, None, "a"), ("v2", 1, "low", "z")], "version string, n int, severity string, description string")
+    reports = files.word_reports(findings, "version", ["severity", "description"], ["n"], "Findings of")
+    assert reports.count() == 2
+    written = files.write_archives(reports.withColumnRenamed("group", "run"), "run", str(tmp_path / "zips")).collect()
+    assert {r["n_members"] for r in written} == {1}
+    for r in reports.collect():
+        (tmp_path / r["name"]).write_bytes(r["content"])
+    read = docx.read(spark, str(tmp_path)).where("path like '%.docx'")
+    cells = sorted((r["path"].rsplit("/", 1)[1], r["row"], r["col"], r["text"]) for r in docx.table_cells(read).collect())
+    assert cells == [("v1.docx", 0, 0, "severity"), ("v1.docx", 0, 1, "description"), ("v1.docx", 1, 0, ""), ("v1.docx", 1, 1, "a"), ("v1.docx", 2, 0, "high"), ("v1.docx", 2, 1, "b & <c>"), ("v2.docx", 0, 0, "severity"), ("v2.docx", 0, 1, "description"), ("v2.docx", 1, 0, "low"), ("v2.docx", 1, 1, "z")]
+    assert [r["text"] for r in docx.paragraphs(read).where("style = 'Heading1'").orderBy("path").collect()] == ["Findings of v1", "Findings of v2"]
