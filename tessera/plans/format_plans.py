@@ -13,6 +13,7 @@ from tessera.functions import text as T
 from tessera.operators import diff, runs, schedules, sections
 from tessera.plans.finding_plans import pick, sql_pick
 from tessera.plans.section_plans import LINES, lines
+from tessera.plans.section_plans import LINES, lines
 from tessera.sources import docx, responder
 from tessera.sources.tables import table
 from tessera.streaming import events
@@ -173,15 +174,19 @@ c as (select doc_id, [trim(regexp_replace(coalesce(w[i], ''), '[<>&|]', '', 'g')
 select doc_id, case when doc_id % 2 = 0 then c[1] || '|' || c[2] else c[3] || '|' || c[4] end as headers, case when doc_id % 2 = 0 then c[3] || '|' || c[4] || '/' else '' end || c[5] || '|' || c[6] as rows from c
 """
 
-_FOOT = {"* ) see below": "*|", "text 12. more [3] and <sup>14</sup>": "12|3,14", "1: a 2) b": "1,2|", "no marks": "|", None: None, "v1.2 [x] †: y": "†|"}
-
 
 def footnote_marks(spark: SparkSession, sf: str) -> DataFrame:
-    found = forms(spark, sf, list(_FOOT))
-    return found.select("doc_id", F.concat(F.array_join(T.footnote_marks(F.col("form")), ","), F.lit("|"), F.array_join(T.footnote_references(F.col("form")), ",")).alias("marks"))
+    """Markers and references of the lines that have any."""
+    found = lines(spark, sf).select("doc_id", "ord", F.concat(F.array_join(T.footnote_marks(F.col("line")), ","), F.lit("|"), F.array_join(T.footnote_references(F.col("line")), ",")).alias("marks"))
+    return found.where("marks <> '|'")
 
 
-FOOTNOTE_MARKS = expected(list(_FOOT.values()), "marks")
+#: Every mark in turn: what stands before it and behind it.
+FOOTNOTE_MARKS = rf"""
+with {LINES},
+m as (select doc_id, ord, array_to_string(list_transform(regexp_extract_all(line, '(^|[ \t\r\f])([*†‡§¶]|[0-9]+)[ \t\r\f]*[):.]', 0), lambda x: regexp_extract(x, '([*†‡§¶]|[0-9]+)', 1)), ',') || '|' || array_to_string(list_transform(regexp_extract_all(line, '\[[0-9]+\]|<sup>[0-9]+</sup>', 0), lambda x: regexp_extract(x, '[0-9]+', 0)), ',') as marks from l)
+select * from m where marks <> '|'
+"""
 
 
 def markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,17 +201,17 @@ r as (select doc_id, '| ' || lang || ' |   |' || chr(10) || '| --- | --- |' || a
 select doc_id, sha256(t) as digest from r
 """
 
-_RESPONSES = {
-    '[{"a": 1}, {"a": 2}]': "1,2", 'Sure: {"a": 3} ok': "3", '[{"a": 4}, {"a": 5}, {"a"': "4,5", "не могу помочь с этим": None, "no json": None, '<think>{"a": 9}</think>{"a": 6}': "6", '{"b": 7}': None, '```json\n[{"a": 8, "s": "]}"}]\n```': "8", None: None,
-}
-
 
 def parsed_responses(spark: SparkSession, sf: str) -> DataFrame:
-    rows = responder.parse_rows(forms(spark, sf, list(_RESPONSES), "content"), "a int")
-    return rows.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("a")), ",").alias("found"))
+    """Every conversation as a model's response: its turns as JSON between other words, some of it cut off, comes back whole."""
+    packed = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: F.struct(t["turn"].alias("a"), t["text"].alias("b"))))
+    said = table(spark, sf, "conversations").groupBy("conv_id").agg(packed.alias("json"))
+    cut = F.when(F.col("conv_id") % 3 == 0, F.expr("substring(json, 1, length(json) - 1)")).otherwise(F.concat("json", F.lit(" done {x}")))
+    responses = said.select("conv_id", F.concat(F.lit("<think>[1]</think> Found: "), cut).alias("content"))
+    return responder.parse_rows(responses, "a long, b string").select("conv_id", "a", F.sha2("b", 256).alias("digest"))
 
 
-PARSED_RESPONSES = f"select * from ({expected(list(_RESPONSES.values()), 'found')}) where found is not null"
+PARSED_RESPONSES = "select conv_id, turn as a, sha256(text) as digest from conversations"
 
 
 def replayed_prompts(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,79 +227,86 @@ with l as (select text, arg_max('r' || conv_id, conv_id * 100 + turn) as content
 select conv_id, turn, content from conversations left join l using (text) where role = 'user'
 """
 
-_ERRORS = {"HTTP 429": "true", "502 Bad gateway": "true", "Timeout after 3 s": "true", "ECONNRESET": "true", "invalid key": "false", None: "false", "model is Overloaded": "true"}
-
 
 def transient_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return forms(spark, sf, list(_ERRORS)).select("doc_id", responder.transient(F.col("form")).cast("string").alias("transient"))
-
+    """Texts as messages of errors: those that ask for another try."""
+    return table(spark, sf, "documents").select("doc_id", responder.transient(F.col("text")).alias("transient"))
 
-TRANSIENT_ERRORS = expected(list(_ERRORS.values()), "transient")
 
-_VALUES = {"x": "x", " Х ": "x", "✓": "x", "+": "x", "—": "-", "–": "-", " 5 ML ": "5 ml", None: "", "X (1)": "x (1)"}
+TRANSIENT_ERRORS = "select doc_id, coalesce(regexp_matches(text, '(?i)429|50[234]|timeout|econnreset|rate limit|overloaded'), false) as transient from documents"
 
 
 def cell_values(spark: SparkSession, sf: str) -> DataFrame:
-    return forms(spark, sf, list(_VALUES)).select("doc_id", T.normal_cell(F.col("form")).alias("value"))
+    """Words of documents as cells: how often each normalised value occurs."""
+    words = table(spark, sf, "documents").select(F.explode(F.split("text", "[ \n]")).alias("w"))
+    return words.groupBy(T.normal_cell(F.col("w")).alias("value")).agg(F.count("*").alias("n"))
 
 
-CELL_VALUES = expected(list(_VALUES.values()), "value")
-
-_STYLES = {"left:10pt;top:2.5pt;width:100pt;height:1pt": "127000,31750,1270000,12700,horizontal", "position:absolute;LEFT: 1pt ;width:3pt;height:7pt": "12700,0,38100,88900,vertical", "width:4pt;height:4pt": "0,0,50800,50800,", None: "0,0,0,0,horizontal"}
+CELL_VALUES = r"""
+with w as (select lower(trim(unnest(string_split_regex(text, '[ \n]')), ' ')) as w from documents)
+select case when regexp_full_match(w, '[xх✓✔+]') then 'x' when regexp_full_match(w, '[-–—]') then '-' else w end as value, count(*) as n from w group by 1
+"""
 
 
 def vml_boxes(spark: SparkSession, sf: str) -> DataFrame:
-    box = forms(spark, sf, list(_STYLES)).withColumn("b", sections.vml_box(F.col("form")))
-    way = F.when(F.col("b.w") >= 2 * F.col("b.h"), "horizontal").when(F.col("b.h") >= 2 * F.col("b.w"), "vertical").otherwise("")
-    return box.select("doc_id", F.concat_ws(",", "b.x", "b.y", "b.w", "b.h", way).alias("box"))
+    """Styles written from the numbers of order lines, in several orders and cases."""
+    styles = F.concat(F.lit("position:absolute; LEFT : "), F.col("l_quantity").cast("decimal(12,2)"), F.lit("pt;top:-"), F.col("l_extendedprice").cast("decimal(12,2)"), F.lit("pt"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(";Width: "), F.col("l_partkey").cast("string"), F.lit("pt"))).otherwise(""), F.lit(";height:"), F.col("l_linenumber").cast("string"), F.lit("pt;"))
+    box = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", sections.vml_box(styles).alias("b"))
+    return box.select("l_orderkey", "l_linenumber", "b.x", "b.y", "b.w", "b.h")
 
 
-VML_BOXES = expected(list(_STYLES.values()), "box")
-
-_SHAPES = {"#_x0000_t32": "line", "#_x0000_t13": "arrow", "#_x0000_t87": "bracket", "#_x0000_t1": "shape", "t": "shape", None: "shape"}
+VML_BOXES = "select l_orderkey, l_linenumber, round(round(l_quantity, 2) * 12700)::bigint as x, -round(round(l_extendedprice, 2) * 12700)::bigint as y, case when l_linenumber % 2 = 0 then l_partkey * 12700 else 0 end::bigint as w, l_linenumber * 12700::bigint as h from lineitem"
 
 
 def vml_kinds(spark: SparkSession, sf: str) -> DataFrame:
-    return forms(spark, sf, list(_SHAPES)).select("doc_id", sections.vml_kind(F.col("form")).alias("kind"))
-
+    """Types of shapes numbered by parts: how many are of each kind."""
+    shapes = table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") % 5 == 0, "#_X0000_T").when(F.col("p_size") % 5 == 1, "other").otherwise("#_x0000_t"), (F.col("p_partkey") % 100).cast("string")).alias("shape"))
+    return shapes.groupBy("shape", sections.vml_kind(F.col("shape")).alias("kind")).agg(F.count("*").alias("n"))
 
-VML_KINDS = expected(list(_SHAPES.values()), "kind")
 
-_PHRASES = {
-    "Клинические исследования безопасности": "клиническ исследован безопаснос", "Studies of treated patients": "stud of treat patient", "visit-2 дней": "visit-2 дней", "Сроки проведения": "срок проведен", None: None, "N": "n", "Фазы II и III": "фаз ii и iii", "organizations": "organ",
-}
+VML_KINDS = """
+with s as (select case when p_size % 5 = 0 then '#_X0000_T' when p_size % 5 = 1 then 'other' else '#_x0000_t' end || p_partkey % 100 as shape, p_partkey % 100 as t, p_size % 5 <> 1 as known from part)
+select shape, case when not known then 'shape' when t between 13 and 16 or t between 66 and 69 then 'arrow' when t between 32 and 37 or t = 75 then 'line' when t in (76, 77, 87, 88) then 'bracket' else 'shape' end as kind, count(*) as n from s group by 1, 2
+"""
 
 
 def stemmed_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    return forms(spark, sf, list(_PHRASES)).select("doc_id", T.stem_phrase(F.col("form")).alias("stems"))
+    """Every turn's tokens as stems."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(T.stem_phrase(F.col("text")), 256).alias("digest"))
 
 
-STEMMED_PHRASES = expected(list(_PHRASES.values()), "stems")
+def sql_stems(text: str) -> str:
+    """A text's stems in SQL: suffixes come off tokens of one script."""
+    ending = lambda names: f"regexp_replace(w, '^(.{{3,}}?)(?:{'|'.join(names)})$', '\\1')"
+    return f"array_to_string(list_transform(regexp_extract_all(lower({text}), '[а-яёa-z0-9][а-яёa-z0-9-]*'), lambda w: case when regexp_matches(w, '^[а-яё-]+$') then {ending(T.RU_SUFFIXES)} when regexp_matches(w, '^[a-z-]+$') then {ending(T.EN_SUFFIXES)} else w end), ' ')"
 
-_FACTS = {
-    ("protocol_number", " ab-12 / 3 "): "AB-12/3", ("sample_size", "N = 0120 subjects"): "120", ("sample_size", "none"): "none", ("study_phase", "Фаза 2/3"): "2/3", ("study_phase", "Phase IV"): "4", ("study_phase", "phase ii / iii"): "2/3",
-    ("study_duration", "12 недель"): "12 weeks", ("study_duration", "006 Mo."): "6 months", ("study_duration", "3 фазы"): "3 фазы", ("study_duration", "long"): "long", ("other", "Treated  Patients"): "treat patient", ("sponsor", " "): "", ("study_phase", None): "",
-}
 
+STEMMED_PHRASES = f"select conv_id, turn, sha256({sql_stems('text')}) as digest from conversations"
 
-def canonical_facts(spark: SparkSession, sf: str) -> DataFrame:
-    rows = forms(spark, sf, [v for _, v in _FACTS], "raw").withColumn("key", pick("doc_id", *(k for k, _ in _FACTS)))
-    return rows.select("doc_id", T.canonical(F.col("key"), F.col("raw")).alias("canonical"))
 
+def canonical_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as values of facts: numbers of protocols, sizes (the first number of a text, if any), and free texts."""
+    key = pick("turn", "protocol_number", "sample_size", "sponsor")
+    raw = F.when(key == "protocol_number", F.concat(F.lit(" "), F.col("role"), F.lit(" -\u00a0"), F.col("conv_id").cast("string"))).when((key == "sample_size") & (F.col("conv_id") % 2 == 0), F.concat(F.lit("N = 00"), F.length("text").cast("string"), F.lit(" of 7"))).otherwise(F.col("text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.sha2(T.canonical(key, raw), 256).alias("digest"))
 
-CANONICAL_FACTS = expected(list(_FACTS.values()), "canonical")
 
-_TITLES = {"синопсис протокола": "true", "мегасинопсис": "false", "Синопсис": "true", "synopsis": "false", None: "false", "(синопсис)": "true"}
+CANONICAL_FACTS = f"""
+select conv_id, turn, sha256(case turn % 3 when 0 then upper(role) || '-' || conv_id when 1 then case when conv_id % 2 = 0 then length(text)::varchar when regexp_matches(text, '[0-9]') then case when ltrim(regexp_extract(text, '[0-9]+', 0), '0') = '' then '0' else ltrim(regexp_extract(text, '[0-9]+', 0), '0') end else {sql_stems('text')} end else {sql_stems('text')} end) as digest from conversations
+"""
 
 
 def bounded_patterns(spark: SparkSession, sf: str) -> DataFrame:
-    """A word between boundaries that hold for Cyrillic too, and a broken pattern, which never matches."""
-    found = forms(spark, sf, list(_TITLES))
-    text = F.lower(F.coalesce("form", F.lit("")))
-    return found.select("doc_id", (T.fits(text, r"(?i)\bсинопсис\b") | T.fits(text, "(broken")).cast("string").alias("fits"))
+    """Words of documents between boundaries, two words in a row, and a broken pattern, which never matches."""
+    text = F.lower(F.coalesce("text", F.lit("")))
+    tests = [T.fits(text, p).alias(n) for n, p in (("one", r"(?i)\bon\b"), ("two", r"\bof the\b"), ("broken", "(broken"))]
+    return table(spark, sf, "documents").select("doc_id", *tests)
 
 
-BOUNDED_PATTERNS = expected(list(_TITLES.values()), "fits")
+BOUNDED_PATTERNS = """
+with w as (select doc_id, lower(coalesce(text, '')) as t from documents)
+select doc_id, list_contains(regexp_extract_all(t, '[а-яёa-z0-9_]+'), 'on') as one, regexp_matches(t, '(^|[^а-яёa-z0-9_])of the([^а-яёa-z0-9_]|$)') as two, false as broken from w
+"""
 
 _EDITS = {("a b c", "a x c"): "equal:a ;remove:b;add:x;equal: c", ("same", "same"): "equal:same", ("", "new"): "add:new", ("gone", None): "remove:gone", ("one, two", "one; two"): "equal:one;remove:,;add:;;equal: two"}
 
