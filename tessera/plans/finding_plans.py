@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import findings as FF
@@ -206,37 +206,37 @@ select doc_id, case when (f, z) in (select f, z from p) then 'covered' else 'mis
 
 def broad_fact_merge(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as a model's answers: the most confident, all values in order, and whether they differ."""
-    rows = table(spark, sf, "conversations").select("conv_id", "role", F.substring("text", 1, 3).alias("value"), (F.length("text") % 5 / 5).alias("confidence"), F.col("turn").alias("ord"))
+    rows = table(spark, sf, "conversations").select("conv_id", "role", F.col("text").alias("value"), (F.length("text") % 5 / 5).alias("confidence"), F.col("turn").alias("ord"))
     merged = facts.merge_answers(rows, ["conv_id", "role"])
     return merged.select("conv_id", "role", "value", "confidence", "n_sources", F.array_join("variants", "|").alias("variants"), "contradiction")
 
 
 BROAD_FACT_MERGE = """
-select conv_id, role, arg_max(substr(text, 1, 3), struct_pack(c := length(text) % 5, o := -turn)) as value, max(length(text) % 5 / 5) as confidence, count(*) as n_sources, string_agg(substr(text, 1, 3), '|' order by turn) as variants, count(distinct substr(text, 1, 3)) > 1 as contradiction
+select conv_id, role, arg_max(text, struct_pack(c := length(text) % 5, o := -turn)) as value, max(length(text) % 5 / 5) as confidence, count(*) as n_sources, string_agg(text, '|' order by turn) as variants, count(distinct text) > 1 as contradiction
 from conversations group by 1, 2
 """
 
 
 def ordered_fact_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of system turns before those of users and assistants; the first fact of each conversation wins."""
-    rows = table(spark, sf, "conversations").select("conv_id", F.substring("text", 1, 10).alias("value"), F.col("turn").alias("ord"), "role")
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("text").alias("value"), F.col("turn").alias("ord"), "role")
     every = facts.in_source_order(*(rows.where(F.col("role") == r) for r in ("system", "assistant", "user")))
     place = F.expr("row_number() over (partition by conv_id order by ord)")
     return every.select("conv_id", place.cast("long").alias("place"), "role", "value")
 
 
-ORDERED_FACT_SOURCES = "select conv_id, row_number() over (partition by conv_id order by case role when 'system' then 0 when 'assistant' then 1 else 2 end, turn) as place, role, substr(text, 1, 10) as value from conversations"
+ORDERED_FACT_SOURCES = "select conv_id, row_number() over (partition by conv_id order by case role when 'system' then 0 when 'assistant' then 1 else 2 end, turn) as place, role, text as value from conversations"
 
 
 def best_fact_variants(spark: SparkSession, sf: str) -> DataFrame:
     """The most confident turn of a conversation with the sources and variants of all its turns."""
-    rows = table(spark, sf, "conversations").select("conv_id", F.substring("text", 1, 5).alias("value"), (F.length("text") % 7 / 7).alias("confidence"), F.col("turn").alias("ord"), F.array("role", F.substring("text", 1, 2)).alias("variants"))
+    rows = table(spark, sf, "conversations").select("conv_id", F.col("text").alias("value"), (F.length("text") % 7 / 7).alias("confidence"), F.col("turn").alias("ord"), F.array("role", "text").alias("variants"))
     found = facts.best_of(rows, ["conv_id"], "value", "confidence", "ord", F.col("ord") + 1, "variants")
     return found.select("conv_id", "value", F.round("confidence", 6).alias("confidence"), F.col("n_sources").cast("long").alias("n_sources"), F.array_join("variants", "|").alias("variants"))
 
 
 BEST_FACT_VARIANTS = """
-select conv_id, arg_max(substr(text, 1, 5), struct_pack(c := length(text) % 7, o := -turn)) as value, round(max(length(text) % 7 / 7), 6) as confidence, sum(turn + 1)::bigint as n_sources, string_agg(role || '|' || substr(text, 1, 2), '|' order by turn) as variants from conversations group by 1
+select conv_id, arg_max(text, struct_pack(c := length(text) % 7, o := -turn)) as value, round(max(length(text) % 7 / 7), 6) as confidence, sum(turn + 1)::bigint as n_sources, string_agg(role || '|' || text, '|' order by turn) as variants from conversations group by 1
 """
 
 
@@ -306,11 +306,11 @@ ZONE_SHARES = "select source, count(*) as n, round(count(*) / (select count(*) f
 
 def top_titles(spark: SparkSession, sf: str) -> DataFrame:
     """The hundred most frequent lines without a rule's section; the number is the feature."""
-    titles = lines(spark, sf).select(F.lower(F.trim(F.substring("line", 1, 12))).alias("title")).where("title <> '' and not title like '%the%'")
+    titles = lines(spark, sf).select(F.lower(F.trim("line")).alias("title")).where("title <> '' and not title like '%the%'")
     return titles.groupBy("title").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "title").limit(100)
 
 
-TOP_TITLES = f"with {LINES} select lower(trim(substr(line, 1, 12), ' ')) as title, count(*) as n from l where trim(substr(line, 1, 12), ' ') <> '' and not contains(lower(substr(line, 1, 12)), 'the') group by 1 order by n desc, title limit 100"
+TOP_TITLES = f"with {LINES} select lower(trim(line, ' ')) as title, count(*) as n from l where trim(line, ' ') <> '' and not contains(lower(line), 'the') group by 1 order by n desc, title limit 100"
 
 
 def annotation_progress(spark: SparkSession, sf: str) -> DataFrame:
@@ -394,12 +394,12 @@ select source, scope, doc_id from (select *, row_number() over (partition by sou
 
 
 def rule_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules of each source, exported as one JSON document and read again."""
-    rows = table(spark, sf, "documents").select("source", F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("pattern"), F.col("lang").alias("name"))
-    return rules.import_rules(rules.export_rules(rows, "source", ["id", "pattern", "name"]), "source", "id bigint, pattern string, name string").select("source", "id", F.sha2("pattern", 256).alias("pattern"), "name")
+    """Versions of fifty rules each, whose patterns are whole texts, exported as one JSON document a version and read again."""
+    rows = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 50).alias("version"), F.col("doc_id").alias("id"), F.col("text").alias("pattern"), F.col("lang").alias("name"))
+    return rules.import_rules(rules.export_rules(rows, "version", ["id", "pattern", "name"]), "version", "id bigint, pattern string, name string").select("version", "id", F.sha2("pattern", 256).alias("pattern"), "name")
 
 
-RULE_ROUND_TRIP = "select source, doc_id as id, sha256(substr(text, 1, 40)) as pattern, lang as name from documents"
+RULE_ROUND_TRIP = "select doc_id // 50 as version, doc_id as id, sha256(text) as pattern, lang as name from documents"
 
 
 def footnote_union(spark: SparkSession, sf: str) -> DataFrame:
@@ -420,14 +420,14 @@ select page_id, marker, row_number() over (partition by page_id order by side, o
 
 def source_section_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Targets take the content of their source zones; the last section of a zone counts."""
-    turns = table(spark, sf, "conversations").where("turn < 4")
+    turns = table(spark, sf, "conversations")
     wanted = table(spark, sf, "documents").where("lang is not null").select(F.col("doc_id").alias("target"), F.array(F.concat_ws(":", F.lit("user"), (F.col("doc_id") % 6).cast("string")), F.lit("system:0"), F.lit("none")).alias("sources"))
     standard = turns.select(F.concat_ws(":", "role", F.col("turn").cast("string")).alias("standard"), F.when(F.col("conv_id") % 2 == 0, F.col("text")).otherwise("").alias("content"), F.col("conv_id").alias("ord"))
     return audit.source_contents(wanted, standard, "[none]").select("target", F.col("pos").cast("long").alias("pos"), "standard", F.sha2("content", 256).alias("digest"))
 
 
 SOURCE_SECTION_TEXTS = """
-with s as (select role || ':' || turn as standard, arg_max(case when conv_id % 2 = 0 then text else '' end, conv_id) as content from conversations where turn < 4 group by 1),
+with s as (select role || ':' || turn as standard, arg_max(case when conv_id % 2 = 0 then text else '' end, conv_id) as content from conversations group by 1),
 t as (select doc_id as target, unnest([0, 1, 2]) as pos, unnest(['user:' || (doc_id % 6), 'system:0', 'none']) as standard from documents where lang is not null)
 select target, pos::bigint as pos, t.standard, sha256(coalesce(nullif(content, ''), '[none]')) as digest from t left join s using (standard)
 """
@@ -489,7 +489,7 @@ select doc_id, [{', '.join(repr(k) for k, names in audit.HEADER_SYNONYMS.items()
 
 def key_value_facts(spark: SparkSession, sf: str) -> DataFrame:
     """Facts of two-column tables, in both directions, and of tables whose header names the fact."""
-    value = F.substring("text", 1, 300)
+    value = F.col("text")
     cells = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("Sponsor:"), value)).when(F.col("doc_id") % 4 == 1, F.array(value, F.lit("Sample size"))).when(F.col("doc_id") % 4 == 2, F.array(F.lit("x"), value)).otherwise(F.array(F.lit("Phase"), F.lit("Indication")))
     headers = F.when(F.col("doc_id") % 8 < 3, F.array(F.lit("Study drug"), F.lit("value"))).otherwise(F.array(F.lit(""), F.lit(" ")))
     rows = table(spark, sf, "documents").select("doc_id", F.lit(0).alias("ord"), cells.alias("cells"), headers.alias("headers"))
@@ -498,7 +498,7 @@ def key_value_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 KEY_VALUE_FACTS = r"""
-with d as (select doc_id, substr(trim(regexp_replace(substr(text, 1, 300), '[\s\x{00A0}]+', ' ', 'g'), ' '), 1, 240) as v from documents),
+with d as (select doc_id, substr(trim(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g'), ' '), 1, 240) as v from documents),
 f as (select doc_id, 0::bigint as layout, case doc_id % 4 when 0 then 'sponsor' when 1 then 'sample_size' when 3 then 'study_phase' end as fact_key, case when doc_id % 4 = 3 then 'Indication' else v end as value from d
   union all select doc_id, 1, case when doc_id % 8 < 3 then 'study_drug' end, case when doc_id % 4 = 1 then 'Sample size' else v end from d)
 select doc_id, layout, fact_key, sha256(value) as value from f where fact_key is not null and value <> ''
@@ -536,13 +536,13 @@ FINDING_VALUES = f"select doc_id, [{', '.join('[' + ', '.join('null' if v is Non
 
 def finding_group_keys(spark: SparkSession, sf: str) -> DataFrame:
     """What groups duplicates: explicit keys, canonical values or quotes."""
-    rows = table(spark, sf, "documents").select("doc_id", pick("doc_id", *_FAMILIES).alias("family"), F.when(F.col("doc_id") % 5 == 0, F.col("source")).alias("explicit"), pick("doc_id", *_ISSUES).alias("issue"), F.when(F.col("n_chars") % 3 == 0, F.col("lang")).alias("value"), F.when(F.col("n_chars") % 2 == 0, F.substring("text", 1, 30)).alias("quote"))
+    rows = table(spark, sf, "documents").select("doc_id", pick("doc_id", *_FAMILIES).alias("family"), F.when(F.col("doc_id") % 5 == 0, F.col("source")).alias("explicit"), pick("doc_id", *_ISSUES).alias("issue"), F.when(F.col("n_chars") % 3 == 0, F.col("lang")).alias("value"), F.when(F.col("n_chars") % 2 == 0, F.col("text")).alias("quote"))
     key = FF.group_key(F.col("family"), F.col("explicit"), F.col("issue"), F.lit("synopsis"), F.lit(None).cast("string"), F.col("value"), F.lit(None).cast("string"), F.col("quote"))
     return rows.select("doc_id", key.alias("key"))
 
 
 FINDING_GROUP_KEYS = rf"""
-with d as (select doc_id, coalesce(upper({sql_pick('doc_id', *_FAMILIES)}), 'UNKNOWN') as f, case when doc_id % 5 = 0 then source end as e, {sql_pick('doc_id', *_ISSUES)} as issue, case when n_chars % 3 = 0 then lang end as v, case when n_chars % 2 = 0 then nullif(lower(trim(regexp_replace(substr(text, 1, 30), '[\s\x{{00A0}}]+', ' ', 'g'), ' ')), '') end as q from documents)
+with d as (select doc_id, coalesce(upper({sql_pick('doc_id', *_FAMILIES)}), 'UNKNOWN') as f, case when doc_id % 5 = 0 then source end as e, {sql_pick('doc_id', *_ISSUES)} as issue, case when n_chars % 3 = 0 then lang end as v, case when n_chars % 2 = 0 then nullif(lower(trim(regexp_replace(text, '[\s\x{{00A0}}]+', ' ', 'g'), ' ')), '') end as q from documents)
 select doc_id, coalesce(f || '|DK|' || nullif(e, ''), f || '|CV|' || issue || '|synopsis|?|' || v || '|?', f || '|' || q) as key from d
 """
 
@@ -567,12 +567,28 @@ select doc_id, case when d is not null then 'description' when s is not null the
 
 
 def near_duplicate_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns with the same description are repeated findings: the first stays."""
-    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("kind"), F.concat(F.lit(" "), F.upper(F.substring("text", 1, 2))).alias("description"), F.lit("short").alias("snippet"))
+    """Turns as findings: some take the description, some the quote (or a part of it) of the turn before, and go."""
+    earlier = Window.partitionBy("conv_id").orderBy("turn")
+    before, size = F.lag("text").over(earlier), F.length("text")
+    description = F.when(F.col("turn") % 5 == 4, before).otherwise(F.concat(F.lit("  "), "text"))
+    snippet = F.when(F.col("turn") % 3 == 2, F.expr("substring(lag(text) over (partition by conv_id order by turn), 4, 5000)")).when(size % 7 == 0, F.lit("too short to count")).otherwise(F.col("text"))
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(size % 2 == 0, "a").otherwise("b").alias("kind"), description.alias("description"), snippet.alias("snippet"))
     return findings.near_duplicates_removed(rows, "conv_id", "turn").select("conv_id", "turn")
 
 
-NEAR_DUPLICATE_FINDINGS = "select conv_id, min(turn) as turn from conversations where trim(substr(text, 1, 2), ' ') <> '' group by conv_id, lower(upper(substr(text, 1, 2))) union all select conv_id, turn from conversations where trim(substr(text, 1, 2), ' ') = ''"
+#: One finding after the other, against all that were kept.
+NEAR_DUPLICATE_FINDINGS = r"""
+with recursive b as (select conv_id, turn, text, lag(text) over (partition by conv_id order by turn) as earlier, row_number() over (partition by conv_id order by turn) as k, case when length(text) % 2 = 0 then 'a' else 'b' end as kind from conversations),
+r as (select conv_id, turn, k, kind, lower(trim(regexp_replace(coalesce(case when turn % 5 = 4 then earlier else text end, ''), '[\s\x{00A0}]+', ' ', 'g'), ' ')) as d,
+  coalesce(trim(case when turn % 3 = 2 then substr(earlier, 4, 5000) when length(text) % 7 = 0 then 'too short to count' else text end, ' '), '') as s from b),
+g(conv_id, k, turn, ds, kinds, ss, ok) as (
+  select distinct conv_id, 0::bigint, null::bigint, []::varchar[], []::varchar[], []::varchar[], false from r
+  union all
+  select conv_id, k, turn, case when same then ds else list_append(ds, d) end, case when same then kinds else list_append(kinds, kind) end, case when same then ss else list_append(ss, s) end, not same from (
+    select r.*, g.ds, g.kinds, g.ss, r.d <> '' and list_contains(g.ds, r.d) or length(r.s) > 20 and len(list_filter(list_zip(g.kinds, g.ss), lambda x: x[1] = r.kind and length(x[2]) > 20
+      and case when length(x[2]) < length(r.s) then contains(r.s, substr(x[2], 1, 60)) else contains(x[2], substr(r.s, 1, 60)) end)) > 0 as same from g join r on r.conv_id = g.conv_id and r.k = g.k + 1))
+select conv_id, turn from g where ok
+"""
 
 
 def applied_verdicts(spark: SparkSession, sf: str) -> DataFrame:
@@ -669,12 +685,12 @@ select conv_id, level, sum(p)::bigint as prompt_tokens, sum(k)::bigint as comple
 
 def diff_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     """Even turns as an old version and odd ones as a new one of a conversation's value: of repeated keys the last counts."""
-    rows = table(spark, sf, "conversations").select("conv_id", F.substring("text", 1, 1).alias("value"), "turn")
+    rows = table(spark, sf, "conversations").select("conv_id", (F.length("text") % 3).cast("string").alias("value"), "turn")
     return diff.diff_values(rows.where("turn % 2 = 0"), rows.where("turn % 2 = 1"), "conv_id", "value", "turn")
 
 
 DIFF_LAST_WINS = """
-with v as (select conv_id, turn % 2 as side, arg_max(substr(text, 1, 1), turn) as value from conversations group by 1, 2)
+with v as (select conv_id, turn % 2 as side, arg_max((length(text) % 3)::varchar, turn) as value from conversations group by 1, 2)
 select coalesce(a.conv_id, b.conv_id) as conv_id, case when a.conv_id is null then 'added' when b.conv_id is null then 'removed' when a.value is not distinct from b.value then 'unchanged' else 'modified' end as change, a.value as old_value, b.value as new_value
 from (select * from v where side = 0) a full join (select * from v where side = 1) b on a.conv_id = b.conv_id
 """

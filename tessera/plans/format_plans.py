@@ -190,13 +190,13 @@ select * from m where marks <> '|'
 
 
 def markdown_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """The first three lines of each document as a table of two columns."""
-    rows = F.transform(F.slice(F.split("text", "\n"), 1, 3), lambda x: F.array(x, F.lit(" a|b ")))
-    return table(spark, sf, "documents").select("doc_id", F.sha2(sections.markdown_table(F.array("lang", F.lit(" ")), rows), 256).alias("digest")).where("digest is not null")
+    """The lines of each document as a table of two columns."""
+    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: F.array(x, F.lit(" a|b ")))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(sections.markdown_table(F.array(F.coalesce("lang", F.lit("none")), F.lit(" ")), rows), 256).alias("digest"))
 
 
 MARKDOWN_TABLES = r"""
-with l as (select doc_id, lang, string_split(text, chr(10))[1:3] as lines from documents where lang is not null),
+with l as (select doc_id, coalesce(lang, 'none') as lang, string_split(coalesce(text, ''), chr(10)) as lines from documents),
 r as (select doc_id, '| ' || lang || ' |   |' || chr(10) || '| --- | --- |' || array_to_string([chr(10) || '| ' || case when trim(regexp_replace(replace(x, '|', '\|'), '\s+', ' ', 'g'), ' ') = '' then ' ' else trim(regexp_replace(replace(x, '|', '\|'), '\s+', ' ', 'g'), ' ') end || ' | a\|b |' for x in lines], '') as t from l)
 select doc_id, sha256(t) as digest from r
 """

@@ -302,14 +302,14 @@ select page_id, sha256(a[i] || '|' || b[i]) as digest from (select *, unnest(ran
 def detected_headings(spark: SparkSession, sf: str) -> DataFrame:
     """Lines as paragraphs with properties: style, outline, bold and size follow their place."""
     o = F.col("ord")
-    rows = lines(spark, sf).select("doc_id", "ord", F.concat(F.when(o % 6 == 3, F.concat((o % 4 + 1).cast("string"), F.lit(".2 "))).otherwise(""), F.substring("line", 1, 70)).alias("text"), F.when(o % 9 == 1, F.concat(F.lit("Heading "), (o % 3 + 1).cast("string"))).alias("style"), F.when(o % 9 == 2, o % 3).cast("int").alias("outline"), (o % 5 == 0).alias("bold"), F.when(o % 7 == 0, 20.0).otherwise(12.0).alias("size"))
+    rows = lines(spark, sf).select("doc_id", "ord", F.concat(F.when(o % 6 == 3, F.concat((o % 4 + 1).cast("string"), F.lit(".2 "))).otherwise(""), F.col("line")).alias("text"), F.when(o % 9 == 1, F.concat(F.lit("Heading "), (o % 3 + 1).cast("string"))).alias("style"), F.when(o % 9 == 2, o % 3).cast("int").alias("outline"), (o % 5 == 0).alias("bold"), F.when(o % 7 == 0, 20.0).otherwise(12.0).alias("size"))
     found = headings.detect(rows, F.lit(12.0))
     return found.where("method is not null").select("doc_id", "ord", F.col("level").cast("long").alias("level"), "method")
 
 
 DETECTED_HEADINGS = rf"""
 with {LINES},
-p as (select doc_id, ord, case when ord % 6 = 3 then (ord % 4 + 1) || '.2 ' else '' end || substr(line, 1, 70) as text, ord % 9 = 1 as styled, ord % 9 = 2 as outlined, ord % 5 = 0 as bold, case when ord % 7 = 0 then 20.0 else 12.0 end as size from l),
+p as (select doc_id, ord, case when ord % 6 = 3 then (ord % 4 + 1) || '.2 ' else '' end || line as text, ord % 9 = 1 as styled, ord % 9 = 2 as outlined, ord % 5 = 0 as bold, case when ord % 7 = 0 then 20.0 else 12.0 end as size from l),
 t as (select *, trim(text, ' ') as flat, regexp_extract(text, '^(\d+(?:\.\d+)*)\s+', 1) as number from p),
 x as (select *, not styled and (regexp_matches(lower(flat), '^(день|days?|неделя|weeks?|визит|visits?|месяц|months?)\s+\d+(\s*\([^)]*\))?\s*$') or regexp_matches(flat, '^\d+\s*[-–—]\s+[a-zа-яё]')) as other from t),
 h as (select doc_id, ord, case when flat = '' or other then null when styled then 'style' when outlined then 'outline' when bold and size > 12 then 'visual'
@@ -406,8 +406,8 @@ _ZONES = (rules.SectionRule("a", ("en",)), rules.SectionRule("b", ("th", "de "))
 
 
 def hierarchical_zones(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns by their first characters, where a subzone gains or loses by the zone of the turn above it."""
-    rows = turns(spark, sf).select("conv_id", "turn", "level", F.substring("text", 1, 30).alias("title"), F.lit("").alias("content"))
+    """Turns by their texts, where a subzone gains or loses by the zone of the turn above it."""
+    rows = turns(spark, sf).select("conv_id", "turn", "level", F.col("text").alias("title"), F.lit("").alias("content"))
     found = rules.classify_hierarchical(rows, _ZONES, "conv_id", "turn")
     return found.select("conv_id", "turn", "section", F.round("confidence", 9).alias("confidence"))
 
@@ -428,7 +428,7 @@ _ADJUSTED = [_sql_adjusted(i, r) for i, r in enumerate(_ZONES)]
 _BEST = f"greatest({', '.join(_ADJUSTED)})"
 #: One row after the other: ``z0`` and ``z1`` are the zones of the open turns of levels 0 and 1.
 HIERARCHICAL_ZONES = f"""
-with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k, {TURN_LEVEL} as lvl, lower(substr(text, 1, 30)) as t from conversations),
+with recursive t as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as k, {TURN_LEVEL} as lvl, lower(text) as t from conversations),
 s as (select *, {', '.join(f'{_sql_zone_score(r)} as s{i}' for i, r in enumerate(_ZONES))} from t),
 f(conv_id, k, turn, h0, z0, h1, z1, section, best) as (
   select conv_id, 0::bigint, null::bigint, false, null::varchar, false, null::varchar, null::varchar, 0.0::double from (select distinct conv_id from s)
