@@ -92,6 +92,47 @@ def fact_summary(facts: DataFrame, group: list[str]) -> DataFrame:
     return facts.groupBy(*group).agg(F.count("*").alias("total"), F.count_if(c < 0.5).alias("low"), F.count_if((c >= 0.5) & (c < 0.8)).alias("mid"), F.count_if(c >= 0.8).alias("high"), F.count_if(F.col("status") == "validated").alias("validated"), F.count_if("has_contradiction").alias("contradictions"))
 
 
+# Counters of a step's result and what they are called in a summary.
+STEP_COUNTERS = {"parseErrors": "parse_errors", "skippedSections": "skipped_sections", "retries": "retries", "totalTokens": "total_tokens"}
+
+
+def step_counters(steps: DataFrame, group: list[str], run: str = "run", status: str = "status", result: str = "result") -> DataFrame:
+    """By group: the latest ``run``'s steps, failed steps, and the sums of ``STEP_COUNTERS`` in their JSON ``result``.
+
+    Counters stand under ``data`` or, without it, at the top; only numbers count, a text that looks like one doesn't.
+    """
+    latest = steps.withColumn("_last", F.max(run).over(Window.partitionBy(*group))).where(F.col(run) == F.col("_last"))
+    read = latest.withColumn("_v", F.try_parse_json(result))
+    data = F.schema_of_variant(F.try_variant_get("_v", "$.data", "variant"))
+    under = data.isNotNull() & (data != "VOID")
+
+    def number(name: str) -> Column:
+        def at(path: str) -> Column:
+            kind = F.schema_of_variant(F.try_variant_get("_v", path, "variant"))
+            return F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get("_v", path, "double"))
+
+        return F.when(under, at(f"$.data.{name}")).otherwise(at(f"$.{name}"))
+
+    sums = [F.coalesce(F.sum(number(name)), F.lit(0.0)).alias(column) for name, column in STEP_COUNTERS.items()]
+    return read.groupBy(*group).agg(F.max(run).alias(run), F.count("*").alias("n_steps"), F.count_if(F.col(status) == "failed").alias("step_failures"), *sums)
+
+
+def corpus_totals(sections: DataFrame, doc: str, failures: DataFrame | None = None) -> DataFrame:
+    """One row on a corpus of sections (``section``, null: unclassified; ``n_blocks``): documents, sections, unclassified and
+    empty ones, the share of classified ones, and sections for each document that could be read.
+
+    ``failures`` has the documents that couldn't.
+    """
+    by_doc = sections.groupBy(doc).agg(F.count("*").alias("n"), F.count_if(F.col("section").isNull()).alias("u"), F.count_if(F.col("n_blocks") == 0).alias("e"))
+    rows = by_doc.withColumn("bad", F.lit(0))
+    if failures is not None:
+        rows = rows.unionByName(failures.select(doc).distinct().select(doc, *(F.lit(0).cast("long").alias(c) for c in "nue"), F.lit(1).alias("bad")))
+    sums = rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("bad"), F.lit(0)).alias("parse_failures"), *(F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in (("n", "sections"), ("u", "unclassified"), ("e", "empty_sections"))))
+    rate = F.when(F.col("sections") > 0, (F.col("sections") - F.col("unclassified")) / F.col("sections")).otherwise(0.0)
+    each = F.when(F.col("documents") > F.col("parse_failures"), F.col("sections") / (F.col("documents") - F.col("parse_failures"))).otherwise(0.0)
+    return sums.withColumns({"classified_rate": F.round(rate, 6), "sections_per_document": F.round(each, 6)})
+
+
 def batch_evaluation(results: DataFrame, stage: str = "stage", confidence: str = "confidence") -> DataFrame:
     """By stage: documents, mean confidence and five bins of it, the last one closed; nulls are left out."""
     c = F.col(confidence)

@@ -250,6 +250,33 @@ with {LABELLED} select source, count(*) as total, count(*) filter (n_chars % 100
 """
 
 
+def step_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as steps of users' daily runs, with counters in several places and as texts that don't count."""
+    k = F.get_json_object("props", "$.k")
+    result = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit('{"data": {"parseErrors": '), k, F.lit(', "totalTokens": 1.5}, "retries": 9}'))).when(F.col("event_id") % 5 == 1, F.concat(F.lit('{"data": null, "retries": '), k, F.lit(', "totalTokens": "'), k, F.lit('"}'))).when(F.col("event_id") % 5 == 2, F.concat(F.lit('{"skippedSections": '), k, F.lit("}"))).when(F.col("event_id") % 5 == 3, "{broken")
+    steps = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("run"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), result.alias("result"))
+    return sections.step_counters(steps, ["user_id"])
+
+
+STEP_SUMMARIES = """
+with s as (select user_id, ts::date as run, event_type, event_id % 5 as c, (props->>'$.k')::double as k from events)
+select user_id, run, count(*) as n_steps, count(*) filter (event_type = 'error') as step_failures, coalesce(sum(case when c = 0 then k end), 0.0) as parse_errors, coalesce(sum(case when c = 2 then k end), 0.0) as skipped_sections, coalesce(sum(case when c = 1 then k end), 0.0) as retries, coalesce(sum(case when c = 0 then 1.5 end), 0.0)::double as total_tokens
+from s where (user_id, run) in (select user_id, max(run) from s group by 1) group by 1, 2
+"""
+
+
+def corpus_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as sections of a corpus; documents without a language couldn't be read."""
+    rows = lines(spark, sf).select("doc_id", "lang", F.when(F.contains("line", F.lit("the")), "a").alias("section"), (F.length("line") % 4).alias("n_blocks"))
+    return sections.corpus_totals(rows.where("lang is not null"), "doc_id", rows.where("lang is null"))
+
+
+CORPUS_TOTALS = f"""
+with {LINES}, t as (select count(distinct doc_id) as documents, count(distinct doc_id) filter (lang is null) as parse_failures, count(*) filter (lang is not null) as sections, count(*) filter (lang is not null and not contains(line, 'the')) as unclassified, count(*) filter (lang is not null and length(line) % 4 = 0) as empty_sections from l)
+select *, round((sections - unclassified) / sections, 6) as classified_rate, round(sections / (documents - parse_failures), 6) as sections_per_document from t
+"""
+
+
 def correction_patterns(spark: SparkSession, sf: str) -> DataFrame:
     """Patterns of changed fields between JSON objects drawn from documents; three of a kind recommend."""
     original = F.to_json(F.struct(F.col("lang").alias("lang"), (F.col("doc_id") % 2).alias("n"), (F.col("doc_id") % 3 == 0).alias("flag")))
@@ -695,5 +722,5 @@ select coalesce(a.conv_id, b.conv_id) as conv_id, case when a.conv_id is null th
 from (select * from v where side = 0) a full join (select * from v where side = 1) b on a.conv_id = b.conv_id
 """
 
-QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, judged_findings, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter, run_costs, diff_last_wins)}
+QUERIES = {f.__name__: f for f in (confidence_gate, qa_candidates, prior_filter, metric_scope, prelabels, role_visibility, finding_scores, judge_topk, finding_matches, judged_findings, problem_coverage, broad_fact_merge, ordered_fact_sources, best_fact_variants, fact_summaries, step_summaries, corpus_totals, correction_patterns, status_counts, family_means, batch_confidences, zone_shares, top_titles, annotation_progress, relation_counts, prior_means, few_shot_examples, few_shot_counts, golden_regression, rule_resolution, config_priority, rule_round_trip, footnote_union, source_section_texts, zone_prefix_sources, finding_sections, header_keys, key_value_facts, dose_values, finding_values, finding_group_keys, doubtful_findings, near_duplicate_findings, applied_verdicts, model_verified_tables, capped_findings, created_page, override_order, expert_queue, matching_documents, json_like_filter, run_costs, diff_last_wins)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -6,14 +6,13 @@ worked out by hand from the rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import diff, runs, schedules, sections
 from tessera.plans.finding_plans import pick, sql_pick
 from tessera.plans.section_plans import LINES, lines
-from tessera.plans.section_plans import LINES, lines
 from tessera.sources import docx, responder
 from tessera.sources.tables import table
 from tessera.streaming import events
@@ -308,16 +307,21 @@ with w as (select doc_id, lower(coalesce(text, '')) as t from documents)
 select doc_id, list_contains(regexp_extract_all(t, '[а-яёa-z0-9_]+'), 'on') as one, regexp_matches(t, '(^|[^а-яёa-z0-9_])of the([^а-яёa-z0-9_]|$)') as two, false as broken from w
 """
 
-_EDITS = {("a b c", "a x c"): "equal:a ;remove:b;add:x;equal: c", ("same", "same"): "equal:same", ("", "new"): "add:new", ("gone", None): "remove:gone", ("one, two", "one; two"): "equal:one;remove:,;add:;;equal: two"}
-
 
 def word_diffs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = forms(spark, sf, [a for a, _ in _EDITS], "old").withColumn("new", pick("doc_id", *(b for _, b in _EDITS)))
-    found = diff.with_word_changes(rows, "old", "new")
-    return found.select("doc_id", F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["kind"], p["text"])), ";").alias("parts"))
-
-
-WORD_DIFFS = expected(list(_EDITS.values()), "parts")
+    """Every line of a document against the next one: the changed words, put together again, give both lines."""
+    rows = lines(spark, sf).withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("ord"))).where("next is not null")
+    found = diff.with_word_changes(rows.select("doc_id", "ord", F.col("line").alias("old"), F.col("next").alias("new")), "old", "new")
+    side = lambda gone: F.sha2(F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] != gone), lambda p: p["text"]), ""), 256)
+    return found.select("doc_id", "ord", side("add").alias("old"), side("remove").alias("new"), (F.size(F.filter("parts", lambda p: p["kind"] == "equal")) > 0).alias("alike"))
+
+
+_WORDS = r"[\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]"
+#: Two lines have words in common if they have a token in common: a word, or what stands between words.
+WORD_DIFFS = rf"""
+with {LINES}, n as (select doc_id, ord, line, lead(line) over (partition by doc_id order by ord) as next from l)
+select doc_id, ord, sha256(line) as old, sha256(next) as new, list_has_any(regexp_extract_all(line, '{_WORDS}'), regexp_extract_all(next, '{_WORDS}')) as alike from n where next is not null
+"""
 
 
 def _messages(spark: SparkSession, sf: str) -> DataFrame:

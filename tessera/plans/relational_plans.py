@@ -164,7 +164,7 @@ def longest_pattern_cost(spark: SparkSession, sf: str) -> DataFrame:
     """Cost of lines by the longest price pattern that the part's type contains, with a total."""
     prices = spark.createDataFrame([(i, *p) for i, p in enumerate(_PATTERNS)], "ord int, pattern string, price double")
     parts = findings.longest_pattern(table(spark, sf, "part").select("p_partkey", "p_type"), prices, "p_type", "pattern", "ord")
-    priced = parts.join(F.broadcast(prices), "pattern", "left")
+    priced = parts.join(prices, "pattern", "left")
     rows = table(spark, sf, "lineitem").join(priced, F.col("l_partkey") == F.col("p_partkey"))
     cost = F.round(F.sum(F.col("l_quantity") * F.coalesce("price", F.lit(0.0))), 2)
     rolled = rows.rollup("l_returnflag").agg(cost.alias("cost"), F.count_if(F.col("price").isNull()).alias("n_unpriced"), F.count("*").alias("n"))
@@ -229,7 +229,7 @@ ANTI_NONE = "select c_custkey, c_name from customer where c_custkey not in (sele
 def tenant_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Lines resolve their region over order, customer and nation."""
     region = table(spark, sf, "region").join(table(spark, sf, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
-    owners = table(spark, sf, "customer").join(F.broadcast(region), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("tenant_id"))
+    owners = table(spark, sf, "customer").join(region, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("tenant_id"))
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_quantity").join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(owners, F.col("o_custkey") == F.col("c_custkey"))
     return rows.groupBy("tenant_id").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 

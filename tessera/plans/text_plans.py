@@ -226,15 +226,15 @@ from facts where value <> '' group by doc_id, fact_key, lower(value)
 
 
 def fact_contradictions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every value, with its document, of the sources' facts that have several canonical values."""
-    found = _facts(spark, sf).where("canonical <> ''").withColumn("at", F.struct("doc_id", "ord"))
-    every = facts.contradictions(found, ["source", "fact_key"], source="doc_id", order="at")
-    return every.select("source", "fact_key", "n_values", F.array_join(F.transform("entries", lambda e: F.concat_ws("@", e["value"], e["source"].cast("string"))), "; ").alias("entries"))
+    """Every value, with its document, of the facts of twenty documents that have several canonical values."""
+    found = _facts(spark, sf).where("canonical <> ''").withColumn("at", F.struct("doc_id", "ord")).withColumn("batch", F.floor(F.col("doc_id") / 20))
+    every = facts.contradictions(found, ["batch", "fact_key"], source="doc_id", order="at")
+    return every.select("batch", "fact_key", "n_values", F.array_join(F.transform("entries", lambda e: F.concat_ws("@", e["value"], e["source"].cast("string"))), "; ").alias("entries"))
 
 
 FACT_CONTRADICTIONS = f"""
-with {_sql_facts()} select source, fact_key, count(distinct lower(value)) as n_values, string_agg(value || '@' || doc_id, '; ' order by doc_id, p, k) as entries
-from facts where value <> '' group by source, fact_key having count(distinct lower(value)) > 1
+with {_sql_facts()} select doc_id // 20 as batch, fact_key, count(distinct lower(value)) as n_values, string_agg(value || '@' || doc_id, '; ' order by doc_id, p, k) as entries
+from facts where value <> '' group by 1, fact_key having count(distinct lower(value)) > 1
 """
 
 

@@ -49,6 +49,56 @@ def distribution(rows: DataFrame, column: str) -> DataFrame:
     return counts.crossJoin(whole).select(column, "n", F.round(100 * F.col("n") / F.col("whole"), 1).alias("percent")).orderBy(F.desc("n"), column)
 
 
+# The types of facts.
+VALUE_TYPES = ("string", "integer", "float", "boolean", "date", "duration", "range", "ratio", "list", "object")
+LIST_FIELDS = ("labels_ru", "labels_en", "topics")
+REGISTRY = "fact_key string, category string, value_type string, priority int, confidence string, description string, labels_ru array<string>, labels_en array<string>, topics array<string>, error string"
+
+
+def fact_registry(spark: SparkSession, categories: dict[str, object]) -> DataFrame:
+    """Facts nested under their categories as one row each; a row that breaks the schema keeps its key and has an ``error``.
+
+    What isn't a list of facts under a category is left out, as headers of a file are; missing lists are empty.
+    """
+    rows, seen = [], set()
+    for category, facts in (categories or {}).items():
+        for fact in facts if isinstance(facts, list) else ():
+            fact = fact if isinstance(fact, dict) else {"fact_key": None if fact is None else str(fact)}
+            key = fact.get("fact_key")
+            lists = [fact.get(f) if fact.get(f) is not None else [] for f in LIST_FIELDS]
+            wrong = [f for f, v in zip(LIST_FIELDS, lists) if not isinstance(v, list)]
+            checks = (
+                (not isinstance(key, str) or not key, "no fact_key"), (key in seen, "repeated fact_key"), (fact.get("value_type") not in VALUE_TYPES, f"unknown value_type {fact.get('value_type')}"),
+                (fact.get("priority") is not None and not isinstance(fact.get("priority"), int), f"priority {fact.get('priority')} isn't a number"), (bool(wrong), f"{', '.join(wrong)}: not a list"),
+            )
+            error = "; ".join(text for broken, text in checks if broken) or None
+            seen.add(key)
+            text = lambda name: None if fact.get(name) is None else str(fact[name])  # noqa: B023, E731
+            rows.append((text("fact_key"), category, text("value_type"), fact["priority"] if isinstance(fact.get("priority"), int) else None, text("confidence"), text("description"), *([str(x) for x in v] if isinstance(v, list) else [] for v in lists), error))
+    return spark.createDataFrame(rows, REGISTRY)
+
+
+def read_fact_registry(spark: SparkSession, path: str) -> DataFrame:
+    """A YAML file of facts by category; the file is small settings, so the driver reads it whole through Spark."""
+    import yaml
+
+    return fact_registry(spark, yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]))
+
+
+def section_priors(registry: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``fact_key`` and its ``expected_sections``, sorted: the topics of the registry's rows and those of ``more`` together."""
+    rows = registry.where("error is null").select("fact_key", "topics")
+    both = rows if more is None else rows.unionByName(more.select("fact_key", "topics"))
+    return both.select("fact_key", F.explode("topics").alias("topic")).groupBy("fact_key").agg(F.array_sort(F.collect_set("topic")).alias("expected_sections"))
+
+
+def fact_queries(registry: DataFrame, anchors: DataFrame) -> DataFrame:
+    """What a fact is searched by (``fact_key``, ``query``): its anchors (``ru`` and ``en`` keywords), else the words of its key."""
+    words = anchors.select("fact_key", F.array_join(F.concat(F.coalesce("ru", F.array().cast("array<string>")), F.coalesce("en", F.array().cast("array<string>"))), " ").alias("anchored"))
+    joined = registry.where("error is null").select("fact_key").join(words, "fact_key", "left")
+    return joined.select("fact_key", F.coalesce("anchored", F.replace("fact_key", F.lit("_"), F.lit(" "))).alias("query"))
+
+
 #: Bytes that a member of an archive is written in at a time.
 COPY_BYTES = 1 << 20
 #: Fixed value: characters of a file's name.

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import sections
+from tessera.operators import diff, sections
 from tessera.sources import responder
 
 FOOT = {"* ) see below": "*|", "text 12. more [3] and <sup>14</sup>": "12|3,14", "1: a 2) b": "1,2|", "no marks": "|", None: None, "v1.2 [x] †: y": "†|"}
@@ -23,6 +23,7 @@ FACTS = {
 RESPONSES = {
     '[{"a": 1}, {"a": 2}]': "1,2", 'Sure: {"a": 3} ok': "3", '[{"a": 4}, {"a": 5}, {"a"': "4,5", "не могу помочь с этим": None, "no json": None, '<think>{"a": 9}</think>{"a": 6}': "6", '{"b": 7}': None, '```json\n[{"a": 8, "s": "]}"}]\n```': "8", None: None,
 }
+EDITS = {("a b c", "a x c"): "equal:a ;remove:b;add:x;equal: c", ("same", "same"): "equal:same", ("", "new"): "add:new", ("gone", None): "remove:gone", ("one, two", "one; two"): "equal:one;remove:,;add:;;equal: two"}
 
 
 def box(form):
@@ -52,3 +53,8 @@ def test_responses(spark):
     rows = spark.createDataFrame(list(enumerate(RESPONSES)), "i int, content string")
     found = responder.parse_rows(rows, "a int").groupBy("i").agg(F.array_join(F.array_sort(F.collect_list("a")), ",").alias("found"))
     assert {r["i"]: r["found"] for r in found.collect()} == {i: v for i, v in enumerate(RESPONSES.values()) if v is not None}
+
+
+def test_word_changes():
+    for (old, new), wanted in EDITS.items():
+        assert ";".join(f"{k}:{v}" for k, v in diff.word_changes(old, new)) == wanted

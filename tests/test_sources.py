@@ -156,3 +156,29 @@ def test_reports_are_read_back(spark, tmp_path):
     cells = sorted((r["path"].rsplit("/", 1)[1], r["row"], r["col"], r["text"]) for r in docx.table_cells(read).collect())
     assert cells == [("v1.docx", 0, 0, "severity"), ("v1.docx", 0, 1, "description"), ("v1.docx", 1, 0, ""), ("v1.docx", 1, 1, "a"), ("v1.docx", 2, 0, "high"), ("v1.docx", 2, 1, "b & <c>"), ("v2.docx", 0, 0, "severity"), ("v2.docx", 0, 1, "description"), ("v2.docx", 1, 0, "low"), ("v2.docx", 1, 1, "z")]
     assert [r["text"] for r in docx.paragraphs(read).where("style = 'Heading1'").orderBy("path").collect()] == ["Findings of v1", "Findings of v2"]
+
+
+def test_fact_registry(spark, tmp_path):
+    (tmp_path / "facts.yaml").write_text("""meta:
+  - {fact_key: phase, value_type: string, priority: 250, confidence: high, labels_en: [phase], topics: [b, a]}
+  - {fact_key: phase, value_type: integer, topics: [c]}
+  - {fact_key: odd, value_type: shape, priority: often, topics: none}
+  - just text
+note: not a list
+design:
+  - {fact_key: study_arms, value_type: list, topics: [a]}
+""")
+    found = files.read_fact_registry(spark, str(tmp_path / "facts.yaml"))
+    rows = [(r["fact_key"], r["category"], r["priority"], r["topics"], r["error"]) for r in found.collect()]
+    assert rows == [("phase", "meta", 250, ["b", "a"], None), ("phase", "meta", None, ["c"], "repeated fact_key"), ("odd", "meta", None, [], "unknown value_type shape; priority often isn't a number; topics: not a list"), ("just text", "meta", None, [], "unknown value_type None"), ("study_arms", "design", None, ["a"], None)]
+    more = spark.createDataFrame([("phase", ["z", "a"]), ("sponsor", ["s"])], "fact_key string, topics array<string>")
+    assert {r["fact_key"]: r["expected_sections"] for r in files.section_priors(found, more).collect()} == {"phase": ["a", "b", "z"], "study_arms": ["a"], "sponsor": ["s"]}
+    anchors = spark.createDataFrame([("phase", ["x"], ["phase", "study"])], "fact_key string, ru array<string>, en array<string>")
+    assert {r["fact_key"]: r["query"] for r in files.fact_queries(found, anchors).collect()} == {"phase": "x phase study", "study_arms": "study arms"}
+
+
+def test_report_has_shares(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc int, zone string")
+    files.write_report(rows.limit(1), rows, spark.createDataFrame([("t",)], "title string"), str(tmp_path / "r"))
+    assert [tuple(r) for r in files.distribution(rows, "zone").collect()] == [("a", 2, 66.7), ("b", 1, 33.3)]
+    assert {tuple(r) for r in spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "r" / "zone-distribution-tsv")).collect()} == {("a", "2", "66.7"), ("b", "1", "33.3")}
