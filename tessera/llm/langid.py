@@ -10,8 +10,8 @@ and read all of it.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and is rejected; ties go to the
 alphabetically first language; a single learned language wins with score 1 where there is any letter; without
-training rows everything is ``und``; repeated rows are judged each on their own; further columns are kept by
-``keep_known`` and not read by ``identify``.
+training rows everything is ``und``; repeated rows are judged each on their own; an empty table gives an empty table;
+very long texts are read whole, block by block; further columns are kept by ``keep_known`` and not read by ``identify``.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ def letters(text: str) -> str:
 def training_texts(docs: DataFrame, held_out: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, list[str]]:
     """A bounded sample of training texts by language, the same for the same rows.
 
-    Ids are drawn by hash with a rate that gives about ``SAMPLE_ROWS`` rows of each language, whatever the size
-    of the table.
+    Rows are drawn by a hash of id and text with a rate that gives about ``SAMPLE_ROWS`` rows of each language, whatever
+    the size of the table and however often an id is repeated; equal rows count once.
     """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"), held_out.alias("out"))
     rows = rows.where(~F.col("out") & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -73,12 +73,13 @@ def training_texts(docs: DataFrame, held_out: Column, lang_col: str = "lang", te
     rate = F.lit(0).cast("long")
     for r in counts:
         rate = F.when(F.col("lang") == r["lang"], F.lit(min(space, math.ceil(space * SAMPLE_ROWS / r["count"])))).otherwise(rate)
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(space))).where(F.col("draw") < rate)
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("id", "text"), F.lit(space))).where(F.col("draw") < rate)
     # texts longer than the share give a window that the hash places: the dictionary needs no whole texts
     start = F.pmod(F.xxhash64("id", F.lit(7)), F.greatest(F.length("text") - SHARE_CHARS, F.lit(1))) + 1
     drawn = drawn.select("lang", "draw", F.expr("id").cast("string").alias("id"), F.col("text").substr(start.cast("int"), F.lit(SHARE_CHARS)).alias("text"))
     texts = defaultdict(list)
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], r["draw"], r["id"] or "", r["text"])):
+    # repeated rows share a draw: one of them comes
+    for r in sorted(drawn.distinct().collect(), key=lambda r: (r["lang"], r["draw"], r["id"] or "", r["text"])):
         texts[r["lang"]].append(r["text"])
     return dict(texts)
 

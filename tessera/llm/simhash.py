@@ -13,8 +13,8 @@ Fingerprints that share a key are verified by their exact distance; links make c
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; fewer words than a
 shingle give one shingle of them all; equal fingerprints are searched once, so repeated rows and large groups of
 copies cost one entry; rows with equal ids stay separate rows; a null id is kept and never names a component
-unless all ids in it are null; an empty table gives an empty table; ``keep_first`` keeps all columns of the
-documents.
+unless all ids in it are null; an empty table gives an empty table; very long texts are read whole, their shingles
+counted in pieces; ``keep_first`` keeps all columns of the documents, whatever their names.
 """
 
 from __future__ import annotations

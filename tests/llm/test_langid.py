@@ -72,3 +72,11 @@ def test_ties_and_single_languages():
 def test_blocks_cover_the_whole_text():
     text = "é" * 5003
     assert b"".join(langid.blocks(text)).decode() == text
+
+
+def test_samples_are_bounded_where_one_id_or_row_repeats(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("en").alias("lang"), F.when(F.col("id") % 6 == 0, "same").otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("text"))
+    found = langid.training_texts(rows, F.lit(False))["en"]
+    assert langid.SAMPLE_ROWS // 2 < len(found) < 2 * langid.SAMPLE_ROWS and found.count("same") <= 1
