@@ -158,19 +158,19 @@ select conv_id as block_id, turn::bigint as row, case when turn % 6 = 0 then 'X'
 
 
 def parsed_tables(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables drawn from documents: their first words as headers or as a first row, and lines as rows."""
-    word = lambda i: F.regexp_replace(F.get(F.split("text", r"\s+"), F.lit(i)), "[<>&|]", "")
-    cell = lambda i, tag: F.concat(F.lit(f"<{tag} class='a'> "), F.coalesce(word(i), F.lit("")), F.lit(f"&nbsp;</{tag}>"))
-    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<tr>"), cell(0, "th"), cell(1, "th"), F.lit("</tr>"))).otherwise("")
-    html = F.concat(F.lit("<TABLE>"), head, F.lit("<tr>"), cell(2, "td"), cell(3, "td"), F.lit("</tr><tr></tr><tr>"), cell(4, "td"), cell(5, "td"), F.lit("</tr></TABLE>"))
-    found = table(spark, sf, "documents").where("text not like '%&%'").select("doc_id", T.html_table(html).alias("t"))
-    return found.select("doc_id", F.array_join("t.headers", "|").alias("headers"), F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "/").alias("rows"))
+    """Documents as tables of HTML with a row for each line; every second one has its headers in header cells."""
+    escaped = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    row = lambda x, i: F.concat(F.lit("<tr><td class='a'> "), escaped(x), F.lit("&nbsp;</td><TD>"), i.cast("string"), F.lit("</TD></tr>"))
+    head = F.when(F.col("doc_id") % 2 == 0, "<tr><th>Line</th><th>N<b>o</b></th></tr><tr></tr>").otherwise("")
+    html = F.concat(F.lit("<TABLE>"), head, F.array_join(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), row), ""), F.lit("</TABLE>"))
+    found = table(spark, sf, "documents").select("doc_id", T.html_table(html).alias("t"))
+    return found.select("doc_id", F.sha2(F.array_join("t.headers", "|"), 256).alias("headers"), F.size("t.rows").cast("long").alias("n_rows"), F.sha2(F.array_join(F.transform("t.rows", lambda r: F.array_join(r, "|")), "/"), 256).alias("rows"))
 
 
 PARSED_TABLES = r"""
-with w as (select doc_id, string_split_regex(text, '\s+') as w from documents where not contains(text, '&')),
-c as (select doc_id, [trim(regexp_replace(coalesce(w[i], ''), '[<>&|]', '', 'g'), ' ') for i in [1, 2, 3, 4, 5, 6]] as c from w)
-select doc_id, case when doc_id % 2 = 0 then c[1] || '|' || c[2] else c[3] || '|' || c[4] end as headers, case when doc_id % 2 = 0 then c[3] || '|' || c[4] || '/' else '' end || c[5] || '|' || c[6] as rows from c
+with w as (select doc_id, [trim(regexp_replace(x, '[\s\x{00A0}]+', ' ', 'g'), ' ') for x in string_split(coalesce(text, ''), chr(10))] as w from documents),
+r as (select doc_id, list_transform(w, lambda x, i: x || '|' || (i - 1)) as r from w)
+select doc_id, sha256(case when doc_id % 2 = 0 then 'Line|N o' else r[1] end) as headers, case when doc_id % 2 = 0 then len(r) else len(r) - 1 end as n_rows, sha256(array_to_string(case when doc_id % 2 = 0 then r else r[2:] end, '/')) as rows from r
 """
 
 
