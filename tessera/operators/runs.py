@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +77,63 @@ def run_pipeline(handlers: dict, completed: set[str] = frozenset(), retries: dic
     return steps
 
 
+#: A level's work on runs: from their ``run`` and the attempt, whether each is ``ok`` and goes on (``go_on``).
+Handler = Callable[[DataFrame, int], DataFrame]
+STEP = "run string, level string, attempt int, status string, go_on boolean"
+
+
+def run_levels(runs: DataFrame, handlers: dict[str, Handler], path: str, completed: DataFrame | None = None, retries: dict[str, int] = RETRIES) -> DataFrame:
+    """Take all ``runs`` through the levels, one written step for each level and attempt: ``run``, ``level``, ``status``, ``attempts``.
+
+    The rules are those of ``run_pipeline``: levels in ``completed`` (``run``, ``level``) are reused, levels without a handler
+    skipped, failed attempts tried again, and a run ends where it failed or needs no next step.  A run that a
+    handler gives no row for has failed.  Every step is a table below ``path`` that counts once it is whole, so a job that
+    was killed goes on after its last whole step when it is started again, and no step's work is counted twice.
+    """
+    spark = runs.sparkSession
+    alive, steps = runs.select(F.col("run").cast("string").alias("run")).distinct(), []
+
+    def step(name: str, rows: Callable[[], DataFrame]) -> DataFrame:
+        target = f"{path}/{name}"
+        mark = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+        if not mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(mark):
+            rows().write.mode("overwrite").parquet(target)
+        return spark.read.schema(STEP).parquet(target)
+
+    def plain(rows: DataFrame, level: str, status: str) -> DataFrame:
+        return rows.select("run", F.lit(level).alias("level"), F.lit(status).alias("status"), F.lit(0).alias("attempts"))
+
+    for level in LEVELS:
+        if completed is not None:
+            known = completed.where(F.col("level") == level).select(F.col("run").cast("string").alias("run")).distinct()
+            reused = alive.join(known, "run", "left_semi")
+            steps.append(plain(reused, level, "reused"))
+            waiting = alive.join(known, "run", "left_anti")
+        else:
+            reused, waiting = alive.limit(0), alive
+        if level not in handlers:
+            steps.append(plain(waiting, level, "skipped"))
+            continue
+        going = reused
+        for attempt in range(1, retries[level] + 1):
+
+            def work(waiting: DataFrame = waiting, attempt: int = attempt, level: str = level) -> DataFrame:
+                done = handlers[level](waiting, attempt).select(F.col("run").cast("string").alias("run"), "ok", "go_on")
+                status = F.when(F.coalesce("ok", F.lit(False)), "completed").otherwise("failed")
+                return waiting.join(done, "run", "left").select("run", F.lit(level).alias("level"), F.lit(attempt).alias("attempt"), status.alias("status"), F.coalesce("go_on", F.lit(True)).alias("go_on"))
+
+            found = step(f"{level}-{attempt}", work)
+            last = attempt == retries[level]
+            steps.append((found if last else found.where("status = 'completed'")).select("run", "level", "status", F.col("attempt").alias("attempts")))
+            going = going.unionByName(found.where("status = 'completed' and go_on").select("run"))
+            waiting = found.where("status = 'failed'").select("run")
+        alive = going
+    out = steps[0]
+    for more in steps[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def backoff_seconds(attempt: int, base: float = 5.0) -> float:
     """Seconds to wait before the next attempt."""
     return base * 2 ** (attempt - 1)

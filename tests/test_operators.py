@@ -216,6 +216,36 @@ def test_run_pipeline_states():
     assert [runs.backoff_seconds(n) for n in (1, 2, 3)] == [5, 10, 20]
 
 
+def test_runs_go_on_where_they_were_stopped(spark, tmp_path):
+    def handler(level, fails, halts=()):
+        def work(rows, attempt):
+            calls.append((level, attempt, sorted(r["run"] for r in rows.collect())))
+            if level in broken:
+                raise KeyboardInterrupt
+            number = F.col("run").cast("int")
+            return rows.where(number != 9).select("run", (~number.isin(*fails) | ((number == 2) & F.lit(attempt == 2))).alias("ok"), (~number.isin(*halts)).alias("go_on"))
+        return work
+
+    def handlers():
+        return {"deterministic": handler("deterministic", (1,)), "llm_check": handler("llm_check", (2, 3)), "llm_qa": handler("llm_qa", (99,), (4,)), "user_validation": handler("user_validation", (99,))}
+
+    rows = spark.createDataFrame([(i,) for i in range(1, 7)], "run int")
+    completed = spark.createDataFrame([("5", "deterministic"), ("5", "llm_check"), ("6", "llm_qa")], "run string, level string")
+    calls, broken = [], set()
+    whole = sorted(map(tuple, runs.run_levels(rows, handlers(), str(tmp_path / "a"), completed).collect()))
+    one = {"deterministic": lambda a: True, "llm_check": lambda a: True, "llm_qa": lambda a: False, "user_validation": lambda a: True}
+    assert [(level, status, n) for run, level, status, n in sorted(whole, key=lambda r: runs.LEVELS.index(r[1])) if run == "4"] == runs.run_pipeline(one)
+    by = {(run, level): (status, n) for run, level, status, n in whole}
+    assert by["1", "deterministic"] == ("failed", 1) and by["2", "llm_check"] == ("completed", 2) and by["3", "llm_check"] == ("failed", 3) and by["5", "llm_check"] == ("reused", 0) and by["6", "user_validation"] == ("completed", 1) and ("4", "user_validation") not in by
+    # killed at a level, and started again: the same result, and no whole step twice
+    calls, broken = [], {"llm_qa"}
+    with pytest.raises(KeyboardInterrupt):
+        runs.run_levels(rows, handlers(), str(tmp_path / "b"), completed)
+    broken = set()
+    assert sorted(map(tuple, runs.run_levels(rows, handlers(), str(tmp_path / "b"), completed).collect())) == whole
+    assert [c[:2] for c in calls] == [("deterministic", 1), ("llm_check", 1), ("llm_check", 2), ("llm_check", 3), ("llm_qa", 1), ("llm_qa", 1), ("llm_qa", 2), ("llm_qa", 3), ("user_validation", 1)]
+
+
 def test_tables(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     new = spark.createDataFrame([(2, "c"), (3, None)], "k int, v string")
