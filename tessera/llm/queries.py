@@ -78,8 +78,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ours, theirs = (materialize(warc.keyed(rows), "records") for rows in (pages, replica))
     depth = warc.digits(ours.count())
     found = materialize(warc.audit(ours, theirs, depth), "findings")
-    here = found.where("state <> 'added'").select("id", "digest", "state")
-    laid = warc.records(ours, depth).join(here, ["id", "digest"], "left")
+    here = found.where("state <> 'added'").select(F.col("id").alias("found_id"), F.col("digest").alias("found_digest"), "state")
+    # pages without an id have their state, too
+    laid = warc.records(ours, depth).join(here, (F.col("digest") == F.col("found_digest")) & F.col("id").eqNullSafe(F.col("found_id")), "left")
     columns = [F.col("id").alias("page_id"), "segment", "seq", "offset", "length", "digest", F.coalesce("state", F.lit("intact")).alias("state")]
     none = [F.lit(None).cast(k).alias(n) for n, k in (("segment", "string"), ("seq", "long"), ("offset", "long"), ("length", "long"), ("digest", "string"))]
     return laid.select(*columns).unionByName(found.where("state = 'added'").select(F.col("id").alias("page_id"), *none, "state"))

@@ -83,3 +83,12 @@ def test_files_round_trip():
     assert [b.decode() for _, b in warc.read_warc(data)] == ["", "é body", "WARC/1.1\r\nx"]
     offset, length = places[1]
     assert next(warc.read_warc(data[offset : offset + length]))[1].decode() == "é body"
+
+
+def test_pages_without_an_id_have_their_state(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(i, f"http://x/{i}", f"<p>body {i}</p>") for i in range(60)] + [(None, "http://x/none", "<p>no id</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r["page_id"]: r["state"] for r in queries.op10_warc(spark, str(tmp_path)).collect()}
+    assert len(found) == 62 and found[None] == "intact" and (found[7], found[27], found[17], found[-37]) == ("damaged", "damaged", "missing", "added")
