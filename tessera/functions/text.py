@@ -102,9 +102,9 @@ def quote_words(text: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Shared words by all words of two word sets; 0 if either is empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Shared words by all words of two word sets (without repeats); 0 if either is empty."""
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(shared / (F.size(a) + F.size(b) - shared))
 
 
 # Word characters of both scripts.

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import evaluation, retrieval
+from tessera.operators import evaluation
 
 # How cells of a table's first column name a fact.
 HEADER_SYNONYMS = {
@@ -133,21 +133,26 @@ def _comparable(rows: DataFrame, group: str, name: str) -> DataFrame:
     return rows.select(F.col(group).alias("g"), F.nullif(F.upper(F.trim("family")), F.lit("")).alias("f"), F.col("id").alias(name), T.quote_words(F.col("quote")).alias(f"{name}_words"), F.nullif(F.lower(F.trim("kind")), F.lit("")).alias("kind"), F.nullif(F.upper(F.trim("zone")), F.lit("")).alias("zone"))
 
 
+def _shared_words(p: DataFrame, e: DataFrame) -> DataFrame:
+    """The overlap of every two findings of a group and family that share a word: counted by words, so only keys and words
+    are shuffled and a pair comes out once."""
+    met = [rows.select("g", "f", name, F.size(f"{name}_words").alias(f"n_{name}"), F.explode(f"{name}_words").alias("word")) for rows, name in ((p, "predicted"), (e, "expected"))]
+    shared = met[0].join(met[1], ["g", "f", "word"]).groupBy("g", "f", "predicted", "expected", "n_predicted", "n_expected").agg(F.count("*").alias("n"))
+    return shared.select("g", "f", "predicted", "expected", (F.col("n") / (F.col("n_predicted") + F.col("n_expected") - F.col("n"))).alias("overlap"))
+
+
 def overlap_pairs(predicted: DataFrame, expected: DataFrame, group: str) -> DataFrame:
     """Scored pairs of findings of one group (a document) and family: the overlap of their quotes, and a strict and a
     lenient score, at least one of them above 0.
 
     Strict: the same type and zone, and the strict overlap.  Lenient: the lenient overlap, else the same type and zone.
-    Either makes a pair: the type and zone by an equi join, the overlap by a search over rare words.
+    Either makes a pair: the type and zone by an equi join, the overlap by the words that quotes share.
     """
     p, e = _comparable(predicted, group, "predicted").where("f is not null"), _comparable(expected, group, "expected").where("f is not null")
     keys = ["g", "f", "predicted", "expected"]
     placed = p.select("g", "f", "kind", "zone", "predicted").join(e.select("g", "f", "kind", "zone", "expected"), ["g", "f", "kind", "zone"]).select(*keys).withColumn("place", F.lit(True))
-    near = retrieval.alike(p, e, ["g", "f", "predicted"], ["g", "f", "expected"], "predicted_words", "expected_words", LENIENT, ("g", "f")).select(*keys, "overlap")
-    # pairs of one place that aren't alike only need their overlap where it is reported
-    met = placed.join(near, keys, "full").withColumn("place", F.coalesce("place", F.lit(False)))
-    lacking = met.where("overlap is null").join(p.select("g", "f", "predicted", "predicted_words"), ["g", "f", "predicted"]).join(e.select("g", "f", "expected", "expected_words"), ["g", "f", "expected"])
-    scored = met.where("overlap is not null").unionByName(lacking.withColumn("overlap", T.jaccard(F.col("predicted_words"), F.col("expected_words"))).select(*met.columns)).select(F.col("g").alias(group), "predicted", "expected", "overlap", "place")
+    met = placed.join(_shared_words(p, e), keys, "full").select("g", "predicted", "expected", F.coalesce("overlap", F.lit(0.0)).alias("overlap"), F.coalesce("place", F.lit(False)).alias("place"))
+    scored = met.where(F.col("place") | (F.col("overlap") >= LENIENT)).withColumnRenamed("g", group)
     overlap = F.col("overlap")
     strict = F.when(F.col("place") & (overlap >= STRICT), overlap).otherwise(0.0)
     lenient = F.when(overlap >= LENIENT, overlap).when(F.col("place"), BY_PLACE).otherwise(0.0)
@@ -166,9 +171,7 @@ def judge_candidates(predicted: DataFrame, expected: DataFrame, group: str, k: i
     Those that share a word are met by their words; the first ``k`` of the family fill up with an overlap of 0.
     """
     p, e = (_comparable(rows, group, name).where("f is not null") for rows, name in ((predicted, "predicted"), (expected, "expected")))
-    met = [rows.select("g", "f", name, F.size(f"{name}_words").alias(f"n_{name}"), F.explode(f"{name}_words").alias("word")) for rows, name in ((p, "predicted"), (e, "expected"))]
-    shared = met[0].join(met[1], ["g", "f", "word"]).groupBy("g", "predicted", "expected", "n_predicted", "n_expected").agg(F.count("*").alias("n"))
-    near = shared.select("g", "predicted", "expected", (F.col("n") / (F.col("n_predicted") + F.col("n_expected") - F.col("n"))).alias("overlap"))
+    near = _shared_words(p, e).drop("f")
     place = F.row_number().over(Window.partitionBy("g", "f").orderBy("expected"))
     first = e.select("g", "f", "expected", place.alias("place")).where(F.col("place") <= k).drop("place")
     spare = p.select("g", "f", "predicted").join(first, ["g", "f"]).select("g", "predicted", "expected", F.lit(0.0).alias("overlap"))

@@ -47,21 +47,25 @@ def alike(left: DataFrame, right: DataFrame, left_key: list[str], right_key: lis
     """All pairs of rows whose word sets (``a``, ``b``) have a Jaccard similarity of ``least`` or more, as ``overlap``; equal in
     the columns ``within``, if there are any.
 
-    A similar pair shares at least ``least`` of the right set's words, so it shares one of any of them that are more than
-    the rest: right rows are listed under so many of their words, the rare ones by their number of right rows first, and
-    left rows are looked up by all of theirs.  No pair is lost.  Only keys, words and sizes are shuffled for the search;
-    the sets are fetched for pairs whose sizes allow the similarity.
+    Words are put in one order, by how many right sets have them.  A similar pair shares one of either set's first words, of
+    so many that fewer than the needed share are left: both sides are listed under these only.  No pair is lost.
+    Only keys, words and sizes are shuffled for the search; the sets are fetched for pairs that meet.
     """
     same, left_key, right_key = list(within), [*within, *(k for k in left_key if k not in within)], [*within, *(k for k in right_key if k not in within)]
-    few = F.size(b) - F.ceil(F.size(b) * least - 1e-9) + 1
-    words = right.select(*right_key, F.size(b).alias("_m"), few.alias("_few"), F.explode(b).alias("_word"))
-    counts = words.groupBy(*same, "_word").agg(F.count("*").alias("_df"))
-    rank = F.row_number().over(Window.partitionBy(*right_key).orderBy("_df", "_word"))
-    listed = words.join(counts, [*same, "_word"]).withColumn("_rank", rank).where("_rank <= _few").drop("_df", "_few", "_rank")
-    asked = left.select(*left_key, F.size(a).alias("_n"), F.explode(a).alias("_word"))
+
+    def exploded(rows: DataFrame, key: list[str], words: str, size: str) -> DataFrame:
+        few = F.size(words) - F.ceil(F.size(words) * least - 1e-9) + 1
+        return rows.select(*key, F.size(words).alias(size), few.alias("_few"), F.explode(words).alias("_word"))
+
+    def listed(words: DataFrame, key: list[str], how: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.coalesce("_df", F.lit(0)), "_word"))
+        return words.join(counts, [*same, "_word"], how).withColumn("_rank", rank).where("_rank <= _few and _df is not null").drop("_df", "_few", "_rank")
+
+    mine, theirs = exploded(left, left_key, a, "_n"), exploded(right, right_key, b, "_m")
+    counts = theirs.groupBy(*same, "_word").agg(F.count("*").alias("_df"))
     sizes = (F.col("_n") >= least * F.col("_m") - 1e-9) & (F.col("_m") >= least * F.col("_n") - 1e-9)
     keys = [*left_key, *(k for k in right_key if k not in same)]
-    met = asked.join(listed, [*same, "_word"]).where(sizes).select(*keys).distinct()
+    met = listed(mine, left_key, "left").join(listed(theirs, right_key, "inner"), [*same, "_word"]).where(sizes).select(*keys).distinct()
     found = met.join(left.select(*left_key, a), left_key).join(right.select(*right_key, b), right_key)
     return found.withColumn("overlap", T.jaccard(F.col(a), F.col(b))).where(F.col("overlap") >= least)
 
