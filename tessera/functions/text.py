@@ -97,8 +97,14 @@ def normal_quote(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SPACE, " "), QUOTE_MARKS, ""))
 
 
+# Fixed value: what ``SPACE`` takes as white space.
+BLANKS = "\t\n\x0b\f\r\xa0"
+
+
 def quote_words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(normal_quote(text), " "), lambda w: w != ""))
+    """The words of ``normal_quote``, each once; one pass over the characters is cheaper than its patterns."""
+    flat = F.translate(F.lower(F.coalesce(text, F.lit(""))), BLANKS + QUOTE_MARKS[1:-1], " " * len(BLANKS))
+    return F.array_remove(F.array_distinct(F.split(flat, " ")), "")
 
 
 def jaccard(a: Column, b: Column) -> Column:
