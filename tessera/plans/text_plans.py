@@ -213,8 +213,8 @@ RULE_FACT_EXTRACT = f"with {_sql_facts()} select doc_id, fact_key, value, count(
 
 
 def fact_vote(spark: SparkSession, sf: str) -> DataFrame:
-    """Facts of documents of source 1 weigh as those of a synopsis."""
-    title = F.when(F.col("source") == "src1", "Study synopsis").otherwise(F.col("source"))
+    """Facts of documents of source 1, and of no other whatever its name, weigh as those of a synopsis."""
+    title = F.when(F.col("source") == "src1", "Study synopsis")
     voted = facts.vote(_facts(spark, sf), ["doc_id", "fact_key"], title=title)
     return voted.select("doc_id", "fact_key", "canonical", "value", "confidence", "n_sources")
 
