@@ -127,13 +127,18 @@ _NAMES = ("Informed consent", "Vital signs", "ECG", "Physical exam", "Blood test
 
 
 def schedule_cells(spark: SparkSession, sf: str) -> DataFrame:
-    """Schedules drawn from orders: line numbers are procedures, an order's lines with a return are marked."""
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")))).alias("marked"), F.max("l_linenumber").alias("n"))
+    """Schedules drawn from orders: line numbers are procedures, an order's lines with a return are marked.
+
+    Equal tables are parsed and counted once.
+    """
+    marked = [F.bool_or((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == i + 1)).alias(f"marked_{i}") for i in range(len(_NAMES))]
+    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(*marked, F.max("l_linenumber").alias("n"))
     header = "<tr><th>Procedure</th><th>Screening Visit 1</th><th>Visit 2 Day 1</th><th>Visit 3 Day 8</th><th>Visit 4 Week 2</th></tr>"
-    body = [F.concat(F.lit(f"<tr><td>{name}</td><td>"), F.when(F.array_contains("marked", i + 1), "X<sup>1</sup>").otherwise(""), F.lit("</td><td>X</td><td>"), F.when(F.lit(i + 1) <= F.col("n"), "5 mL").otherwise("-"), F.lit("</td><td></td></tr>")) for i, name in enumerate(_NAMES)]
+    body = [F.concat(F.lit(f"<tr><td>{name}</td><td>"), F.when(F.col(f"marked_{i}"), "X<sup>1</sup>").otherwise(""), F.lit("</td><td>X</td><td>"), F.when(F.lit(i + 1) <= F.col("n"), "5 mL").otherwise("-"), F.lit("</td><td></td></tr>")) for i, name in enumerate(_NAMES)]
     html = F.concat(F.lit(f"<table>{header}"), *body, F.lit("</table>"))
-    found = schedules.cells(lines.select(F.col("l_orderkey").alias("block_id"), F.lit("Schedule of assessments").alias("title"), html.alias("html")))
-    return found.groupBy("block_id", "normal").agg(F.count("*").alias("n"), F.sum(F.size("markers")).alias("n_markers"))
+    places, once = schedules.distinct_tables(lines.select(F.col("l_orderkey").alias("block_id"), F.lit("Schedule of assessments").alias("title"), html.alias("html")))
+    counts = schedules.cells(once, "key").groupBy("key", "normal").agg(F.count("*").alias("n"), F.sum(F.size("markers")).alias("n_markers"))
+    return places.join(counts, "key").select("block_id", "normal", "n", "n_markers")
 
 
 SCHEDULE_CELLS = """
