@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,6 +77,31 @@ def greedy_pairs(scored: DataFrame, group: str, left: str, right: str, score: st
     return scored.select(group, left, right, score).groupBy(group).applyInPandas(take, ", ".join(f"{c} {kinds[c]}" for c in (group, left, right, score)))
 
 
+def free_pairs(rows: DataFrame, group: str, left: str, right: str, more: Sequence[str] = (), allowed: tuple[str, str] | None = None) -> DataFrame:
+    """Of each row's pairs, in their order, those whose ``left`` and ``right`` no earlier chosen pair of the row has.
+
+    A row's pairs stand in arrays of equal length (``left``, ``right`` and ``more``).  With ``allowed``, the names of two
+    further such arrays, pairs that aren't among theirs are passed over.  Null arrays are as good as empty; nothing is shuffled.
+    """
+    names, other, kinds = [left, right, *more], list(allowed or ()), dict(rows.dtypes)
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in batches:
+            out = []
+            for key, *columns in zip(own[group], *(own[n] for n in names + other)):
+                columns = [[] if c is None else c.tolist() for c in columns]
+                used_left, used_right, known = set(), set(), set(zip(*columns[len(names):])) if other else None
+                for pair in zip(*columns[:len(names)]):
+                    if pair[0] not in used_left and pair[1] not in used_right and (known is None or pair[:2] in known):
+                        used_left.add(pair[0])
+                        used_right.add(pair[1])
+                        out.append((key, *pair))
+            yield pd.DataFrame(out, columns=[group, *names])
+
+    of_one = ", ".join(f"{n} {kinds[n].removeprefix('array<')[:-1]}" for n in names)
+    return rows.select(group, *names, *other).mapInPandas(take, f"{group} {kinds[group]}, {of_one}")
+
+
 def delta(before: DataFrame, after: DataFrame, key: str, metric: str) -> DataFrame:
     """Both metrics and their difference by key; null where either is missing."""
     a, b = before.select(key, F.col(metric).alias("before")), after.select(key, F.col(metric).alias("after"))
