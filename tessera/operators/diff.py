@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,26 +107,109 @@ def relink(expected: DataFrame, actual: DataFrame, doc: str = "doc_id") -> DataF
     return out.select("id", F.coalesce(*(F.col(f"_{w}") for w in ways)).alias("section_id"), how.alias("method"))
 
 
+_TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
+#: Fixed value: bits of a comparison's state that are kept at once, 32 MB of them.
+_KEPT_BITS = 1 << 28
+
+
+def common_tokens(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence, in order.
+
+    A state has a bit for each token of ``b``, clear where the subsequence of the tokens of ``a`` so far grows; states
+    of some tokens of ``a`` are kept and those between them worked out again, so memory doesn't grow with both lengths.
+    """
+    step = max(1, _KEPT_BITS // (len(b) + 1))
+    full = (1 << len(b)) - 1
+    masks: dict[str, int] = {}
+    places: dict[str, list[int]] = {}
+    few = len(b) <= step
+    for j, token in enumerate(b):
+        if few:
+            masks[token] = masks.get(token, 0) | 1 << j
+        else:
+            places.setdefault(token, []).append(j)
+
+    def mask(token: str) -> int:
+        """Where ``b`` has the token; of many tokens only some masks are kept."""
+        found = masks.get(token)
+        if found is None and token in places:
+            bits = bytearray(len(b) + 7 >> 3)
+            for j in places[token]:
+                bits[j >> 3] |= 1 << (j & 7)
+            found = int.from_bytes(bits, "little")
+            if len(masks) < step:
+                masks[token] = found
+        return found or 0
+
+    def states(state: int, tokens: list[str]) -> list[int]:
+        found = [state]
+        for token in tokens:
+            if hit := state & mask(token):
+                state = (state + hit | state - hit) & full
+            found.append(state)
+        return found
+
+    kept = [full]
+    for at in range(0, len(a) - step, step):
+        kept.append(states(kept[-1], a[at:at + step])[-1])
+    found, row, col = [], len(a), len(b)
+    for at in range((len(kept) - 1) * step, -1, -step):
+        between = states(kept.pop(), a[at:row])
+        while row > at and col:
+            if between[row - at] >> col - 1 & 1:
+                col -= 1
+                continue
+            row -= 1
+            if between[row - at] >> col - 1 & 1:
+                col -= 1
+                found.append((row, col))
+    return found[::-1]
+
+
 def word_changes(old: str, new: str) -> list[tuple[str, str]]:
-    """Parts of a word diff: (equal, remove or add; text)."""
-    a, b = (re.findall(r"\w+|\s+|[^\w\s]", t or "") for t in (old, new))
+    """Parts of a word diff with the most equal tokens: (equal, remove or add; text).
+
+    Time grows with the product of the numbers of tokens, some two thousand pairs of them a microsecond in long texts.
+    """
+    a, b = (_TOKEN.findall(t or "") for t in (old, new))
+    shortest = min(len(a), len(b))
+    head = next((i for i in range(shortest) if a[i] != b[i]), shortest)
+    tail = next((i for i in range(shortest - head) if a[-1 - i] != b[-1 - i]), shortest - head)
+    blocks = [[0, 0, head]]
+    for i, j in common_tokens(a[head:len(a) - tail], b[head:len(b) - tail]):
+        last = blocks[-1]
+        if (head + i, head + j) == (last[0] + last[2], last[1] + last[2]):
+            last[2] += 1
+        else:
+            blocks.append([head + i, head + j, 1])
     parts: list[tuple[str, str]] = []
-    for tag, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if tag == "equal":
-            parts.append(("equal", "".join(a[i:j])))
-            continue
-        if i < j:
-            parts.append(("remove", "".join(a[i:j])))
-        if k < m:
-            parts.append(("add", "".join(b[k:m])))
+    i = j = 0
+    for k, m, size in [*blocks, [len(a) - tail, len(b) - tail, tail]]:
+        if i < k:
+            parts.append(("remove", "".join(a[i:k])))
+        if j < m:
+            parts.append(("add", "".join(b[j:m])))
+        if size and parts and parts[-1][0] == "equal":
+            parts[-1] = ("equal", parts[-1][1] + "".join(a[k:k + size]))
+        elif size:
+            parts.append(("equal", "".join(a[k:k + size])))
+        i, j = k + size, m + size
     return parts
 
 
 def with_word_changes(rows: DataFrame, old: str, new: str) -> DataFrame:
     """Adds ``parts``: the word diff of two text columns, an array of (kind, text).  Equal texts are not compared."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
-            yield own.assign(parts=[word_changes(a, b) if a != b else [("equal", a)] if a else [] for a, b in zip(own[old], own[new])])
-
-    return rows.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", parts array<struct<kind: string, text: string>>")
+            kinds, texts, ends = [], [], [0]
+            for a, b in zip(own[old].to_pylist(), own[new].to_pylist()):
+                for kind, text in word_changes(a, b) if a != b else [("equal", a)] if a else []:
+                    kinds.append(kind)
+                    texts.append(text)
+                ends.append(len(kinds))
+            # flat columns: a tuple for each part costs more than its comparison
+            parts = pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["kind", "text"])
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)], names=[*own.schema.names, "parts"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes) + ", parts array<struct<kind: string, text: string>>")

@@ -6,7 +6,7 @@ worked out by hand from the rule.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -14,7 +14,7 @@ from tessera.operators import diff, runs, schedules, sections
 from tessera.plans.finding_plans import pick, sql_pick
 from tessera.plans.section_plans import LINES, lines
 from tessera.sources import docx, responder
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 from tessera.streaming import events
 
 
@@ -310,8 +310,10 @@ select doc_id, list_contains(regexp_extract_all(t, '[а-яёa-z0-9_]+'), 'on') a
 
 def word_diffs(spark: SparkSession, sf: str) -> DataFrame:
     """Every line of a document against the next one: the changed words, put together again, give both lines."""
-    rows = lines(spark, sf).withColumn("next", F.lead("line").over(Window.partitionBy("doc_id").orderBy("ord"))).where("next is not null")
-    found = diff.with_word_changes(rows.select("doc_id", "ord", F.col("line").alias("old"), F.col("next").alias("new")), "old", "new")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n", -1).alias("old"))
+    pairs = docs.select("doc_id", F.posexplode_outer(F.arrays_zip("old", F.slice("old", F.lit(2), F.size("old")).alias("new"))).alias("ord", "pair"))
+    rows = pairs.select("doc_id", F.col("ord").cast("long").alias("ord"), "pair.old", "pair.new").where("new is not null")
+    found = diff.with_word_changes(rows, "old", "new")
     side = lambda gone: F.sha2(F.array_join(F.transform(F.filter("parts", lambda p: p["kind"] != gone), lambda p: p["text"]), ""), 256)
     return found.select("doc_id", "ord", side("add").alias("old"), side("remove").alias("new"), (F.size(F.filter("parts", lambda p: p["kind"] == "equal")) > 0).alias("alike"))
 
