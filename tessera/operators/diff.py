@@ -107,6 +107,67 @@ def relink(expected: DataFrame, actual: DataFrame, doc: str = "doc_id") -> DataF
     return out.select("id", F.coalesce(*(F.col(f"_{w}") for w in ways)).alias("section_id"), how.alias("method"))
 
 
+def found_sections(expected: list[tuple], actual: list[tuple]) -> Iterator[tuple]:
+    """Id, section and way of each expected section of one document; see ``relink`` for the ways.
+
+    Expected ones are (id, paragraph, digest, title, needle, level, occurrence), actual ones in order (section, paragraph,
+    digest, title, level), titles and needles trimmed and lowered.
+    """
+    paragraphs, digests, places, counts, levels = {}, {}, {}, {}, {}
+    for section, paragraph, digest, title, level in actual:
+        paragraphs[paragraph] = digests[digest] = section
+        places[title, counts.setdefault(title, 0)] = section
+        counts[title] += 1
+        levels.setdefault(level, []).append((title, section))
+    for nothing, known in ((None, paragraphs), (None, digests), ("", digests)):
+        known.pop(nothing, None)
+    for key, paragraph, digest, title, needle, level, occurrence in expected:
+        section, way = paragraphs.get(paragraph), "paragraph"
+        if section is None:
+            section, way = digests.get(digest), "digest"
+        if section is None and needle is not None and level is not None:
+            section, way = next((own for name, own in levels.get(level, ()) if name is not None and needle in name), None), "snippet"
+        if section is None and title is not None:
+            section, way = places.get((title, occurrence), places.get((title, 0))), "title_occurrence"
+        yield key, section, None if section is None else way
+
+
+def nested_relinks(rows: DataFrame, expected: str, actual: str) -> DataFrame:
+    """As ``relink``, for sections that stand in two arrays of a document's row (structs of the same fields), a document
+    being one row: nothing is shuffled.
+
+    Sections go to Python as rows, a document's behind each other and with a mark at its last one, so that only one
+    document is held at a time.
+    """
+    flat = lambda c: F.lower(F.trim(c))
+    rows = rows.select(*(F.coalesce(c, F.array().cast(rows.schema[c].dataType)).alias(c) for c in (expected, actual)))
+    wanted = F.transform(expected, lambda e: F.struct(e["id"].alias("id"), e["paragraph"].alias("paragraph"), e["digest"].alias("digest"), flat(e["title"]).alias("title"), F.nullif(flat(e["snippet"]), F.lit("")).alias("needle"), e["level"].alias("level"), F.coalesce(e["occurrence"], F.lit(0)).alias("occurrence")))
+    have = F.array_sort(F.transform(actual, lambda a: F.struct(a["ord"].alias("ord"), a["section_id"].alias("section_id"), a["paragraph"].alias("paragraph"), a["digest"].alias("digest"), flat(a["title"]).alias("title"), a["level"].alias("level"))))
+    paired = rows.select(F.arrays_zip(wanted.alias("e"), have.alias("a")).alias("both"))
+    # outer: Spark infers no filter, which would make the arrays again
+    each = paired.select(F.size("both").alias("n"), F.posexplode_outer("both").alias("at", "x")).where("x is not null")
+    sides = {"e": ("id", "paragraph", "digest", "title", "needle", "level", "occurrence"), "a": ("section_id", "paragraph", "digest", "title", "level")}
+    sent = each.select((F.col("at") == F.col("n") - 1).alias("last"), *(c for k, names in sides.items() for c in (F.col(f"x.{k}").isNotNull().alias(f"{k}_there"), *(F.col(f"x.{k}.{n}").alias(f"{k}_{n}") for n in names))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        old, new = [], []
+        for batch in batches:
+            out = []
+            for last, *line in zip(*(c.to_pylist() for c in batch.columns)):
+                if line[0]:
+                    old.append(line[1:8])
+                if line[8]:
+                    new.append(line[9:])
+                if last:
+                    out += found_sections(old, new)
+                    old, new = [], []
+            columns = zip(*out) if out else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (batch.schema.field("e_id").type, batch.schema.field("a_section_id").type, pa.string()))], names=["id", "section_id", "method"])
+
+    kinds = dict(sent.dtypes)
+    return sent.mapInArrow(run, f"id {kinds['e_id']}, section_id {kinds['a_section_id']}, method string")
+
+
 _TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 #: Fixed value: bits of a comparison's state that are kept at once, 32 MB of them.
 _KEPT_BITS = 1 << 28
