@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -168,13 +169,25 @@ def nested_relinks(rows: DataFrame, expected: str, actual: str) -> DataFrame:
     return sent.mapInArrow(run, f"id {kinds['e_id']}, section_id {kinds['a_section_id']}, method string")
 
 
-_TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
+@functools.lru_cache(maxsize=2)
+def _tokens(text: str) -> list[str]:
+    """Words, blanks and other characters; the last texts' are kept, as a line is often compared with both neighbours."""
+    return re.findall(r"\w+|\s+|[^\w\s]", text)
+
+
 #: Fixed value: bits of a comparison's state that are kept at once, 32 MB of them.
 _KEPT_BITS = 1 << 28
 
 
 def common_tokens(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence, in order.
+    """Places of a longest common subsequence, in order."""
+    in_a, in_b = set(a), set(b)
+    rows, columns = [i for i, t in enumerate(a) if t in in_b], [j for j, t in enumerate(b) if t in in_a]
+    return [(rows[i], columns[j]) for i, j in _longest([a[i] for i in rows], [b[j] for j in columns])]
+
+
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """``common_tokens`` of texts without words of their own.
 
     A state has a bit for each token of ``b``, clear where the subsequence of the tokens of ``a`` so far grows; states
     of some tokens of ``a`` are kept and those between them worked out again, so memory doesn't grow with both lengths.
@@ -193,37 +206,38 @@ def common_tokens(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     def mask(token: str) -> int:
         """Where ``b`` has the token; of many tokens only some masks are kept."""
         found = masks.get(token)
-        if found is None and token in places:
+        if found is None:
             bits = bytearray(len(b) + 7 >> 3)
             for j in places[token]:
                 bits[j >> 3] |= 1 << (j & 7)
             found = int.from_bytes(bits, "little")
             if len(masks) < step:
                 masks[token] = found
-        return found or 0
+        return found
 
     def states(state: int, tokens: list[str]) -> list[int]:
         found = [state]
-        for token in tokens:
-            if hit := state & mask(token):
-                state = (state + hit | state - hit) & full
+        for hit in map(masks.__getitem__ if few else mask, tokens):
+            hit &= state
+            state = (state + hit | state - hit) & full
             found.append(state)
         return found
 
     kept = [full]
     for at in range(0, len(a) - step, step):
         kept.append(states(kept[-1], a[at:at + step])[-1])
-    found, row, col = [], len(a), len(b)
+    found, row, bit = [], len(a), 1 << len(b) >> 1
     for at in range((len(kept) - 1) * step, -1, -step):
         between = states(kept.pop(), a[at:row])
-        while row > at and col:
-            if between[row - at] >> col - 1 & 1:
-                col -= 1
-                continue
-            row -= 1
-            if between[row - at] >> col - 1 & 1:
-                col -= 1
-                found.append((row, col))
+        state = between[-1]
+        while row > at and bit:
+            if not state & bit:
+                row -= 1
+                state = between[row - at]
+                if not state & bit:
+                    continue
+                found.append((row, bit.bit_length() - 1))
+            bit >>= 1
     return found[::-1]
 
 
@@ -232,7 +246,7 @@ def word_changes(old: str, new: str) -> list[tuple[str, str]]:
 
     Time grows with the product of the numbers of tokens, some two thousand pairs of them a microsecond in long texts.
     """
-    a, b = (_TOKEN.findall(t or "") for t in (old, new))
+    a, b = _tokens(old or ""), _tokens(new or "")
     shortest = min(len(a), len(b))
     head = next((i for i in range(shortest) if a[i] != b[i]), shortest)
     tail = next((i for i in range(shortest - head) if a[-1 - i] != b[-1 - i]), shortest - head)
